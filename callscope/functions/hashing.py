@@ -8,7 +8,7 @@ integer operations inside generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Modulus of the draws, odd multipliers of the mixer.
@@ -31,33 +31,43 @@ POISSON_ONE_CDF = (
 )
 
 
-def digest(key) -> tuple[Column, Column]:
-    """Two 28-bit halves of the md5 of a key. Select them *before* exploding replicates."""
-    text = F.md5((F.col(key) if isinstance(key, str) else key).cast("string"))
-    high = F.conv(F.substring(text, 1, 7), 16, 10).cast("bigint")
-    low = F.conv(F.substring(text, 8, 7), 16, 10).cast("bigint")
-    return high, low
-
-
-def _mix(x: Column) -> Column:
-    for multiplier in MULTIPLIERS:
-        x = x.bitwiseXOR(F.shiftright(x, 15))
-        x = (x * F.lit(multiplier)).bitwiseAND(F.lit(MASK))
-    return x.bitwiseXOR(F.shiftright(x, 13))
-
-
-def draw(high, low, stream, seed: int) -> Column:
-    """Uniform integer in [0, 2^31) for one stream (replicate) of one key."""
-    start = (stream.cast("bigint") if isinstance(stream, Column) else F.lit(int(stream)).cast("bigint")) * F.lit(
-        STREAM_STEP
-    ) + F.lit(int(seed))
-    first = _mix((F.col(high) if isinstance(high, str) else high).bitwiseXOR(_mix(start.bitwiseAND(F.lit(MASK)))))
-    return _mix(first.bitwiseXOR(F.col(low) if isinstance(low, str) else low))
-
-
-def uniform(high, low, stream, seed: int) -> Column:
-    """The same draw as a double in [0, 1)."""
-    return draw(high, low, stream, seed) / F.lit(float(DRAW_RANGE))
+def with_digest(frame: DataFrame, key: str = "key", names: tuple[str, str] = ("_h", "_l")) -> DataFrame:
+    """Add two 28-bit halves of the md5 of a key. Do this *before* exploding replicates."""
+    text = F.md5(F.col(key).cast("string"))
+    return frame.withColumns(
+        {
+            names[0]: F.conv(F.substring(text, 1, 7), 16, 10).cast("bigint"),
+            names[1]: F.conv(F.substring(text, 8, 7), 16, 10).cast("bigint"),
+        }
+    )
+
+
+def with_draw(
+    frame: DataFrame, name: str, stream: Column | int, seed: int, names: tuple[str, str] = ("_h", "_l")
+) -> DataFrame:
+    """Add a uniform integer in [0, 2^31) for one stream (replicate) of the digested key.
+
+    One projection per round: a round uses its input twice, and a single nested expression would
+    double with every round.
+    """
+    high, low = names
+    step = stream.cast("bigint") if isinstance(stream, Column) else F.lit(int(stream)).cast("bigint")
+    start = (step * F.lit(STREAM_STEP) + F.lit(int(seed))).bitwiseAND(F.lit(MASK))
+    x = F.col(name)
+    frame = frame.withColumn(name, F.col(high).bitwiseXOR(start))
+    for half in (low, None):
+        for multiplier in MULTIPLIERS:
+            frame = frame.withColumn(
+                name, (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(multiplier)).bitwiseAND(F.lit(MASK))
+            )
+        folded = x.bitwiseXOR(F.shiftright(x, 13))
+        frame = frame.withColumn(name, folded if half is None else folded.bitwiseXOR(F.col(half)))
+    return frame
+
+
+def unit(drawn: Column | str) -> Column:
+    """A draw as a double in [0, 1)."""
+    return (F.col(drawn) if isinstance(drawn, str) else drawn) / F.lit(float(DRAW_RANGE))
 
 
 def poisson_one(drawn: Column) -> Column:
@@ -69,8 +79,11 @@ def poisson_one(drawn: Column) -> Column:
     return result.cast("bigint")
 
 
-def index_draw(high, low, stream, seed: int, size) -> Column:
-    """Uniform index in 0 .. size-1 from 62 random bits; NULL where ``size`` is 0."""
-    wide = draw(high, low, stream, seed) * F.lit(DRAW_RANGE) + draw(high, low, stream, seed + SECOND_DRAW)
-    size = size if isinstance(size, Column) else F.lit(size).cast("bigint")
-    return F.when(size > 0, wide % size)
+def with_index(
+    frame: DataFrame, name: str, stream: Column | int, seed: int, size: Column, names: tuple[str, str] = ("_h", "_l")
+) -> DataFrame:
+    """Add a uniform index in 0 .. size-1 from 62 random bits; NULL where ``size`` is 0."""
+    first = with_draw(frame, "_first", stream, seed, names)
+    both = with_draw(first, "_second", stream, seed + SECOND_DRAW, names)
+    wide = F.col("_first") * F.lit(DRAW_RANGE) + F.col("_second")
+    return both.withColumn(name, F.when(size > 0, wide % size)).drop("_first", "_second")

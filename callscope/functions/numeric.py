@@ -68,7 +68,7 @@ def sigmoid(logit) -> Column:
     return 1.0 / (1.0 + F.exp(-_col(logit).cast("double")))
 
 
-def hard_call(prob, threshold: float = 0.5) -> Column:
+def hard_call(prob, threshold: float | Column = 0.5) -> Column:
     return (_col(prob) >= threshold).cast("int")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from callscope.functions.numeric import to_number
 from callscope.functions.sequence import QC_FIELDS, cut_window, one_hot, qc_vector
 
+# Letters per reference chunk, fields of the read evidence and of the signals.
+CHUNK = 4096
 EVIDENCE_FIELDS = QC_FIELDS[:5]
 SIGNAL_FIELDS = QC_FIELDS[5:]
 
@@ -48,32 +50,32 @@ def with_qc_vector(rows: DataFrame) -> DataFrame:
     return rows.withColumn("qc", qc_vector())
 
 
-def sequence_windows(sites: DataFrame, chunks: DataFrame, radius: int = 100) -> DataFrame:
-    """The ``2*radius+1`` letters around every site as ``seq``; N outside the contig.
+def sequence_windows(sites: DataFrame, chunks: DataFrame, radius: int = 100, stride: int = CHUNK) -> DataFrame:
+    """The ``2*radius+1`` letters around every site as ``seq``, filled with N outside the contig.
 
-    ``sites``: contig, pos (1-based) and anything else; ``chunks`` from
-    ``sources.fasta.contig_chunks`` with a halo of at least twice the radius, so that a window
-    lies inside exactly one chunk: one equi-join, and no regrouping of pieces. A contig that
-    does not exist gives NULL.
+    ``sites``: contig, pos (1-based) and anything else; ``chunks``: see ``sources.fasta``, cut with
+    the same ``stride`` and a halo of at least twice the radius, so that a window lies inside
+    exactly one chunk: one equi-join, and no regrouping of pieces. A window that does not touch
+    its contig, or whose contig is unknown, gives NULL.
     """
     start = F.col("pos").cast("bigint") - 1 - radius
-    placed = sites.withColumn("_start", start).withColumn(
-        "_from", F.greatest(F.col("_start"), F.lit(0).cast("bigint"))
-    )
-    stride = chunks.agg(F.max("stride")).scalar()
-    placed = placed.withColumn("chunk_id", F.floor(F.col("_from") / stride).cast("bigint"))
-    # A site behind the last chunk still belongs to a contig that exists: use its last chunk.
-    ends = chunks.groupBy("contig").agg(F.max("chunk_id").alias("_last"))
-    placed = placed.join(ends, "contig", "left").withColumn("chunk_id", F.least("chunk_id", "_last"))
+    first = F.greatest(start, F.lit(0).cast("bigint"))
+    placed = sites.withColumns({"_start": start, "chunk_id": F.floor(first / F.lit(stride)).cast("bigint")})
     joined = placed.join(chunks.select("contig", "chunk_id", "offset", "text"), ["contig", "chunk_id"], "left")
-    window = cut_window("text", "offset", "_start", F.lit(2 * radius + 1))
-    return joined.withColumn("seq", window).drop("chunk_id", "offset", "text", "_start", "_from", "_last")
+    length = 2 * radius + 1
+    touches = (F.col("_start") + length > 0) & (F.col("_start") < F.col("offset") + F.length("text"))
+    window = F.when(touches, cut_window("text", "offset", "_start", F.lit(length)))
+    return joined.withColumn("seq", window).drop("chunk_id", "offset", "text", "_start")
 
 
-def feature_rows(variants: DataFrame, evidence: DataFrame, chunks: DataFrame, radius: int = 100) -> DataFrame:
+def feature_rows(
+    variants: DataFrame, evidence: DataFrame, chunks: DataFrame, radius: int = 100, stride: int = CHUNK
+) -> DataFrame:
     """``key, seq, qc, y``: one-hot sequence, evidence vector and label per variant."""
-    placed = variants if "contig" in variants.columns else variants.withColumn("contig", F.concat(F.lit("chr"), "chrom"))
-    windows = sequence_windows(placed, chunks, radius)
+    placed = variants
+    if "contig" not in variants.columns:
+        placed = variants.withColumn("contig", F.concat(F.lit("chr"), "chrom"))
+    windows = sequence_windows(placed, chunks, radius, stride)
     return with_qc_vector(feature_join(windows, evidence)).select(
         "key", one_hot("seq").alias("seq"), "qc", F.col("label").cast("int").alias("y")
     )

@@ -22,7 +22,7 @@ def class_counts(scored: DataFrame, group: Sequence[str] = ("tool",)) -> DataFra
     )
 
 
-def hard_calls(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+def hard_calls(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     """Add the 0/1 call ``pred``."""
     return scored.withColumn("pred", hard_call("prob", threshold))
 
@@ -94,7 +94,9 @@ def class_report(scored: DataFrame, threshold: float = 0.5, group: Sequence[str]
     return confusion_counts(scored, threshold, group).select(*group, F.inline(rows))
 
 
-def confusion_normalised(scored: DataFrame, threshold: float = 0.5, group: Sequence[str] = ("tool",)) -> DataFrame:
+def confusion_normalised(
+    scored: DataFrame, threshold: float | Column = 0.5, group: Sequence[str] = ("tool",)
+) -> DataFrame:
     """Cells of the confusion matrix with their share of the true class."""
     cells = (
         hard_calls(scored.filter(F.col("label").isin(0, 1)), threshold)

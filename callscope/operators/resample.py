@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.hashing import digest, draw, index_draw, poisson_one, uniform
+from callscope.functions.hashing import poisson_one, unit, with_digest, with_draw, with_index
 from callscope.operators import curves
 from callscope.operators.align import paired_scores
 from callscope.operators.ordered import dense_index
@@ -27,10 +27,9 @@ TRAIN_SHARE = 0.8
 
 def hash_split(rows: DataFrame, key: str = "key", share: float = TRAIN_SHARE, seed: int = SAMPLE_SEED) -> DataFrame:
     """Add ``split`` (train / validation); all rows of a key land on one side."""
-    high, low = digest(key)
-    return rows.withColumn(
-        "split", F.when(uniform(high, low, 0, seed) < share, "train").otherwise("validation")
-    )
+    drawn = with_draw(with_digest(rows, key), "_u", 0, seed)
+    side = F.when(unit("_u") < share, "train").otherwise("validation")
+    return drawn.withColumn("split", side).drop("_h", "_l", "_u")
 
 
 def _class_sizes(rows: DataFrame) -> Column:
@@ -54,11 +53,9 @@ def balanced_sample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED)
         F.raise_error(F.lit("cannot balance: both classes are needed")).cast("bigint")
     )
     labelled = rows.filter(F.col("label").isin(0, 1))
-    high, low = digest(key)
     positives = labelled.filter(F.col("label") == 1)
-    draws = positives.select(
-        F.col(key).cast("string").alias("draw"), index_draw(high, low, 0, seed, negatives).alias("_idx")
-    )
+    digested = with_digest(positives.select(F.col(key).cast("string").alias("draw")), "draw")
+    draws = with_index(digested, "_idx", 0, seed, negatives).select("draw", "_idx")
     pool = dense_index(labelled.filter(F.col("label") == 0), [], key, "_idx").drop("_idx_size")
     drawn = draws.join(pool, "_idx").drop("_idx")
     kept = positives.withColumn("draw", F.when(negatives > 0, F.lit("")))
@@ -73,18 +70,11 @@ def weighted_resample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED
     sizes = _class_sizes(rows)
     labelled = rows.filter(F.col("label").isin(0, 1))
     one_class = F.when(sizes["n1"] == 0, F.lit(0)).when(sizes["n0"] == 0, F.lit(1))
-    digests = labelled.select(
-        F.col(key).cast("string").alias("draw"), digest(key)[0].alias("_h"), digest(key)[1].alias("_l")
-    )
-    coin = (uniform("_h", "_l", 1, seed) < 0.5).cast("int")
-    picked = F.coalesce(one_class, coin)
-    draws = digests.withColumn("label", picked).select(
-        "draw",
-        F.col("label").cast("int").alias("label"),
-        index_draw(
-            "_h", "_l", 2, seed, F.when(F.col("label") == 1, sizes["n1"]).otherwise(sizes["n0"])
-        ).alias("_idx"),
-    )
+    digested = with_digest(labelled.select(F.col(key).cast("string").alias("draw")), "draw")
+    coin = (unit("_u") < 0.5).cast("int")
+    picked = with_draw(digested, "_u", 1, seed).withColumn("label", F.coalesce(one_class, coin))
+    size = F.when(F.col("label") == 1, sizes["n1"]).otherwise(sizes["n0"])
+    draws = with_index(picked, "_idx", 2, seed, size).select("draw", "label", "_idx")
     pool = dense_index(labelled.withColumn("label", F.col("label").cast("int")), ["label"], key, "_idx")
     return draws.join(pool.drop("_idx_size"), ["label", "_idx"]).drop("_idx")
 
@@ -116,15 +106,11 @@ def key_weighted_counts(scored: DataFrame, group: Sequence[str], reps: int, seed
     Row weights are Poisson(1) by (key, replicate). Rows of weight 0 (37 %) vanish at once and
     equal scores merge before the shuffle.
     """
-    high, low = digest("key")
-    rows = scored.filter(F.col("label").isin(0, 1)).select(
-        *group, "label", "prob", high.alias("_h"), low.alias("_l")
-    )
-    exploded = rows.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
-    weight = F.when(F.col("rep") < 0, F.lit(1).cast("bigint")).otherwise(
-        poisson_one(draw("_h", "_l", F.col("rep"), seed))
-    )
-    weighted = exploded.withColumn("w", weight).filter(F.col("w") > 0)
+    rows = with_digest(scored.filter(F.col("label").isin(0, 1)).select(*group, "key", "label", "prob"))
+    exploded = rows.drop("key").withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
+    drawn = with_draw(exploded, "_u", F.col("rep"), seed)
+    weight = F.when(F.col("rep") < 0, F.lit(1).cast("bigint")).otherwise(poisson_one(F.col("_u")))
+    weighted = drawn.withColumn("w", weight).filter(F.col("w") > 0)
     return curves.score_counts(weighted, [*group, "rep"], "w")
 
 
@@ -204,11 +190,10 @@ def bootstrap_stratified(
         .agg(F.max("label").alias("label"), F.collect_list(F.struct("tool", "prob")).alias("scores"))
     )
     pool = dense_index(wide, ["label"], "key")
-    high, low = digest("key")
-    digests = pool.select("label", "idx_size", high.alias("_h"), low.alias("_l"))
-    draws = digests.withColumn("rep", _replicates(reps)).select(
-        "label", "rep", index_draw("_h", "_l", F.col("rep"), seed, F.col("idx_size")).alias("idx")
-    )
+    digested = with_digest(pool.select("label", "idx_size", "key")).drop("key")
+    draws = with_index(
+        digested.withColumn("rep", _replicates(reps)), "idx", F.col("rep"), seed, F.col("idx_size")
+    ).select("label", "rep", "idx")
     drawn = draws.groupBy("label", "idx", "rep").agg(F.count(F.lit(1)).alias("w"))
     hits = drawn.join(pool.select("label", "idx", "scores"), ["label", "idx"]).select(
         "label", "rep", "w", F.inline("scores")

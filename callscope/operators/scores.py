@@ -69,12 +69,12 @@ def fraction_and_depth(frame: DataFrame) -> tuple[Column | None, Column]:
     return None, no_depth
 
 
-def annotation(frame: DataFrame) -> DataFrame | None:
+def annotation(frame: DataFrame, keep: Sequence[str] = ()) -> DataFrame | None:
     """``key, vaf_est, depth_est`` of one source, or None if it has no such columns."""
     fraction, depth = fraction_and_depth(frame)
     if fraction is None:
         return None
-    return frame.select("key", clip(fraction, 0.0, 1.0).alias("vaf_est"), depth.alias("depth_est"))
+    return frame.select("key", clip(fraction, 0.0, 1.0).alias("vaf_est"), depth.alias("depth_est"), *keep)
 
 
 def _link(frame: DataFrame, name: str) -> Column | None:
