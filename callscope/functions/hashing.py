@@ -42,14 +42,8 @@ def with_digest(frame: DataFrame, key: str = "key", names: tuple[str, str] = ("_
     )
 
 
-def with_draw(
-    frame: DataFrame, name: str, stream: Column | int, seed: int, names: tuple[str, str] = ("_h", "_l")
-) -> DataFrame:
-    """Add a uniform integer in [0, 2^31) for one stream (replicate) of the digested key.
-
-    One projection per round: a round uses its input twice, and a single nested expression would
-    double with every round.
-    """
+def _rounds(frame: DataFrame, name: str, stream: Column | int, seed: int, names: tuple[str, str]) -> DataFrame:
+    """One projection per round: a round uses its input twice, nested it would double every time."""
     high, low = names
     step = stream.cast("bigint") if isinstance(stream, Column) else F.lit(int(stream)).cast("bigint")
     start = (step * F.lit(STREAM_STEP) + F.lit(int(seed))).bitwiseAND(F.lit(MASK))
@@ -65,6 +59,30 @@ def with_draw(
     return frame
 
 
+def _settled(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column the optimizer does not look through.
+
+    A filter or join on the value would otherwise be pushed below the rounds with all of them
+    written out inside the condition, which grows beyond what code generation can compile.
+    """
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_draw(
+    frame: DataFrame, name: str, stream: Column | int, seed: int, names: tuple[str, str] = ("_h", "_l")
+) -> DataFrame:
+    """Add a uniform integer in [0, 2^31) for one stream (replicate) of the digested key."""
+    return _settled(_rounds(frame, "_x", stream, seed, names), name, F.col("_x")).drop("_x")
+
+
+def with_poisson(
+    frame: DataFrame, name: str, stream: Column, seed: int, names: tuple[str, str] = ("_h", "_l")
+) -> DataFrame:
+    """Add a Poisson(1) weight per stream; negative streams stand for the data itself, weight 1."""
+    weight = F.when(stream < 0, F.lit(1).cast("bigint")).otherwise(poisson_one(F.col("_x")))
+    return _settled(_rounds(frame, "_x", stream, seed, names), name, weight).drop("_x")
+
+
 def unit(drawn: Column | str) -> Column:
     """A draw as a double in [0, 1)."""
     return (F.col(drawn) if isinstance(drawn, str) else drawn) / F.lit(float(DRAW_RANGE))
@@ -83,7 +101,7 @@ def with_index(
     frame: DataFrame, name: str, stream: Column | int, seed: int, size: Column, names: tuple[str, str] = ("_h", "_l")
 ) -> DataFrame:
     """Add a uniform index in 0 .. size-1 from 62 random bits; NULL where ``size`` is 0."""
-    first = with_draw(frame, "_first", stream, seed, names)
-    both = with_draw(first, "_second", stream, seed + SECOND_DRAW, names)
-    wide = F.col("_first") * F.lit(DRAW_RANGE) + F.col("_second")
-    return both.withColumn(name, F.when(size > 0, wide % size)).drop("_first", "_second")
+    first = _rounds(frame, "_x", stream, seed, names)
+    both = _rounds(first, "_y", stream, seed + SECOND_DRAW, names)
+    wide = F.col("_x") * F.lit(DRAW_RANGE) + F.col("_y")
+    return _settled(both, name, F.when(size > 0, wide % size)).drop("_x", "_y")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.numeric import ratio_or_zero
-from callscope.operators.ordered import running_totals
+from callscope.operators.ordered import Cut, running_totals, uncut
 
 # Default targets, threshold grids.
 RECALL_TARGET = 0.95
@@ -38,9 +38,9 @@ def score_counts(scored: DataFrame, group: Sequence[str] = ("tool",), weight: st
     )
 
 
-def curve(counts: DataFrame, group: Sequence[str] = ("tool",), levels: int = 2) -> DataFrame:
+def curve(counts: DataFrame, group: Sequence[str] = ("tool",)) -> DataFrame:
     """Counts of ``score >= s`` at every distinct score s: adds ``tp, fp, p, n``."""
-    totals = running_totals(counts, group, "score", ["pos", "neg"], descending=True, levels=levels)
+    totals = running_totals(counts, group, "score", ["pos", "neg"], descending=True)
     return totals.select(
         *group,
         "score",
@@ -53,8 +53,8 @@ def curve(counts: DataFrame, group: Sequence[str] = ("tool",), levels: int = 2)
     )
 
 
-def scored_curve(scored: DataFrame, group: Sequence[str] = ("tool",), levels: int = 2) -> DataFrame:
-    return curve(score_counts(scored, group), group, levels)
+def scored_curve(scored: DataFrame, group: Sequence[str] = ("tool",), cut: Cut = uncut) -> DataFrame:
+    return curve(cut(score_counts(scored, group)), group)
 
 
 def _d(name: str) -> Column:
@@ -272,7 +272,7 @@ def operating_points(
     )
 
 
-def threshold_sweep(scored: DataFrame, group: Sequence[str] = ("tool",), levels: int = 2) -> DataFrame:
+def threshold_sweep(scored: DataFrame, group: Sequence[str] = ("tool",), cut: Cut = uncut) -> DataFrame:
     """Counts and rates at every distinct score and at the grid 0, 0.005, ..., 1.
 
     Grid thresholds join the histogram as rows without a class, so one cumulative pass answers
@@ -290,7 +290,7 @@ def threshold_sweep(scored: DataFrame, group: Sequence[str] = ("tool",), levels:
         .groupBy(*group, "score")
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     )
-    points = curve(counts, group, levels)
+    points = curve(cut(counts), group)
     return sweep_rates(points.withColumnRenamed("score", "threshold"), [*group, "threshold"])
 
 

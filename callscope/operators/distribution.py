@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.operators.curves import score_counts
-from callscope.operators.ordered import histogram, quantiles, rank_position, running_totals
+from callscope.operators.ordered import Cut, histogram, quantiles, rank_position, running_totals, uncut
 
 # Calibration bins, whisker reach in interquartile ranges.
 CALIBRATION_BINS = 10
@@ -16,7 +16,7 @@ WHISKER = 1.5
 
 
 def calibration(
-    scored: DataFrame, group: Sequence[str] = ("tool",), bins: int = CALIBRATION_BINS, levels: int = 2
+    scored: DataFrame, group: Sequence[str] = ("tool",), bins: int = CALIBRATION_BINS, cut: Cut = uncut
 ) -> DataFrame:
     """Mean score and observed positive rate in quantile bins; empty bins give no row.
 
@@ -24,8 +24,8 @@ def calibration(
     lies below a score exactly if more than floor(r) rows score lower, so the running row count
     decides and the quantiles themselves are never computed or joined.
     """
-    counts = score_counts(scored, group).withColumn("rows", F.col("pos") + F.col("neg"))
-    ranked = running_totals(counts, group, "score", ["rows", "pos"], levels=levels)
+    counts = cut(score_counts(scored, group)).withColumn("rows", F.col("pos") + F.col("neg"))
+    ranked = running_totals(counts, group, "score", ["rows", "pos"])
     lower_rows = F.col("rows_cum") - F.col("rows")
     below = [
         (lower_rows > F.floor(rank_position(j / bins, "rows_all"))).cast("int") for j in range(1, bins)
@@ -42,12 +42,12 @@ def calibration(
 
 
 def score_summary(
-    scored: DataFrame, group: Sequence[str] = ("tool", "label"), levels: int = 2
+    scored: DataFrame, group: Sequence[str] = ("tool", "label"), cut: Cut = uncut
 ) -> DataFrame:
     """Quartiles, mean, range and whiskers (last score within 1.5 IQR) per tool and label."""
     group = list(group)
-    counts = histogram(scored.filter(F.col("label").isNotNull()), group, "prob")
-    box = quantiles(counts, group, "prob", (0.25, 0.5, 0.75), ("q1", "median", "q3"), levels=levels)
+    counts = cut(histogram(scored.filter(F.col("label").isNotNull()), group, "prob"))
+    box = quantiles(counts, group, "prob", (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     score = F.col("prob")
     # The box table has one row per group; its size is left to adaptive execution, which

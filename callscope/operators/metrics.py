@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.numeric import hard_call, ratio_or_zero
 from callscope.operators import curves
+from callscope.operators.ordered import Cut, uncut
 
 
 def class_counts(scored: DataFrame, group: Sequence[str] = ("tool",)) -> DataFrame:
@@ -167,10 +168,10 @@ def metrics_table(
     threshold: float = 0.5,
     group: Sequence[str] = ("tool",),
     single_class: str = "null",
-    levels: int = 2,
+    cut: Cut = uncut,
 ) -> DataFrame:
     """One row per tool with all metrics."""
-    return metrics_from_curve(curves.scored_curve(scored, group, levels), threshold, group, single_class)
+    return metrics_from_curve(curves.scored_curve(scored, group, cut), threshold, group, single_class)
 
 
 def class_weights(rows: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
@@ -181,5 +182,6 @@ def class_weights(rows: DataFrame, label: str = "label", weight: str = "weight")
             F.count_if(F.col(label) == 1).alias("n1"),
         )
     ).scalar()
-    own = F.when(F.col(label) == 1, counts["n1"]).otherwise(counts["n0"])
-    return rows.withColumn(weight, 1.0 / F.greatest(own, F.lit(1)).cast("double"))
+    own = F.when(F.col(label) == 1, F.col("_counts.n1")).otherwise(F.col("_counts.n0"))
+    weighted = rows.withColumn("_counts", counts)
+    return weighted.withColumn(weight, 1.0 / F.greatest(own, F.lit(1)).cast("double")).drop("_counts")

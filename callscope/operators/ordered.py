@@ -4,12 +4,13 @@
 value axis is cut into cells, totals per cell are added up first, and the window that sorts
 values runs inside one cell only:
 
-1. cells follow the binary form of a double: exponent and 10 mantissa bits (level 1), the next
-   20 bits (level 2). Any order-preserving cut would do; this one depends on nothing but the
-   value, so a retried task sees the same cells, and it bounds every sort group however the
-   values pile up: about a million cells per group at level 1 and 2, and at most 2^22 distinct
-   values inside one cell.
-2. the total of everything before a cell enters the next window as an extra first row of that
+1. cells follow the binary form of a double: exponent and nine further bits, counted from 0 below
+   one half and from 1 above it, so that scores piling up at either end spread over many cells.
+   They depend on nothing but the value, so a retried task sees the same cells.
+2. should one cell still hold more than ``CELL_ROWS`` distinct values, all cells are cut again by
+   the next 21 bits. The check is a scalar subquery on the totals that are needed anyway.
+   A group then has at most about two million cells per step and 2^22 values inside a cell.
+3. the total of everything before a cell enters the next window as an extra first row of that
    cell, so no join and no broadcast is needed.
 
 Rows must be collapsed to one per (group, value) beforehand; ``histogram`` does that with
@@ -18,29 +19,56 @@ map-side partial aggregation, which is also what absorbs a value shared by a thi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVEL_1_BITS = 10
-LEVEL_2_BITS = 20
+COARSE_BITS = 9
+FINE_BITS = 21
 LOWEST_EXPONENT = -1000
+CELL_ROWS = 1 << 22
 
+# Running totals read their input several times. Spark reuses the shuffle behind it; a caller may
+# instead pass a function that stores the (small) counts, such as ``session.durable``.
+Cut = Callable[[DataFrame], DataFrame]
 
-def value_cells(value) -> tuple[Column, Column]:
-    """Two BIGINT cell numbers, non-decreasing in ``value``."""
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    size = F.abs(v)
-    exponent = F.greatest(F.floor(F.log2(size)), F.lit(LOWEST_EXPONENT)).cast("double")
-    steps = (size * F.pow(F.lit(2.0), -exponent) - 1.0) * float(1 << LEVEL_1_BITS)
-    whole = F.floor(steps)
-    level_1 = ((exponent - float(LOWEST_EXPONENT - 1)) * float(1 << LEVEL_1_BITS) + whole).cast("bigint")
-    level_2 = F.floor((steps - whole) * float(1 << LEVEL_2_BITS)).cast("bigint")
-    zero = F.lit(0).cast("bigint")
+
+def uncut(frame: DataFrame) -> DataFrame:
+    return frame
+
+
+def with_cells(values: DataFrame, value: str) -> DataFrame:
+    """Add BIGINT cell numbers ``_coarse`` and ``_fine``; as a pair non-decreasing in ``value``.
+
+    One projection per step: each step uses its input more than once, and written as a single
+    expression the generated method would outgrow what the JVM compiles.
+    """
+    v = F.col(value).cast("double")
+    upper = (v > 0.5) & (v < 1.0)
+    # Cell of 1.0: as far above the cell of one half as that is above the cell of 0.
+    one = -2 * LOWEST_EXPONENT * (1 << COARSE_BITS)
     return (
-        F.when(v > 0, level_1).when(v < 0, -level_1).otherwise(zero),
-        F.when(v > 0, level_2).when(v < 0, -level_2).otherwise(zero),
+        values.withColumn("_size", F.when(upper, 1.0 - v).otherwise(F.abs(v)))
+        .withColumn("_exp", F.greatest(F.floor(F.log2("_size")), F.lit(LOWEST_EXPONENT)).cast("double"))
+        .withColumn("_steps", (F.col("_size") * F.pow(F.lit(2.0), -F.col("_exp")) - 1.0) * float(1 << COARSE_BITS))
+        .withColumns(
+            {
+                "_whole": F.floor("_steps"),
+                "_sign": F.when((v < 0) | upper, -1).when((v == 0) | (v == 1), 0).otherwise(1),
+                "_base": F.when(v > 0.5, one).otherwise(0).cast("bigint"),
+            }
+        )
+        .withColumns(
+            {
+                "_coarse": F.col("_base")
+                + F.col("_sign")
+                * ((F.col("_exp") - float(LOWEST_EXPONENT - 1)) * float(1 << COARSE_BITS) + F.col("_whole")).cast("bigint"),
+                "_fine": F.col("_sign")
+                * F.floor((F.col("_steps") - F.col("_whole")) * float(1 << FINE_BITS)).cast("bigint"),
+            }
+        )
+        .drop("_size", "_exp", "_steps", "_whole", "_sign", "_base")
     )
 
 
@@ -50,63 +78,76 @@ def running_totals(
     value: str,
     measures: Sequence[str],
     descending: bool = False,
-    levels: int = 2,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add ``<m>_cum`` (inclusive running total) and ``<m>_all`` (group total) per measure.
 
-    ``values`` holds one row per (group, value). ``levels=1`` saves two shuffles and is right
-    for values with few distinct levels, such as scores written with six decimals.
+    ``values`` holds one row per (group, value). ``cell_rows`` is the number of distinct values a
+    cell may hold before all cells are cut finer.
     """
     group, measures = list(group), list(measures)
-    cells = ["_c1", "_c2"][:levels]
-    cell_columns = value_cells(value)[:levels]
-    rows = values.select(*group, value, *measures, *[c.alias(n) for c, n in zip(cell_columns, cells)])
+    cells = with_cells(values.select(*group, value, *measures), value)
+    rows = cells.select(*group, value, *measures, F.col("_coarse").alias("_c1"))
 
     def order(name: str) -> Column:
         return F.col(name).desc_nulls_first() if descending else F.col(name).asc_nulls_first()
 
-    def totals(frame: DataFrame, keys: list[str]) -> DataFrame:
-        return frame.groupBy(*group, *keys).agg(*[F.sum(m).alias(m) for m in measures])
-
-    by_level = [rows]
-    for depth in range(levels, 0, -1):
-        by_level.append(totals(by_level[-1], cells[:depth]))
-    by_level.reverse()  # level-1 totals, ..., rows
-
-    # Offsets of the first level: one window row per cell of a group.
-    whole = Window.partitionBy(*group).orderBy(order(cells[0]))
+    totals = rows.groupBy(*group, "_c1").agg(
+        *[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("_rows")
+    )
+    # The struct keeps the measures alive, or pruning would make this a different aggregate and
+    # the histogram behind it would be computed a second time instead of reusing its shuffle.
+    fullest = totals.agg(F.max(F.struct("_rows", *measures)).alias("_top")).select("_top._rows")
+    crowded = fullest.scalar() > cell_rows
+    second = F.when(crowded, F.col("_fine")).otherwise(F.lit(0).cast("bigint"))
+    rows = cells.select(*group, value, *measures, F.col("_coarse").alias("_c1"), second.alias("_c2"))
+    # Reads a measure, so that the optimizer leaves the filter above the histogram and the branch
+    # for crowded cells reuses its shuffle; that branch is empty as a rule.
+    split = F.when(crowded, F.col(measures[0]).isNotNull()).otherwise(False)
+    whole_cells = F.when(crowded, F.col(measures[0]).isNull()).otherwise(True)
+
+    # What lies before each coarse cell: one window row per cell.
+    whole = Window.partitionBy(*group).orderBy(order("_c1"))
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     everything = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = by_level[0].select(
+    ahead = totals.select(
         *group,
-        cells[0],
+        "_c1",
         *[F.coalesce(F.sum(m).over(before), F.lit(0).cast("bigint")).alias(m) for m in measures],
         *[F.sum(m).over(everything).alias(f"{m}_all") for m in measures],
     )
-    for depth in range(1, levels + 1):
-        inner = cells[depth] if depth < levels else value
-        detail = by_level[depth]
-        stacked = offsets.unionByName(detail, allowMissingColumns=True)
-        scope = Window.partitionBy(*group, *cells[:depth]).orderBy(order(inner))
-        upto = scope.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        last = depth == levels
-        if last:
-            stacked = stacked.select(
-                *group,
-                value,
-                *measures,
-                *[F.sum(m).over(upto).alias(f"{m}_cum") for m in measures],
-                *[F.max(f"{m}_all").over(upto).alias(f"{m}_all") for m in measures],
-            )
-            return stacked.filter(F.col(value).isNotNull())
-        prior = scope.rowsBetween(Window.unboundedPreceding, -1)
-        offsets = stacked.select(
+    # What lies before each fine cell: the coarse offset leads the fine totals of its cell.
+    fine_totals = rows.filter(split).groupBy(*group, "_c1", "_c2").agg(*[F.sum(m).alias(m) for m in measures])
+    inside = Window.partitionBy(*group, "_c1").orderBy(order("_c2"))
+    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead_fine = (
+        ahead.filter(split)
+        .unionByName(fine_totals, allowMissingColumns=True)
+        .select(
             *group,
-            *cells[: depth + 1],
+            "_c1",
+            "_c2",
             *[F.sum(m).over(prior).alias(m) for m in measures],
             *[F.max(f"{m}_all").over(upto).alias(f"{m}_all") for m in measures],
-        ).filter(F.col(inner).isNotNull())
-    raise ValueError("levels must be 1 or 2")
+        )
+        .filter(F.col("_c2").isNotNull())
+    )
+    ahead = ahead.filter(whole_cells).withColumn("_c2", F.lit(0).cast("bigint")).unionByName(ahead_fine)
+    # The values themselves, behind the offset of their fine cell.
+    inside = Window.partitionBy(*group, "_c1", "_c2").orderBy(order(value))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        ahead.unionByName(rows, allowMissingColumns=True)
+        .select(
+            *group,
+            value,
+            *measures,
+            *[F.sum(m).over(upto).alias(f"{m}_cum") for m in measures],
+            *[F.max(f"{m}_all").over(upto).alias(f"{m}_all") for m in measures],
+        )
+        .filter(F.col(value).isNotNull())
+    )
 
 
 def histogram(frame: DataFrame, group: Sequence[str], value: str, count: str = "n") -> DataFrame:
@@ -132,14 +173,13 @@ def quantiles(
     fractions: Sequence[float],
     names: Sequence[str],
     count: str = "n",
-    levels: int = 2,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     Picks the two neighbouring order statistics of every quantile from the running totals, so
     memory does not grow with the number of distinct values as it does in ``percentile``.
     """
-    ranked = running_totals(values, group, value, [count], levels=levels)
+    ranked = running_totals(values, group, value, [count])
     first = F.col(f"{count}_cum") - F.col(count)
     picks = []
     for fraction, name in zip(fractions, names):

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.hashing import poisson_one, unit, with_digest, with_draw, with_index
+from callscope.functions.hashing import unit, with_digest, with_draw, with_index, with_poisson
 from callscope.operators import curves
 from callscope.operators.align import paired_scores
-from callscope.operators.ordered import dense_index
+from callscope.operators.ordered import Cut, dense_index, uncut
 
 # Seeds and sizes of the resampling steps, interval bounds.
 SAMPLE_SEED = 42
@@ -47,18 +47,18 @@ def balanced_sample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED)
     Adds ``draw``: empty for a positive, else the key of the positive the negative was drawn for.
     ``key`` must be unique. Fails if a class is missing.
     """
-    sizes = _class_sizes(rows)
-    both = (sizes["n0"] > 0) & (sizes["n1"] > 0)
-    negatives = F.when(both, sizes["n0"]).otherwise(
+    both = (F.col("_sizes.n0") > 0) & (F.col("_sizes.n1") > 0)
+    checked = F.when(both, F.col("_sizes.n0")).otherwise(
         F.raise_error(F.lit("cannot balance: both classes are needed")).cast("bigint")
     )
     labelled = rows.filter(F.col("label").isin(0, 1))
     positives = labelled.filter(F.col("label") == 1)
-    digested = with_digest(positives.select(F.col(key).cast("string").alias("draw")), "draw")
-    draws = with_index(digested, "_idx", 0, seed, negatives).select("draw", "_idx")
+    sized = positives.withColumn("_sizes", _class_sizes(rows)).withColumn("_negatives", checked).drop("_sizes")
+    digested = with_digest(sized.select(F.col(key).cast("string").alias("draw"), "_negatives"), "draw")
+    draws = with_index(digested, "_idx", 0, seed, F.col("_negatives")).select("draw", "_idx")
     pool = dense_index(labelled.filter(F.col("label") == 0), [], key, "_idx").drop("_idx_size")
     drawn = draws.join(pool, "_idx").drop("_idx")
-    kept = positives.withColumn("draw", F.when(negatives > 0, F.lit("")))
+    kept = positives.withColumn("draw", F.lit(""))
     return kept.unionByName(drawn.select(*kept.columns))
 
 
@@ -67,13 +67,14 @@ def weighted_resample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED
 
     A draw picks a class, then a row of it. ``draw`` is the key of the row the draw stands for.
     """
-    sizes = _class_sizes(rows)
+    n0, n1 = F.col("_sizes.n0"), F.col("_sizes.n1")
     labelled = rows.filter(F.col("label").isin(0, 1))
-    one_class = F.when(sizes["n1"] == 0, F.lit(0)).when(sizes["n0"] == 0, F.lit(1))
-    digested = with_digest(labelled.select(F.col(key).cast("string").alias("draw")), "draw")
+    one_class = F.when(n1 == 0, F.lit(0)).when(n0 == 0, F.lit(1))
+    sized = labelled.select(F.col(key).cast("string").alias("draw")).withColumn("_sizes", _class_sizes(rows))
+    digested = with_digest(sized, "draw")
     coin = (unit("_u") < 0.5).cast("int")
     picked = with_draw(digested, "_u", 1, seed).withColumn("label", F.coalesce(one_class, coin))
-    size = F.when(F.col("label") == 1, sizes["n1"]).otherwise(sizes["n0"])
+    size = F.when(F.col("label") == 1, n1).otherwise(n0)
     draws = with_index(picked, "_idx", 2, seed, size).select("draw", "label", "_idx")
     pool = dense_index(labelled.withColumn("label", F.col("label").cast("int")), ["label"], key, "_idx")
     return draws.join(pool.drop("_idx_size"), ["label", "_idx"]).drop("_idx")
@@ -108,9 +109,7 @@ def key_weighted_counts(scored: DataFrame, group: Sequence[str], reps: int, seed
     """
     rows = with_digest(scored.filter(F.col("label").isin(0, 1)).select(*group, "key", "label", "prob"))
     exploded = rows.drop("key").withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
-    drawn = with_draw(exploded, "_u", F.col("rep"), seed)
-    weight = F.when(F.col("rep") < 0, F.lit(1).cast("bigint")).otherwise(poisson_one(F.col("_u")))
-    weighted = drawn.withColumn("w", weight).filter(F.col("w") > 0)
+    weighted = with_poisson(exploded, "w", F.col("rep"), seed).filter(F.col("w") > 0)
     return curves.score_counts(weighted, [*group, "rep"], "w")
 
 
@@ -162,7 +161,7 @@ def bootstrap_areas(
     seed: int = BOOTSTRAP_SEED,
     group: Sequence[str] = ("tool",),
     weights: str = "key",
-    levels: int = 2,
+    cut: Cut = uncut,
 ) -> DataFrame:
     """AUROC and AUPRC per tool with 95 % bootstrap intervals.
 
@@ -173,12 +172,12 @@ def bootstrap_areas(
         raise ValueError("weights must be key or cell")
     make = key_weighted_counts if weights == "key" else cell_weighted_counts
     inner = [*group, "rep"]
-    values = curves.areas(curves.curve(make(scored, group, reps, seed), inner, levels), inner)
+    values = curves.areas(curves.curve(cut(make(scored, group, reps, seed)), inner), inner)
     return _interval(values, group, ["auroc", "auprc"])
 
 
 def bootstrap_stratified(
-    scored: DataFrame, reps: int = STRATIFIED_REPS, seed: int = BOOTSTRAP_SEED, levels: int = 2
+    scored: DataFrame, reps: int = STRATIFIED_REPS, seed: int = BOOTSTRAP_SEED, cut: Cut = uncut
 ) -> DataFrame:
     """AUROC intervals from resamples that keep both class sizes exactly.
 
@@ -202,7 +201,7 @@ def bootstrap_stratified(
         "label", F.lit(-1).alias("rep"), F.lit(1).cast("bigint").alias("w"), "tool", "prob"
     )
     inner = ["tool", "rep"]
-    points = curves.curve(curves.score_counts(hits.unionByName(base), inner, "w"), inner, levels)
+    points = curves.curve(cut(curves.score_counts(hits.unionByName(base), inner, "w")), inner)
     values = points.groupBy(*inner).agg(curves.auroc().alias("auroc"))
     return _interval(values, ["tool"], ["auroc"])
 
@@ -213,7 +212,7 @@ def paired_bootstrap_delta(
     tool_b: str,
     reps: int = BOOTSTRAP_REPS,
     seed: int = BOOTSTRAP_SEED,
-    levels: int = 2,
+    cut: Cut = uncut,
 ) -> DataFrame:
     """Difference of AUROC and AUPRC between two tools on the same resamples, with 95 % intervals."""
     sides = F.array(
@@ -222,7 +221,8 @@ def paired_bootstrap_delta(
     )
     pairs = paired_scores(scored, tool_a, tool_b).select("key", "label", F.inline(sides))
     inner = ["tool", "rep"]
-    values = curves.areas(curves.curve(key_weighted_counts(pairs, ["tool"], reps, seed), inner, levels), inner)
+    counts = cut(key_weighted_counts(pairs, ["tool"], reps, seed))
+    values = curves.areas(curves.curve(counts, inner), inner)
     signed = F.when(F.col("tool") == "a", 1.0).otherwise(-1.0)
     deltas = values.groupBy("rep").agg(
         F.sum(signed * F.col("auroc")).alias("delta_auroc"), F.sum(signed * F.col("auprc")).alias("delta_auprc")

@@ -37,20 +37,22 @@ def _find(frame: DataFrame, names: Sequence[str]) -> str | None:
     return next((have[n] for n in names if n in have), None)
 
 
+def _bounds(rows: DataFrame, number: Column) -> Column:
+    """Lowest and highest value of a table as a scalar subquery; attach it to a frame once."""
+    return rows.agg(F.struct(F.min(number).alias("low"), F.max(number).alias("high"))).scalar()
+
+
 def minmax_scale(rows: DataFrame, value: str, output: str | None = None) -> DataFrame:
     """Scale a column to [0, 1] over the whole table.
 
     A constant column stays unscaled with missing values as 0; otherwise missing stays missing.
-    Minimum and maximum are one scalar subquery.
     """
-    return rows.withColumn(output or value, _scaled(rows, to_number(value)))
-
-
-def _scaled(rows: DataFrame, number: Column) -> Column:
-    bounds = rows.agg(F.struct(F.min(number).alias("low"), F.max(number).alias("high"))).scalar()
-    low, high = bounds["low"], bounds["high"]
+    number = to_number(value)
+    low, high = F.col("_bounds.low"), F.col("_bounds.high")
     constant = low.isNull() | (low == high)
-    return F.when(constant, F.coalesce(number, F.lit(0.0))).otherwise((number - low) / (high - low))
+    scaled = F.when(constant, F.coalesce("_number", F.lit(0.0))).otherwise((F.col("_number") - low) / (high - low))
+    measured = rows.withColumns({"_number": number, "_bounds": _bounds(rows, number)})
+    return measured.withColumn(output or value, scaled).drop("_number", "_bounds")
 
 
 def fraction_and_depth(frame: DataFrame) -> tuple[Column | None, Column]:
@@ -91,8 +93,7 @@ def _link(frame: DataFrame, name: str) -> Column | None:
         return None
     if name == "qual":
         return logistic_quality(column)
-    number = to_number(column)
-    return _scaled(frame, number) if name in SCALED else number
+    return to_number(column)
 
 
 def score_chain(frame: DataFrame, chain: str | Sequence[str] = "default", output: str = "prob") -> DataFrame:
@@ -101,8 +102,13 @@ def score_chain(frame: DataFrame, chain: str | Sequence[str] = "default", output
     The choice is made once from the schema, not per row.
     """
     links = CHAINS[chain] if isinstance(chain, str) else chain
-    chosen = next((c for c in (_link(frame, name) for name in links) if c is not None), F.lit(0.0))
-    return frame.withColumn(output, F.coalesce(chosen.cast("double"), F.lit(0.0)))
+    name, chosen = next(
+        ((n, c) for n, c in ((n, _link(frame, n)) for n in links) if c is not None), ("", F.lit(0.0))
+    )
+    scored = frame.withColumn(output, chosen.cast("double"))
+    if name in SCALED:
+        scored = minmax_scale(scored, output)
+    return scored.withColumn(output, F.coalesce(output, F.lit(0.0)))
 
 
 def constant_fallback(rows: DataFrame, value: str = "prob") -> DataFrame:
@@ -110,15 +116,16 @@ def constant_fallback(rows: DataFrame, value: str = "prob") -> DataFrame:
 
     PASS rows get 1.0 and others 0.5; without a filter column every row gets 1.0.
     """
-    bounds = rows.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-    constant = bounds["low"].isNull() | (bounds["low"] == bounds["high"])
+    low, high = F.col("_bounds.low"), F.col("_bounds.high")
+    constant = low.isNull() | (low == high)
     column = _find(rows, ("filter",))
     if column is None:
         presence = F.lit(PASS_SCORE)
     else:
         passed = F.coalesce(F.upper(F.col(column).cast("string")) == "PASS", F.lit(False))
         presence = F.when(passed, PASS_SCORE).otherwise(FILTERED_SCORE)
-    return rows.withColumn(value, F.when(constant, presence).otherwise(F.col(value)))
+    bounded = rows.withColumn("_bounds", _bounds(rows, F.col(value)))
+    return bounded.withColumn(value, F.when(constant, presence).otherwise(F.col(value))).drop("_bounds")
 
 
 def caller_score(frame: DataFrame, chain: str | Sequence[str] = "default") -> DataFrame:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.numeric import DEPTH_LABELS, fixed_bin, right_closed_bin
 from callscope.operators import curves
 from callscope.operators.align import first_per_key
-from callscope.operators.ordered import histogram, quantiles
+from callscope.operators.ordered import Cut, histogram, quantiles, uncut
 
 # Quantiles of the depth tertiles, widening of tied edges.
 TERTILES = (1 / 3, 2 / 3)
 EDGE_BUMP = 1e-9
+EDGES = ("lowest", "t1", "t2", "highest")
 
 
 def consolidate_annotations(sources: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame:
@@ -30,26 +31,25 @@ def consolidate_annotations(sources: Sequence[DataFrame], order: Sequence[str] =
     return first_per_key(stacked, ["key"], ["src_rank", *order]).select("key", "vaf_est", "depth_est")
 
 
-def tertile_edges(rows: DataFrame, value: str, levels: int = 2) -> list[Column]:
-    """Four edges as columns (one scalar subquery); a tied edge moves up by 1e-9."""
-    table = quantiles(
-        histogram(rows.select(value), [], value), [], value, TERTILES, ("t1", "t2"), levels=levels
-    ).select(F.struct("lowest", "t1", "t2", "highest").alias("e"))
-    edges = table.scalar()
-    result = [edges["lowest"]]
-    for name in ("t1", "t2", "highest"):
-        result.append(F.when(edges[name] <= result[-1], result[-1] + EDGE_BUMP).otherwise(edges[name]))
-    return result
+def tertile_edges(rows: DataFrame, value: str, cut: Cut = uncut) -> DataFrame:
+    """One row ``lowest, t1, t2, highest``; a tied edge moves up by 1e-9."""
+    edges = quantiles(cut(histogram(rows.select(value), [], value)), [], value, TERTILES, ("t1", "t2"))
+    for below, name in zip(EDGES, EDGES[1:]):
+        bumped = F.when(F.col(name) <= F.col(below), F.col(below) + EDGE_BUMP).otherwise(F.col(name))
+        edges = edges.withColumn(name, bumped)
+    return edges.select(*EDGES)
 
 
-def depth_tertile(rows: DataFrame, value: str, over: DataFrame | None = None, levels: int = 2) -> DataFrame:
+def depth_tertile(rows: DataFrame, value: str, over: DataFrame | None = None, cut: Cut = uncut) -> DataFrame:
     """Add ``depth_bin`` (low, med, high), right-closed; edges come from ``over`` if given."""
-    edges = tertile_edges(rows if over is None else over, value, levels)
-    return rows.withColumn("depth_bin", right_closed_bin(value, edges, DEPTH_LABELS))
+    edges = tertile_edges(rows if over is None else over, value, cut)
+    edged = rows.withColumn("_edges", edges.select(F.struct(*EDGES)).scalar())
+    bins = right_closed_bin(value, [F.col("_edges")[name] for name in EDGES], DEPTH_LABELS)
+    return edged.withColumn("depth_bin", bins).drop("_edges")
 
 
 def stratified_areas(
-    scored: DataFrame, annotations: DataFrame, reference: bool = False, levels: int = 2
+    scored: DataFrame, annotations: DataFrame, reference: bool = False, cut: Cut = uncut
 ) -> DataFrame:
     """AUPRC and AUROC per tool and stratum; strata that lack a class are left out.
 
@@ -57,18 +57,16 @@ def stratified_areas(
     in which a key counts once per tool.
     """
     joined = scored.join(annotations.select("key", "vaf_est", "depth_est"), "key", "left")
-    if reference:
-        over = joined
-    else:
-        over = annotations.join(scored.select("key").distinct(), "key", "left_semi")
-    binned = depth_tertile(joined, "depth_est", over, levels).withColumn("vaf_bin", fixed_bin("vaf_est"))
+    # A key has one depth, so the first tool of a key speaks for it: no second join on the keys.
+    over = joined if reference else joined.groupBy("key").agg(F.max("depth_est").alias("depth_est"))
+    binned = depth_tertile(joined, "depth_est", over, cut).withColumn("vaf_bin", fixed_bin("vaf_est"))
     strata = F.array(
         F.struct(F.lit("vaf").alias("stratum"), F.col("vaf_bin").alias("bin")),
         F.struct(F.lit("depth").alias("stratum"), F.col("depth_bin").alias("bin")),
     )
     group = ["tool", "stratum", "bin"]
     rows = binned.select("tool", "label", "prob", F.inline(strata)).filter(F.col("bin").isNotNull())
-    points = curves.scored_curve(rows, group, levels)
+    points = curves.scored_curve(rows, group, cut)
     return (
         points.groupBy(*group)
         .agg(
@@ -81,9 +79,9 @@ def stratified_areas(
     )
 
 
-def stratified_pr_points(scored: DataFrame, annotations: DataFrame, levels: int = 2) -> DataFrame:
+def stratified_pr_points(scored: DataFrame, annotations: DataFrame) -> DataFrame:
     """The precision-recall points behind ``stratified_areas`` for the allele-fraction bins."""
     joined = scored.join(annotations.select("key", "vaf_est"), "key", "left")
     rows = joined.withColumn("bin", fixed_bin("vaf_est")).filter(F.col("bin").isNotNull())
     group = ["tool", "bin"]
-    return curves.pr_points(curves.scored_curve(rows, group, levels), group)
+    return curves.pr_points(curves.scored_curve(rows, group), group)

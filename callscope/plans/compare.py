@@ -35,7 +35,6 @@ class Comparison:
     scored: DataFrame
     tools: Sequence[str]
     annotations: DataFrame | None = None
-    levels: int = 2
     _points: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
@@ -64,7 +63,7 @@ class Comparison:
     def points(self) -> DataFrame:
         """The curve of every tool: the one expensive table behind most reports."""
         if self._points is None:
-            self._points = curves.scored_curve(self.scored, levels=self.levels)
+            self._points = curves.scored_curve(self.scored, cut=durable)
         return self._points
 
     def metrics(self) -> DataFrame:
@@ -83,13 +82,13 @@ class Comparison:
         return metrics.confusion_normalised(self.scored)
 
     def calibration(self) -> DataFrame:
-        return distribution.calibration(self.scored, levels=self.levels)
+        return distribution.calibration(self.scored, cut=durable)
 
     def brier(self) -> DataFrame:
         return metrics.brier(self.scored)
 
     def distributions(self) -> DataFrame:
-        return distribution.score_summary(self.scored, levels=self.levels)
+        return distribution.score_summary(self.scored, cut=durable)
 
     def overlap(self) -> DataFrame:
         if len(self.tools) == 3:
@@ -100,7 +99,7 @@ class Comparison:
         """Paired bootstrap of the first tool (or ``against``) with every other one."""
         first = against or self.tools[0]
         tables = [
-            resample.paired_bootstrap_delta(self.scored, first, other, reps)
+            resample.paired_bootstrap_delta(self.scored, first, other, reps, cut=durable)
             for other in self.tools
             if other != first
         ]
@@ -112,7 +111,7 @@ class Comparison:
     def strata(self) -> DataFrame | None:
         if self.annotations is None:
             return None
-        return strata.stratified_areas(self.scored, self.annotations, levels=self.levels)
+        return strata.stratified_areas(self.scored, self.annotations, cut=durable)
 
     def top_errors(self, n: int = 20) -> DataFrame:
         return errors.top_errors(self.scored, n)

@@ -293,7 +293,7 @@ def areas_sql(weighted: str) -> str:
         FROM (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp,
                      SUM(pos) OVER g AS p, SUM(neg) OVER g AS n
               FROM (SELECT tool, rep, prob, SUM(w * label) AS pos, SUM(w * (1 - label)) AS neg
-                    FROM ({weighted}) GROUP BY tool, rep, prob)
+                    FROM ({weighted}) WHERE w > 0 GROUP BY tool, rep, prob)
               WINDOW w AS (PARTITION BY tool, rep ORDER BY prob DESC ROWS UNBOUNDED PRECEDING),
                      g AS (PARTITION BY tool, rep))
         WHERE p > 0 AND n > 0 GROUP BY tool, rep

@@ -25,6 +25,7 @@ from callscope.operators import (
 )
 from callscope.plans import views
 from callscope.plans.views import TOOLS
+from callscope.session import durable
 from callscope.sources import fasta, sinks, variants
 from callscope.sources.tables import load_truth
 
@@ -53,7 +54,7 @@ def on_scored(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def on_points(build: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: rounded(build(curves.scored_curve(views.scored(spark, sf))))
+    return lambda spark, sf: rounded(build(curves.scored_curve(views.scored(spark, sf), cut=durable)))
 
 
 # --- keys and variants -------------------------------------------------------------------------
@@ -365,14 +366,14 @@ def fixed_bins(spark, sf):
 def quantile_bins(spark, sf):
     noted = views.scored(spark, sf).join(views.depths(spark, sf), "key", "left")
     over = views.depths(spark, sf).join(views.truth(spark, sf), "key", "left_semi")
-    binned = strata.depth_tertile(noted, "depth_est", over)
+    binned = strata.depth_tertile(noted, "depth_est", over, cut=durable)
     return binned.groupBy("tool", "depth_bin").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("positives")
     )
 
 
 def stratified_pr(spark, sf):
-    return rounded(strata.stratified_areas(views.scored(spark, sf), views.depths(spark, sf)))
+    return rounded(strata.stratified_areas(views.scored(spark, sf), views.depths(spark, sf), cut=durable))
 
 
 # --- metrics on the scored table ---------------------------------------------------------------
@@ -382,7 +383,7 @@ def single_class(spark, sf):
     """The usual three tools and a fourth one that saw positives only."""
     scored = views.scored(spark, sf)
     one = scored.filter("tool = 'model' AND label = 1").withColumn("tool", F.lit("positives_only"))
-    return rounded(metrics.metrics_table(scored.unionByName(one)))
+    return rounded(metrics.metrics_table(scored.unionByName(one), cut=durable))
 
 
 def report_rows(spark, sf):
@@ -407,7 +408,7 @@ def weighted_resample(spark, sf):
 
 def _bootstrap(name: str) -> Query:
     def run(spark, sf):
-        table = resample.bootstrap_areas(views.scored(spark, sf), BOOTSTRAP_REPS, SEED)
+        table = resample.bootstrap_areas(views.scored(spark, sf), BOOTSTRAP_REPS, SEED, cut=durable)
         return rounded(table.select("tool", name, f"{name}_lo", f"{name}_hi", "reps_used"))
 
     return run
@@ -469,7 +470,7 @@ def queries() -> dict[str, Query]:
         "class_report": on_scored(metrics.class_report),
         "confusion_norm": on_scored(metrics.confusion_normalised),
         "brier": on_scored(metrics.brier),
-        "metrics_table": on_scored(metrics.metrics_table),
+        "metrics_table": on_points(metrics.metrics_from_curve),
         "single_class": single_class,
         "report_rows": report_rows,
         # curves and thresholds
@@ -484,12 +485,12 @@ def queries() -> dict[str, Query]:
         "rec_at_precision": on_points(curves.recall_at_precision),
         "operating_points": on_points(curves.operating_points),
         "operating_points_reference": on_points(lambda p: curves.operating_points(p, rule="reference")),
-        "threshold_sweep": on_scored(curves.threshold_sweep),
-        "best_thresholds": on_scored(lambda s: curves.best_thresholds(curves.threshold_sweep(s))),
+        "threshold_sweep": on_scored(lambda s: curves.threshold_sweep(s, cut=durable)),
+        "best_thresholds": on_scored(lambda s: curves.best_thresholds(curves.threshold_sweep(s, cut=durable))),
         "best_f1_grid": on_scored(curves.best_f1_on_grid),
         # distributions
-        "calibration": on_scored(distribution.calibration),
-        "score_summary": on_scored(distribution.score_summary),
+        "calibration": on_scored(lambda s: distribution.calibration(s, cut=durable)),
+        "score_summary": on_scored(lambda s: distribution.score_summary(s, cut=durable)),
         "score_hist": on_scored(distribution.score_histogram),
         # overlap and errors
         "overlap_counts": on_scored(lambda s: overlap.overlap_counts(s, TOOLS)),
@@ -502,9 +503,9 @@ def queries() -> dict[str, Query]:
         "weighted_resample": weighted_resample,
         "bootstrap_auroc": _bootstrap("auroc"),
         "bootstrap_auprc": _bootstrap("auprc"),
-        "bootstrap_stratified": on_scored(lambda s: resample.bootstrap_stratified(s, BOOTSTRAP_REPS, SEED)),
+        "bootstrap_stratified": on_scored(lambda s: resample.bootstrap_stratified(s, BOOTSTRAP_REPS, SEED, durable)),
         "bootstrap_delta": on_scored(
-            lambda s: resample.paired_bootstrap_delta(s, "model", "caller_1", BOOTSTRAP_REPS, SEED)
+            lambda s: resample.paired_bootstrap_delta(s, "model", "caller_1", BOOTSTRAP_REPS, SEED, durable)
         ),
     }
 

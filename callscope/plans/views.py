@@ -5,6 +5,8 @@ The same definitions stand, as SQL, in ``oracle.py``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,14 @@ from callscope.operators.align import align_universe
 TOOLS = ("model", "caller_1", "caller_2")
 
 
+@lru_cache(maxsize=64)
+def _opened(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One benchmark table; its footer is read once per session."""
+    return _opened(spark, f"{sf_dir}/{name}.parquet")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ def durable(df: DataFrame) -> DataFrame:
     gets a folder of its own.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="callscope-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="callscope-"))
     return df.checkpoint(eager=True)
