@@ -261,15 +261,20 @@ def draw_sql(source: str, stream: str, seed: int, name: str) -> str:
 
     a, b = MULTIPLIERS
     steps = [
-        f"xor(('0x' || SUBSTR(MD5(key), 1, 7))::BIGINT, (({stream}) * {STREAM_STEP} + {seed})::BIGINT & {MASK}) AS s0",
-        f"{round_('s0', a)} AS s1",
-        f"{round_('s1', b)} AS s2",
-        "xor(xor(s2, s2 >> 13), ('0x' || SUBSTR(MD5(key), 8, 7))::BIGINT) AS s3",
-        f"{round_('s3', a)} AS s4",
-        f"{round_('s4', b)} AS s5",
-        f"xor(s5, s5 >> 13) AS {name}",
+        f"xor(('0x' || SUBSTR(MD5(key), 1, 7))::BIGINT, (({stream}) * {STREAM_STEP} + {seed})::BIGINT & {MASK})",
+        round_("s0", a),
+        round_("s1", b),
+        "xor(xor(s2, s2 >> 13), ('0x' || SUBSTR(MD5(key), 8, 7))::BIGINT)",
+        round_("s3", a),
+        round_("s4", b),
+        "xor(s5, s5 >> 13)",
     ]
-    return f"SELECT * EXCLUDE (s0, s1, s2, s3, s4, s5) FROM (SELECT *, {', '.join(steps)} FROM {source})"
+    sql = source
+    for i, step in enumerate(steps):
+        # Nested, not as aliases of one SELECT: aliases are written out wherever they are used.
+        before = f" EXCLUDE (s{i - 1})" if i else ""
+        sql = f"(SELECT *{before}, {step} AS {name if i == len(steps) - 1 else f's{i}'} FROM {sql})"
+    return f"SELECT * FROM {sql}"
 
 
 def index_sql(source: str, stream: str, seed: int, size: str, name: str) -> str:
