@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and separators of the key format.
-CHROM_PREFIX = "^chr"
-ALLELE_SEPARATORS = "[,;]"
+CHROM_PREFIX = "chr"
+ALLELE_SEPARATORS = ",;"
 WHOLE_NUMBER = r"^\d+(\.\d+)?$"
 KEY_SEPARATOR = ":"
 
@@ -18,19 +18,25 @@ def _text(value) -> Column:
 
 def norm_chrom(chrom) -> Column:
     """Drop a leading ``chr``; nothing else of the name changes."""
-    return F.regexp_replace(_text(chrom), CHROM_PREFIX, "")
+    text = _text(chrom)
+    return F.when(F.startswith(text, F.lit(CHROM_PREFIX)), F.substring(text, len(CHROM_PREFIX) + 1, 1 << 30)).otherwise(text)
 
 
 def norm_allele(allele) -> Column:
     """First of several alleles, upper-cased."""
-    return F.upper(F.split(_text(allele), ALLELE_SEPARATORS, 2)[0])
+    first, other = ALLELE_SEPARATORS
+    return F.upper(F.substring_index(F.translate(_text(allele), other, first), first, 1))
 
 
 def norm_pos(pos) -> Column:
-    """``"123.0"`` becomes ``"123"``; text that is not a plain number stays as it is."""
+    """``"123.0"`` becomes ``"123"``; text that is not a plain number stays as it is.
+
+    The pattern is only tried where it can change something: at a dot or a leading zero.
+    """
     text = _text(pos)
     whole = F.floor(text.try_cast("double")).cast("bigint").cast("string")
-    return F.when(text.rlike(WHOLE_NUMBER), whole).otherwise(text)
+    odd = F.contains(text, F.lit(".")) | F.startswith(text, F.lit("0"))
+    return F.when(odd & text.rlike(WHOLE_NUMBER), whole).otherwise(text)
 
 
 def variant_key(chrom="chrom", pos="pos", ref="ref", alt="alt", normalise: bool = True) -> Column:

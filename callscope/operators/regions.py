@@ -85,6 +85,17 @@ def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame:
         )
 
     walked = F.aggregate("cigar", begin, step, lambda state: state["done"])
+    # Most reads are one aligned stretch; they skip the walk.
+    only = F.get("cigar", F.lit(0))
+    single = F.array(
+        F.struct(
+            only["op"].alias("op"),
+            F.col("start").cast("bigint").alias("at"),
+            F.lit(0).cast("bigint").alias("offset"),
+            only["len"].cast("bigint").alias("len"),
+        )
+    )
+    walked = F.when((F.size("cigar") == 1) & only["op"].isin(*REFERENCE_OPS), single).otherwise(walked)
     blocks = kept.select("chrom", "seq", "quals", "mapq", "is_reverse", F.inline(walked))
     aligned = F.col("op").isin(*ALIGNED_OPS)
     first, length = (F.col("offset") + 1).cast("int"), F.col("len").cast("int")

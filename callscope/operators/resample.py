@@ -188,14 +188,14 @@ def bootstrap_stratified(
         .groupBy("key")
         .agg(F.max("label").alias("label"), F.collect_list(F.struct("tool", "prob")).alias("scores"))
     )
-    pool = dense_index(wide, ["label"], "key")
+    pool = cut(dense_index(wide, ["label"], "key"))
     digested = with_digest(pool.select("label", "idx_size", "key")).drop("key")
     draws = with_index(
         digested.withColumn("rep", _replicates(reps)), "idx", F.col("rep"), seed, F.col("idx_size")
     ).select("label", "rep", "idx")
-    drawn = draws.groupBy("label", "idx", "rep").agg(F.count(F.lit(1)).alias("w"))
-    hits = drawn.join(pool.select("label", "idx", "scores"), ["label", "idx"]).select(
-        "label", "rep", "w", F.inline("scores")
+    # Repeated draws are added up by the histogram; grouping them here would only add a shuffle.
+    hits = draws.join(pool.select("label", "idx", "scores"), ["label", "idx"]).select(
+        "label", "rep", F.lit(1).cast("bigint").alias("w"), F.inline("scores")
     )
     base = scored.select(
         "label", F.lit(-1).alias("rep"), F.lit(1).cast("bigint").alias("w"), "tool", "prob"
