@@ -185,7 +185,7 @@ def cyclic_zip(
     Both sides carry explicit row numbers. A length mismatch is an error unless
     ``on_mismatch='cycle'``; an empty mapping always is one. The lengths are scalar subqueries.
     """
-    length = mapping.agg(F.count(F.lit(1))).scalar()
+    length = F.count(F.lit(1))
     checked = F.when(length == 0, F.raise_error(F.lit("the mapping is empty")).cast("bigint")).otherwise(length)
     if on_mismatch == "error":
         rows = predictions.agg(F.count(F.lit(1))).scalar()
@@ -194,8 +194,10 @@ def cyclic_zip(
         ).otherwise(checked)
     elif on_mismatch != "cycle":
         raise ValueError("on_mismatch must be error or cycle")
-    keyed = predictions.withColumn("_row", F.pmod(F.col(index).cast("bigint"), checked))
-    return keyed.join(mapping.withColumnRenamed(row, "_row"), "_row", "inner").drop("_row")
+    # A left join: with an inner one an empty mapping would end the query before the check is read.
+    size = mapping.agg(checked.alias("_size")).scalar()
+    keyed = predictions.withColumn("_row", F.pmod(F.col(index).cast("bigint"), size))
+    return keyed.join(mapping.withColumnRenamed(row, "_row"), "_row", "left").drop("_row")
 
 
 def calls_only_in_a(scored: DataFrame, tool_a: str, tool_b: str, threshold: float = 0.5) -> DataFrame:

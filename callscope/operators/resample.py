@@ -33,6 +33,7 @@ def hash_split(rows: DataFrame, key: str = "key", share: float = TRAIN_SHARE, se
 
 
 def _class_sizes(rows: DataFrame) -> Column:
+    """Rows per class as one scalar subquery."""
     return rows.agg(
         F.struct(
             F.count_if(F.col("label") == 0).alias("n0"),
@@ -41,25 +42,28 @@ def _class_sizes(rows: DataFrame) -> Column:
     ).scalar()
 
 
+def _class_check(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """No rows, or an error if a class is missing; stack it onto a result that needs both."""
+    counts = rows.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    missing = F.raise_error(F.lit("cannot balance: both classes are needed")).cast("boolean")
+    checked = counts.filter(F.when((F.col("n0") > 0) & (F.col("n1") > 0), F.lit(False)).otherwise(missing))
+    return checked.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
 def balanced_sample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED) -> DataFrame:
     """All positives, and as many negatives drawn with replacement.
 
     Adds ``draw``: empty for a positive, else the key of the positive the negative was drawn for.
     ``key`` must be unique. Fails if a class is missing.
     """
-    both = (F.col("_sizes.n0") > 0) & (F.col("_sizes.n1") > 0)
-    checked = F.when(both, F.col("_sizes.n0")).otherwise(
-        F.raise_error(F.lit("cannot balance: both classes are needed")).cast("bigint")
-    )
     labelled = rows.filter(F.col("label").isin(0, 1))
     positives = labelled.filter(F.col("label") == 1)
-    sized = positives.withColumn("_sizes", _class_sizes(rows)).withColumn("_negatives", checked).drop("_sizes")
-    digested = with_digest(sized.select(F.col(key).cast("string").alias("draw"), "_negatives"), "draw")
-    draws = with_index(digested, "_idx", 0, seed, F.col("_negatives")).select("draw", "_idx")
+    sized = positives.select(F.col(key).cast("string").alias("draw")).withColumn("_sizes", _class_sizes(rows))
+    draws = with_index(with_digest(sized, "draw"), "_idx", 0, seed, F.col("_sizes.n0")).select("draw", "_idx")
     pool = dense_index(labelled.filter(F.col("label") == 0), [], key, "_idx").drop("_idx_size")
     drawn = draws.join(pool, "_idx").drop("_idx")
     kept = positives.withColumn("draw", F.lit(""))
-    return kept.unionByName(drawn.select(*kept.columns))
+    return kept.unionByName(drawn.select(*kept.columns)).unionByName(_class_check(rows, kept))
 
 
 def weighted_resample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED) -> DataFrame:
