@@ -139,17 +139,18 @@ def keys_without_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return predictions.select("key").join(truth.select("key"), "key", "left_anti").distinct()
 
 
-def drop_unlabelled(rows: DataFrame, label: str = "label", observation=None) -> DataFrame:
-    """Rows with a label. Pass an ``Observation`` to learn both counts from the same pass."""
-    if observation is not None:
-        rows = rows.observe(
-            observation,
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(label).isNull()).alias("unlabelled"),
-        )
+def drop_unlabelled(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Rows with a label."""
     return rows.filter(F.col(label).isNotNull())
 
 
+def unlabelled_report(rows: DataFrame, label: str = "label") -> DataFrame:
+    """How many rows there are and how many of them ``drop_unlabelled`` leaves out."""
+    # Not an Observation: once a session has used one, Spark 4.1 fails to ship fitted
+    # logistic models to its tasks.
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(label).isNull()).alias("unlabelled"))
+
+
 def paired_scores(scored: DataFrame, tool_a: str, tool_b: str) -> DataFrame:
     """``key, label, prob_a, prob_b``; fails if one of the tools lacks a key.
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from callscope.operators import align, resample, scores, strata
@@ -44,9 +43,9 @@ def test_label_and_clean(spark):
     assert got == {"a": (0.1, 1), "z": (0.5, None)}
     assert [tuple(r) for r in align.clean_by_key(calls, truth).collect()] == [("a", 0.9, 1)]
     assert [r[0] for r in align.keys_without_truth(calls, truth).collect()] == ["z"]
-    seen = Observation()
-    kept = align.drop_unlabelled(align.label_calls(calls, truth, ["prob"]), observation=seen)
-    assert kept.count() == 1 and seen.get == {"rows": 2, "unlabelled": 1}
+    labelled = align.label_calls(calls, truth, ["prob"])
+    assert align.drop_unlabelled(labelled).count() == 1
+    assert tuple(align.unlabelled_report(labelled).first()) == (2, 1)
 
 
 def test_pairs_must_match(spark):
