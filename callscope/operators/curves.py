@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.numeric import ratio_or_zero
@@ -339,20 +339,19 @@ def best_f1_on_grid(scored: DataFrame, group: Sequence[str] = ("tool",)) -> Data
         .groupBy(*group, reached.alias("k"))
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     )
-    zero = F.lit(0).cast("bigint")
-    rows = [
-        F.struct(
-            F.lit(t).alias("threshold"),
-            F.sum(F.when(F.col("k") > i, F.col("pos")).otherwise(zero)).alias("tp"),
-            F.sum(F.when(F.col("k") > i, F.col("neg")).otherwise(zero)).alias("fp"),
-            F.sum("pos").alias("p"),
-        )
-        for i, t in enumerate(grid)
-    ]
-    table = cells.groupBy(*group).agg(F.array(*rows).alias("_rows")).select(*group, F.inline("_rows"))
-    f1 = ratio_or_zero(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p"))
+    # A row that reaches k thresholds counts at each of the first k; step 0 counts every row.
+    steps = (
+        cells.select(*group, "pos", "neg", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+        .groupBy(*group, "i")
+        .agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+        .withColumn("p", F.max("tp").over(Window.partitionBy(*group)))
+    )
+    table = steps.withColumn("threshold", F.get(F.array(*[F.lit(t) for t in grid]), F.col("i") - 1))
+    at = ratio_or_zero(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("p"))
+    f1 = F.when(F.col("i") > 0, at).otherwise(0.0)
     best = table.withColumn("f1", f1).groupBy(*group).agg(
-        F.max("f1").alias("f1"), F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("_t")
+        F.max("f1").alias("f1"),
+        F.max_by("threshold", F.when(F.col("i") > 0, F.struct("f1", -F.col("threshold")))).alias("_t"),
     )
     return best.select(
         *group, F.when(F.col("f1") > 0, F.col("_t")).otherwise(F.lit(DEFAULT_THRESHOLD)).alias("threshold"), "f1"
