@@ -19,7 +19,8 @@ def _text(value) -> Column:
 def norm_chrom(chrom) -> Column:
     """Drop a leading ``chr``; nothing else of the name changes."""
     text = _text(chrom)
-    return F.when(F.startswith(text, F.lit(CHROM_PREFIX)), F.substring(text, len(CHROM_PREFIX) + 1, 1 << 30)).otherwise(text)
+    rest = F.substring(text, len(CHROM_PREFIX) + 1, 1 << 30)
+    return F.when(F.startswith(text, F.lit(CHROM_PREFIX)), rest).otherwise(text)
 
 
 def norm_allele(allele) -> Column:

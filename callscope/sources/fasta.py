@@ -104,6 +104,7 @@ def assemble_chunks(pieces: DataFrame, stride: int = CHUNK, halo: int = HALO) ->
     part = F.substr("text", (low - F.col("offset") + 1).cast("int"), (high - low).cast("int"))
     parts = spread.select("contig", "chunk_id", low.alias("at"), part.alias("part")).filter(F.length("part") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("at", "part")))
-    chunks = parts.groupBy("contig", "chunk_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("text"))
+    text = F.array_join(F.transform(ordered, lambda x: x["part"]), "")
+    chunks = parts.groupBy("contig", "chunk_id").agg(text.alias("text"))
     covered = F.length("text") > 0
     return chunks.filter(covered).select("contig", "chunk_id", (F.col("chunk_id") * stride).alias("offset"), "text")

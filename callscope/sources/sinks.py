@@ -37,6 +37,12 @@ def write_csv(frame: DataFrame, path: str, decimals: int | None = None, mode: st
     frame.write.mode(mode).csv(path, header=True)
 
 
+def write_predictions(scored: DataFrame, path: str, threshold: float = 0.5, mode: str = "overwrite") -> None:
+    """Positional predictions as ``tables.read_predictions`` reads them: six decimals, call at 0.5."""
+    rows = scored.select("index", "label", "prob", (F.col("prob") >= threshold).cast("int").alias("pred_0.5"))
+    write_csv(rows, path, METRIC_DECIMALS, mode)
+
+
 def write_bed(windows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Windows as tab-separated chrom, start, end, key without a header."""
     windows.select("chrom", "start", "end", "key").write.mode(mode).csv(path, sep="\t")

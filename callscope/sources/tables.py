@@ -83,7 +83,8 @@ def with_row_number(frame: DataFrame, name: str = "row") -> DataFrame:
     cuts files the same way each time, so a retry gives the same numbers.
     """
     marked = frame.withColumn("_at", F.monotonically_increasing_id())
-    placed = marked.withColumns({"_part": F.shiftright("_at", 33), "_within": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = marked.withColumns({"_part": F.shiftright("_at", 33), "_within": within})
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -136,6 +136,13 @@ def test_sinks(spark, folder):
     assert "".join(p.read_text() for p in (folder / "bed").glob("part-*")) == "1\t0\t5\tk\n"
 
 
+def test_predictions_roundtrip(spark, folder):
+    frame = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.1234567)], "index bigint, label int, prob double")
+    sinks.write_predictions(frame, str(folder / "p"))
+    back = tables.read_predictions(spark, str(folder / "p")).orderBy("index").collect()
+    assert [tuple(r) for r in back] == [(0, 1, 0.5, 1), (1, 0, 0.123457, 0)]
+
+
 def test_feature_store(spark, folder):
     frame = spark.createDataFrame([("a", [0.5], 1), ("b", [0.1], 0)], "key string, qc array<float>, y int")
     tables.write_features(frame, str(folder / "f"))
