@@ -1,0 +1,175 @@
+"""Secret scans: fixed patterns, and novelty measured with a primed compressor.
+
+Three base patterns are always reported. Beyond them a candidate is a long run of key letters with
+a digit that follows a sensitive word on its line. Its novelty is the number of bytes that
+zstandard needs more for the surrounding text with the candidate than without it, the compressor
+primed with names from code; near as many bytes as letters means that neither the surroundings
+nor the dictionary hold anything like it. Ordinary identifiers and paths compress well and stay.
+"""
+
+from __future__ import annotations
+
+import builtins
+import hashlib
+import keyword
+import re
+import sys
+
+import pandas as pd
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from callscope.llm.common import map_rows, ship, whole
+
+KINDS = ("assign", "access", "hex", "novel")
+CONTEXT = 96
+#: Least bytes per letter that count as incompressible. Short random runs need 0.9, identifiers 0.5 to 0.75.
+NOVELTY = 0.8
+#: Bytes that zstandard spends on any short addition, whatever it is.
+OVERHEAD = 2
+
+#: Patterns of the base spans, fixed values.
+ASSIGN = re.compile(
+    r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+LONG_HEX = re.compile(r"[0-9a-f]{24}")
+SENSITIVE = re.compile(
+    r"(?i:key|secret|token|passw|pwd|credential|auth|bearer|private|signature|cookie|session)"
+)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+
+FIELDS = (
+    ("doc_id", "long"),
+    ("n_assign", "long"),
+    ("n_access", "long"),
+    ("n_hex", "long"),
+    ("base_sha256", "string"),
+    ("spans", "string"),
+    ("n_novel", "long"),
+)
+
+
+class Novelty:
+    """Marginal compressed bytes of a candidate in its surroundings."""
+
+    def __init__(self):
+        names = sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *sys.stdlib_module_names})
+        primer = "\n".join(f'self.{x} = {x}(config["{x}"])' for x in names).encode()
+        self.compressor = zstandard.ZstdCompressor(
+            level=19,
+            dict_data=zstandard.ZstdCompressionDict(primer[-60_000:], dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+            write_checksum=False,
+            write_content_size=False,
+            write_dict_id=False,
+        )
+
+    def bytes_more(self, before: str, candidate: str, after: str) -> int:
+        size = lambda text: len(self.compressor.compress(text.encode()))
+        return size(before + candidate + after) - size(before + after)
+
+    def ratio(self, before: str, candidate: str, after: str) -> float:
+        return (self.bytes_more(before, candidate, after) - OVERHEAD) / len(candidate)
+
+
+_NOVELTY: list[Novelty] = []
+
+
+def novelty() -> Novelty:
+    if not _NOVELTY:
+        _NOVELTY.append(Novelty())
+    return _NOVELTY[0]
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the three base kinds, in order."""
+    found = []
+    if "=" in text or ":" in text:
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    if LONG_HEX.search(text):
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
+    return sorted(found)
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    found, taken = [], 0
+    for match in CANDIDATE.finditer(text):
+        start, end = match.span()
+        word = match[0]
+        if word.isalpha() or not any(map(str.isdigit, word)):
+            continue
+        while taken < len(base) and base[taken][2] <= start:
+            taken += 1
+        if any(s < end and start < e for s, _, e in base[taken:]):
+            continue
+        line = max(text.rfind("\n", 0, start) + 1, start - CONTEXT)
+        before = text[line:start]
+        if not SENSITIVE.search(before):
+            continue
+        if novelty().ratio(before, word, text[end : end + CONTEXT]) >= NOVELTY:
+            found.append((start, 3, end))
+    return found
+
+
+def find(text: str) -> tuple[list, list]:
+    """Base spans, and all spans, each in order of start, then kind."""
+    base = base_spans(text)
+    return base, sorted(base + novel_spans(text, sorted(base, key=lambda x: x[2])))
+
+
+def said(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join([f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans])
+
+
+def scan(documents: DataFrame) -> DataFrame:
+    """Spans of every document, as code points with the end excluded.
+
+    A null text is empty and has no spans. Spans of different kinds may overlap. Rows are
+    independent: null ids and repeated rows are kept as they come, other columns are not read.
+    """
+
+    def of_row(doc_id, text):
+        base, spans = find(text)
+        counts = [sum(kind == k for _, kind, _ in spans) for k in range(4)]
+        return doc_id, *counts[:3], hashlib.sha256(said(base).encode()).hexdigest(), said(spans), counts[3]
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    return map_rows(rows, of_row, FIELDS)
+
+
+def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
+    """The text with every maximal run of spans replaced by a mark."""
+    if not text:
+        return text
+    spans = find(text)[1]
+    if not spans:
+        return text
+    out, at = [], 0
+    end = -1
+    for start, _, stop in spans:
+        if start >= max(end, at) and start > end - 1:
+            out += [text[at:start], mark]
+        end = max(end, stop)
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def redact(documents: DataFrame) -> DataFrame:
+    """The table with secrets replaced in ``text`` and ``n_chars`` counted anew; all columns stay."""
+    ship(documents.sparkSession)
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact_text(text) for text in texts], dtype=object)
+
+    out = documents.withColumn("text", clean(F.col("text")))
+    if "n_chars" in documents.columns:
+        changed = F.col("text").isNotNull()
+        kind = documents.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return out
