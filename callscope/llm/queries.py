@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import bpe, decontaminate, quality_rules, secrets
+from callscope.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    language,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    token_shards,
+)
 from callscope.llm.common import table
 
 
@@ -17,6 +28,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def rank_file() -> tuple[str, str]:
+    """Path and splitting pattern of the public rank file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), vocabulary())
 
@@ -25,8 +43,32 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan(table(spark, folder, "documents"))
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"))
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash(table(spark, folder, "documents"))
+
+
+def op8_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return token_shards.materialise(table(spark, folder, "documents"), *rank_file())
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
