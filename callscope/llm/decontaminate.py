@@ -10,7 +10,6 @@ adding to the hits, without a shuffle of documents.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, map_rows, schema_of, ship, slices, whole
+from callscope.llm.common import batch_of, schema_of, ship, slices, whole
 
 WINDOW = 13
 #: Words of items in one automaton: about 100 bytes each in a worker.
@@ -28,16 +27,6 @@ BLOCK_WORDS = 500_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
 
-FIELDS = (
-    ("doc_id", "long"),
-    ("n_words", "long"),
-    ("n_hit", "long"),
-    ("n_items", "long"),
-    ("items_sha256", "string"),
-    ("contaminated", "boolean"),
-)
-
-
 def lowered(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
@@ -201,56 +190,78 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterable[list[tuple
         yield block
 
 
-SCANNED = (("doc_id", "long"), ("text", "string"), ("ranges", "array<long>"), ("items", "array<string>"))
+SCANNED = (
+    ("doc_id", "long"),
+    ("text", "string"),
+    ("n_words", "long"),
+    ("ranges", "array<long>"),
+    ("items", "array<string>"),
+)
 
 
 def scanned(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, hit word ranges (start, end, start, ...) and hit items, over all blocks."""
+    """doc_id, n_words, hit word ranges (start, end, start, ...) and hit items, over all blocks.
+
+    Each block is one pass over the words inside the same stage; the last one drops the text.
+    """
     frame = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         whole().alias("text"),
+        F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<bigint>").alias("ranges"),
         F.array().cast("array<string>").alias("items"),
     )
     ship(frame.sparkSession)
     context = frame.sparkSession.sparkContext
-    for block in blocks(benchmark, most):
+    source = iter(blocks(benchmark, most))
+    block = next(source, [])
+    while block is not None:
+        following = next(source, None)
         shared = context.broadcast(block)
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=following is None):
             automaton = Automaton(shared.value)
-            for doc_ids, texts, ranges, items in slices(batches):
+            for doc_ids, texts, counts, ranges, items in slices(batches):
                 for k, text in enumerate(texts):
-                    more, names = automaton.scan(words_of(text))
+                    words = words_of(text)
+                    counts[k] = len(words)
+                    more, names = automaton.scan(words)
                     if names:
                         old = list(zip(ranges[k][::2], ranges[k][1::2], strict=True))
                         ranges[k] = [x for pair in merged([*old, *more]) for x in pair]
                         items[k] = sorted({*items[k], *names})
-                yield batch_of(SCANNED, [doc_ids, texts, ranges, items])
+                yield batch_of(SCANNED, [doc_ids, [None] * len(texts) if last else texts, counts, ranges, items])
 
         frame = frame.mapInArrow(run, schema_of(SCANNED))
-    return frame
+        block = following
+    return frame.drop("text")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Words, hit words and hit items of every document.
+def contamination(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
+    """Words, hit words and hit items of every document; ``most`` bounds a block of items in words.
 
     A null text has no words and is not contaminated; an item without words has no window; an
     empty benchmark hits nothing. Rows are independent: null ids and repeated rows are kept as
     they come, other columns are not read.
     """
-
-    def of_row(doc_id, text, ranges, items):
-        n, hit = len(words_of(text)), sum(ranges[1::2]) - sum(ranges[::2])
-        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-        return doc_id, n, hit, len(items), digest, hit > 0 and 20 * hit >= n
-
-    return map_rows(scanned(documents, benchmark), of_row, FIELDS)
+    # Ranges alternate between start and end: ends count plus, starts minus.
+    hit = F.aggregate(
+        F.transform("ranges", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, b: a + b
+    )
+    rows = scanned(documents, benchmark, most).withColumn("n_hit", hit)
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:
     """The text without the given word ranges and the white space after each."""
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(lowered(text))]
     out, at = [], 0
     for start, end in ranges:
         out.append(text[at : places[start][0]])

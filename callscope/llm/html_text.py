@@ -193,7 +193,8 @@ class Layout:
         """One block of an article."""
         r = self.rng.random()
         if r < 0.68:
-            text = self.some(1, 6) if self.rng.random() < 0.15 else self.some(5, 90)
+            low, high = self.rng.choice(((1, 6), (5, 90), (5, 90), (5, 90), (40, 400)))
+            text = self.some(low, high)
             if self.rng.random() < 0.25:
                 text += f' <a href="/l">{self.some(1, 4, "")}</a> ' + self.some(2, 12)
             if self.rng.random() < 0.15:
@@ -238,6 +239,9 @@ class Layout:
         middle = before + [self.article()] + after + ([self.footer()] if self.rng.random() < 0.85 else [])
         if self.rng.random() < 0.7:
             middle.insert(0, self.pick(self.menu, self.header)())
+        if self.rng.random() < 0.08:  # an article and little else
+            middle = [self.article(), *[self.footer() for _ in range(self.rng.randint(0, 1))]]
+            return self.pick("<body>", "") + "".join(middle)
         inner = "".join(middle)
         if self.rng.random() < 0.4:
             inner = self.box("wrapper container page-wrap layout", inner, "div")

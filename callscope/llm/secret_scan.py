@@ -24,11 +24,14 @@ from callscope.llm.common import map_rows, ship, whole
 
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = 96
-#: Least bytes per letter that count as incompressible. Short random runs need 0.9, identifiers 0.5 to 0.75.
-NOVELTY = 0.8
+#: Least bytes per letter that count as incompressible. Random runs need 0.8 to 1.2, names 0.4 to 0.75.
+NOVELTY = 0.78
 #: Bytes that zstandard spends on any short addition, whatever it is.
 OVERHEAD = 2
 
+#: Plain words after the surroundings, so that the compressor codes letters and does not just copy a short text.
+FILLER = "\nthe value of the name is then set by the code that follows here, and the rest of it goes on as before"
+
 #: Patterns of the base spans, fixed values.
 ASSIGN = re.compile(
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -53,22 +56,29 @@ FIELDS = (
 )
 
 
+def primer() -> zstandard.ZstdCompressionDict:
+    """A dictionary of names from code, with the letter statistics of such names.
+
+    Its entropy tables make ordinary letters cheap and digits or mixed case dear, also where a text
+    is too short for the compressor to learn its own.
+    """
+    names = sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *sys.stdlib_module_names})
+    parts = [x.strip("_") for x in names if x.strip("_")]
+    near = zip(parts, parts[7:] + parts[:7], parts[31:] + parts[:31], strict=True)
+    samples = [f'self.{a}_{b} = get{c.title()}{a.title()}(config["{b}"])\nthe {a} of {c}: {b}.{a}\n'.encode() for a, b, c in near]
+    return zstandard.train_dictionary(16384, samples, level=19)
+
+
 class Novelty:
     """Marginal compressed bytes of a candidate in its surroundings."""
 
     def __init__(self):
-        names = sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *sys.stdlib_module_names})
-        primer = "\n".join(f'self.{x} = {x}(config["{x}"])' for x in names).encode()
         self.compressor = zstandard.ZstdCompressor(
-            level=19,
-            dict_data=zstandard.ZstdCompressionDict(primer[-60_000:], dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            write_checksum=False,
-            write_content_size=False,
-            write_dict_id=False,
+            level=19, dict_data=primer(), write_checksum=False, write_content_size=False, write_dict_id=False
         )
 
     def bytes_more(self, before: str, candidate: str, after: str) -> int:
-        size = lambda text: len(self.compressor.compress(text.encode()))
+        size = lambda text: len(self.compressor.compress((text + FILLER).encode()))
         return size(before + candidate + after) - size(before + after)
 
     def ratio(self, before: str, candidate: str, after: str) -> float:
