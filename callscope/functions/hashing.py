@@ -8,6 +8,10 @@ integer operations inside generated code.
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +21,13 @@ MASK = DRAW_RANGE - 1
 MULTIPLIERS = (73244475, 94906249)
 STREAM_STEP = 40503
 SECOND_DRAW = 20011
-# Distribution function of Poisson(1) at 0, 1, 2, ...
-POISSON_ONE_CDF = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.999916758850712,
-    0.9999897508033253,
-    0.9999988747974020,
-)
+# Distribution function of Poisson(1), as far as a draw resolves it: the last bound below DRAW_RANGE
+# leaves one draw in 2^31 for all larger counts together.
+POISSON_ONE_CDF = tuple(
+    bound
+    for bound in accumulate(math.exp(-1) / math.factorial(k) for k in range(16))
+    if int(bound * DRAW_RANGE) < DRAW_RANGE
+)[:13]
 
 
 def with_digest(frame: DataFrame, key: str = "key", names: tuple[str, str] = ("_h", "_l")) -> DataFrame:
@@ -97,6 +96,24 @@ def poisson_one(drawn: Column) -> Column:
     return result.cast("bigint")
 
 
+def poisson_weights(high: np.ndarray, low: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """The weights of ``with_poisson`` for whole blocks: one row per digest, columns for the data
+    itself (weight 1) and for replicates 0 .. reps-1."""
+    step = (np.arange(reps, dtype=np.int64) * STREAM_STEP + seed) & MASK
+    x = high[:, None] ^ step[None, :]
+    for half in (low, None):
+        for multiplier in MULTIPLIERS:
+            x = ((x ^ (x >> 15)) * multiplier) & MASK
+        x ^= x >> 13
+        if half is not None:
+            x ^= half[:, None]
+    weights = np.zeros((len(high), reps + 1), np.int64)
+    weights[:, 0] = 1
+    for bound in POISSON_ONE_CDF:
+        weights[:, 1:] += x >= int(bound * DRAW_RANGE)
+    return weights
+
+
 def with_index(
     frame: DataFrame, name: str, stream: Column | int, seed: int, size: Column, names: tuple[str, str] = ("_h", "_l")
 ) -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.hashing import unit, with_digest, with_draw, with_index, with_poisson
+from callscope.functions.hashing import unit, with_digest, with_draw, with_index
 from callscope.operators import curves
-from callscope.operators.align import paired_scores
 from callscope.operators.ordered import Cut, dense_index, uncut
+from callscope.operators.replicates import replicate_areas
 
 # Seeds and sizes of the resampling steps, interval bounds.
 SAMPLE_SEED = 42
@@ -105,78 +105,22 @@ def _interval(values: DataFrame, group: Sequence[str], names: Sequence[str]) ->
     return values.groupBy(*group).agg(*columns, used)
 
 
-def key_weighted_counts(scored: DataFrame, group: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """Score counts of every bootstrap replicate and, as replicate -1, of the data itself.
-
-    Row weights are Poisson(1) by (key, replicate). Rows of weight 0 (37 %) vanish at once and
-    equal scores merge before the shuffle.
-    """
-    rows = with_digest(scored.filter(F.col("label").isin(0, 1)).select(*group, "key", "label", "prob"))
-    exploded = rows.drop("key").withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
-    weighted = with_poisson(exploded, "w", F.col("rep"), seed).filter(F.col("w") > 0)
-    return curves.score_counts(weighted, [*group, "rep"], "w")
-
-
-def _poisson_cells(reps: int, seed: int, group: Sequence[str]):
-    """Arrow task: Poisson(count) weights of every replicate for each histogram row."""
-    import pandas as pd
-
-    group = list(group)
-
-    def run(batches):
-        import numpy as np
-
-        for batch in batches:
-            pieces = []
-            for row_seed, (_, row) in zip(batch["_seed"].to_numpy(), batch.iterrows()):
-                source = np.random.default_rng([seed, int(row_seed) & 0xFFFFFFFFFFFFFFFF])
-                pos = source.poisson(row["pos"], reps)
-                neg = source.poisson(row["neg"], reps)
-                hit = np.flatnonzero((pos > 0) | (neg > 0))
-                piece = pd.DataFrame({"rep": hit.astype("int32"), "pos": pos[hit], "neg": neg[hit]})
-                for name in group:
-                    piece[name] = row[name]
-                piece["score"] = row["score"]
-                pieces.append(piece)
-            if pieces:
-                yield pd.concat(pieces)[[*group, "rep", "score", "pos", "neg"]]
-
-    return run
-
-
-def cell_weighted_counts(scored: DataFrame, group: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """The same distribution as ``key_weighted_counts`` at the cost of distinct scores, not rows.
-
-    Poisson(1) weights of the c rows that share tool, score and class add up to Poisson(c), so
-    one draw per histogram cell replaces c. Each cell seeds its own generator from its content.
-    """
-    counts = curves.score_counts(scored, group)
-    seeded = counts.withColumn("_seed", F.xxhash64(*group, "score"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in group)
-    drawn = seeded.mapInPandas(
-        _poisson_cells(reps, seed, group), f"{fields}, rep int, score double, pos bigint, neg bigint"
-    )
-    return drawn.unionByName(counts.withColumn("rep", F.lit(-1)))
-
-
 def bootstrap_areas(
     scored: DataFrame,
     reps: int = BOOTSTRAP_REPS,
     seed: int = BOOTSTRAP_SEED,
     group: Sequence[str] = ("tool",),
-    weights: str = "key",
     cut: Cut = uncut,
 ) -> DataFrame:
     """AUROC and AUPRC per tool with 95 % bootstrap intervals.
 
-    ``weights='key'`` draws per row, ``'cell'`` per distinct score (for very large tables). A
-    replicate that lost a class does not count.
+    A replicate that lost a class does not count.
     """
-    if weights not in ("key", "cell"):
-        raise ValueError("weights must be key or cell")
-    make = key_weighted_counts if weights == "key" else cell_weighted_counts
-    inner = [*group, "rep"]
-    values = curves.areas(curves.curve(cut(make(scored, group, reps, seed)), inner), inner)
+    return intervals(replicate_areas(scored, group, reps, seed, cut), group)
+
+
+def intervals(values: DataFrame, group: Sequence[str] = ("tool",)) -> DataFrame:
+    """Intervals of both areas from ``replicate_areas``."""
     return _interval(values, group, ["auroc", "auprc"])
 
 
@@ -210,26 +154,41 @@ def bootstrap_stratified(
     return _interval(values, ["tool"], ["auroc"])
 
 
+def deltas(values: DataFrame, first: str, rivals: Sequence[str]) -> DataFrame:
+    """Differences between one tool's areas and each rival's on the same resamples, with intervals.
+
+    ``values`` comes from ``replicate_areas`` over tools that score the same keys.
+    """
+    own = values.filter(F.col("tool") == first).select("rep", F.col("auroc").alias("_a"), F.col("auprc").alias("_p"))
+    other = values.filter(F.col("tool").isin(*rivals)).join(own, "rep")
+    both = other.select(
+        F.lit(first).alias("tool_a"),
+        F.col("tool").alias("tool_b"),
+        "rep",
+        (F.col("_a") - F.col("auroc")).alias("delta_auroc"),
+        (F.col("_p") - F.col("auprc")).alias("delta_auprc"),
+    )
+    return _interval(both, ["tool_a", "tool_b"], ["delta_auroc", "delta_auprc"])
+
+
 def paired_bootstrap_delta(
     scored: DataFrame,
     tool_a: str,
-    tool_b: str,
+    tool_b: str | Sequence[str],
     reps: int = BOOTSTRAP_REPS,
     seed: int = BOOTSTRAP_SEED,
     cut: Cut = uncut,
 ) -> DataFrame:
-    """Difference of AUROC and AUPRC between two tools on the same resamples, with 95 % intervals."""
-    sides = F.array(
-        F.struct(F.lit("a").alias("tool"), F.col("prob_a").alias("prob")),
-        F.struct(F.lit("b").alias("tool"), F.col("prob_b").alias("prob")),
-    )
-    pairs = paired_scores(scored, tool_a, tool_b).select("key", "label", F.inline(sides))
-    inner = ["tool", "rep"]
-    counts = cut(key_weighted_counts(pairs, ["tool"], reps, seed))
-    values = curves.areas(curves.curve(counts, inner), inner)
-    signed = F.when(F.col("tool") == "a", 1.0).otherwise(-1.0)
-    deltas = values.groupBy("rep").agg(
-        F.sum(signed * F.col("auroc")).alias("delta_auroc"), F.sum(signed * F.col("auprc")).alias("delta_auprc")
+    """Difference of AUROC and AUPRC between a tool and its rivals on the same resamples.
+
+    Only keys that all of these tools score take part; after ``align_universe`` that is every key.
+    """
+    rivals = [tool_b] if isinstance(tool_b, str) else list(tool_b)
+    tools = [tool_a, *rivals]
+    wide = scored.filter(F.col("tool").isin(*tools)).groupBy("key").agg(
+        F.max("label").alias("label"),
+        *[F.max(F.when(F.col("tool") == tool, F.col("prob"))).alias(f"_{k}") for k, tool in enumerate(tools)],
     )
-    labelled = deltas.select(F.lit(tool_a).alias("tool_a"), F.lit(tool_b).alias("tool_b"), "*")
-    return _interval(labelled, ["tool_a", "tool_b"], ["delta_auroc", "delta_auprc"])
+    sides = F.array(*[F.struct(F.lit(tool).alias("tool"), F.col(f"_{k}").alias("prob")) for k, tool in enumerate(tools)])
+    common = wide.dropna(subset=[f"_{k}" for k in range(len(tools))]).select("key", "label", F.inline(sides))
+    return deltas(replicate_areas(common, ["tool"], reps, seed, cut), tool_a, rivals)

@@ -36,6 +36,7 @@ class Comparison:
     tools: Sequence[str]
     annotations: DataFrame | None = None
     _points: DataFrame | None = field(default=None, repr=False)
+    _replicates: dict[int, DataFrame] = field(default_factory=dict, repr=False)
 
     @classmethod
     def from_tables(
@@ -44,26 +45,31 @@ class Comparison:
         callers: Mapping[str, DataFrame],
         chains: Mapping[str, str | Sequence[str]] | None = None,
         durable_scores: bool = True,
+        pick: str = "max",
     ) -> Comparison:
-        """Key, score and align the raw table of every tool; collect depth annotations on the way."""
+        """Key, score and align the raw table of every tool; collect depth annotations on the way.
+
+        Several calls of a tool on one key give their maximum, or with ``pick="first"`` the first
+        row of the table; the first row also annotates the key. Rows are numbered as they are read.
+        """
         chains = chains or {}
         calls, notes = None, []
         for tool, frame in callers.items():
-            rows = keyed_scores(frame, chains.get(tool, "default"))
-            note = scores.annotation(rows)
+            rows = keyed_scores(frame.withColumn("_row", F.monotonically_increasing_id()), chains.get(tool, "default"))
+            note = scores.annotation(rows, ["_row"])
             if note is not None:
                 notes.append(note)
-            mine = rows.select(F.lit(tool).alias("tool"), "key", "prob")
+            mine = rows.select(F.lit(tool).alias("tool"), "key", "prob", "_row")
             calls = mine if calls is None else calls.unionByName(mine)
-        scored = align_universe(truth, calls, list(callers))
-        annotations = strata.consolidate_annotations(notes, ["vaf_est", "depth_est"]) if notes else None
+        scored = align_universe(truth, calls, list(callers), pick, "_row")
+        annotations = strata.consolidate_annotations(notes, ["_row"]) if notes else None
         return cls(durable(scored) if durable_scores else scored, list(callers), annotations)
 
     @property
     def points(self) -> DataFrame:
         """The curve of every tool: the one expensive table behind most reports."""
         if self._points is None:
-            self._points = curves.scored_curve(self.scored, cut=durable)
+            self._points = durable(curves.scored_curve(self.scored))
         return self._points
 
     def metrics(self) -> DataFrame:
@@ -95,18 +101,23 @@ class Comparison:
             return overlap.overlap_counts(self.scored, self.tools)
         return overlap.overlap_regions(self.scored, self.tools)
 
+    def replicates(self, reps: int = resample.BOOTSTRAP_REPS) -> DataFrame:
+        """Areas of all tools on every resample; intervals and differences read the same table."""
+        if reps not in self._replicates:
+            values = resample.replicate_areas(self.scored, ["tool"], reps, resample.BOOTSTRAP_SEED, durable)
+            self._replicates[reps] = durable(values)
+        return self._replicates[reps]
+
+    def intervals(self, reps: int = resample.BOOTSTRAP_REPS) -> DataFrame:
+        return resample.intervals(self.replicates(reps))
+
     def deltas(self, against: str | None = None, reps: int = resample.BOOTSTRAP_REPS) -> DataFrame:
         """Paired bootstrap of the first tool (or ``against``) with every other one."""
         first = against or self.tools[0]
-        tables = [
-            resample.paired_bootstrap_delta(self.scored, first, other, reps, cut=durable)
-            for other in self.tools
-            if other != first
-        ]
-        result = tables[0]
-        for table in tables[1:]:
-            result = result.unionByName(table)
-        return result
+        return resample.deltas(self.replicates(reps), first, [tool for tool in self.tools if tool != first])
+
+    def sweep(self) -> DataFrame:
+        return curves.threshold_sweep(self.scored, cut=durable)
 
     def strata(self) -> DataFrame | None:
         if self.annotations is None:
@@ -130,6 +141,11 @@ class Comparison:
         sinks.write_csv(self.calibration(), f"{folder}/calibration")
         sinks.write_csv(self.distributions(), f"{folder}/score_distributions")
         sinks.write_csv(self.overlap(), f"{folder}/overlap_counts")
+        sinks.write_csv(self.brier(), f"{folder}/brier")
+        sweep = durable(self.sweep())
+        sinks.write_csv(sweep.orderBy("tool", "threshold"), f"{folder}/threshold_sweep")
+        sinks.write_csv(curves.best_thresholds(sweep), f"{folder}/best_thresholds")
+        sinks.write_csv(self.intervals(reps), f"{folder}/area_intervals")
         if len(self.tools) > 1:
             sinks.write_csv(self.deltas(reps=reps), f"{folder}/delta_metrics_bootstrap")
         stratified = self.strata()

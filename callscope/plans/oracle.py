@@ -10,7 +10,7 @@ from callscope.functions.hashing import (
     SECOND_DRAW,
     STREAM_STEP,
 )
-from callscope.plans.queries import BOOTSTRAP_REPS, SEED, SEQUENCE_RADIUS, WINDOW_RADIUS
+from callscope.plans.queries import BOOTSTRAP_REPS, SEED, STRATIFIED_REPS, SEQUENCE_RADIUS, WINDOW_RADIUS
 
 # name -> (names it needs, SQL)
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -351,7 +351,7 @@ PARTS["weighted_draws"] = (
 PARTS["class_draws"] = (
     ("classes",),
     index_sql(
-        f"(SELECT tool, label, size, key, r.rep FROM classes, RANGE({BOOTSTRAP_REPS}) r(rep))", "rep", SEED, "size", "idx"
+        f"(SELECT tool, label, size, key, r.rep FROM classes, RANGE({STRATIFIED_REPS}) r(rep))", "rep", SEED, "size", "idx"
     ),
 )
 PARTS["stratified_boot"] = (
@@ -867,10 +867,10 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "bootstrap_delta": (
         ("boot",),
-        f"SELECT 'model' AS tool_a, 'caller_1' AS tool_b, {interval_sql('delta_auroc')}, {interval_sql('delta_auprc')}, "
-        "COUNT(*) FILTER (WHERE rep >= 0) AS reps_used FROM (SELECT rep, a.auroc - b.auroc AS delta_auroc, "
+        f"SELECT 'model' AS tool_a, tool_b, {interval_sql('delta_auroc')}, {interval_sql('delta_auprc')}, "
+        "COUNT(*) FILTER (WHERE rep >= 0) AS reps_used FROM (SELECT rep, b.tool AS tool_b, a.auroc - b.auroc AS delta_auroc, "
         "a.auprc - b.auprc AS delta_auprc FROM boot a JOIN boot b USING (rep) "
-        "WHERE a.tool = 'model' AND b.tool = 'caller_1')",
+        "WHERE a.tool = 'model' AND b.tool <> 'model') GROUP BY tool_b",
     ),
 }
 

@@ -31,7 +31,8 @@ from callscope.sources.tables import load_truth
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-BOOTSTRAP_REPS = 20
+BOOTSTRAP_REPS = resample.BOOTSTRAP_REPS
+STRATIFIED_REPS = resample.STRATIFIED_REPS
 SEED = 123
 DIGITS = 6
 SEQUENCE_STRIDE = 256
@@ -347,7 +348,7 @@ def lr_scores(spark, sf):
     )
     vectors = learn.with_class_weight(learn.vectorise(rows, ["embedding"]))
     split = resample.hash_split(vectors, "vec_id")
-    model = learn.classifier("logistic", maxIter=20).fit(split.filter("split = 'train'"))
+    model = learn.classifier("logistic").fit(split.filter("split = 'train'"))
     return rounded(learn.score(model, split.drop("embedding", "weight")))
 
 
@@ -503,9 +504,9 @@ def queries() -> dict[str, Query]:
         "weighted_resample": weighted_resample,
         "bootstrap_auroc": _bootstrap("auroc"),
         "bootstrap_auprc": _bootstrap("auprc"),
-        "bootstrap_stratified": on_scored(lambda s: resample.bootstrap_stratified(s, BOOTSTRAP_REPS, SEED, durable)),
+        "bootstrap_stratified": on_scored(lambda s: resample.bootstrap_stratified(s, STRATIFIED_REPS, SEED, durable)),
         "bootstrap_delta": on_scored(
-            lambda s: resample.paired_bootstrap_delta(s, "model", "caller_1", BOOTSTRAP_REPS, SEED, durable)
+            lambda s: resample.paired_bootstrap_delta(s, "model", TOOLS[1:], BOOTSTRAP_REPS, SEED, durable)
         ),
     }
 
