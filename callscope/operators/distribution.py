@@ -50,11 +50,14 @@ def score_summary(
     box = quantiles(counts, group, "prob", (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     score = F.col("prob")
-    # The box table has one row per group; its size is left to adaptive execution, which
-    # broadcasts it when it is small and splits the skewed side of the join when it is not.
+    # One row per group: read as one map from a scalar subquery, so that no row moves to meet its box.
+    named = F.struct(*[F.col(name) for name in group])
+    entries = F.struct(named, F.struct(*[F.col(c) for c in box.columns if c not in group]))
+    boxes = box.agg(F.map_from_entries(F.collect_list(entries))).scalar()
     return (
         counts.withColumnRenamed("n", "_rows")
-        .join(box, group)
+        .withColumn("_box", boxes[named])
+        .select(*group, "prob", "_rows", "_box.*")
         .groupBy(*group)
         .agg(
             F.max("n").alias("n_rows"),

@@ -55,17 +55,19 @@ def sequence_windows(sites: DataFrame, chunks: DataFrame, radius: int = 100, str
 
     ``sites``: contig, pos (1-based) and anything else; ``chunks``: see ``sources.fasta``, cut with
     the same ``stride`` and a halo of at least twice the radius, so that a window lies inside
-    exactly one chunk: one equi-join, and no regrouping of pieces. A window that does not touch
+    exactly one chunk: one equi-join, and no regrouping of pieces; a shorter halo is an error. A window that does not touch
     its contig, or whose contig is unknown, gives NULL.
     """
     start = F.col("pos").cast("bigint") - 1 - radius
     first = F.greatest(start, F.lit(0).cast("bigint"))
     placed = sites.withColumns({"_start": start, "chunk_id": F.floor(first / F.lit(stride)).cast("bigint")})
-    joined = placed.join(chunks.select("contig", "chunk_id", "offset", "text"), ["contig", "chunk_id"], "left")
+    joined = placed.join(chunks.select("contig", "chunk_id", "offset", "text", "halo"), ["contig", "chunk_id"], "left")
     length = 2 * radius + 1
     touches = (F.col("_start") + length > 0) & (F.col("_start") < F.col("offset") + F.length("text"))
-    window = F.when(touches, cut_window("text", "offset", "_start", F.lit(length)))
-    return joined.withColumn("seq", window).drop("chunk_id", "offset", "text", "_start")
+    short = F.raise_error(F.lit(f"chunks need a halo of at least {2 * radius} letters for this radius")).cast("string")
+    cut = cut_window("text", "offset", "_start", F.lit(length))
+    window = F.when(F.col("halo") < 2 * radius, short).when(touches, cut)
+    return joined.withColumn("seq", window).drop("chunk_id", "offset", "text", "halo", "_start")
 
 
 def feature_rows(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -10,12 +11,13 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasLabelCol
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplitModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators import curves
 from callscope.operators.metrics import class_weights
+from callscope.operators.resample import hash_split
 
 
 def vectorise(rows: DataFrame, arrays: Sequence[str], output: str = "features_raw") -> DataFrame:
@@ -87,20 +89,26 @@ def select_model(
     train_share: float = 0.8,
     seed: int = 42,
     parallelism: int = 1,
+    key: str = "key",
 ) -> TrainValidationSplitModel:
-    """Fit every setting of the last stage's parameters and keep the best on the validation share."""
+    """Fit every setting of the last stage's parameters and keep the best on the validation share.
+
+    ``hash_split`` splits by ``key``, so all rows of a key are on one side in any layout. The best
+    setting is fitted again on all rows.
+    """
     builder = ParamGridBuilder()
     last = estimator.getStages()[-1]
     for name, values in (grid or {}).items():
         builder = builder.addGrid(last.getParam(name), list(values))
-    return TrainValidationSplit(
-        estimator=estimator,
-        estimatorParamMaps=builder.build(),
-        evaluator=AreaEvaluator(metric, last.getLabelCol()),
-        trainRatio=train_share,
-        seed=seed,
-        parallelism=parallelism,
-    ).fit(rows)
+    settings = builder.build()
+    split = hash_split(rows, key, train_share, seed)
+    train, held = (split.filter(F.col("split") == side).drop("split") for side in ("train", "validation"))
+    evaluator = AreaEvaluator(metric, last.getLabelCol())
+    with ThreadPool(max(1, parallelism)) as pool:
+        values = pool.map(lambda setting: evaluator.evaluate(estimator.fit(train, setting).transform(held)), settings)
+    # A setting without a value (a side lost a class) never wins over one with a value.
+    best = max(range(len(settings)), key=lambda k: (values[k] == values[k], values[k]))
+    return TrainValidationSplitModel(estimator.fit(rows, settings[best]), values)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -174,14 +174,19 @@ def metrics_table(
     return metrics_from_curve(curves.scored_curve(scored, group, cut), threshold, group, single_class)
 
 
-def class_weights(rows: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Weight every row by 1 / rows of its class. The two counts are one scalar subquery."""
-    counts = rows.agg(
-        F.struct(
-            F.count_if(F.col(label) == 0).alias("n0"),
-            F.count_if(F.col(label) == 1).alias("n1"),
-        )
-    ).scalar()
+def class_sizes(rows: DataFrame, group: Sequence[str] = (), label: str = "label") -> Column:
+    """``n0`` and ``n1`` of a row's group, from one scalar subquery that holds a map over groups."""
+    named = F.struct(F.lit(0).alias("_"), *[F.col(name) for name in group])
+    counted = rows.groupBy(named.alias("_g")).agg(
+        F.struct(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).alias("_n")
+    )
+    return counted.agg(F.map_from_entries(F.collect_list(F.struct("_g", "_n")))).scalar()[named]
+
+
+def class_weights(
+    rows: DataFrame, label: str = "label", weight: str = "weight", group: Sequence[str] = ()
+) -> DataFrame:
+    """Weight every row by 1 / rows of its class in its group."""
     own = F.when(F.col(label) == 1, F.col("_counts.n1")).otherwise(F.col("_counts.n0"))
-    weighted = rows.withColumn("_counts", counts)
+    weighted = rows.withColumn("_counts", class_sizes(rows, group, label))
     return weighted.withColumn(weight, 1.0 / F.greatest(own, F.lit(1)).cast("double")).drop("_counts")

@@ -7,9 +7,8 @@ values runs inside one cell only:
 1. cells follow the binary form of a double: exponent and nine further bits, counted from 0 below
    one half and from 1 above it, so that scores piling up at either end spread over many cells.
    They depend on nothing but the value, so a retried task sees the same cells.
-2. should one cell still hold more than ``CELL_ROWS`` distinct values, all cells are cut again by
-   the next 21 bits. The check is a scalar subquery on the totals that are needed anyway.
-   A group then has at most about two million cells per step and 2^22 values inside a cell.
+2. every cell is cut again by the next 21 bits, so a group has at most about two million cells per
+   step and 2^22 values inside a fine cell.
 3. the total of everything before a cell enters the next window as an extra first row of that
    cell, so no join and no broadcast is needed.
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 COARSE_BITS = 9
 FINE_BITS = 21
 LOWEST_EXPONENT = -1000
-CELL_ROWS = 1 << 22
+LARGEST = 1e300
 
 # Running totals read their input several times. Spark reuses the shuffle behind it; a caller may
 # instead pass a function that stores the (small) counts, such as ``session.durable``.
@@ -44,7 +43,8 @@ def with_cells(values: DataFrame, value: str) -> DataFrame:
     One projection per step: each step uses its input more than once, and written as a single
     expression the generated method would outgrow what the JVM compiles.
     """
-    v = F.col(value).cast("double")
+    # Infinities share the outermost cells with the largest numbers.
+    v = F.greatest(F.least(F.col(value).cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
     upper = (v > 0.5) & (v < 1.0)
     # Cell of 1.0: as far above the cell of one half as that is above the cell of 0.
     one = -2 * LOWEST_EXPONENT * (1 << COARSE_BITS)
@@ -78,33 +78,19 @@ def running_totals(
     value: str,
     measures: Sequence[str],
     descending: bool = False,
-    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Add ``<m>_cum`` (inclusive running total) and ``<m>_all`` (group total) per measure.
 
-    ``values`` holds one row per (group, value). ``cell_rows`` is the number of distinct values a
-    cell may hold before all cells are cut finer.
+    ``values`` holds one row per (group, value).
     """
     group, measures = list(group), list(measures)
     cells = with_cells(values.select(*group, value, *measures), value)
-    rows = cells.select(*group, value, *measures, F.col("_coarse").alias("_c1"))
+    rows = cells.select(*group, value, *measures, F.col("_coarse").alias("_c1"), F.col("_fine").alias("_c2"))
 
     def order(name: str) -> Column:
         return F.col(name).desc_nulls_first() if descending else F.col(name).asc_nulls_first()
 
-    totals = rows.groupBy(*group, "_c1").agg(
-        *[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("_rows")
-    )
-    # The struct keeps the measures alive, or pruning would make this a different aggregate and
-    # the histogram behind it would be computed a second time instead of reusing its shuffle.
-    fullest = totals.agg(F.max(F.struct("_rows", *measures)).alias("_top")).select("_top._rows")
-    crowded = fullest.scalar() > cell_rows
-    second = F.when(crowded, F.col("_fine")).otherwise(F.lit(0).cast("bigint"))
-    rows = cells.select(*group, value, *measures, F.col("_coarse").alias("_c1"), second.alias("_c2"))
-    # Reads a measure, so that the optimizer leaves the filter above the histogram and the branch
-    # for crowded cells reuses its shuffle; that branch is empty as a rule.
-    split = F.when(crowded, F.col(measures[0]).isNotNull()).otherwise(False)
-    whole_cells = F.when(crowded, F.col(measures[0]).isNull()).otherwise(True)
+    totals = rows.groupBy(*group, "_c1").agg(*[F.sum(m).alias(m) for m in measures])
 
     # What lies before each coarse cell: one window row per cell.
     whole = Window.partitionBy(*group).orderBy(order("_c1"))
@@ -117,12 +103,12 @@ def running_totals(
         *[F.sum(m).over(everything).alias(f"{m}_all") for m in measures],
     )
     # What lies before each fine cell: the coarse offset leads the fine totals of its cell.
-    fine_totals = rows.filter(split).groupBy(*group, "_c1", "_c2").agg(*[F.sum(m).alias(m) for m in measures])
+    fine_totals = rows.groupBy(*group, "_c1", "_c2").agg(*[F.sum(m).alias(m) for m in measures])
     inside = Window.partitionBy(*group, "_c1").orderBy(order("_c2"))
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead_fine = (
-        ahead.filter(split)
+    ahead = (
+        ahead
         .unionByName(fine_totals, allowMissingColumns=True)
         .select(
             *group,
@@ -133,7 +119,6 @@ def running_totals(
         )
         .filter(F.col("_c2").isNotNull())
     )
-    ahead = ahead.filter(whole_cells).withColumn("_c2", F.lit(0).cast("bigint")).unionByName(ahead_fine)
     # The values themselves, behind the offset of their fine cell.
     inside = Window.partitionBy(*group, "_c1", "_c2").orderBy(order(value))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,8 +1,8 @@
 """Windows, read evidence and interval signals: joins on ranges.
 
 A bare range condition makes Spark compare everything with everything. Both joins here cut the
-axis into bins, join on (chrom, bin) and check the range afterwards. A hot bin is split over
-``salt`` tasks: the side that can pile up gets a salt per row, the other side is repeated.
+axis into bins, join on (chrom, bin) and check the range afterwards. A bin with many rows is split
+into as many parts as its counted rows ask for; other bins are neither split nor repeated.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ QUERY_OPS = ("M", "=", "X", "I", "S")
 SKIP_FLAGS = 0x4 | 0x100 | 0x200 | 0x400
 MIN_BASE_QUALITY = 13
 WINDOW_RADIUS = 100
+# Rows of a bin that one task of a range join may hold before the bin is split.
+BIN_ROWS = 50_000
 
 
 def sites(variants: DataFrame) -> DataFrame:
@@ -45,12 +47,26 @@ def _bin(offset: Column, width: int) -> Column:
     return F.floor(offset / F.lit(width)).cast("bigint")
 
 
-def _salted(frame: DataFrame, salt: int, *parts: str) -> DataFrame:
-    return frame.withColumn("_salt", F.pmod(F.xxhash64(*parts), F.lit(salt)).cast("int"))
+def _bins(start: Column, end: Column, width: int) -> Column:
+    """Numbers of all bins that ``[start, end)`` touches."""
+    return F.explode(F.sequence(_bin(start, width), _bin(end - 1, width)))
 
 
-def _repeated(frame: DataFrame, salt: int) -> DataFrame:
-    return frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Salt a join on (chrom, _bin): parts of a bin follow from the counted rows of ``busy`` in it.
+
+    A bin of up to ``rows`` rows is one part and nothing is repeated; a fuller one is split by
+    ``part``, and only there ``other`` is repeated. The full bins are few, at most one for every
+    ``rows`` rows; whether they are broadcast is left to Spark's check of their size.
+    """
+    counted = busy.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    full = counted.filter(F.col("_n") > rows).select(
+        "chrom", "_bin", (F.floor((F.col("_n") - 1) / rows) + 1).cast("int").alias("_full")
+    )
+    parts = F.coalesce("_full", F.lit(1))
+    split = busy.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(part, parts).cast("int"))
+    spread = other.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return split.drop("_full"), spread.drop("_full")
 
 
 def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame:
@@ -116,36 +132,57 @@ def pileup(
     skip_flags: int = SKIP_FLAGS,
     min_base_quality: int = MIN_BASE_QUALITY,
     bin_width: int = 128,
-    salt: int = 8,
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """Read evidence per site: ``key, DP, AD, VAF, MQ, SB``; uncovered sites give zeros.
 
     ``sites``: key, chrom, pos (1-based), alt. DP counts every read over the site, deletions
-    included; AD the reads whose base equals a one-letter alt, so longer alts have AD 0.
-    All sites share one join; the per-site totals are combined before they are shuffled.
+    included; AD the reads whose base equals a one-letter alt, so longer alts have AD 0. A row of
+    ``sites`` that repeats another one gets the same numbers.
+
+    Places and alts are reduced to different ones first. Reads keep, in each bin that has a site,
+    only the letters inside the bin, and equal pieces are added up before the join.
     """
-    spans = aligned_blocks(reads, skip_flags)
-    bins = F.sequence(_bin(F.col("start"), bin_width), _bin(F.col("end") - 1, bin_width))
-    spans = _salted(spans.withColumn("_bin", F.explode(bins)), salt, "start", "end", "seq", "mapq", "is_reverse")
-    points = sites.select("key", "chrom", (F.col("pos").cast("bigint") - 1).alias("_p"), "alt")
-    keyed = _repeated(points.withColumn("_bin", _bin(F.col("_p"), bin_width)), salt)
-    over = keyed.join(spans, ["chrom", "_bin", "_salt"]).filter(
+    alt = F.coalesce("alt", F.lit("")).alias("alt")
+    asked = sites.select("key", "chrom", (F.col("pos").cast("bigint") - 1).alias("_p"), alt)
+    points = asked.select("chrom", "_p", "alt").distinct().withColumn("_bin", _bin(F.col("_p"), bin_width))
+    spans = aligned_blocks(reads, skip_flags).withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
+    spans = spans.join(points.select("chrom", "_bin").distinct(), ["chrom", "_bin"], "left_semi")
+    low = F.greatest("start", F.col("_bin") * bin_width)
+    high = F.least("end", (F.col("_bin") + 1) * bin_width)
+    skip, size = (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
+    pieces = spans.select(
+        "chrom",
+        "_bin",
+        low.alias("start"),
+        high.alias("end"),
+        F.substr("seq", skip, size).alias("seq"),
+        F.slice("quals", skip, size).alias("quals"),
+        F.col("mapq").cast("bigint").alias("mapq"),
+        "is_reverse",
+    )
+    same = ["chrom", "_bin", "start", "end", "seq", "quals", "is_reverse"]
+    pieces = pieces.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.sum("mapq").alias("_q"))
+    busy, keyed = _dealt(pieces, points, F.xxhash64("start", "end", "seq", "quals", "is_reverse"), bin_rows)
+    over = keyed.join(busy, ["chrom", "_bin", "_salt"]).filter(
         (F.col("start") <= F.col("_p")) & (F.col("_p") < F.col("end"))
     )
     offset = (F.col("_p") - F.col("start") + 1).cast("int")
     base = F.upper(F.substr("seq", offset, F.lit(1)))
     quality = F.get("quals", offset - 1)
     good = quality.isNull() | (quality >= min_base_quality)
-    supports = F.coalesce(good & (base == F.upper("alt")), F.lit(False))
-    totals = over.select("key", supports.alias("hit"), "mapq", "is_reverse").groupBy("key").agg(
-        F.count(F.lit(1)).alias("DP"),
-        F.count_if("hit").alias("AD"),
-        F.sum(F.when(F.col("hit"), F.col("mapq").cast("bigint")).otherwise(F.lit(0).cast("bigint"))).alias("_mq"),
-        F.count_if(F.col("hit") & ~F.col("is_reverse")).alias("_fwd"),
-        F.count_if(F.col("hit") & F.col("is_reverse")).alias("_rev"),
+    hit = F.coalesce(good & (base == F.upper("alt")), F.lit(False))
+    none = F.lit(0).cast("bigint")
+    place = ["chrom", "_p", "alt"]
+    totals = over.select(*place, hit.alias("hit"), "_n", "_q", "is_reverse").groupBy(*place).agg(
+        F.sum("_n").alias("DP"),
+        F.sum(F.when(F.col("hit"), F.col("_n")).otherwise(none)).alias("AD"),
+        F.sum(F.when(F.col("hit"), F.col("_q")).otherwise(none)).alias("_mq"),
+        F.sum(F.when(F.col("hit") & ~F.col("is_reverse"), F.col("_n")).otherwise(none)).alias("_fwd"),
+        F.sum(F.when(F.col("hit") & F.col("is_reverse"), F.col("_n")).otherwise(none)).alias("_rev"),
     )
     zero = F.lit(0).cast("bigint")
-    filled = points.select("key").join(totals, "key", "left").select(
+    filled = asked.join(totals, place, "left").select(
         "key", *[F.coalesce(F.col(c), zero).alias(c) for c in ("DP", "AD", "_mq", "_fwd", "_rev")]
     )
     support = F.greatest(F.col("AD"), F.lit(1))
@@ -159,32 +196,35 @@ def pileup(
     )
 
 
-def window_signal(windows: DataFrame, signal: DataFrame, bin_width: int = 256, salt: int = 8) -> DataFrame:
+def window_signal(windows: DataFrame, signal: DataFrame, bin_width: int = 256, bin_rows: int = BIN_ROWS) -> DataFrame:
     """Overlap-weighted signal per window: ``key, size, covered, sum, mean``; 0 where nothing overlaps.
 
     ``windows``: key, chrom, start, end; ``signal``: chrom, start, end, value; both 0-based and
-    half-open. A pair is kept in the bin of the later of both starts only, so it counts once.
+    half-open. A pair is kept in the bin of the later of both starts only, so it counts once. A
+    letter under several intervals of the signal counts once for each, in ``covered`` too. A row of
+    ``windows`` that repeats another one gets the same numbers.
     """
-    spread = F.sequence(_bin(F.col("start"), bin_width), _bin(F.col("end") - 1, bin_width))
-    left = windows.filter(F.col("end") > F.col("start")).select("key", "chrom", "start", "end")
-    left = _salted(left.withColumn("_bin", F.explode(spread)), salt, "key")
+    kept = windows.filter(F.col("end") > F.col("start")).select("chrom", "start", "end").distinct()
+    left = kept.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
     right = signal.filter(F.col("end") > F.col("start")).select(
-        "chrom", "start", "end", F.col("value").cast("double").alias("value")
-    )
-    right = _repeated(right.withColumn("_bin", F.explode(spread)), salt).withColumnsRenamed(
-        {"start": "_s", "end": "_e"}
+        "chrom", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("value").cast("double").alias("value")
     )
+    right = right.withColumn("_bin", _bins(F.col("_s"), F.col("_e"), bin_width))
+    # The signal is the long side: what lies in bins without a window goes before anything else.
+    right = right.join(left.select("chrom", "_bin").distinct(), ["chrom", "_bin"], "left_semi")
+    left, right = _dealt(left, right, F.xxhash64("start", "end"), bin_rows)
     later = F.greatest("start", "_s")
     overlap = F.least("end", "_e") - later
     pairs = left.join(right, ["chrom", "_bin", "_salt"]).filter(
         (overlap > 0) & (_bin(later, bin_width) == F.col("_bin"))
     )
-    totals = pairs.groupBy("key").agg(
+    place = ["chrom", "start", "end"]
+    totals = pairs.groupBy(*place).agg(
         F.sum(overlap).alias("covered"), F.sum(F.col("value") * overlap).alias("sum")
     )
-    return windows.select("key", (F.col("end") - F.col("start")).alias("size")).join(totals, "key", "left").select(
+    return windows.select("key", *place).join(totals, place, "left").select(
         "key",
-        "size",
+        (F.col("end") - F.col("start")).alias("size"),
         F.coalesce("covered", F.lit(0).cast("bigint")).alias("covered"),
         F.coalesce("sum", F.lit(0.0)).alias("sum"),
         ratio_or_zero("sum", "covered").alias("mean"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.hashing import unit, with_digest, with_draw, with_index
 from callscope.operators import curves
+from callscope.operators.metrics import class_sizes
 from callscope.operators.ordered import Cut, dense_index, uncut
 from callscope.operators.replicates import replicate_areas
 
@@ -32,56 +33,54 @@ def hash_split(rows: DataFrame, key: str = "key", share: float = TRAIN_SHARE, se
     return drawn.withColumn("split", side).drop("_h", "_l", "_u")
 
 
-def _class_sizes(rows: DataFrame) -> Column:
-    """Rows per class as one scalar subquery."""
-    return rows.agg(
-        F.struct(
-            F.count_if(F.col("label") == 0).alias("n0"),
-            F.count_if(F.col("label") == 1).alias("n1"),
-        )
-    ).scalar()
-
-
-def _class_check(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """No rows, or an error if a class is missing; stack it onto a result that needs both."""
-    counts = rows.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+def _class_check(rows: DataFrame, like: DataFrame, group: Sequence[str]) -> DataFrame:
+    """No rows, or an error if a group lacks a class; stack it onto a result that needs both."""
+    counts = rows.groupBy(*group).agg(
+        F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")
+    )
     missing = F.raise_error(F.lit("cannot balance: both classes are needed")).cast("boolean")
     checked = counts.filter(F.when((F.col("n0") > 0) & (F.col("n1") > 0), F.lit(False)).otherwise(missing))
     return checked.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
-def balanced_sample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED) -> DataFrame:
-    """All positives, and as many negatives drawn with replacement.
+def balanced_sample(
+    rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED, group: Sequence[str] = ()
+) -> DataFrame:
+    """Per group all positives, and as many negatives drawn with replacement.
 
     Adds ``draw``: empty for a positive, else the key of the positive the negative was drawn for.
-    ``key`` must be unique. Fails if a class is missing.
+    ``key`` must be unique in its group. Fails if a group lacks a class.
     """
+    group = list(group)
     labelled = rows.filter(F.col("label").isin(0, 1))
     positives = labelled.filter(F.col("label") == 1)
-    sized = positives.select(F.col(key).cast("string").alias("draw")).withColumn("_sizes", _class_sizes(rows))
-    draws = with_index(with_digest(sized, "draw"), "_idx", 0, seed, F.col("_sizes.n0")).select("draw", "_idx")
-    pool = dense_index(labelled.filter(F.col("label") == 0), [], key, "_idx").drop("_idx_size")
-    drawn = draws.join(pool, "_idx").drop("_idx")
+    sized = positives.select(*group, F.col(key).cast("string").alias("draw")).withColumn("_sizes", class_sizes(rows, group))
+    draws = with_index(with_digest(sized, "draw"), "_idx", 0, seed, F.col("_sizes.n0")).select(*group, "draw", "_idx")
+    pool = dense_index(labelled.filter(F.col("label") == 0), group, key, "_idx").drop("_idx_size")
+    drawn = draws.join(pool, [*group, "_idx"]).drop("_idx")
     kept = positives.withColumn("draw", F.lit(""))
-    return kept.unionByName(drawn.select(*kept.columns)).unionByName(_class_check(rows, kept))
+    return kept.unionByName(drawn.select(*kept.columns)).unionByName(_class_check(rows, kept, group))
 
 
-def weighted_resample(rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED) -> DataFrame:
-    """As many rows as given, drawn with replacement, each class with the same total weight.
+def weighted_resample(
+    rows: DataFrame, key: str = "key", seed: int = SAMPLE_SEED, group: Sequence[str] = ()
+) -> DataFrame:
+    """Per group as many rows as given, drawn with replacement, each class with the same total weight.
 
     A draw picks a class, then a row of it. ``draw`` is the key of the row the draw stands for.
     """
+    group = list(group)
     n0, n1 = F.col("_sizes.n0"), F.col("_sizes.n1")
     labelled = rows.filter(F.col("label").isin(0, 1))
     one_class = F.when(n1 == 0, F.lit(0)).when(n0 == 0, F.lit(1))
-    sized = labelled.select(F.col(key).cast("string").alias("draw")).withColumn("_sizes", _class_sizes(rows))
+    sized = labelled.select(*group, F.col(key).cast("string").alias("draw")).withColumn("_sizes", class_sizes(rows, group))
     digested = with_digest(sized, "draw")
     coin = (unit("_u") < 0.5).cast("int")
     picked = with_draw(digested, "_u", 1, seed).withColumn("label", F.coalesce(one_class, coin))
     size = F.when(F.col("label") == 1, n1).otherwise(n0)
-    draws = with_index(picked, "_idx", 2, seed, size).select("draw", "label", "_idx")
-    pool = dense_index(labelled.withColumn("label", F.col("label").cast("int")), ["label"], key, "_idx")
-    return draws.join(pool.drop("_idx_size"), ["label", "_idx"]).drop("_idx")
+    draws = with_index(picked, "_idx", 2, seed, size).select(*group, "draw", "label", "_idx")
+    pool = dense_index(labelled.withColumn("label", F.col("label").cast("int")), [*group, "label"], key, "_idx")
+    return draws.join(pool.drop("_idx_size"), [*group, "label", "_idx"]).drop("_idx")
 
 
 def _replicates(reps: int) -> Column:

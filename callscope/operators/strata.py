@@ -48,27 +48,37 @@ def depth_tertile(rows: DataFrame, value: str, over: DataFrame | None = None, cu
     return edged.withColumn("depth_bin", bins).drop("_edges")
 
 
-def stratified_areas(
+STRATUM = ["tool", "stratum", "bin"]
+
+
+def stratified_curve(
     scored: DataFrame, annotations: DataFrame, reference: bool = False, cut: Cut = uncut
 ) -> DataFrame:
-    """AUPRC and AUROC per tool and stratum; strata that lack a class are left out.
+    """The curve of every tool inside each allele-fraction bin and depth tertile.
 
     Depth tertiles come from distinct keys; ``reference=True`` takes them from the joined rows,
     in which a key counts once per tool.
     """
-    joined = scored.join(annotations.select("key", "vaf_est", "depth_est"), "key", "left")
-    # A key has one depth, so the first tool of a key speaks for it: no second join on the keys.
-    over = joined if reference else joined.groupBy("key").agg(F.max("depth_est").alias("depth_est"))
+    noted = annotations.select("key", "vaf_est", "depth_est")
+    joined = scored.join(noted, "key", "left")
+    # The edges need the annotated keys only, not the rows of all tools.
+    over = joined if reference else noted.join(scored.select("key").distinct(), "key", "left_semi")
     binned = depth_tertile(joined, "depth_est", over, cut).withColumn("vaf_bin", fixed_bin("vaf_est"))
     strata = F.array(
         F.struct(F.lit("vaf").alias("stratum"), F.col("vaf_bin").alias("bin")),
         F.struct(F.lit("depth").alias("stratum"), F.col("depth_bin").alias("bin")),
     )
-    group = ["tool", "stratum", "bin"]
     rows = binned.select("tool", "label", "prob", F.inline(strata)).filter(F.col("bin").isNotNull())
-    points = curves.scored_curve(rows, group, cut)
+    return curves.scored_curve(rows, STRATUM, cut)
+
+
+def stratified_areas(
+    scored: DataFrame, annotations: DataFrame, reference: bool = False, cut: Cut = uncut
+) -> DataFrame:
+    """AUPRC and AUROC per tool and stratum; strata that lack a class are left out."""
     return (
-        points.groupBy(*group)
+        stratified_curve(scored, annotations, reference, cut)
+        .groupBy(*STRATUM)
         .agg(
             F.max("p").alias("positives"),
             F.max("n").alias("negatives"),
@@ -79,9 +89,8 @@ def stratified_areas(
     )
 
 
-def stratified_pr_points(scored: DataFrame, annotations: DataFrame) -> DataFrame:
-    """The precision-recall points behind ``stratified_areas`` for the allele-fraction bins."""
-    joined = scored.join(annotations.select("key", "vaf_est"), "key", "left")
-    rows = joined.withColumn("bin", fixed_bin("vaf_est")).filter(F.col("bin").isNotNull())
-    group = ["tool", "bin"]
-    return curves.pr_points(curves.scored_curve(rows, group), group)
+def stratified_pr_points(
+    scored: DataFrame, annotations: DataFrame, reference: bool = False, cut: Cut = uncut
+) -> DataFrame:
+    """The precision-recall points behind ``stratified_areas``."""
+    return curves.pr_points(stratified_curve(scored, annotations, reference, cut), STRATUM)

@@ -151,6 +151,8 @@ class Comparison:
         stratified = self.strata()
         if stratified is not None:
             sinks.write_csv(stratified, f"{folder}/stratified")
+            points = strata.stratified_pr_points(self.scored, self.annotations, cut=durable)
+            sinks.write_csv(points, f"{folder}/stratified_precision_recall")
         worst = self.top_errors()
         sinks.write_csv(worst, f"{folder}/top_errors_by_tool")
         sinks.write_loci(errors.loci(worst), f"{folder}/top_error_loci")

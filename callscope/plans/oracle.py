@@ -167,9 +167,10 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "seqs": (
         (),
         f"""
-        SELECT o_orderkey AS site, CAST(o_custkey AS VARCHAR) AS contig, 1 + o_orderkey * 37 % 2500 AS pos,
-               1 + o_orderkey * 37 % 2500 - 1 - {SEQUENCE_RADIUS} AS s, text
-        FROM orders LEFT JOIN documents ON doc_id = o_custkey
+        SELECT o_orderkey AS site, CAST(doc AS VARCHAR) AS contig, 1 + o_orderkey * 7919 % (COALESCE(LENGTH(text), 0) + 20) AS pos,
+               o_orderkey * 7919 % (COALESCE(LENGTH(text), 0) + 20) - {SEQUENCE_RADIUS} AS s, text
+        FROM (SELECT o_orderkey, o_orderkey % ((SELECT COUNT(*) FROM documents) + 5) AS doc FROM orders)
+        LEFT JOIN documents ON doc_id = doc
         """,
     ),
     "cut": (
@@ -325,23 +326,23 @@ PARTS["split_draw"] = (("scored",), draw_sql("scored", "0", 42, "u"))
 PARTS["balanced_draws"] = (
     ("classes",),
     index_sql(
-        "(SELECT key FROM classes WHERE tool = 'model' AND label = 1)",
+        "(SELECT tool, key, others FROM classes JOIN (SELECT tool, COUNT(*) AS others FROM classes WHERE label = 0 "
+        "GROUP BY tool) USING (tool) WHERE label = 1)",
         "0",
         42,
-        "SELECT COUNT(*) FROM classes WHERE tool = 'model' AND label = 0",
+        "others",
         "idx",
     ),
 )
 PARTS["coins"] = (
-    ("model",),
-    f"SELECT key, CAST(u / {float(DRAW_RANGE)} < 0.5 AS INT) AS label FROM "
-    f"({draw_sql('(SELECT key FROM model)', '1', 42, 'u')})",
+    ("scored",),
+    f"SELECT tool, key, CAST(u / {float(DRAW_RANGE)} < 0.5 AS INT) AS label FROM "
+    f"({draw_sql('(SELECT tool, key FROM scored)', '1', 42, 'u')})",
 )
 PARTS["weighted_draws"] = (
     ("coins", "classes"),
     index_sql(
-        "(SELECT coins.*, size FROM coins JOIN (SELECT DISTINCT label, size FROM classes WHERE tool = 'model') "
-        "USING (label))",
+        "(SELECT coins.*, size FROM coins JOIN (SELECT DISTINCT tool, label, size FROM classes) USING (tool, label))",
         "2",
         42,
         "size",
@@ -454,6 +455,21 @@ def _strata(kind: str) -> str:
     """
 
 
+def _strata_points(kind: str) -> str:
+    return f"""
+        SELECT tool, '{kind}' AS stratum, bin, UNNEST([threshold, CASE WHEN first THEN -1e0 END]) AS threshold,
+               UNNEST([tp / (tp + fp), CASE WHEN first THEN 1e0 END]) AS precision,
+               UNNEST([tp / p, CASE WHEN first THEN 0e0 END]) AS recall
+        FROM (SELECT *, prob AS threshold, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER g AS p,
+                     SUM(neg) OVER g AS n, ROW_NUMBER() OVER w = 1 AS first
+              FROM (SELECT tool, {kind}_bin AS bin, prob, SUM(label) AS pos, SUM(1 - label) AS neg
+                    FROM binned WHERE {kind}_bin IS NOT NULL GROUP BY tool, {kind}_bin, prob)
+              WINDOW w AS (PARTITION BY tool, bin ORDER BY prob DESC ROWS UNBOUNDED PRECEDING),
+                     g AS (PARTITION BY tool, bin))
+        WHERE p > 0 AND n > 0
+    """
+
+
 _SWEEP_COLUMNS = ("precision", "recall", "f1", "accuracy", "tpr", "fpr", "youden")
 
 
@@ -485,8 +501,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "merge_label": (
         ("variants",),
-        "SELECT chrom, label, src_rank, COUNT(*) AS n_rows, CAST(SUM(pos) AS BIGINT) AS pos_sum FROM variants "
-        "GROUP BY ALL",
+        "SELECT chrom, pos, ref, alt, label, src_rank FROM variants",
     ),
     "truth_load": (("keyed",), "SELECT key, MIN(label) AS label FROM keyed GROUP BY key"),
     "first_per_key": (
@@ -540,11 +555,53 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, CAST(CAST(FLOOR(value * 100) AS BIGINT) AS DOUBLE) AS v FROM events)
         """,
     ),
+    "maf_scan": (
+        ("variants",),
+        "SELECT REGEXP_REPLACE(chrom, '^chr', '') AS chrom, pos, ref, alt, 0 AS label, 'negative' AS source, 0 AS src_rank "
+        "FROM variants WHERE pos % 5 <> 0",
+    ),
+    "truth_vcf_scan": (
+        ("variants",),
+        "SELECT REGEXP_REPLACE(chrom, '^chr', '') AS chrom, pos, ref, UNNEST(STRING_SPLIT(alt, ',')) AS alt, 1 AS label, "
+        "'positive' AS source, 1 AS src_rank FROM variants",
+    ),
+    "good_calls": (
+        ("raw",),
+        """
+        SELECT CAST(id % 22 AS VARCHAR) AS chrom, CAST(rn AS BIGINT) AS pos, 'A' AS ref, 'C' AS alt, CAST(tlod AS DOUBLE) AS score
+        FROM raw WHERE id % 13 <> 0 AND id % 17 <> 0 AND tlod <> 'x'
+        UNION ALL
+        SELECT CAST(id % 22 AS VARCHAR), CAST(rn AS BIGINT), 'A', 'G', CAST(rn AS DOUBLE)
+        FROM raw WHERE id % 13 <> 0 AND id % 17 <> 0 AND tlod <> 'x' AND id % 3 = 0
+        """,
+    ),
+    "fasta_chunks": (
+        (),
+        f"""
+        SELECT contig, k AS chunk_id, SUBSTR(letters, CAST(k * 256 + 1 AS INT), {256 + 2 * SEQUENCE_RADIUS + 1}) AS text
+        FROM (SELECT contig, letters, UNNEST(RANGE(CAST(CEIL(LENGTH(letters) / 256e0) AS BIGINT))) AS k
+              FROM (SELECT CAST(doc_id AS VARCHAR) AS contig,
+                           ARRAY_TO_STRING(LIST_TRANSFORM(STRING_SPLIT(text, chr(10)), lambda x: TRIM(x, ' ')), '') AS letters
+                    FROM documents))
+        """,
+    ),
+    "linear_scores": (
+        (),
+        "SELECT vec_id, ROUND(1 / (1 + EXP(-s)), 6) AS prob FROM (SELECT vec_id, SUM(CAST(x AS DOUBLE) * ((k * 37 % 11 - 5) / 1e1)) "
+        "AS s FROM (SELECT vec_id, UNNEST(RANGE(64)) AS k, UNNEST(embedding) AS x FROM embeddings) GROUP BY vec_id)",
+    ),
     "quarantine": (
         ("raw",),
-        "SELECT 'score is not a number' AS reason, CONCAT('chr', id % 22, chr(9), rn, chr(9), '.', chr(9), 'A', chr(9), "
-        "'C', chr(9), '.', chr(9), filter, chr(9), 'AF=x') AS line, COUNT(*) AS n_rows FROM raw WHERE tlod = 'x' "
-        "GROUP BY ALL",
+        """
+        SELECT reason, line, COUNT(*) AS n_rows FROM (
+          SELECT CASE WHEN id % 13 = 0 THEN 'short line' WHEN id % 17 = 0 THEN 'position is not a number'
+                      WHEN tlod = 'x' THEN 'score is not a number' END AS reason,
+                 CONCAT('chr', id % 22, chr(9), CASE WHEN id % 17 = 0 THEN 'p' ELSE CAST(rn AS VARCHAR) END, chr(9), '.',
+                        chr(9), 'A', chr(9), CASE WHEN id % 3 = 0 THEN 'C,G' ELSE 'C' END,
+                        CASE WHEN id % 13 = 0 THEN '' ELSE CONCAT(chr(9), '.', chr(9), filter, chr(9), 'AF=', tlod,
+                             CASE WHEN id % 3 = 0 THEN CONCAT(',', rn) ELSE '' END) END) AS line
+          FROM raw) WHERE reason IS NOT NULL GROUP BY ALL
+        """,
     ),
     "annotations": (
         ("raw",),
@@ -642,8 +699,8 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         "(SELECT vec_id, UNNEST(RANGE(64)) AS k, UNNEST(embedding) AS x FROM embeddings)",
     ),
     "class_weights": (
-        ("model",),
-        "SELECT key, label, ROUND(1e0 / COUNT(*) OVER (PARTITION BY label), 9) AS weight FROM model",
+        ("scored",),
+        "SELECT tool, key, label, ROUND(1e0 / COUNT(*) OVER (PARTITION BY tool, label), 9) AS weight FROM scored",
     ),
     "fixed_bins": (
         ("noted",),
@@ -653,6 +710,12 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         ("binned",),
         "SELECT tool, depth_bin, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS positives FROM binned GROUP BY ALL",
     ),
+    "stratified_pr_points": (
+        ("binned",),
+        "SELECT tool, stratum, bin, ROUND(CASE WHEN threshold >= 0 THEN threshold END, 6) AS threshold, "
+        "ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall FROM "
+        f"({_strata_points('vaf')} UNION ALL {_strata_points('depth')}) WHERE recall IS NOT NULL",
+    ),
     "stratified_pr": (("binned",), _strata("vaf") + " UNION ALL " + _strata("depth")),
     "class_counts": (
         ("scored",),
@@ -843,13 +906,13 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "balanced_sample": (
         ("balanced_draws", "classes"),
-        "SELECT '' AS draw, key, label, prob FROM classes WHERE tool = 'model' AND label = 1 UNION ALL "
-        "SELECT d.key, c.key, c.label, c.prob FROM balanced_draws d JOIN classes c ON c.tool = 'model' "
+        "SELECT tool, '' AS draw, key, label, prob FROM classes WHERE label = 1 UNION ALL "
+        "SELECT d.tool, d.key, c.key, c.label, c.prob FROM balanced_draws d JOIN classes c ON c.tool = d.tool "
         "AND c.label = 0 AND c.idx = d.idx",
     ),
     "weighted_resample": (
         ("weighted_draws", "classes"),
-        "SELECT d.key AS draw, c.key, c.label, c.prob FROM weighted_draws d JOIN classes c ON c.tool = 'model' "
+        "SELECT d.tool, d.key AS draw, c.key, c.label, c.prob FROM weighted_draws d JOIN classes c ON c.tool = d.tool "
         "AND c.label = d.label AND c.idx = d.idx",
     ),
     "bootstrap_auroc": (

@@ -89,10 +89,7 @@ def site_windows(spark, sf):
 
 def merge_label(spark, sf):
     raw = views.variants(spark, sf)
-    merged = align.merge_labelled(raw.filter("label = 0"), raw.filter("label = 1"))
-    return merged.groupBy("chrom", "label", "src_rank").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("pos").alias("pos_sum")
-    )
+    return align.merge_labelled(raw.filter("label = 0"), raw.filter("label = 1"))
 
 
 def truth_load(spark, sf):
@@ -174,24 +171,35 @@ def info_score(spark, sf):
     )
 
 
+def maf_scan(spark, sf):
+    """Mutation tables of two column orders, with comments and a second genome build."""
+    return variants.parse_maf(variants.without_comments(views.maf_lines(spark, sf)))
+
+
+def truth_vcf_scan(spark, sf):
+    return variants.parse_truth_vcf(variants.without_comments(views.truth_lines(spark, sf)))
+
+
+def good_calls(spark, sf):
+    return rounded(variants.good_calls(variants.parse_calls(views.call_lines(spark, sf))))
+
+
+def fasta_chunks(spark, sf):
+    """Lines of documents as sequences in files of several splits, put together again as chunks."""
+    chunks = fasta.assemble_chunks(fasta.place_lines(views.fasta_lines(spark, sf)), SEQUENCE_STRIDE, 2 * SEQUENCE_RADIUS + 1)
+    return chunks.select("contig", "chunk_id", "text")
+
+
+def linear_scores(spark, sf):
+    """Given coefficients and the logistic function."""
+    values = F.transform("embedding", lambda x, i: x.cast("double") * ((i * 37 % 11 - 5) / 10.0))
+    total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    return rounded(views.table(spark, sf, "embeddings").select("vec_id", numeric.sigmoid(total).alias("prob")))
+
+
 def quarantine(spark, sf):
-    """Call lines built from the raw columns: those with a bad score text are set aside."""
-    raw = views.calls_raw(spark, sf)
-    lines = raw.select(
-        F.concat_ws(
-            "\t",
-            F.concat(F.lit("chr"), (F.col("id") % 22).cast("string")),
-            F.col("rn").cast("string"),
-            F.lit("."),
-            F.lit("A"),
-            F.lit("C"),
-            F.lit("."),
-            F.col("filter"),
-            F.concat(F.lit("AF="), F.col("tlod")),
-        ).alias("line"),
-        F.lit("calls").alias("file"),
-    )
-    bad = variants.bad_lines(variants.parse_calls(lines))
+    """Call lines built from the raw columns: those with something wrong are set aside."""
+    bad = variants.bad_lines(variants.parse_calls(views.call_lines(spark, sf)))
     return bad.groupBy("reason", "line").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -377,6 +385,10 @@ def stratified_pr(spark, sf):
     return rounded(strata.stratified_areas(views.scored(spark, sf), views.depths(spark, sf), cut=durable))
 
 
+def stratified_pr_points(spark, sf):
+    return rounded(strata.stratified_pr_points(views.scored(spark, sf), views.depths(spark, sf), cut=durable))
+
+
 # --- metrics on the scored table ---------------------------------------------------------------
 
 
@@ -393,18 +405,16 @@ def report_rows(spark, sf):
 
 
 def class_weights(spark, sf):
-    model = views.scored(spark, sf).filter("tool = 'model'")
-    return metrics.class_weights(model).select("key", "label", F.round("weight", 9).alias("weight"))
+    weighted = metrics.class_weights(views.scored(spark, sf), group=["tool"])
+    return weighted.select("tool", "key", "label", F.round("weight", 9).alias("weight"))
 
 
 def balanced_sample(spark, sf):
-    model = views.scored(spark, sf).filter("tool = 'model'")
-    return resample.balanced_sample(model).select("draw", "key", "label", "prob")
+    return resample.balanced_sample(views.scored(spark, sf), group=["tool"]).select("tool", "draw", "key", "label", "prob")
 
 
 def weighted_resample(spark, sf):
-    model = views.scored(spark, sf).filter("tool = 'model'")
-    return resample.weighted_resample(model).select("draw", "key", "label", "prob")
+    return resample.weighted_resample(views.scored(spark, sf), group=["tool"]).select("tool", "draw", "key", "label", "prob")
 
 
 def _bootstrap(name: str) -> Query:
@@ -435,6 +445,9 @@ def queries() -> dict[str, Query]:
         "score_chain": score_chain,
         "score_fallback": score_fallback,
         "info_score": info_score,
+        "maf_scan": maf_scan,
+        "truth_vcf_scan": truth_vcf_scan,
+        "good_calls": good_calls,
         "quarantine": quarantine,
         "annotations": annotations,
         # joins and sets
@@ -455,14 +468,17 @@ def queries() -> dict[str, Query]:
         "window_signal": window_signal,
         "seq_window": seq_window,
         "one_hot": one_hot,
+        "fasta_chunks": fasta_chunks,
         "transpose_array": transpose_array,
         # learning
         "lr_scores": lr_scores,
+        "linear_scores": linear_scores,
         "class_weights": class_weights,
         # strata
         "fixed_bins": fixed_bins,
         "quantile_bins": quantile_bins,
         "stratified_pr": stratified_pr,
+        "stratified_pr_points": stratified_pr_points,
         # counts and metrics
         "class_counts": on_scored(metrics.class_counts),
         "hard_calls": on_scored(metrics.hard_calls),

@@ -141,9 +141,15 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contig_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One site per order, somewhere in the text its customer number points to."""
-    return table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS site", "CAST(o_custkey AS STRING) AS contig", "1 + o_orderkey * 37 % 2500 AS pos"
+    """One site per order, anywhere in a text or a little behind its end; some texts do not exist."""
+    documents = table(spark, sf_dir, "documents")
+    sizes = documents.select("doc_id", F.length("text").alias("size"))
+    many = documents.agg(F.count(F.lit(1))).scalar()
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % (many + 5)).alias("doc_id"))
+    return orders.join(sizes, "doc_id", "left").select(
+        F.col("o_orderkey").alias("site"),
+        F.col("doc_id").cast("string").alias("contig"),
+        (1 + F.col("o_orderkey") * 7919 % (F.coalesce("size", F.lit(0)) + 20)).alias("pos"),
     )
 
 
@@ -151,3 +157,69 @@ def positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS index", "CAST(event_type = 'error' AS INT) AS label", "value"
     )
+
+
+def _extra_lines(spark: SparkSession, sf_dir: str, lines: dict[str, str]) -> DataFrame:
+    """Lines that stand once in a file: ``file`` -> text, cut at line feeds."""
+    one = table(spark, sf_dir, "region").filter("r_regionkey = 0")
+    pairs = F.array(*[F.struct(F.lit(text).alias("line"), F.lit(file).alias("file")) for file, text in lines.items()])
+    spread = one.select(F.inline(pairs))
+    return spread.select(F.explode(F.split("line", "\n")).alias("line"), "file")
+
+
+def maf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = variants(spark, sf_dir).withColumn("build", F.when(F.col("pos") % 5 == 0, "GRCh37").otherwise("GRCh38"))
+    orders = {
+        "a": ("chrom", "pos", "ref", "alt", "build"),
+        "b": ("build", "alt", "chrom", "label", "ref", "pos"),
+    }
+    parts = [
+        rows.filter(F.col("pos") % 2 == k).select(
+            F.concat_ws("\t", *[F.col(c).cast("string") for c in order]).alias("line"), F.lit(file).alias("file")
+        )
+        for k, (file, order) in enumerate(orders.items())
+    ]
+    heads = {
+        "a": "#version 2.4\nChromosome\tStart_Position\tReference_Allele\tTumor_Seq_Allele2\tNCBI_Build\r",
+        "b": "# other\nNCBI_Build\tTumor_Seq_Allele2\tChromosome\tExtra\tReference_Allele\tStart_Position",
+    }
+    return _extra_lines(spark, sf_dir, heads).unionByName(parts[0]).unionByName(parts[1])
+
+
+def truth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."))
+    rows = variants(spark, sf_dir).select(fields.alias("line"), F.lit("t").alias("file"))
+    return _extra_lines(spark, sf_dir, {"t": "##fileformat\n#CHROM\tPOS\n"}).unionByName(rows)
+
+
+def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call lines of which some are short, some have a bad position and some a bad score text."""
+    raw = calls_raw(spark, sf_dir)
+    whole = F.concat_ws(
+        "\t",
+        F.concat(F.lit("chr"), (F.col("id") % 22).cast("string")),
+        F.when(F.col("id") % 17 == 0, "p").otherwise(F.col("rn").cast("string")),
+        F.lit("."),
+        F.lit("A"),
+        F.when(F.col("id") % 3 == 0, "C,G").otherwise("C"),
+        F.lit("."),
+        F.col("filter"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("AF="), "tlod", F.lit(","), F.col("rn").cast("string"))).otherwise(
+            F.concat(F.lit("AF="), "tlod")
+        ),
+    )
+    line = F.when(F.col("id") % 13 == 0, F.substring_index(whole, "\t", 5)).otherwise(whole)
+    return raw.select(line.alias("line"), F.lit("calls").alias("file"))
+
+
+def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sequences in three files; a split of a file holds a few documents, or part of one."""
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" x\n"), "text"), "\n")).alias("i", "line")
+    )
+    return lines.select(
+        "line",
+        (F.col("doc_id") % 3).cast("string").alias("file"),
+        (F.col("doc_id") * 100_000 + F.floor(F.col("i") / 4)).alias("block"),
+        F.col("i").cast("bigint").alias("at"),
+    )

@@ -1,6 +1,6 @@
 """Reference sequences as a table of overlapping chunks.
 
-``contig, chunk_id, offset, text``: chunk k covers letters ``[k*stride, (k+1)*stride + halo)``, so
+``contig, chunk_id, offset, text, halo``: chunk k covers letters ``[k*stride, (k+1)*stride + halo)``, so
 any window up to the halo in length lies inside the chunk its first letter belongs to.
 """
 
@@ -17,32 +17,44 @@ HALO = 512
 
 
 def chunk_text(contigs: DataFrame, stride: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """Cut contigs that are rows ``contig, text`` into chunks; no shuffle."""
-    last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / F.lit(stride)).cast("bigint")
-    ids = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
-    return contigs.select("contig", "text", ids.alias("chunk_id")).select(
-        "contig",
-        "chunk_id",
-        (F.col("chunk_id") * stride).alias("offset"),
-        F.substr("text", (F.col("chunk_id") * stride + 1).cast("int"), F.lit(stride + halo)).alias("text"),
-    )
+    """Cut contigs that are rows ``contig, text`` into chunks; no shuffle, one pass over each text."""
+    pieces = contigs.select("contig", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)).alias("_pieces"))
+    behind = -(-halo // stride)
+
+    def chunk(piece, k):
+        following = F.array_join(F.slice("_pieces", k + 2, F.lit(behind)), "")
+        return F.struct(
+            k.cast("bigint").alias("chunk_id"),
+            (k.cast("bigint") * stride).alias("offset"),
+            F.concat(piece, F.substr(following, F.lit(1), F.lit(halo))).alias("text"),
+            F.lit(halo).alias("halo"),
+        )
+
+    return pieces.select("contig", F.inline(F.transform("_pieces", chunk)))
 
 
 def read_fasta(
     spark: SparkSession, path: str | Sequence[str], stride: int = CHUNK, halo: int = HALO
 ) -> DataFrame:
-    """Chunks straight from the lines of FASTA files.
-
-    A whole chromosome never becomes one row. Lines are placed in two steps: inside the file
-    split they come from, and then across splits by adding up what each split contributes - its
-    last contig name and the letters behind it.
-    """
+    """Chunks straight from the lines of FASTA files."""
     lines = spark.read.text(path).select(
-        F.trim("value").alias("line"),
+        F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
+    return assemble_chunks(place_lines(lines), stride, halo)
+
+
+def place_lines(lines: DataFrame) -> DataFrame:
+    """``contig, offset, text`` of every sequence line.
+
+    ``lines``: line, file, block (order of the split inside its file) and at (order inside the
+    split). A whole chromosome never becomes one row. Lines are placed in two steps: inside the file
+    split they come from, and then across splits by adding up what each split contributes - its
+    last contig name and the letters behind it.
+    """
+    lines = lines.withColumn("line", F.trim("line"))
     is_header = F.startswith("line", F.lit(">"))
     named = lines.withColumns(
         {
@@ -78,7 +90,7 @@ def read_fasta(
         "offset_in", F.col("seen") - F.coalesce(F.max("header_at").over(before), F.lit(0).cast("bigint"))
     ).select("file", "block", "contig_in", "offset_in")
 
-    pieces = (
+    return (
         placed.filter(F.col("name").isNull() & (F.col("letters") > 0))
         .join(carried, ["file", "block"])
         .select(
@@ -90,7 +102,6 @@ def read_fasta(
         )
         .filter(F.col("contig").isNotNull())
     )
-    return assemble_chunks(pieces, stride, halo)
 
 
 def assemble_chunks(pieces: DataFrame, stride: int = CHUNK, halo: int = HALO) -> DataFrame:
@@ -107,4 +118,6 @@ def assemble_chunks(pieces: DataFrame, stride: int = CHUNK, halo: int = HALO) ->
     text = F.array_join(F.transform(ordered, lambda x: x["part"]), "")
     chunks = parts.groupBy("contig", "chunk_id").agg(text.alias("text"))
     covered = F.length("text") > 0
-    return chunks.filter(covered).select("contig", "chunk_id", (F.col("chunk_id") * stride).alias("offset"), "text")
+    return chunks.filter(covered).select(
+        "contig", "chunk_id", (F.col("chunk_id") * stride).alias("offset"), "text", F.lit(halo).alias("halo")
+    )

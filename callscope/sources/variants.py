@@ -19,26 +19,37 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def data_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lines that are not comments, with the file they come from."""
-    return (
-        spark.read.text(path)
-        .select(F.rtrim(F.col("value"), F.lit("\r")).alias("line"), F.col("_metadata.file_path").alias("file"))
-        .filter(~F.startswith("line", F.lit("#")) & (F.length("line") > 0))
+    return without_comments(
+        spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    )
+
+
+def without_comments(lines: DataFrame) -> DataFrame:
+    """Lines ``line, file`` that are neither empty nor comments, without carriage returns."""
+    return lines.select(F.rtrim(F.col("line"), F.lit("\r")).alias("line"), "file").filter(
+        ~F.startswith("line", F.lit("#")) & (F.length("line") > 0)
     )
 
 
 def read_maf(spark: SparkSession, path: str | Sequence[str], build: str = GENOME_BUILD) -> DataFrame:
-    """Variants of one genome build from mutation tables, labelled 0.
+    """Variants of one genome build from mutation tables, labelled 0; see ``parse_maf``."""
+    return parse_maf(data_lines(spark, path), build)
+
+
+def parse_maf(lines: DataFrame, build: str = GENOME_BUILD) -> DataFrame:
+    """Variants from the lines ``line, file`` of mutation tables.
 
     The header is the line that names all required columns. Every file brings its own, in its
-    own column order; headers (one row per file) are joined to the lines of their file. A file
-    without such a header is an error.
+    own column order; the headers, one per file, reach the lines as one map in a scalar subquery,
+    so no line is shuffled. A file without such a header is an error.
     """
-    rows = data_lines(spark, path).withColumn("fields", F.split("line", "\t"))
+    rows = lines.withColumn("fields", F.split("line", "\t"))
     names = F.transform("fields", lambda field: F.lower(F.trim(field)))
     is_header = F.forall(F.array(*[F.lit(c) for c in MAF_COLUMNS]), lambda c: F.array_contains(names, c))
     marked = rows.select("file", "fields", is_header.alias("is_header"), F.when(is_header, names).alias("names"))
     headers = marked.filter("is_header").groupBy("file").agg(F.min("names").alias("header"))
-    body = marked.filter(~F.col("is_header")).select("file", "fields").join(headers, "file", "left")
+    by_file = headers.agg(F.map_from_entries(F.collect_list(F.struct("file", "header")))).scalar()
+    body = marked.filter(~F.col("is_header")).select("file", "fields", by_file[F.col("file")].alias("header"))
     checked = F.when(
         F.col("header").isNull(), F.raise_error(F.concat(F.lit("required columns missing in "), F.col("file")))
     ).otherwise(F.col("header"))
@@ -63,10 +74,13 @@ def read_maf(spark: SparkSession, path: str | Sequence[str], build: str = GENOME
 
 def read_truth_vcf(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per alternative allele, labelled 1."""
+    return parse_truth_vcf(data_lines(spark, path))
+
+
+def parse_truth_vcf(lines: DataFrame) -> DataFrame:
     fields = F.split("line", "\t")
     return (
-        data_lines(spark, path)
-        .select(fields.alias("f"))
+        lines.select(fields.alias("f"))
         .select(
             norm_chrom(F.get("f", F.lit(0))).alias("chrom"),
             F.get("f", F.lit(1)).cast("bigint").alias("pos"),

@@ -66,15 +66,20 @@ def test_symmetry_and_monotone_maps(scored):
 
 
 def test_partitions_and_cells_do_not_matter(spark, scored, samples):
-    def table(frame, cell_rows):
+    def table(frame):
         counts = curves.score_counts(frame)
-        totals = ordered.running_totals(counts, ["tool"], "score", ["pos", "neg"], True, cell_rows)
+        totals = ordered.running_totals(counts, ["tool"], "score", ["pos", "neg"], True)
         return sorted(map(tuple, totals.collect()))
 
-    base = table(scored, ordered.CELL_ROWS)
-    assert table(scored.repartition(13), ordered.CELL_ROWS) == base
-    assert table(scored.coalesce(1), 0) == base
-    assert table(scored, 3) == base
+    base = table(scored)
+    assert table(scored.repartition(13)) == base
+    assert table(scored.coalesce(1)) == base
+
+
+def test_infinite_scores(spark):
+    rows = [("t", f"k{i}", i % 2, s) for i, s in enumerate([float("inf"), 1e305, 2.0, 0.5, -1e305, float("-inf")])]
+    frame = spark.createDataFrame(rows, "tool string, key string, label int, prob double")
+    assert curves.areas(curves.scored_curve(frame)).first()["auroc"] == pytest.approx(1 / 3)
 
 
 def test_one_score_holding_most_rows(spark):

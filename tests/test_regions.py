@@ -50,8 +50,8 @@ def expected_pileup(site, reads, floor=13):
     return site[0], dp, ad, ad / dp if dp else 0.0, mq / max(ad, 1), abs(forward - reverse) / max(ad, 1)
 
 
-@pytest.mark.parametrize("bin_width,salt", [(16, 1), (128, 8)])
-def test_pileup(spark, bin_width, salt):
+@pytest.mark.parametrize("bin_width,bin_rows", [(16, 5), (128, 50_000)])
+def test_pileup(spark, bin_width, bin_rows):
     source = random.Random(1)
     shapes = [
         [("M", 20)], [("S", 3), ("M", 10), ("I", 2), ("M", 8)], [("M", 7), ("D", 4), ("M", 9)],
@@ -71,11 +71,12 @@ def test_pileup(spark, bin_width, salt):
     # A third of all reads over one place.
     reads += [("1", 40, 50, [("M", 10)], "A" * 10, None, 60, False, 0)] * 150
     sites = [(f"s{c}{p}{a}", c, p, a) for c in "12" for p in (1, 5, 30, 41, 45, 80, 300) for a in ("A", "g", "AC")]
+    sites += sites[:9]  # repeated keys get the same numbers, not their sum
     got = regions.pileup(
         spark.createDataFrame(sites, "key string, chrom string, pos bigint, alt string"),
         spark.createDataFrame(reads, READS),
         bin_width=bin_width,
-        salt=salt,
+        bin_rows=bin_rows,
     )
     assert sorted(map(tuple, got.collect())) == sorted(expected_pileup(s, reads) for s in sites)
 
@@ -84,13 +85,15 @@ def test_pileup(spark, bin_width, salt):
 def test_window_signal(spark, bin_width):
     source = random.Random(2)
     windows = [(f"w{i}", "1", s, s + source.randrange(0, 60)) for i, s in enumerate(source.choices(range(200), k=40))]
+    windows += windows[:5]
     signal = [("1", s, s + source.randrange(0, 30), float(source.randrange(9))) for s in source.choices(range(220), k=60)]
     got = regions.window_signal(
         spark.createDataFrame(windows, "key string, chrom string, start bigint, end bigint"),
         spark.createDataFrame(signal, "chrom string, start bigint, end bigint, value double"),
         bin_width,
-        salt=3,
+        bin_rows=3,
     )
+    assert got.count() == len(windows)
     for key, size, covered, total, mean in got.collect():
         _, _, s, e = next(w for w in windows if w[0] == key)
         parts = [(max(0, min(e, b) - max(s, a)), v) for _, a, b, v in signal]
@@ -140,3 +143,22 @@ def test_merge_and_features(spark):
     rows = {r["key"]: r for r in features.feature_rows(variants, merged, chunks, radius=2, stride=10).collect()}
     assert [round(v, 3) for v in rows["c"]["qc"]] == [5, 0, 0.1, 1, 0, 0, 3] and rows["z"]["qc"] == [0.0] * 7
     assert len(rows["c"]["seq"]) == 4 and [list(r) for r in rows["c"]["seq"]][0] == [0, 0, 1, 0, 0]
+
+
+def test_short_halo_is_an_error(spark):
+    contigs = spark.createDataFrame([("c", "ACGT" * 3000)], "contig string, text string")
+    sites = spark.createDataFrame([("c", 4391)], "contig string, pos bigint")
+    with pytest.raises(Exception, match="halo"):
+        features.sequence_windows(sites, fasta.chunk_text(contigs, halo=512), radius=300).collect()
+    row = features.sequence_windows(sites, fasta.chunk_text(contigs, halo=600), radius=300).first()
+    assert row["seq"] == ("ACGT" * 3000)[4391 - 1 - 300 : 4391 + 300]
+
+
+def test_identical_reads_merge(spark):
+    reads = spark.range(100_000).selectExpr(
+        "'1' AS chrom", "40L AS start", "array(named_struct('op', 'M', 'len', 10)) AS cigar", "'AAAAAAAAAA' AS seq",
+        "CAST(NULL AS array<int>) AS quals", "60 AS mapq", "false AS is_reverse", "0 AS flag",
+    )
+    sites = spark.createDataFrame([("a", "1", 45, "A")], "key string, chrom string, pos bigint, alt string")
+    row = regions.pileup(sites, reads).first()
+    assert (row["DP"], row["AD"], row["MQ"]) == (100_000, 100_000, 60.0)

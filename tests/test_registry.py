@@ -10,8 +10,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as contract
 import check_oracle
 
+from callscope.plans import oracle, queries
+
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +33,7 @@ def test_entry(spark):
 def test_only_learning_lacks_sql():
     assert set(QUERIES) - set(SQL) == {"lr_scores"}
     assert not set(SQL) - set(QUERIES)
+
+
+def test_contract_holds_all_core_queries():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
