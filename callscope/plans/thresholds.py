@@ -1,4 +1,4 @@
-"""Choice of a threshold, and the uncertainty of the areas."""
+"""The balanced-sample threshold and its confusion table."""
 
 from __future__ import annotations
 

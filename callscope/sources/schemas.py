@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 VARIANTS = "chrom string, pos bigint, ref string, alt string, label int, source string, src_rank int"
-SITES = "chrom string, pos bigint, ref string, alt string"
 WINDOWS = "chrom string, start bigint, end bigint, key string"
 EVIDENCE = "key string, DP double, AD double, VAF double, MQ double, SB double"
 SIGNAL = "key string, size bigint, covered bigint, sum double, mean double"
-MERGED_QC = "key string, DP double, AD double, VAF double, MQ double, SB double, MAP double, RTIM double"
 PREDICTIONS = "index bigint, label int, prob double, `pred_0.5` int"
-KEYED_PREDICTIONS = "key string, label int, prob double, `pred_0.5` int, index bigint"
-CALLS = "chrom string, pos bigint, ref string, alt string, score double"
-SCORED = "key string, label int, prob double, tool string"
 READS = (
     "chrom string, start bigint, end bigint, cigar array<struct<op:string,len:int>>, seq string, "
     "quals array<int>, mapq int, is_reverse boolean, flag int"
 )
-CHUNKS = "contig string, chunk_id bigint, offset bigint, text string"
