@@ -140,12 +140,16 @@ def segments(rows: DataFrame) -> DataFrame:
 
 
 def settled(rows: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """Rows whose key occurs more than once, with ``mixed``: whether their contents differ."""
+    """Rows whose key occurs more than once, with ``mixed``: whether their contents differ.
+
+    The counts are stored first. The join then stands on two plain shuffles, of which Spark splits
+    the partitions of a hot key; over an aggregate it could not.
+    """
     counted = rows.groupBy(*keys).agg(
         F.count("*").alias("occurrences"), F.min(content).alias("least"), F.max(content).alias("most")
     )
     counted = counted.where("occurrences > 1").select(*keys, (F.col("least") != F.col("most")).alias("mixed"))
-    return rows.join(counted, keys)
+    return rows.join(store(counted, "counts"), keys)
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
