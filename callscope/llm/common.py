@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.session import shared_folder, ship
+
 #: Rows turned into Python objects at a time; bounds a worker's memory when texts are long.
 SLICE = 256
 
@@ -28,23 +27,16 @@ ARROW = {
 }
 
 
-_SHIPPED: set[str] = set()
-
+#: Rows in a batch between Spark and Python, where the session does not say: texts can be long.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, unless their path has it already.
 
-    The driver serves one archive of the package's source to all executors, once per application.
-    """
-    context = spark.sparkContext
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root, name = os.path.split(package)
-    known = [os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if root in known or context.applicationId in _SHIPPED or not os.path.isdir(package):
-        return
-    base = os.path.join(tempfile.mkdtemp(prefix="callscope-code-"), name)
-    context.addPyFile(shutil.make_archive(base, "zip", root, name))
-    _SHIPPED.add(context.applicationId)
+def prepare(spark: SparkSession) -> None:
+    """Make Python workers ready: the package on their path, batches small enough for long texts."""
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own value, so nobody has chosen one
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,7 +72,7 @@ def map_slices(
         for columns in slices(batches, rows):
             yield batch_of(fields, function(*columns))
 
-    ship(frame.sparkSession)
+    prepare(frame.sparkSession)
     return frame.mapInArrow(run, schema_of(fields))
 
 
@@ -96,21 +88,6 @@ def map_rows(
     return map_slices(frame, of_slice, fields, rows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    A session on one machine without that setting uses a folder beside its warehouse. A cluster
-    without it is an error, since parts written by one executor would be missing on the others.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file:/tmp/callscope-checkpoints"
-    return folder
-
-
 def store(frame: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back."""
     spark = frame.sparkSession

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, schema_of, ship, slices, whole
+from callscope.llm.common import batch_of, prepare, schema_of, slices, whole
 
 WINDOW = 13
 #: Words of items in one automaton: about 100 bytes each in a worker.
@@ -211,7 +211,7 @@ def scanned(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS)
         F.array().cast("array<bigint>").alias("ranges"),
         F.array().cast("array<string>").alias("items"),
     )
-    ship(frame.sparkSession)
+    prepare(frame.sparkSession)
     context = frame.sparkSession.sparkContext
     source = iter(blocks(benchmark, most))
     block = next(source, [])
@@ -281,7 +281,7 @@ def decontaminate(
     other than ``text`` and ``n_chars`` are carried along unread, whatever their names. A worker
     holds all automata of the benchmark, about 100 bytes a word.
     """
-    ship(documents.sparkSession)
+    prepare(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     shared = [context.broadcast(block) for block in blocks(benchmark)]
 

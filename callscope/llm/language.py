@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, map_slices, schema_of, ship, slices, whole
+from callscope.llm.common import batch_of, map_slices, prepare, schema_of, slices, whole
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -107,7 +107,7 @@ def count_grams(training: DataFrame) -> DataFrame:
                 yield from flushed()
         yield from flushed()
 
-    ship(training.sparkSession)
+    prepare(training.sparkSession)
     return training.mapInArrow(run, schema_of(COUNTED)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 

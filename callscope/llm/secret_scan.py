@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import map_rows, ship, whole
+from callscope.llm.common import map_rows, prepare, whole
 
 KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = 96
@@ -171,7 +171,7 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 def redact(documents: DataFrame) -> DataFrame:
     """The table with secrets replaced in ``text`` and ``n_chars`` counted anew; all columns stay."""
-    ship(documents.sparkSession)
+    prepare(documents.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, map_slices, schema_of, ship, store, whole
+from callscope.llm.common import batch_of, map_slices, prepare, schema_of, store, whole
 from callscope.llm.components import stars
 
 SEED = 42
@@ -191,7 +191,7 @@ def links(distinct: DataFrame) -> DataFrame:
         if len(ranks):
             yield batch_of(edge, _links_of(combos, ranks))
 
-    ship(distinct.sparkSession)
+    prepare(distinct.sparkSession)
     rows = distinct.select("fp").mapInArrow(rank, schema_of(ranked))
     # Signed order within a pattern is still Gray order, as only the highest bit is turned.
     rows = rows.withColumn("pattern", F.shiftright("rank", FREE_BITS)).repartition("combo", "pattern")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, map_slices, schema_of, ship, slices, store, whole
+from callscope.llm.common import batch_of, map_slices, prepare, schema_of, slices, store, whole
 from callscope.llm.suffix_runs import front_coded, merged
 
 SPAN = 400
@@ -206,7 +206,7 @@ def runs_of(cells: DataFrame) -> DataFrame:
                     own[key] = own.get(key, 0) + 1
             yield batch_of((("part", "int"), ("run", "binary")), [list(parts), [front_coded(x) for x in parts.values()]])
 
-    ship(cells.sparkSession)
+    prepare(cells.sparkSession)
     return cells.select("h", "core", "low", "high", "around").mapInArrow(run, "part int, run binary")
 
 

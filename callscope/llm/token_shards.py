@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, schema_of, shared_folder, ship, slices, whole
+from callscope.llm.common import batch_of, prepare, schema_of, slices, whole
+from callscope.session import shared_folder
 
 SEQUENCE = 512
 #: Bytes of text for one shard, and the fewest shards; a worker holds one shard at a time.
@@ -114,7 +115,7 @@ def pieces(documents: DataFrame, path: str, pattern: str, shards: int, key: int,
                 out[5] += [data[2 * at : 2 * (at + size)] for at in range(0, len(tokens), size)]
             yield batch_of(PIECES, out)
 
-    ship(documents.sparkSession)
+    prepare(documents.sparkSession)
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("tie"), whole().alias("text")
     )
@@ -216,7 +217,7 @@ def read_index(spark: SparkSession, folder: str, size: int = SEQUENCE) -> DataFr
                     rows.append((first[shard] + place, shard, place, doc_id, part, len(ids) // 2, digest))
                 yield batch_of(fields, list(zip(*rows, strict=True)) or [[] for _ in fields])
 
-    ship(spark)
+    prepare(spark)
     return files.select(number, "content").mapInArrow(run, schema_of(fields))
 
 
