@@ -1,7 +1,7 @@
 """Quality rules that look at lines first.
 
 Each line with a word is tested against three rules. A line fails if it is short and does not end
-as a sentence does (punctuation), if separators cut it into many short items (navigation), or if
+as a sentence does or is strewn with symbols (punctuation), if separators cut it into many short items (navigation), or if
 it is short and holds a fixed phrase of page furniture (boilerplate). Failing lines are removed;
 a document that loses more than ``MAX_LOSS`` of the characters in its words is rejected.
 """
@@ -19,6 +19,8 @@ from callscope.llm.common import map_rows, whole
 SHORT_LINE = 5
 FURNITURE_WORDS = 40
 MAX_LOSS = 0.5
+#: Most symbols per letter of the words in a line.
+MAX_SYMBOLS = 0.15
 
 #: Phrases of page furniture, fixed values.
 BOILERPLATE = (
@@ -87,6 +89,8 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
 
 def line_rule(line: str, words: int) -> str | None:
     """The name of the rule that the line fails, or None. ``words`` is at least 1."""
+    if sum(map(line.count, "#*$%&~^@!")) > MAX_SYMBOLS * len(line):
+        return "punctuation"
     if words >= SHORT_LINE and not _SEPARATORS.search(line):
         furniture = words <= FURNITURE_WORDS and _FURNITURE.search(line)
         return "boilerplate" if furniture else None

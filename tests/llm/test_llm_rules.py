@@ -31,6 +31,7 @@ def test_base_columns(documents):
 
 def test_lines():
     assert rules.line_rule("Home | News | Sport | Contact", 7) == "navigation"
+    assert rules.line_rule("Buy*** now!! and%%% save&&& a$$$ lot### today*** here!!", 8) == "punctuation"
     assert rules.line_rule("Read more", 2) == "punctuation"
     assert rules.line_rule("We use cookies to improve this site and more.", 9) == "boilerplate"
     assert rules.line_rule("This is a whole sentence of prose.", 7) is None
