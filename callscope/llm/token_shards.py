@@ -179,7 +179,7 @@ INDEX = (
     ("doc_id", "long"),
     ("part", "int"),
     ("n_tokens", "int"),
-    ("ids_sha256", "string"),
+    ("tokens_sha256", "string"),
 )
 
 
@@ -192,9 +192,9 @@ def read_records(data: bytes, size: int = SEQUENCE, start: int = 0) -> Iterator[
 
 
 def read_index(spark: SparkSession, folder: str, size: int = SEQUENCE) -> DataFrame:
-    """One row per record of written shards: slot, shard, place, doc_id, part, n_tokens, ids_sha256.
+    """One row per record of written shards: slot, shard, place, doc_id, part, n_tokens, tokens_sha256.
 
-    The hash is over the decimal ids joined by one space. Slots are counted from the files' sizes.
+    The hash is over the token ids as they stand in the record, without what fills it up. Slots are counted from the files' sizes.
     """
     stride = HEADER + 2 * size + 1
     number = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int").alias("shard")
@@ -212,8 +212,7 @@ def read_index(spark: SparkSession, folder: str, size: int = SEQUENCE) -> DataFr
             for shard, data in zip(shards, contents, strict=True):
                 rows = []
                 for place, (doc_id, part, ids) in enumerate(read_records(data, size)):
-                    said = " ".join(map(str, np.frombuffer(ids, "<u2").tolist()))
-                    digest = hashlib.sha256(said.encode()).hexdigest()
+                    digest = hashlib.sha256(ids).hexdigest()
                     rows.append((first[shard] + place, shard, place, doc_id, part, len(ids) // 2, digest))
                 yield batch_of(fields, list(zip(*rows, strict=True)) or [[] for _ in fields])
 

@@ -23,8 +23,8 @@ def expected(rows, size):
     for doc_id, text in rows:
         ids = [*encode(text or ""), ts.END]
         for part in range(0, len(ids), size):
-            said = " ".join(map(str, ids[part : part + size]))
-            out[doc_id, part // size, len(ids[part : part + size]), hashlib.sha256(said.encode()).hexdigest()] += 1
+            data = np.array(ids[part : part + size], "<u2").tobytes()
+            out[doc_id, part // size, len(data) // 2, hashlib.sha256(data).hexdigest()] += 1
     return out
 
 
@@ -32,7 +32,7 @@ def test_every_sequence_has_one_slot(spark, odd, documents):
     for frame, size in ((documents, 512), (odd, 64)):
         index = ts.materialise(frame, *FILE, size=size).collect()
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-        assert Counter((r.doc_id, r.part, r.n_tokens, r.ids_sha256) for r in index) == expected(rows, size)
+        assert Counter((r.doc_id, r.part, r.n_tokens, r.tokens_sha256) for r in index) == expected(rows, size)
         assert sorted(r.slot for r in index) == list(range(len(index)))
         by_slot = sorted(index, key=lambda r: r.slot)
         assert [(r.shard, r.place) for r in by_slot] == sorted((r.shard, r.place) for r in index)
