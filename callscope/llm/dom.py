@@ -24,10 +24,9 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>",
-    re.DOTALL,
-)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.DOTALL)
+#: One step behind a tag's name: its end, or an attribute up to the quote that opens its value.
+_STEP = re.compile(r"[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s\"'>][^\s>]*+)?+)?+)")
 _RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9])[^>]*>?", re.IGNORECASE) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?i)\b(?:id|class|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
@@ -47,6 +46,9 @@ class Page:
         self.links: list[int] = []  # letters inside links, for each block
         self._stack, self._text, self._linked, self._in_link = [0], [], 0, 0
         self._paragraphs = 0  # open p elements
+        self._last_quote = {quote: source.rfind(quote) for quote in "\"'"}
+        self._last_end = source.rfind(">")
+        self._endless: set[int] = set()  # places behind which a tag has no end
         self._read(source)
         self._flush()
         while self._stack:
@@ -109,10 +111,32 @@ class Page:
             if name in stops:
                 return
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, or -1.
+
+        A quote opens a value only behind ``=``, and only if it is closed anywhere behind; values
+        have no limit. Places without an end are remembered, so that a page is read in linear time.
+        """
+        seen = []
+        while at <= self._last_end and at not in self._endless:
+            seen.append(at)
+            step = _STEP.match(source, at)
+            if not step:
+                break
+            at = step.end()
+            if step[1]:
+                return at - 1
+            if step[2] and at <= self._last_quote[step[2]]:
+                at = source.find(step[2], at) + 1
+        self._endless.update(seen)
+        return -1
+
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
         while at < n:
-            match = _TAG.search(source, at)
+            match, end = _TAG.search(source, at), -1
+            while match and match[2] and (end := self._tag_end(source, match.end())) < 0:
+                match = _TAG.search(source, match.start() + 1)
             stop = match.start() if match else n
             if stop > at:
                 text = source[at:stop]
@@ -121,9 +145,10 @@ class Page:
                     self._linked += len(text.strip())
             if not match:
                 return
-            at = match.end()
             if not match[2]:
+                at = match.end()
                 continue
+            at = end + 1
             tag = match[2].lower()
             if match[1]:
                 self._close(tag)
@@ -134,7 +159,7 @@ class Page:
                     elif tag != "wbr":
                         self._text.append(" ")
             else:
-                self._open(tag, match[3])
+                self._open(tag, source[match.end() : end])
                 if tag in RAW:
                     end = _RAW_END[tag].search(source, at)
                     if end:

@@ -70,3 +70,24 @@ def test_boosted_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     trees = boost.Trees().fit(x[:2000], y[:2000])
     assert ((trees.log_odds(x[2000:]) > 0) == y[2000:]).mean() > 0.95
+
+
+def test_long_attribute_values():
+    for size in (3_000, 5_000, 1_000_000):
+        for value in ("A" * size, "A>" * (size // 2)):
+            for quote in "\"'":
+                page = (f"<article><p>One first paragraph of the story.</p><img src={quote}data:image/png;base64,{value}{quote}>"
+                        '<p>A second one with <a href="/l">a link</a> in it.</p><p class="x">The last one of them.</p></article>')
+                assert html_text.Page(page).blocks == [
+                    (2, "One first paragraph of the story."), (3, "A second one with a link in it."), (5, "The last one of them.")
+                ]
+
+
+def test_quotes_that_open_no_value():
+    blocks = lambda source: [text for _, text in html_text.Page(source).blocks]
+    assert blocks("<p title=it's>It's one.</p><p class=\"a\">It's two.</p>") == ["It's one.", "It's two."]
+    assert blocks('<p title="lone>One.</p><p>Two.</p>') == ["One.", "Two."]
+    assert blocks('<p class="a"id="b>c"data-x = \'d>e\'>One.</p>') == ["One."]
+    for part in ('<a "', '<a x="', "<a x='", '<a x="<a y=\'', "<a ", "<a x=>"[:-1]):
+        for tail in ("", '">"'):
+            html_text.Page(part * 20_000 + tail)
