@@ -7,7 +7,10 @@ import re
 
 #: Element names by behaviour, fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select button".split())
+#: Raw or invisible content, pictures and lists of choices of forms: skipped whole.
+RAW = frozenset("script style noscript noembed noframes template iframe textarea title svg select annotation annotation-xml".split())
+#: Of these, the ones that can hold elements of their own name.
+NESTED = frozenset("template svg annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
@@ -27,7 +30,8 @@ ENDS = {
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)", re.DOTALL)
 #: One step behind a tag's name: its end, or an attribute up to the quote that opens its value.
 _STEP = re.compile(r"[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s\"'>][^\s>]*+)?+)?+)")
-_RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9])[^>]*>?", re.IGNORECASE) for tag in RAW}
+_RAW_END = {tag: re.compile(rf"</{tag}(?![a-z0-9-])[^>]*>?", re.IGNORECASE) for tag in RAW}
+_SAME = {tag: re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])", re.IGNORECASE | re.DOTALL) for tag in NESTED}
 _ATTRIBUTE = re.compile(r"(?i)\b(?:id|class|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
 
@@ -49,6 +53,7 @@ class Page:
         self._last_quote = {quote: source.rfind(quote) for quote in "\"'"}
         self._last_end = source.rfind(">")
         self._endless: set[int] = set()  # places behind which a tag has no end
+        self._unclosed: set[str] = set()  # names without an end tag in the rest of the page
         self._read(source)
         self._flush()
         while self._stack:
@@ -131,6 +136,28 @@ class Page:
         self._endless.update(seen)
         return -1
 
+    def _raw_end(self, source: str, tag: str, at: int) -> int:
+        """The place behind the end tag of a raw element whose content starts at ``at``, or -1.
+
+        Inner elements of the same name are counted; where they do not come out even, the first
+        end tag counts.
+        """
+        end = None if tag in self._unclosed else _RAW_END[tag].search(source, at)
+        if not end:
+            self._unclosed.add(tag)
+            return -1
+        if tag in NESTED:
+            depth, place = 1, at
+            while same := _SAME[tag].search(source, place):
+                place = same.end()
+                if same[1] is None or (stop := self._tag_end(source, place)) < 0:
+                    continue
+                place = stop + 1
+                depth += -1 if same[1] else source[stop - 1] != "/" or tag == "template"
+                if not depth:
+                    return place
+        return end.end()
+
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
         while at < n:
@@ -161,9 +188,10 @@ class Page:
             else:
                 self._open(tag, source[match.end() : end])
                 if tag in RAW:
-                    end = _RAW_END[tag].search(source, at)
-                    if end:
-                        at = end.end()
+                    empty = source[end - 1] == "/" and tag in ("svg", "annotation", "annotation-xml")
+                    after = at if empty else self._raw_end(source, tag, at)
+                    if after >= 0:
+                        at = after
                     elif tag != "title":
                         at = n if tag in ("script", "style", "textarea") else at
                     self._pop()

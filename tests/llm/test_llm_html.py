@@ -91,3 +91,25 @@ def test_quotes_that_open_no_value():
     for part in ('<a "', '<a x="', "<a x='", '<a x="<a y=\'', "<a ", "<a x=>"[:-1]):
         for tail in ("", '">"'):
             html_text.Page(part * 20_000 + tail)
+
+
+def test_visible_content_is_left_to_the_trees():
+    long = "and it goes on for a while, so that it reads like the text of a story."
+    page = (f"<article><h1>A title of the story</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold, {long}</p>"
+            f"<p>See <canvas>a chart of it</canvas> here, {long}</p><p>A <button>folded</button> word, {long}</p>"
+            f"<object data=a><object data=b><p>An outer and an inner fallback, {long}</p></object>"
+            f"<p>The rest of the outer one, {long}</p></object><p>The end, {long}</p></article>")
+    assert text_of(page) == "\n".join([
+        "A title of the story", f"Let x=2 hold, {long}", f"See a chart of it here, {long}", f"A folded word, {long}",
+        f"An outer and an inner fallback, {long}", f"The rest of the outer one, {long}", f"The end, {long}",
+    ])
+
+
+def test_skipped_content_ends_at_its_own_end_tag():
+    blocks = lambda source: [text for _, text in html_text.Page(source).blocks]
+    assert blocks("<p>a <svg><svg><text>in</text></svg><!-- </svg> --><svg/><text>out</text></svg> b</p>") == ["a b"]
+    assert blocks("<p>a <svg/> b</p><svg></svg>") == ["a b"]
+    assert blocks("<template><template>in</template>out</template><p>b</p>") == ["b"]
+    assert blocks("<p>a <svg><svg></svg> b</p>") == ["a b"]
+    assert blocks("<p><math><semantics><mi>x</mi><annotation>x^{2}</annotation></semantics></math></p>") == ["x"]
+    html_text.Page("<svg>" * 20_000)
