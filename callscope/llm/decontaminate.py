@@ -38,13 +38,13 @@ def words_of(text: str) -> list[str]:
 class Automaton:
     """Generalised suffix automaton over words, with the items of each 13-word passage."""
 
-    def __init__(self, items: Iterable[tuple[str, list[str]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, list[str]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
         items = [(name, words) for name, words in items if words]
         #: state -> items one of whose windows is that passage, by the passage's length
-        self.owners: dict[int, dict[int, set[str]]] = {}
+        self.owners: dict[int, dict[int, set[str | None]]] = {}
         for _, words in items:
             last = 0
             for word in words:
@@ -119,12 +119,12 @@ class Automaton:
                 state = self.link[state]
         return state, length
 
-    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Hit windows as merged [start, end) word ranges, and the items they come from."""
         to, link, longest, marks, window = self.next, self.link, self.length, self.marks, self.window
         start = to[0]
         ranges: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         state = length = 0
         for i, word in enumerate(words):
             found = to[state].get(word)
@@ -168,14 +168,15 @@ def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterable[list[tuple[str, list[str]]]]:
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterable[list[tuple[str | None, list[str]]]]:
     """The items in blocks of bounded size; only one block is in the driver's memory at a time.
 
     An item longer than a block is cut into pieces that share ``WINDOW`` - 1 words, so that no
-    window is lost. Null texts and texts without a word have no windows.
+    window is lost. Null texts and texts without a word have no windows. An item without an id
+    has windows like any other; its name is None.
     """
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), whole().alias("text"))
-    rows = rows.where(F.col("item_id").isNotNull() & (F.col("text") != ""))
+    rows = rows.where(F.col("text") != "")
     block, size = [], 0
     for name, text in rows.toLocalIterator():
         words = words_of(text)
@@ -229,7 +230,7 @@ def scanned(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS)
                     if names:
                         old = list(zip(ranges[k][::2], ranges[k][1::2], strict=True))
                         ranges[k] = [x for pair in merged([*old, *more]) for x in pair]
-                        items[k] = sorted({*items[k], *names})
+                        items[k] = list({*items[k], *names})
                 yield batch_of(SCANNED, [doc_ids, [None] * len(texts) if last else texts, counts, ranges, items])
 
         frame = frame.mapInArrow(run, schema_of(SCANNED))
@@ -241,7 +242,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_
     """Words, hit words and hit items of every document; ``most`` bounds a block of items in words.
 
     A null text has no words and is not contaminated; an item without words has no window; an
-    empty benchmark hits nothing. Rows are independent: null ids and repeated rows are kept as
+    empty benchmark hits nothing. Items with a null item_id count as one item more, as in the SQL;
+    the hash of the ids leaves it out. Rows are independent: null ids and repeated rows are kept as
     they come, other columns are not read.
     """
     # Ranges alternate between start and end: ends count plus, starts minus.

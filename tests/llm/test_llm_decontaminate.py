@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from brute_texts import contamination, sha
 from conftest import ODD_TEXTS
 
 from callscope.llm import decontaminate as dc
+from callscope.llm import queries
 
 
 @pytest.mark.parametrize("most", [30, 10_000])
@@ -53,3 +55,24 @@ def test_odd_rows(spark, odd):
         assert dc.decontaminate(odd, use).schema.names == odd.schema.names
     assert dc.contamination(odd.limit(0), bench).count() == 0
     assert dc.decontaminate(odd, bench).count() == len(ODD_TEXTS) - 1
+
+
+def test_items_without_an_id_count_as_in_the_sql(spark, tmp_path):
+    words = [f"w{k}x" for k in range(60)]
+    long, other, short = " ".join(words[:20]), " ".join(words[30:45]), "one two"
+    bench = [(None, long), (7, other), (None, short), (8, short), (None, None), (None, "?!")]
+    rest = " ".join(words[45:]) * 4
+    texts = [f"{rest} {long}", f"{other} {rest}", "a one two b", f"{long} {other} one two", rest, None]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = connection.execute(queries.OP10).fetchall()
+    for most in (15, 10_000):
+        tables = [spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark")]
+        got = {tuple(r) for r in dc.contamination(*tables, most).collect()}
+        assert got == set(want) and {(r[0], r[3]) for r in got} == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 0), (5, 0)}
+    docs, items = tables
+    out = {r.doc_id: r.text for r in dc.decontaminate(docs, items).collect()}
+    assert long not in (out.get(0) or "") and out[4] == rest
