@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and novelty measured with a primed compressor.
 
 Three base patterns are always reported. Beyond them a candidate is a long run of key letters with
-a digit that follows a sensitive word on its line. Its novelty is the number of bytes that
+a sensitive word near it, before or after and over line ends; runs that follow each other with
+nothing but white space and punctuation between them share the first one's surroundings, so that
+a name or the BEGIN line of a private key holds for the whole block below it. Its novelty is the number of bytes that
 zstandard needs more for the surrounding text with the candidate than without it, the compressor
 primed with names from code; near as many bytes as letters means that neither the surroundings
 nor the dictionary hold anything like it. Ordinary identifiers and paths compress well and stay.
@@ -14,6 +16,7 @@ import hashlib
 import keyword
 import re
 import sys
+from bisect import bisect_left
 
 import pandas as pd
 import zstandard
@@ -44,6 +47,14 @@ SENSITIVE = re.compile(
     r"(?i:key|secret|token|passw|pwd|credential|auth|bearer|private|signature|cookie|session)"
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A name and its sign in front of a value of a candidate's length.
+NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*=+(?=[^=][A-Za-z0-9+/_=-]{15})")
+#: What may stand between the lines of one block: white space, quotes and signs, escaped line ends.
+BETWEEN = re.compile(r"(?:\\[nrt]|[^\w:])*")
+PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+#: Lines of a key block without its END line, and the runs of key letters in a block.
+OPEN_BODY = re.compile(r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2})?+")
+RUN = re.compile(r"\\[nrt]|([A-Za-z0-9+/=]+)")
 
 FIELDS = (
     ("doc_id", "long"),
@@ -106,22 +117,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def private_spans(text: str) -> list[tuple[int, int, int]]:
+    """The lines of private key blocks; one line that is novel beside the BEGIN line decides for its block."""
+    found = []
+    for begin in PRIVATE.finditer(text):
+        at = begin.end()
+        stop = text.find("-----", at)
+        if stop < 0 or not text.startswith("-----END", stop):
+            stop = OPEN_BODY.match(text, at).end()
+        runs = [m for m in RUN.finditer(text, at, stop) if m[1]]
+        lines = [m for m in runs if len(m[1]) >= 16]
+        if any(novelty().ratio(begin[0] + "\n", m[1], "") >= NOVELTY for m in lines):
+            found += [(m.start(), 3, m.end()) for m in runs if len(m[1]) >= 16 or m is runs[-1]]
+    return found
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found, taken = [], 0
+    found = private_spans(text) if "PRIVATE KEY" in text else []
+    inner = sorted(found)
+    taken, last, before, near = 0, -1, "", False
     for match in CANDIDATE.finditer(text):
         start, end = match.span()
-        word = match[0]
-        if word.isalpha() or not any(map(str.isdigit, word)):
+        if start and text[start - 1] == "\\" and text[start] in "nrt" and end - start > 16:
+            start += 1  # the letter of an escaped line end
+        if name := NAMED.match(text, start, end):
+            start = name.end()
+        word = text[start:end]
+        if name or last < 0 or not BETWEEN.fullmatch(text, last, match.start()):
+            before = text[max(0, start - CONTEXT) : start]
+            near = bool(SENSITIVE.search(before))
+        last = end
+        after = text[end : end + CONTEXT]
+        if not near and not SENSITIVE.search(after):
             continue
         while taken < len(base) and base[taken][2] <= start:
             taken += 1
-        if any(s < end and start < e for s, _, e in base[taken:]):
-            continue
-        line = max(text.rfind("\n", 0, start) + 1, start - CONTEXT)
-        before = text[line:start]
-        if not SENSITIVE.search(before):
+        own = bisect_left(inner, (end,)) - 1  # the last line of a private key that starts before the end
+        if (own >= 0 and inner[own][2] > start) or any(s < end and start < e for s, _, e in base[taken:]):
             continue
-        if novelty().ratio(before, word, text[end : end + CONTEXT]) >= NOVELTY:
+        if CANDIDATE.match(text, BETWEEN.match(text, end).end()):
+            after = CANDIDATE.sub("", after)  # lines of the same block are no surroundings
+        if novelty().ratio(before, word, after) >= NOVELTY:
             found.append((start, 3, end))
     return found
 

@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 from brute_texts import sha
 from conftest import ODD_TEXTS
@@ -55,3 +56,37 @@ def test_redacted_table_keeps_columns(odd):
     out = secret_scan.redact(odd)
     assert out.schema.names == odd.schema.names and out.count() == len(ODD_TEXTS)
     assert out.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
+
+
+def test_context_on_both_sides_and_over_lines():
+    draw = random.Random(11)
+    key = lambda n, letters=string.ascii_letters + string.digits: "".join(draw.choices(letters, k=n))
+    only_letters, mixed = key(40, string.ascii_letters), key(40)
+    for secret in (only_letters, mixed):
+        for text in (f"the private key is {secret} here", f"credentials:\n  - {secret}\nnext: 1\n", f"use {secret} as the key",
+                     f'"auth": [\n  "{secret}"\n]', f"export SIGNING_KEY={secret}\n", f'export MY_AUTH="\\\n{secret}"'):
+            at = text.index(secret)
+            assert (at, 3, at + len(secret)) in secret_scan.find(text)[1], text
+            assert secret not in secret_scan.redact_text(text)
+        assert secret_scan.find(f"the number is {secret} here") == ([], [])
+    for plain in ("the key responsibilities", "internationalization of the session", "ConfigurationManagerFactory\nkey",
+                  "the token of state-of-the-art-thing"):
+        assert secret_scan.find(plain) == ([], []), plain
+    lines = [key(64) for _ in range(30)]
+    block = "signing_key: |\n" + "".join(f"    {line}\n" for line in lines) + "other: text\n"
+    assert not any(line in secret_scan.redact_text(block) for line in lines)
+
+
+def test_private_key_blocks():
+    draw = random.Random(12)
+    lines = ["".join(draw.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(25)] + ["q9Zr7A=="]
+    for kind in ("", "RSA ", "OPENSSH ", "ENCRYPTED "):
+        begin, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        head = "Proc-Type: 4,ENCRYPTED\n\n" if kind == "RSA " else ""
+        for glue in ("\n", "\r\n", "\\n", "\n    "):
+            text = glue.join(["some words", begin + "\n" + head if head else begin, *lines, end, "and more words"])
+            out = secret_scan.redact_text(text)
+            assert not any(line in out for line in lines), (kind, glue)
+            assert begin in out and end in out and head in out and "some words" in out and "and more words" in out
+    assert not any(line in secret_scan.redact_text("\n".join([begin, *lines])) for line in lines)
+    assert secret_scan.find(f"{begin}\n{'x' * 64}\n{end}") == ([], [])
