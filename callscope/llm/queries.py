@@ -11,8 +11,10 @@ from callscope.llm import (
     decontaminate,
     html_text,
     language,
+    pieces,
     quality_classifier,
     quality_rules,
+    repair,
     secret_scan,
     simhash,
     suffix_dedup,
@@ -28,6 +30,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    """Where the public piece model lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def rank_file() -> tuple[str, str]:
     """Path and splitting pattern of the public rank file."""
     import public_tokenizers
@@ -75,6 +84,14 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), piece_model())
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
