@@ -15,6 +15,7 @@ from callscope.llm import (
     quality_classifier,
     quality_rules,
     repair,
+    search,
     secret_scan,
     simhash,
     suffix_dedup,
@@ -88,6 +89,10 @@ def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), piece_model())
 
 
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return repair.damage_and_repair(table(spark, folder, "conversations"))
 
@@ -126,5 +131,38 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: Every document against every item by plain counting.
+OP12 = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+used AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n, words FROM docs WHERE len(words) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM used),
+tfs AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM used) GROUP BY r, term),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM dfs, corpus),
+items AS (
+  SELECT DISTINCT item_id, list_sort(list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS words
+  FROM benchmark),
+asked AS (
+  SELECT item, item_id, unnest(words) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, words FROM items WHERE len(words) > 0)),
+scores AS (
+  SELECT item, item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN used USING (r), corpus
+  GROUP BY item, item_id, r),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN used USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10}
+    return {"op10_decontamination": OP10, "op12_search": OP12}
