@@ -96,21 +96,40 @@ def poisson_one(drawn: Column) -> Column:
     return result.cast("bigint")
 
 
-def poisson_weights(high: np.ndarray, low: np.ndarray, reps: int, seed: int) -> np.ndarray:
-    """The weights of ``with_poisson`` for whole blocks: one row per digest, columns for the data
-    itself (weight 1) and for replicates 0 .. reps-1."""
+def poisson_bounds(mean: float) -> tuple[int, ...]:
+    """Draws below the k-th bound stand for a count of at most k; all above the last for one more."""
+    share = accumulate(math.exp(-mean) * mean**k / math.factorial(k) for k in range(16))
+    return tuple(x for x in (int(bound * DRAW_RANGE) for bound in share) if x < DRAW_RANGE)[:13]
+
+
+def draw_block(high: np.ndarray, low: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """The draws of ``with_draw`` for whole blocks: a row per digest, columns for streams 0 .. reps-1."""
     step = (np.arange(reps, dtype=np.int64) * STREAM_STEP + seed) & MASK
     x = high[:, None] ^ step[None, :]
     for half in (low, None):
         for multiplier in MULTIPLIERS:
-            x = ((x ^ (x >> 15)) * multiplier) & MASK
+            x ^= x >> 15
+            x *= multiplier
+            x &= MASK
         x ^= x >> 13
         if half is not None:
             x ^= half[:, None]
-    weights = np.zeros((len(high), reps + 1), np.int64)
+    return x.astype(np.int32)
+
+
+def poisson_weights(
+    high: np.ndarray, low: np.ndarray, reps: int, seed: int, bounds: tuple[int, ...] = poisson_bounds(1.0)
+) -> np.ndarray:
+    """The weights of ``with_poisson`` for whole blocks: one row per digest, columns for the data
+    itself (weight 1) and for replicates 0 .. reps-1, as small whole numbers."""
+    x = draw_block(high, low, reps, seed)
+    weights = np.zeros((len(high), reps + 1), np.uint8)
     weights[:, 0] = 1
-    for bound in POISSON_ONE_CDF:
-        weights[:, 1:] += x >= int(bound * DRAW_RANGE)
+    for bound in bounds:
+        above = x >= np.int32(bound)
+        if not above.any():
+            break
+        weights[:, 1:] += above
     return weights
 
 

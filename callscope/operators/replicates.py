@@ -1,45 +1,69 @@
 """Areas of every bootstrap replicate without a row per key and replicate.
 
 A replicate's weights follow from (key, replicate) alone, so they can be made wherever the key's row
-is. Rows are shuffled once, by the cell of the score axis they fall into; there, sorted by score,
-weights of all replicates stand side by side in one block of numbers and running totals are taken
-down the block. A cell contributes its totals and what happens inside it; what lies before it is
-added from the totals of the cells before. The precision-recall area is not additive, so it takes
-a second pass that starts each cell from those totals. Between passes there are only rows per
-(cell, replicate), however many keys there are.
-
-A score shared by very many rows would make one cell hot. Each task adds up the weights of such
-rows before the shuffle and sends one row for all of them.
+is. Rows are dealt once to parts of counted size along the score axis, highest score first; a score
+shared by many rows simply runs through several parts, cut by the hash of the key. A part is
+summed up in one row of vectors, a number per replicate: its totals and the totals of its last
+score. These summaries are scanned by windows per replicate, which gives what lies before each
+part, and how much of its first score other parts hold. With that, a second pass takes each part down
+from the right start and closes every score exactly once. Between the passes there are only rows per
+(part, replicate), however many keys there are, and no task holds more rows than a part has,
+whatever the scores look like.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.hashing import poisson_weights, with_digest
-from callscope.operators.ordered import with_cells
-from callscope.session import ship
+from callscope.functions.hashing import poisson_bounds, poisson_weights, with_digest
+from callscope.session import durable, ship
 
-#: Rows of one score in a batch from which their weights are added up before the shuffle.
-SHARED_SCORE = 256
-#: Such scores held by a task at a time; rows and replicates handled at a time.
-SHARED_HELD = 1000
+#: Rows of a part, as counted rows are dealt; rows handled at a time.
+PART_ROWS = 16_384
 BLOCK = 256
-REP_BLOCK = 50
 
-ROWS = (
-    "g string, prob double, label int, h bigint, l bigint, pos array<bigint>, neg array<bigint>, lead boolean"
-)
-CELLS = "g string, cell bigint, pos array<bigint>, neg array<bigint>, pairs array<bigint>"
+SUMS = "g string, part int, head double, tail double, pos array<bigint>, neg array<bigint>, tail_pos array<bigint>, tail_neg array<bigint>"
+AREAS = "g string, part int, pairs array<double>, curve array<double>"
+
+
+@dataclass(frozen=True)
+class Draws:
+    """How rows weigh: Poisson by the bounds of their label, but for replicates that are ``off``,
+    and once more for every replicate in their list of extra draws."""
+
+    reps: int
+    seed: int
+    bounds: tuple[tuple[int, ...], tuple[int, ...]]
+    off: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())
+
+    def weights(self, label: np.ndarray, h: np.ndarray, l: np.ndarray, extra: list[list[int] | None]) -> np.ndarray:
+        """A row of counts per row: the data itself, then the replicates."""
+        out = np.zeros((len(label), self.reps + 1), np.int64)
+        plain = np.array([x is None for x in extra])
+        for value in (0, 1):
+            own = plain & (label == value)
+            if own.any():
+                out[own] = poisson_weights(h[own], l[own], self.reps, self.seed, self.bounds[value])
+                if self.off[value]:
+                    out[np.ix_(own, [rep + 1 for rep in self.off[value]])] = 0
+        for k in np.flatnonzero(~plain).tolist():
+            np.add.at(out[k], np.array(extra[k], np.int64) + 1, 1)
+        return out
+
+
+def poisson_draws(reps: int, seed: int) -> Draws:
+    """Every row weighs Poisson(1) per replicate."""
+    return Draws(reps, seed, (poisson_bounds(1.0),) * 2)
 
 
 def _arrow(spec: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(),
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(),
              "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.strip().split(" ") for x in spec.split(","))])
 
@@ -50,187 +74,218 @@ def _batch(spec: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _prepared(rows: DataFrame, reps: int, seed: int) -> DataFrame:
-    """Rows with their digest; those of a shared score added up per task."""
+class _Sums:
+    """Totals of a part, and of the score that is open at its end."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, float], list[np.ndarray]] = {}
+    def __init__(self, lead: tuple, reps: int):
+        self.pos, self.neg, self.tail_pos, self.tail_neg = (np.zeros(reps + 1, np.int64) for _ in range(4))
+        self.head = self.tail = None
 
-        def flushed() -> pa.RecordBatch:
-            out = [(g, prob, None, None, None, pos, neg, False) for (g, prob), (pos, neg) in held.items()]
-            held.clear()
-            return _batch(ROWS, out)
+    def rows(self, prob: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        if self.head is None:
+            self.head = float(prob[0])
+        if self.tail != prob[-1]:
+            self.tail = float(prob[-1])
+            self.tail_pos[:], self.tail_neg[:] = 0, 0
+        last = prob == prob[-1]
+        for total, open_, value in ((self.pos, self.tail_pos, 1), (self.neg, self.tail_neg, 0)):
+            own = label == value
+            total += weight[own].sum(axis=0)
+            open_ += weight[own & last].sum(axis=0)
 
-        for batch in batches:
-            frame = batch.to_pandas()
-            size = frame.groupby(["g", "prob"])["h"].transform("size")
-            many = frame[size >= SHARED_SCORE]
-            for name, part in many.groupby(["g", "prob"]):
-                sums = held.setdefault(name, [np.zeros(reps + 1, np.int64), np.zeros(reps + 1, np.int64)])
-                for at in range(0, len(part), BLOCK):
-                    own = part.iloc[at : at + BLOCK]
-                    weight = poisson_weights(own["h"].to_numpy(), own["l"].to_numpy(), reps, seed)
-                    positive = own["label"].to_numpy() == 1
-                    sums[0] += weight[positive].sum(axis=0)
-                    sums[1] += weight[~positive].sum(axis=0)
-            rest = frame[size < SHARED_SCORE]
-            yield _batch(ROWS, [(*row, None, None, False) for row in rest[["g", "prob", "label", "h", "l"]].itertuples(index=False)])
-            if len(held) > SHARED_HELD:
-                yield flushed()
-        yield flushed()
-
-    digested = with_digest(rows).select("g", "prob", "label", F.col("_h").alias("h"), F.col("_l").alias("l"))
-    return digested.mapInArrow(run, ROWS)
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of a cell together, highest score first, what lies before the cell ahead of all."""
-    dealt = rows.repartition("g", "cell").sortWithinPartitions("g", "cell", F.desc("lead"), F.desc("prob"))
-    return dealt.select("g", "cell", "prob", "label", "h", "l", "pos", "neg", "lead")
-
-
-class _Cell:
-    """Running totals down one cell; a run of equal scores stays open until the next score."""
-
-    def __init__(self, reps: int, curve: bool):
-        self.tp, self.fp, self.sum = (np.zeros(reps + 1, kind) for kind in (np.int64, np.int64, float if curve else np.int64))
-        self.curve, self.open = curve, None
-
-    def close(self) -> None:
-        if self.open is not None:
-            _, pos, neg = self.open
-            self.add(pos[None, :], neg[None, :])
-            self.open = None
+    def result(self) -> tuple:
+        return self.head, self.tail, self.pos, self.neg, self.tail_pos, self.tail_neg
+
+
+class _Areas:
+    """Running totals down a part, from the totals before its first score.
+
+    A run of equal scores stays open until the next score; the last one is left to the part that
+    ends it.
+    """
+
+    def __init__(self, lead: tuple, reps: int):
+        head, self.goes_on, tp, fp, pos, neg = lead
+        self.tp, self.fp = np.array(tp, np.int64), np.array(fp, np.int64)
+        self.open = (head, np.array(pos, np.int64), np.array(neg, np.int64))
+        self.pairs, self.curve = np.zeros(reps + 1), np.zeros(reps + 1)
 
     def add(self, pos: np.ndarray, neg: np.ndarray) -> None:
         """Closed runs of scores in order, one row each."""
         tp, fp = self.tp + np.cumsum(pos, axis=0), self.fp + np.cumsum(neg, axis=0)
-        if self.curve:
-            before, all_before = tp - pos, tp - pos + fp - neg
-            with np.errstate(divide="ignore", invalid="ignore"):
-                prior = np.where(all_before > 0, before / all_before, 1.0)
-                own = np.where(pos > 0, tp / (tp + fp), 0.0)
-            self.sum += (pos * (own + prior) / 2).sum(axis=0)
-        else:
-            self.sum += (neg * (2 * tp - pos)).sum(axis=0)
+        before, all_before = tp - pos, tp - pos + fp - neg
+        with np.errstate(divide="ignore", invalid="ignore"):
+            prior = np.where(all_before > 0, before / all_before, 1.0)
+            own = np.where(pos > 0, tp / (tp + fp), 0.0)
+        self.curve += (pos * (own + prior) / 2).sum(axis=0)
+        self.pairs += (neg * (2.0 * tp - pos)).sum(axis=0)
         self.tp, self.fp = tp[-1], fp[-1]
 
-    def rows(self, prob: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+    def rows(self, prob: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
         start = np.flatnonzero(np.concatenate([[True], prob[1:] != prob[:-1]]))
-        pos, neg = np.add.reduceat(pos, start, axis=0), np.add.reduceat(neg, start, axis=0)
-        if self.open is not None and self.open[0] == prob[0]:
-            pos[0] += self.open[1]
-            neg[0] += self.open[2]
-            self.open = None
-        self.close()
+        positive = (label == 1)[:, None]
+        pos = np.add.reduceat(np.where(positive, weight, 0), start, axis=0)
+        neg = np.add.reduceat(np.where(positive, 0, weight), start, axis=0)
+        score, open_pos, open_neg = self.open
+        if score == prob[0]:
+            pos[0] += open_pos
+            neg[0] += open_neg
+        else:
+            self.add(open_pos[None, :], open_neg[None, :])
         if len(start) > 1:
             self.add(pos[:-1], neg[:-1])
         self.open = (prob[-1], pos[-1].copy(), neg[-1].copy())
 
+    def result(self) -> tuple:
+        if not self.goes_on:
+            self.add(self.open[1][None, :], self.open[2][None, :])
+        return self.pairs, self.curve
 
-def _down(dealt: DataFrame, reps: int, seed: int, curve: bool) -> DataFrame:
-    """One row per (g, cell): totals and, as ``pairs``, ordered pairs or curve area inside it."""
-    spec = CELLS.replace("pairs array<bigint>", "pairs array<double>") if curve else CELLS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cell = None, None
 
-        def finished():
-            cell.close()
-            return _batch(spec, [(*now, cell.tp, cell.fp, cell.sum)])
+def _down(rows: DataFrame, kind: Callable, spec: str, draws: Draws) -> DataFrame:
+    """One row per (g, part) from its rows in order; ``lead`` holds what is known before the first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
         for batch in batches:
-            g, number = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            g, part, lead, extra = (batch.column(k).to_pylist() for k in (0, 1, 6, 7))
             prob, label, h, l = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
-            lead = batch.column(8).to_pylist()
             at = 0
             while at < batch.num_rows:
-                key, stop = (g[at], number[at]), at + 1
-                while stop < min(at + BLOCK, batch.num_rows) and (g[stop], number[stop]) == key and not lead[at] and not lead[stop]:
-                    stop += 1
+                key = g[at], part[at]
                 if key != now:
                     if now is not None:
-                        yield finished()
-                    now, cell = key, _Cell(reps, curve)
-                summed = batch.column(6).slice(at, stop - at)
+                        yield _batch(spec, [(*now, *own.result())])
+                    now, own = key, kind(tuple(lead[at].values()) if lead[at] else (), draws.reps)
                 if lead[at]:
-                    cell.tp = np.array(summed[0].as_py(), np.int64)
-                    cell.fp = np.array(batch.column(7)[at].as_py(), np.int64)
-                    at = stop
+                    at += 1
                     continue
-                vector = np.flatnonzero(~np.isnan(h[at:stop].astype(float)) == 0)
-                single = np.setdiff1d(np.arange(stop - at), vector)
-                pos, neg = np.zeros((stop - at, reps + 1), np.int64), np.zeros((stop - at, reps + 1), np.int64)
-                if len(single):
-                    weight = poisson_weights(h[at:stop][single].astype(np.int64), l[at:stop][single].astype(np.int64), reps, seed)
-                    own = label[at:stop][single].astype(np.int64)[:, None]
-                    pos[single], neg[single] = weight * own, weight * (1 - own)
-                for k in vector.tolist():
-                    pos[k], neg[k] = summed[k].as_py(), batch.column(7)[at + k].as_py()
-                cell.rows(prob[at:stop], pos, neg)
+                stop = at + 1
+                while stop < min(at + BLOCK, batch.num_rows) and g[stop] == key[0] and part[stop] == key[1]:
+                    stop += 1
+                numbers = [np.nan_to_num(x[at:stop]).astype(np.int64) for x in (label, h, l)]
+                own.rows(prob[at:stop], numbers[0], draws.weights(*numbers, extra[at:stop]))
                 at = stop
         if now is not None:
-            yield finished()
+            yield _batch(spec, [(*now, *own.result())])
+
+    return rows.select("g", "part", "prob", "label", "h", "l", "lead", "extra").mapInArrow(run, spec)
+
+
+LEAD = "struct<head: double, goes_on: boolean, tp: array<bigint>, fp: array<bigint>, pos: array<bigint>, neg: array<bigint>>"
+
+
+def _scanned(sums: DataFrame) -> DataFrame:
+    """Per (g, part, rep): totals before the part's first score, that score's totals in earlier parts,
+    whether the last score goes on, and the totals of all."""
+    zipped = F.arrays_zip("pos", "neg", "tail_pos", "tail_neg")
+    long = sums.select("g", "part", "head", "tail", F.posexplode(zipped).alias("rep", "z")).select(
+        "g", "part", "head", "tail", "rep", "z.*"
+    )
+    scope = Window.partitionBy("g", "rep").orderBy("part")
+    before = scope.rowsBetween(Window.unboundedPreceding, -1)
+    everything = scope.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Parts that end in one score follow each other, so what they hold of it is a running total.
+    same = Window.partitionBy("g", "rep", "tail").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("bigint")
+    held = long.select(
+        "*",
+        *[F.sum(f"tail_{x}").over(same).alias(f"held_{x}") for x in ("pos", "neg")],
+    )
+    first_goes_back = F.lag("tail").over(scope) == F.col("head")
+    return held.select(
+        "g",
+        "part",
+        "rep",
+        "head",
+        F.coalesce(F.lead("head").over(scope) == F.col("tail"), F.lit(False)).alias("goes_on"),
+        *[F.coalesce(F.sum(x).over(before), zero).alias(f"before_{x}") for x in ("pos", "neg")],
+        *[F.when(first_goes_back, F.lag(f"held_{x}").over(scope)).otherwise(zero).alias(x) for x in ("pos", "neg")],
+        F.sum("pos").over(everything).alias("p"),
+        F.sum("neg").over(everything).alias("n"),
+    )
 
-    return dealt.mapInArrow(run, spec)
 
+def weighted_areas(rows: DataFrame, draws: Draws) -> DataFrame:
+    """``g, rep, auroc, auprc`` of every replicate with both classes; replicate -1 is the data.
 
-OFFSETS = (
-    "g string, block int, cell bigint, pos array<bigint>, neg array<bigint>, p array<bigint>, n array<bigint>, pairs array<double>"
-)
+    ``rows``: g, prob, label, the digest's halves h and l, and extra: null, or the replicates for which
+    a row counts once more (it then has no other weight).
+    """
+    kept = durable(rows.select("g", (F.col("prob") + F.lit(0.0)).alias("prob"), "label", "h", "l", "extra"))
+    parts = max(1, -(-kept.count() // PART_ROWS))
+    order = [F.col("g"), F.col("prob").desc(), F.col("h"), F.col("l")]
+    ranged = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Stored, since the bounds of parts come from a sample and both passes need the same ones.
+    dealt = durable(ranged.withColumn("part", F.spark_partition_id()))
+    no_lead = dealt.withColumn("lead", F.lit(None).cast(LEAD))
+    scanned = durable(_scanned(_down(no_lead, _Sums, SUMS, draws)))
+    by_rep = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("rep", name))), lambda x: x[name])
+    leads = scanned.groupBy("g", "part").agg(
+        F.first("head").alias("head"),
+        F.first("goes_on").alias("goes_on"),
+        *[by_rep(name).alias(name) for name in ("before_pos", "before_neg", "pos", "neg")],
+    )
+    less = lambda all_, own: F.zip_with(all_, own, lambda a, b: a - b)
+    lead = F.struct("head", "goes_on", less("before_pos", "pos"), less("before_neg", "neg"), "pos", "neg").cast(LEAD)
+    heads = leads.select("g", "part", lead.alias("lead"))
+    stacked = heads.unionByName(dealt, allowMissingColumns=True).repartitionById(parts, F.col("part"))
+    stacked = stacked.sortWithinPartitions("g", "part", F.col("lead").isNull(), F.desc("prob"))
+    inside = _down(stacked, _Areas, AREAS, draws)
+    sums = (
+        inside.select("g", F.posexplode(F.arrays_zip("pairs", "curve")).alias("rep", "z"))
+        .groupBy("g", "rep")
+        .agg(F.sum("z.pairs").alias("pairs"), F.sum("z.curve").alias("curve"))
+    )
+    totals = scanned.groupBy("g", "rep").agg(F.first("p").alias("p"), F.first("n").alias("n"))
+    values = totals.join(sums, ["g", "rep"]).filter((F.col("p") > 0) & (F.col("n") > 0))
+    return values.select(
+        "g",
+        (F.col("rep") - 1).alias("rep"),
+        (F.col("pairs") / (2.0 * F.col("p") * F.col("n"))).alias("auroc"),
+        (F.col("curve") / F.col("p")).alias("auprc"),
+    )
 
 
-def _offsets(cells: DataFrame) -> DataFrame:
-    """Per (g, block of replicates, cell): totals before the cell, group totals, ordered pairs of the group."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size("pos") - 1) / REP_BLOCK).cast("int"))
-    part = lambda name: F.slice(name, F.col("block") * REP_BLOCK + 1, F.lit(REP_BLOCK)).alias(name)
-    rows = cells.withColumn("block", F.explode(blocks)).select("g", "block", "cell", part("pos"), part("neg"), part("pairs"))
+def scored_rows(scored: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Labelled rows with a score, in the form of ``weighted_areas``; ``g`` holds the group."""
+    named = scored.filter(F.col("label").isin(0, 1) & F.col("prob").isNotNull() & ~F.isnan("prob")).select(
+        F.to_json(F.struct(*group)).alias("g"), "key", F.col("prob").cast("double").alias("prob"), F.col("label").cast("int").alias("label")
+    )
+    return with_digest(named, "key", ("h", "l")).withColumn("extra", F.lit(None).cast("array<int>"))
 
-    def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values("cell", ascending=False)
-        pos, neg, pairs = (np.stack(frame[name].to_list()) for name in ("pos", "neg", "pairs"))
-        tp, fp = np.cumsum(pos, axis=0) - pos, np.cumsum(neg, axis=0) - neg
-        total = (pairs + 2 * neg * tp).astype(float).sum(axis=0)
-        p, n = pos.sum(axis=0), neg.sum(axis=0)
-        out = [
-            (g, block, cell, a, b, p, n, total)
-            for g, block, cell, a, b in zip(frame["g"], frame["block"], frame["cell"], tp, fp)
-        ]
-        return pa.Table.from_batches([_batch(OFFSETS, out)])
 
-    # One group holds the cells of the score axis for a few replicates, never keys.
-    return rows.groupBy("g", "block").applyInArrow(run, OFFSETS)
+def named_groups(values: DataFrame, scored: DataFrame, group: Sequence[str]) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in group)
+    return values.select(F.from_json("g", fields).alias("_g"), *[c for c in values.columns if c != "g"]).select(
+        "_g.*", *[c for c in values.columns if c != "g"]
+    )
 
 
-def replicate_areas(scored: DataFrame, group: Sequence[str], reps: int, seed: int, cut=lambda frame: frame) -> DataFrame:
+def weight_sums(keys: DataFrame, draws: Draws) -> DataFrame:
+    """``label, rep, total``: the weights of all rows of ``keys`` (label, h, l) per replicate, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, draws.reps), np.int64)
+        for batch in batches:
+            label, h, l = (x.to_numpy() for x in batch.columns)
+            for value in (0, 1):
+                own = np.flatnonzero(label == value)
+                for at in range(0, len(own), BLOCK):
+                    k = own[at : at + BLOCK]
+                    sums[value] += poisson_weights(h[k], l[k], draws.reps, draws.seed, draws.bounds[value]).sum(axis=0, dtype=np.int64)[1:]
+        labels, reps = np.repeat([0, 1], draws.reps).astype(np.int32), np.tile(np.arange(draws.reps, dtype=np.int32), 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (labels, reps, sums.ravel())], ["label", "rep", "total"])
+
+    rows = keys.select("label", "h", "l").mapInArrow(run, "label int, rep int, total bigint")
+    return rows.groupBy("label", "rep").agg(F.sum("total").alias("total"))
+
+
+def replicate_areas(scored: DataFrame, group: Sequence[str], reps: int, seed: int) -> DataFrame:
     """``group, rep, auroc, auprc`` of every replicate that has both classes; replicate -1 is the data.
 
     Row weights are Poisson(1) by (key, replicate) and shared by all tools. ``prob`` must not be NULL.
     """
     ship(scored.sparkSession)
     group = list(group)
-    named = scored.filter(F.col("label").isin(0, 1) & F.col("prob").isNotNull()).select(
-        F.to_json(F.struct(*group)).alias("g"), "key", F.col("prob").cast("double").alias("prob"), F.col("label").cast("int").alias("label")
-    )
-    celled = with_cells(_prepared(named, reps, seed), "prob").withColumnRenamed("_coarse", "cell").drop("_fine")
-    offsets = cut(_offsets(_down(_dealt(celled), reps, seed, False)))
-    whole = lambda name: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", name))), lambda x: x[name])).alias(name)
-    empty = {"label": "int", "h": "bigint", "l": "bigint"}
-    leads = offsets.groupBy("g", "cell").agg(whole("pos"), whole("neg")).select(
-        "g", F.lit(float("inf")).alias("prob"), *[F.lit(None).cast(kind).alias(name) for name, kind in empty.items()],
-        "pos", "neg", F.lit(True).alias("lead"), "cell",
-    )
-    curve = _down(_dealt(celled.unionByName(leads)), reps, seed, True)
-    rep = (F.col("k") - 1).alias("rep")
-    area = curve.select("g", F.posexplode("pairs").alias("k", "x")).groupBy("g", "k").agg(F.sum("x").alias("area"))
-    first = offsets.groupBy("g", "block").agg(F.first("p").alias("p"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
-    zipped = first.select("g", "block", F.posexplode(F.arrays_zip("p", "n", "pairs")).alias("at", "z"))
-    totals = zipped.select("g", (F.col("block") * REP_BLOCK + F.col("at")).alias("k"), "z.p", "z.n", "z.pairs")
-    values = totals.join(area, ["g", "k"]).filter((F.col("p") > 0) & (F.col("n") > 0))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in group)
-    return values.select(
-        F.from_json("g", fields).alias("_g"),
-        rep,
-        (F.col("pairs") / (2.0 * F.col("p") * F.col("n"))).alias("auroc"),
-        (F.col("area") / F.col("p")).alias("auprc"),
-    ).select("_g.*", "rep", "auroc", "auprc")
+    return named_groups(weighted_areas(scored_rows(scored, group), poisson_draws(reps, seed)), scored, group)

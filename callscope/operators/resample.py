@@ -7,15 +7,16 @@ the partition layout, and shared by tools that score the same key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.hashing import unit, with_digest, with_draw, with_index
-from callscope.operators import curves
+from callscope.functions.hashing import poisson_bounds, unit, with_digest, with_draw, with_index
 from callscope.operators.metrics import class_sizes
-from callscope.operators.ordered import Cut, dense_index, uncut
-from callscope.operators.replicates import replicate_areas
+from callscope.operators.ordered import dense_index
+from callscope.operators.replicates import Draws, named_groups, replicate_areas, scored_rows, weight_sums, weighted_areas
+from callscope.session import durable, ship
 
 # Seeds and sizes of the resampling steps, interval bounds.
 SAMPLE_SEED = 42
@@ -24,6 +25,9 @@ BOOTSTRAP_REPS = 1000
 STRATIFIED_REPS = 200
 INTERVAL = (0.025, 0.975)
 TRAIN_SHARE = 0.8
+#: Standard deviations that stratified weights stay below the class size; draws made by one row.
+SPARE = 8.0
+DRAWS = 4096
 
 
 def hash_split(rows: DataFrame, key: str = "key", share: float = TRAIN_SHARE, seed: int = SAMPLE_SEED) -> DataFrame:
@@ -83,10 +87,6 @@ def weighted_resample(
     return draws.join(pool.drop("_idx_size"), [*group, "label", "_idx"]).drop("_idx")
 
 
-def _replicates(reps: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))
-
-
 def _interval(values: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Base value (rep -1) and interval over the replicates that had both classes.
 
@@ -109,13 +109,12 @@ def bootstrap_areas(
     reps: int = BOOTSTRAP_REPS,
     seed: int = BOOTSTRAP_SEED,
     group: Sequence[str] = ("tool",),
-    cut: Cut = uncut,
 ) -> DataFrame:
     """AUROC and AUPRC per tool with 95 % bootstrap intervals.
 
     A replicate that lost a class does not count.
     """
-    return intervals(replicate_areas(scored, group, reps, seed, cut), group)
+    return intervals(replicate_areas(scored, group, reps, seed), group)
 
 
 def intervals(values: DataFrame, group: Sequence[str] = ("tool",)) -> DataFrame:
@@ -123,34 +122,51 @@ def intervals(values: DataFrame, group: Sequence[str] = ("tool",)) -> DataFrame:
     return _interval(values, group, ["auroc", "auprc"])
 
 
+def poisson_mean(size: int) -> float:
+    """Mean weight for classes of this size: eight standard deviations below one."""
+    return max(0.0, 1.0 - SPARE / size**0.5) if size else 0.0
+
+
 def bootstrap_stratified(
-    scored: DataFrame, reps: int = STRATIFIED_REPS, seed: int = BOOTSTRAP_SEED, cut: Cut = uncut
+    scored: DataFrame, reps: int = STRATIFIED_REPS, seed: int = BOOTSTRAP_SEED
 ) -> DataFrame:
     """AUROC intervals from resamples that keep both class sizes exactly.
 
-    Every key of a class draws one row of its class per replicate; all tools share the draw.
+    A replicate draws as many keys of a class as it has, with replacement, and all tools share the
+    draws. Given their sum, Poisson weights are such draws. So keys get Poisson weights of a mean a
+    little below one, where their rows are; per class and replicate only the sum is needed, and the
+    few draws that are missing (in the order of the root of the class size) are drawn one by one
+    from the numbered keys. A replicate whose weights exceed the class draws all its keys that way.
+    Labels belong to keys, as after ``align_universe``.
     """
-    wide = (
-        scored.filter(F.col("label").isin(0, 1))
-        .groupBy("key")
-        .agg(F.max("label").alias("label"), F.collect_list(F.struct("tool", "prob")).alias("scores"))
-    )
-    pool = cut(dense_index(wide, ["label"], "key"))
-    digested = with_digest(pool.select("label", "idx_size", "key")).drop("key")
-    draws = with_index(
-        digested.withColumn("rep", _replicates(reps)), "idx", F.col("rep"), seed, F.col("idx_size")
-    ).select("label", "rep", "idx")
-    # Repeated draws are added up by the histogram; grouping them here would only add a shuffle.
-    hits = draws.join(pool.select("label", "idx", "scores"), ["label", "idx"]).select(
-        "label", "rep", F.lit(1).cast("bigint").alias("w"), F.inline("scores")
-    )
-    base = scored.select(
-        "label", F.lit(-1).alias("rep"), F.lit(1).cast("bigint").alias("w"), "tool", "prob"
-    )
-    inner = ["tool", "rep"]
-    points = curves.curve(cut(curves.score_counts(hits.unionByName(base), inner, "w")), inner)
-    values = points.groupBy(*inner).agg(curves.auroc().alias("auroc"))
-    return _interval(values, ["tool"], ["auroc"])
+    spark = scored.sparkSession
+    ship(spark)
+    labelled = scored.filter(F.col("label").isin(0, 1))
+    pool = durable(labelled.groupBy("key").agg(F.max("label").cast("int").alias("label")))
+    sizes = {0: 0, 1: 0} | dict(pool.groupBy("label").count().collect())
+    bounds = tuple(poisson_bounds(poisson_mean(sizes[label])) for label in (0, 1))
+    draws = Draws(reps, seed, bounds)
+    totals = weight_sums(with_digest(pool, "key", ("h", "l")), draws).collect()  # two numbers per replicate
+    off = [frozenset(t.rep for t in totals if t.label == label and t.total > sizes[label]) for label in (0, 1)]
+    missing = [(t.label, t.rep, sizes[t.label] - (0 if t.rep in off[t.label] else t.total)) for t in totals]
+    extra = _drawn(spark.createDataFrame(missing, "label int, rep int, n bigint"), pool, sizes, seed)
+    rows = scored_rows(scored, ["tool"])
+    keyed = extra.groupBy("key").agg(F.collect_list("rep").alias("extra"))
+    again = rows.drop("extra", "h", "l").join(keyed, "key")
+    weighed = weighted_areas(rows.unionByName(again, allowMissingColumns=True), replace(draws, off=tuple(off)))
+    return _interval(named_groups(weighed, scored, ["tool"]), ["tool"], ["auroc"])
+
+
+def _drawn(missing: DataFrame, pool: DataFrame, sizes: dict[int, int], seed: int) -> DataFrame:
+    """``key, rep``: so many uniform draws from the keys of a class per (label, rep, n)."""
+    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS).cast("bigint")))
+    cut = missing.filter("n > 0").select("label", "rep", "n", chunks.alias("chunk"))
+    first = F.col("chunk") * DRAWS
+    each = F.explode(F.sequence(first, F.least(first + DRAWS, F.col("n")) - 1)).alias("j")
+    named = cut.select("label", "rep", each).withColumn("draw", F.concat_ws("/", "label", "j"))
+    size = F.when(F.col("label") == 1, sizes[1]).otherwise(sizes[0]).cast("bigint")
+    indexed = with_index(with_digest(named, "draw"), "idx", F.col("rep"), seed, size).select("label", "rep", "idx")
+    return indexed.join(dense_index(pool, ["label"], "key").select("label", "idx", "key"), ["label", "idx"]).select("key", "rep")
 
 
 def deltas(values: DataFrame, first: str, rivals: Sequence[str]) -> DataFrame:
@@ -176,7 +192,6 @@ def paired_bootstrap_delta(
     tool_b: str | Sequence[str],
     reps: int = BOOTSTRAP_REPS,
     seed: int = BOOTSTRAP_SEED,
-    cut: Cut = uncut,
 ) -> DataFrame:
     """Difference of AUROC and AUPRC between a tool and its rivals on the same resamples.
 
@@ -190,4 +205,4 @@ def paired_bootstrap_delta(
     )
     sides = F.array(*[F.struct(F.lit(tool).alias("tool"), F.col(f"_{k}").alias("prob")) for k, tool in enumerate(tools)])
     common = wide.dropna(subset=[f"_{k}" for k in range(len(tools))]).select("key", "label", F.inline(sides))
-    return deltas(replicate_areas(common, ["tool"], reps, seed, cut), tool_a, rivals)
+    return deltas(replicate_areas(common, ["tool"], reps, seed), tool_a, rivals)

@@ -104,7 +104,7 @@ class Comparison:
     def replicates(self, reps: int = resample.BOOTSTRAP_REPS) -> DataFrame:
         """Areas of all tools on every resample; intervals and differences read the same table."""
         if reps not in self._replicates:
-            values = resample.replicate_areas(self.scored, ["tool"], reps, resample.BOOTSTRAP_SEED, durable)
+            values = resample.replicate_areas(self.scored, ["tool"], reps, resample.BOOTSTRAP_SEED)
             self._replicates[reps] = durable(values)
         return self._replicates[reps]
 

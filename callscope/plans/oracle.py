@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from callscope.functions.hashing import (
     DRAW_RANGE,
     MASK,
@@ -10,6 +12,7 @@ from callscope.functions.hashing import (
     SECOND_DRAW,
     STREAM_STEP,
 )
+from callscope.operators.resample import SPARE
 from callscope.plans.queries import BOOTSTRAP_REPS, SEED, STRATIFIED_REPS, SEQUENCE_RADIUS, WINDOW_RADIUS
 
 # name -> (names it needs, SQL)
@@ -349,18 +352,54 @@ PARTS["weighted_draws"] = (
         "idx",
     ),
 )
-PARTS["class_draws"] = (
-    ("classes",),
-    index_sql(
-        f"(SELECT tool, label, size, key, r.rep FROM classes, RANGE({STRATIFIED_REPS}) r(rep))", "rep", SEED, "size", "idx"
-    ),
+
+
+def stratified_bound(k: int) -> str:
+    """The k-th bound of Poisson weights whose mean column is ``mean``."""
+    terms = " + ".join(f"EXP(-mean) * POW(mean, {i}) / {math.factorial(i)}e0" for i in range(k + 1))
+    return f"CAST(FLOOR(({terms}) * {DRAW_RANGE}) AS BIGINT)"
+
+
+PARTS["class_keys"] = (("scored",), "SELECT key, MAX(label) AS label FROM scored GROUP BY key")
+PARTS["class_bounds"] = (
+    ("class_keys",),
+    f"SELECT label, size, {', '.join(f'{stratified_bound(k)} AS b{k}' for k in range(13))} FROM ("
+    f"SELECT label, COUNT(*) AS size, GREATEST(0e0, 1e0 - {SPARE} / SQRT(COUNT(*))) AS mean FROM class_keys GROUP BY label)",
+)
+PARTS["class_weights_drawn"] = (
+    ("class_keys", "class_bounds"),
+    f"SELECT key, label, rep, size, {' + '.join(f'CAST(u >= b{k} AS BIGINT)' for k in range(13))} AS w FROM ("
+    + draw_sql(f"(SELECT key, label, r.rep FROM class_keys, RANGE(0, {STRATIFIED_REPS}) r(rep))", "rep", SEED, "u")
+    + ") JOIN class_bounds USING (label)",
+)
+PARTS["class_sums"] = (
+    ("class_weights_drawn",),
+    "SELECT label, rep, MAX(size) AS size, SUM(w) AS total FROM class_weights_drawn GROUP BY label, rep",
+)
+PARTS["class_extra"] = (
+    ("class_sums", "class_keys"),
+    "SELECT c.key, d.label, d.rep, COUNT(*) AS w FROM ("
+    + index_sql(
+        "(SELECT label, rep, size, label || '/' || j AS key FROM (SELECT label, rep, size, "
+        "UNNEST(RANGE(CAST(size - CASE WHEN total > size THEN 0 ELSE total END AS BIGINT))) AS j FROM class_sums))",
+        "rep",
+        SEED,
+        "size",
+        "idx",
+    )
+    + ") d JOIN (SELECT key, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY MD5(key), key) - 1 AS idx FROM class_keys) c "
+    "ON c.label = d.label AND c.idx = d.idx GROUP BY c.key, d.label, d.rep",
 )
 PARTS["stratified_boot"] = (
-    ("class_draws", "classes", "scored"),
+    ("class_weights_drawn", "class_sums", "class_extra", "scored"),
     areas_sql(
         """
-        SELECT d.tool, d.rep, c.prob, c.label, 1 AS w FROM class_draws d
-        JOIN classes c ON c.tool = d.tool AND c.label = d.label AND c.idx = d.idx
+        SELECT s.tool, x.rep, s.prob, s.label, x.w FROM (
+            SELECT key, rep, SUM(w) AS w FROM (
+                SELECT key, rep, w FROM class_weights_drawn JOIN class_sums USING (label, rep)
+                WHERE class_sums.total <= class_sums.size AND w > 0
+                UNION ALL SELECT key, rep, w FROM class_extra) GROUP BY key, rep) x
+        JOIN scored s USING (key)
         UNION ALL SELECT tool, -1, prob, label, 1 FROM scored
         """
     ),

@@ -419,7 +419,7 @@ def weighted_resample(spark, sf):
 
 def _bootstrap(name: str) -> Query:
     def run(spark, sf):
-        table = resample.bootstrap_areas(views.scored(spark, sf), BOOTSTRAP_REPS, SEED, cut=durable)
+        table = resample.bootstrap_areas(views.scored(spark, sf), BOOTSTRAP_REPS, SEED)
         return rounded(table.select("tool", name, f"{name}_lo", f"{name}_hi", "reps_used"))
 
     return run
@@ -520,9 +520,9 @@ def queries() -> dict[str, Query]:
         "weighted_resample": weighted_resample,
         "bootstrap_auroc": _bootstrap("auroc"),
         "bootstrap_auprc": _bootstrap("auprc"),
-        "bootstrap_stratified": on_scored(lambda s: resample.bootstrap_stratified(s, STRATIFIED_REPS, SEED, durable)),
+        "bootstrap_stratified": on_scored(lambda s: resample.bootstrap_stratified(s, STRATIFIED_REPS, SEED)),
         "bootstrap_delta": on_scored(
-            lambda s: resample.paired_bootstrap_delta(s, "model", TOOLS[1:], BOOTSTRAP_REPS, SEED, durable)
+            lambda s: resample.paired_bootstrap_delta(s, "model", TOOLS[1:], BOOTSTRAP_REPS, SEED)
         ),
     }
 

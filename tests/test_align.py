@@ -151,7 +151,8 @@ def test_bootstrap(scored):
     assert delta["delta_auroc_lo"] < delta["delta_auroc"] < delta["delta_auroc_hi"] and delta["reps_used"] == 60
 
 
-def test_replicates_against_plain_sums(spark, monkeypatch):
+@pytest.mark.parametrize("part_rows", [40, 16_384])
+def test_replicates_against_plain_sums(spark, monkeypatch, part_rows):
     """Ties within and across blocks, a shared score, scores outside [0, 1] and a one-class tool."""
     import random
 
@@ -161,6 +162,7 @@ def test_replicates_against_plain_sums(spark, monkeypatch):
     from callscope.operators import replicates
 
     monkeypatch.setattr(replicates, "BLOCK", 7)
+    monkeypatch.setattr(replicates, "PART_ROWS", part_rows)
     draw, rows = random.Random(3), []
     for k in range(900):
         score = draw.choice([0.0, 0.0, 1.0, draw.randint(0, 20) / 20, draw.random(), -2.5, 7.0])
@@ -189,3 +191,72 @@ def test_bootstrap_of_a_tool_with_itself_is_zero(scored):
     twin = scored.filter("tool = 'a'").unionByName(scored.filter("tool = 'a'").withColumn("tool", F.lit("c")))
     row = resample.paired_bootstrap_delta(twin, "a", "c", 10, 1).first()
     assert row["delta_auroc_lo"] == row["delta_auroc_hi"] == row["delta_auprc_hi"] == 0.0
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_parts_of_a_narrow_band_stay_small(spark, monkeypatch, shared):
+    """Scores of less than one coarse cell, or all rows at one score."""
+    import random
+
+    from callscope.operators import replicates
+
+    monkeypatch.setattr(replicates, "PART_ROWS", 100)
+    draw, seen = random.Random(1), []
+    rows = [("a", f"k{k}", k % 3 // 2, 0.3 if shared else 0.3 + draw.random() * 0.0004) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "tool string, key string, label int, prob double")
+    down = replicates._down
+
+    def watched(rows, *rest):
+        seen.append(max(r["count"] for r in rows.groupBy("part").count().collect()))
+        return down(rows, *rest)
+
+    monkeypatch.setattr(replicates, "_down", watched)
+    got = {r["rep"]: r for r in replicates.replicate_areas(frame, ["tool"], 5, 1).collect()}
+    assert len(seen) == 2 and max(seen) <= 300
+    by_score = sorted({r[3] for r in rows}, reverse=True)
+    tp = pairs = 0
+    for score in by_score:
+        own = [r[2] for r in rows if r[3] == score] if shared else [next(r[2] for r in rows if r[3] == score)]
+        pairs += own.count(0) * (tp + own.count(1) / 2)
+        tp += own.count(1)
+    assert got[-1]["auroc"] == pytest.approx(pairs / (tp * (4000 - tp)))
+
+
+@pytest.mark.parametrize("spare", [8.0, -60.0])
+def test_stratified_draws_keep_class_sizes(spark, monkeypatch, spare):
+    """Also where the Poisson weights exceed the class, so that all keys are drawn one by one."""
+    import numpy as np
+
+    monkeypatch.setattr(resample, "SPARE", spare)
+    monkeypatch.setattr(resample, "DRAWS", 7)
+    rows = [("a", f"k{k}", int(k < 130), (k * 37 % 500) / 500 + 0.3 * (k < 130)) for k in range(500)]
+    frame = spark.createDataFrame(rows, "tool string, key string, label int, prob double")
+    caught = {}
+    weighted = resample.weighted_areas
+
+    def watched(rows, draws):
+        caught["rows"] = rows.select("prob", "label", "h", "l", "extra").collect()
+        caught["draws"] = draws
+        return weighted(rows, draws)
+
+    monkeypatch.setattr(resample, "weighted_areas", watched)
+    found = resample.bootstrap_stratified(frame, 60, 3).first()
+    own, draws = caught["rows"], caught["draws"]
+    number = lambda name: np.array([r[name] or 0 for r in own], np.int64)
+    label = number("label")
+    weight = draws.weights(label, number("h"), number("l"), [r["extra"] for r in own])
+    assert (weight[label == 1].sum(axis=0) == 130).all() and (weight[label == 0].sum(axis=0) == 370).all()
+    assert any(draws.off) == (spare < 0)
+    prob, areas = np.array([r["prob"] for r in own]), []
+    for rep in range(1, 61):
+        w = weight[:, rep]
+        above = (prob[label == 1][:, None] > prob[label == 0][None, :]) + 0.5 * (prob[label == 1][:, None] == prob[label == 0][None, :])
+        areas.append((w[label == 1] @ above @ w[label == 0]) / (130 * 370))
+    assert found["reps_used"] == 60
+    assert found["auroc_lo"] == pytest.approx(np.percentile(areas, 2.5)) and found["auroc_hi"] == pytest.approx(np.percentile(areas, 97.5))
+    # The spread is that of drawing each class with replacement.
+    draw = np.random.default_rng(1)
+    y, x = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    pairs = (x[y == 1][:, None] > x[y == 0][None, :]) * 1.0
+    free = [pairs[np.ix_(draw.integers(0, 130, 130), draw.integers(0, 370, 370))].mean() for _ in range(400)]
+    assert 0.6 < np.std(areas) / np.std(free) < 1.5
