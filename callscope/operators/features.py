@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.numeric import to_number
 from callscope.functions.sequence import QC_FIELDS, cut_window, one_hot, qc_vector
+from callscope.operators import skew
 
 # Letters per reference chunk, fields of the read evidence and of the signals.
 CHUNK = 4096
@@ -41,8 +42,8 @@ def merge_evidence(
 
 
 def feature_join(variants: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence beside every variant row; variants without evidence get 0."""
-    joined = variants.join(evidence.select("key", *QC_FIELDS), "key", "left")
+    """Evidence beside every variant row; variants without evidence get 0. Hot keys are split."""
+    joined = skew.left_join(variants, evidence.select("key", *QC_FIELDS), ["key"])
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in QC_FIELDS})
 
 
@@ -61,7 +62,8 @@ def sequence_windows(sites: DataFrame, chunks: DataFrame, radius: int = 100, str
     start = F.col("pos").cast("bigint") - 1 - radius
     first = F.greatest(start, F.lit(0).cast("bigint"))
     placed = sites.withColumns({"_start": start, "chunk_id": F.floor(first / F.lit(stride)).cast("bigint")})
-    joined = placed.join(chunks.select("contig", "chunk_id", "offset", "text", "halo"), ["contig", "chunk_id"], "left")
+    pieces = chunks.select("contig", "chunk_id", "offset", "text", "halo")
+    joined = skew.left_join(placed, pieces, ["contig", "chunk_id"])
     length = 2 * radius + 1
     touches = (F.col("_start") + length > 0) & (F.col("_start") < F.col("offset") + F.length("text"))
     short = F.raise_error(F.lit(f"chunks need a halo of at least {2 * radius} letters for this radius")).cast("string")

@@ -13,7 +13,15 @@ from callscope.functions.hashing import (
     STREAM_STEP,
 )
 from callscope.operators.resample import SPARE
-from callscope.plans.queries import BOOTSTRAP_REPS, SEED, STRATIFIED_REPS, SEQUENCE_RADIUS, WINDOW_RADIUS
+from callscope.plans.queries import (
+    BOOTSTRAP_REPS,
+    SEED,
+    SEQUENCE_RADIUS,
+    STRATIFIED_REPS,
+    TRAIN_BATCHES,
+    TRAIN_EPOCHS,
+    WINDOW_RADIUS,
+)
 
 # name -> (names it needs, SQL)
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -405,6 +413,49 @@ PARTS["stratified_boot"] = (
     ),
 )
 
+
+
+def training_sql() -> list[tuple[str, str]]:
+    """The parts of a fit, step by step: rows, scaling, coefficients after each step, held-out areas."""
+    drawn = draw_sql("(" + draw_sql(
+        """(SELECT CONCAT(l_orderkey, ':', l_linenumber) AS key, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS x1,
+                   CAST(l_partkey % 40 AS DOUBLE) AS x2, CAST(l_returnflag = 'R' AS DOUBLE) AS x3,
+                   CAST(CAST(l_quantity AS BIGINT) + l_partkey % 40 + 10 * CAST(l_returnflag = 'R' AS INT)
+                        + l_suppkey % 30 > 62 AS DOUBLE) AS y FROM lineitem)""", "0", 42, "u") + ")", "1", 42, "b")
+    moment = lambda i: f"AVG(x{i}) AS m{i}, SQRT(GREATEST(AVG(x{i} * x{i}) - AVG(x{i}) * AVG(x{i}), 0)) AS s{i}"
+    scaled = ", ".join(f"(x{i} - m{i}) / COALESCE(NULLIF(s{i}, 0), 1) AS z{i}" for i in (1, 2, 3))
+    parts = [
+        ("drawn", drawn),
+        ("fit_rows", f"SELECT *, u / {float(DRAW_RANGE)} < 0.8 AS train FROM drawn"),
+        ("fit_scale", f"SELECT {', '.join(map(moment, (1, 2, 3)))} FROM fit_rows WHERE train"),
+        ("fit_z", f"SELECT train, b % {TRAIN_BATCHES} AS batch, y, {scaled}, 1e0 AS z4 FROM fit_rows, fit_scale"),
+        ("c0", "SELECT " + ", ".join(f"0e0 AS c{i}, 0e0 AS f{i}, 0e0 AS q{i}" for i in (1, 2, 3, 4))),
+    ]
+    odds = "1 / (1 + EXP(-(" + " + ".join(f"c{i} * z{i}" for i in (1, 2, 3, 4)) + ")))"
+    loss = "SUM(-LN(CASE WHEN y = 1 THEN GREATEST(p, 1e-15) ELSE GREATEST(1 - p, 1e-15) END))"
+    for k in range(1, TRAIN_EPOCHS * TRAIN_BATCHES + 1):
+        sums = ", ".join(f"SUM((p - y) * z{i}) / COUNT(*) AS g{i}" for i in (1, 2, 3, 4))
+        parts.append((f"g{k}", f"SELECT {sums}, {loss} AS loss, COUNT(*) AS n FROM (SELECT *, {odds} AS p FROM fit_z, c{k - 1} "
+                               f"WHERE train AND batch = {(k - 1) % TRAIN_BATCHES})"))
+        moments = ", ".join(f"c{i}, 0.9e0 * f{i} + (1 - 0.9e0) * g{i} AS f{i}, 0.999e0 * q{i} + (1 - 0.999e0) * g{i} * g{i} AS q{i}"
+                            for i in (1, 2, 3, 4))
+        moved = ", ".join(f"c{i} - 0.1e0 * (f{i} / (1 - POW(0.9e0, {k}))) / (SQRT(q{i} / (1 - POW(0.999e0, {k}))) + 1e-8) AS c{i}, f{i}, q{i}"
+                          for i in (1, 2, 3, 4))
+        parts.append((f"c{k}", f"SELECT {moved} FROM (SELECT {moments} FROM c{k - 1}, g{k})"))
+    for e in range(1, TRAIN_EPOCHS + 1):
+        own = [f"g{k}" for k in range((e - 1) * TRAIN_BATCHES + 1, e * TRAIN_BATCHES + 1)]
+        parts.append((f"h{e}", f"SELECT y, ROUND({odds}, 12) AS p FROM fit_z, c{e * TRAIN_BATCHES} WHERE NOT train"))
+        parts.append((f"e{e}", f"""
+            SELECT {e} AS epoch, ({' + '.join(f'(SELECT loss FROM {g})' for g in own)}) / ({' + '.join(f'(SELECT n FROM {g})' for g in own)}) AS train_loss,
+                   (SELECT {loss} / COUNT(*) FROM h{e}) AS valid_loss,
+                   SUM(neg * (2 * tp - pos)) / (2e0 * MAX(tp) * MAX(fp)) AS auroc,
+                   SUM(pos / (SELECT SUM(y) FROM h{e}) * tp / (tp + fp)) AS average_precision
+            FROM (SELECT pos, neg, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp
+                  FROM (SELECT p, SUM(y) AS pos, SUM(1 - y) AS neg FROM h{e} GROUP BY p)
+                  WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"""))
+    return parts
+
+
 METRICS = """
     SELECT tool, ROUND(auroc, 6) AS auroc, ROUND(auprc, 6) AS auprc,
            ROUND(CASE WHEN ok THEN COALESCE(2 * tp / NULLIF(tp + fp + p, 0), 0) END, 6) AS f1,
@@ -730,7 +781,14 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "seq_window": (("cut",), "SELECT site, contig, pos, seq FROM cut"),
     "one_hot": (
         ("cut",),
-        "SELECT site, " + ", ".join(f"{_one_hot(b)} AS channel_{b.lower()}" for b in "ACGT") + " FROM cut WHERE seq IS NOT NULL",
+        "SELECT site, " + ", ".join(f"{_one_hot(b)} AS channel_{b.lower()}" for b in "ACGT") + " FROM cut",
+    ),
+    "epoch_metrics": (
+        (),
+        "WITH " + ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in training_sql())
+        + ", epochs AS (" + " UNION ALL ".join(f"SELECT * FROM e{e}" for e in range(1, TRAIN_EPOCHS + 1)) + ") "
+        "SELECT epoch, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("train_loss", "valid_loss", "auroc", "average_precision"))
+        + ", epoch = (SELECT ARG_MAX(epoch, auroc) FROM epochs) AS best FROM epochs",
     ),
     "transpose_array": (
         (),
@@ -751,8 +809,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "stratified_pr_points": (
         ("binned",),
-        "SELECT tool, stratum, bin, ROUND(CASE WHEN threshold >= 0 THEN threshold END, 6) AS threshold, "
-        "ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall FROM "
+        "SELECT tool, stratum, bin, CASE WHEN threshold >= 0 THEN threshold END AS threshold, precision, recall FROM "
         f"({_strata_points('vaf')} UNION ALL {_strata_points('depth')}) WHERE recall IS NOT NULL",
     ),
     "stratified_pr": (("binned",), _strata("vaf") + " UNION ALL " + _strata("depth")),

@@ -22,6 +22,7 @@ from callscope.operators import (
     resample,
     scores,
     strata,
+    train,
 )
 from callscope.plans import views
 from callscope.plans.views import TOOLS
@@ -38,6 +39,8 @@ DIGITS = 6
 SEQUENCE_STRIDE = 256
 SEQUENCE_RADIUS = 10
 WINDOW_RADIUS = 100
+TRAIN_EPOCHS = 3
+TRAIN_BATCHES = 2
 
 
 def rounded(frame: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -328,7 +331,7 @@ def one_hot(spark, sf):
     def digits(i: int):
         return F.array_join(F.transform(F.col("channels")[i], lambda x: x.cast("string")), "")
 
-    return channels.filter(F.col("seq").isNotNull()).select(
+    return channels.select(
         "site", *[digits(i).alias(f"channel_{base.lower()}") for i, base in enumerate(sequence.BASES)]
     )
 
@@ -360,6 +363,11 @@ def lr_scores(spark, sf):
     return rounded(learn.score(model, split.drop("embedding", "weight")))
 
 
+def epoch_metrics(spark, sf):
+    settings = train.Settings(epochs=TRAIN_EPOCHS, patience=TRAIN_EPOCHS, batches=TRAIN_BATCHES)
+    return rounded(train.history(spark, train.fit(views.training_rows(spark, sf), settings)))
+
+
 # --- strata ------------------------------------------------------------------------------------
 
 
@@ -386,7 +394,8 @@ def stratified_pr(spark, sf):
 
 
 def stratified_pr_points(spark, sf):
-    return rounded(strata.stratified_pr_points(views.scored(spark, sf), views.depths(spark, sf), cut=durable))
+    """Ratios of counts as they are: one division is the same number in every engine."""
+    return strata.stratified_pr_points(views.scored(spark, sf), views.depths(spark, sf), cut=durable)
 
 
 # --- metrics on the scored table ---------------------------------------------------------------
@@ -472,6 +481,7 @@ def queries() -> dict[str, Query]:
         "transpose_array": transpose_array,
         # learning
         "lr_scores": lr_scores,
+        "epoch_metrics": epoch_metrics,
         "linear_scores": linear_scores,
         "class_weights": class_weights,
         # strata

@@ -153,6 +153,17 @@ def contig_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three numbers per line item, and a label they decide but for a term of its own."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "CONCAT(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING)) AS key",
+        "ARRAY(CAST(CAST(l_quantity AS BIGINT) AS DOUBLE), CAST(l_partkey % 40 AS DOUBLE), "
+        "CAST(CAST(l_returnflag = 'R' AS INT) AS DOUBLE)) AS features",
+        "CAST(CAST(l_quantity AS BIGINT) + l_partkey % 40 + 10 * CAST(l_returnflag = 'R' AS INT) "
+        "+ l_suppkey % 30 > 62 AS INT) AS label",
+    )
+
+
 def positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS index", "CAST(event_type = 'error' AS INT) AS label", "value"
