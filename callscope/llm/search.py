@@ -21,7 +21,6 @@ Scores are whole numbers of 64 bits, so that nothing depends on the order of add
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -290,6 +289,8 @@ class List:
     def at(self, docs: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Scores of documents that lie in the given blocks; 0 where the term does not occur."""
         out = np.zeros(len(docs), np.int64)
+        if not len(docs):
+            return out
         edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])).tolist() + [len(docs)]
         for a, b in zip(edges, edges[1:], strict=False):
             own, scores = self.block(int(blocks[a]))

@@ -128,6 +128,11 @@ def test_blocks_are_rejected_before_decompression():
 
     fill(rare, [5, 6000])
     fill(common, list(range(0, 10_000, 2)))
+    odd_only = search.List(9000, scorer, m)
+    fill(odd_only, [20_001 % 10_000])  # its document lies behind the last one of no block that has it
+    far = search.List(300, scorer, m)
+    fill(far, [9000, 9002])
+    assert search.best_of([far, odd_only], odd_only.bound, 10_000, 1)[0].tolist() == [1]
     docs, _ = search.best_of([common, rare], rare.bound, 10_000, 1)
     assert 6000 in docs.tolist()
     assert len(common.made) <= 2 < len(common.data)
