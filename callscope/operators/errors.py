@@ -18,7 +18,7 @@ def _reach(cells: DataFrame, group: list[str], cell: str, n: int) -> DataFrame:
 
     ``cells``: group, cell, ``_n`` rows, ``_before`` rows ahead of all cells of the group.
     """
-    order = Window.partitionBy(*group).orderBy(F.col(cell).asc_nulls_first())
+    order = Window.partitionBy(*group).orderBy(cell)
     upto = F.col("_before") + F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     reached = cells.withColumn("_upto", upto).filter(F.col("_upto") - F.col("_n") < n)
     return reached.groupBy(*group).agg(F.max(cell).alias(cell), F.max(F.col("_upto") - F.col("_n")).alias("_before"))
@@ -29,15 +29,15 @@ def _select(rows: DataFrame, group: list[str], value: str, n: int) -> DataFrame:
 
     Only counts of cells are ordered. The cells reached are one row per group, which is broadcast.
     """
-    celled = with_cells(rows, value)
+    # Missing values stand in the lowest cell.
+    celled = with_cells(rows.withColumn("_v", F.coalesce(value, F.lit(float("-inf")))), "_v").drop("_v")
     zero = F.lit(0).cast("bigint").alias("_before")
     coarse = celled.groupBy(*group, "_coarse").agg(F.count(F.lit(1)).alias("_n")).select("*", zero)
     first = F.broadcast(_reach(coarse, group, "_coarse", n).withColumnRenamed("_coarse", "_c"))
-    near = celled.join(first, group).filter(F.coalesce(F.col("_coarse") <= F.col("_c"), F.col("_coarse").isNull()))
-    fine = near.filter(F.col("_coarse").eqNullSafe(F.col("_c"))).groupBy(*group, "_fine", "_before").agg(F.count(F.lit(1)).alias("_n"))
+    near = celled.join(first, group).filter(F.col("_coarse") <= F.col("_c"))
+    fine = near.filter(F.col("_coarse") == F.col("_c")).groupBy(*group, "_fine", "_before").agg(F.count(F.lit(1)).alias("_n"))
     second = F.broadcast(_reach(fine, group, "_fine", n).select(*group, F.col("_fine").alias("_f")))
-    # The fine cell decides inside the last coarse cell only; a cell of missing values has no number.
-    inside = ~F.col("_coarse").eqNullSafe(F.col("_c")) | F.coalesce(F.col("_fine") <= F.col("_f"), F.col("_fine").isNull())
+    inside = (F.col("_coarse") < F.col("_c")) | (F.col("_fine") <= F.col("_f"))
     return near.drop("_before").join(second, group).filter(inside).drop("_coarse", "_fine", "_c", "_f")
 
 

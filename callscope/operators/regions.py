@@ -7,7 +7,9 @@ into as many parts as its counted rows ask for; other bins are neither split nor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.keys import norm_chrom
@@ -20,6 +22,8 @@ QUERY_OPS = ("M", "=", "X", "I", "S")
 SKIP_FLAGS = 0x4 | 0x100 | 0x200 | 0x400
 MIN_BASE_QUALITY = 13
 WINDOW_RADIUS = 100
+# Letters of a block: lost to the mate; of a deletion that is written out. Neither is a base.
+LOST, GAP = ".", "-"
 # Rows of a bin that one task of a range join may hold before the bin is split.
 BIN_ROWS = 50_000
 
@@ -69,8 +73,14 @@ def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int) -> tuple[
     return split.drop("_full"), spread.drop("_full")
 
 
-def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame:
-    """One row per stretch of a read that lies on the reference.
+def reference_end(start: Column, cigar: Column) -> Column:
+    """The place behind the last letter of the reference that a read covers."""
+    step = lambda total, item: total + F.when(item["op"].isin(*REFERENCE_OPS), item["len"].cast("bigint")).otherwise(F.lit(0))
+    return F.aggregate(cigar, start.cast("bigint"), step)
+
+
+def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per stretch of a read that lies on the reference, with the columns ``keep`` of the read.
 
     ``reads``: chrom, start (0-based), cigar array<struct<op,len>>, seq, quals, mapq, is_reverse,
     flag. Blocks of deletions and skips have no letters (``seq`` is NULL). The CIGAR is walked with
@@ -112,7 +122,7 @@ def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame:
         )
     )
     walked = F.when((F.size("cigar") == 1) & only["op"].isin(*REFERENCE_OPS), single).otherwise(walked)
-    blocks = kept.select("chrom", "seq", "quals", "mapq", "is_reverse", F.inline(walked))
+    blocks = kept.select("chrom", "seq", "quals", "mapq", "is_reverse", *keep, F.inline(walked))
     aligned = F.col("op").isin(*ALIGNED_OPS)
     first, length = (F.col("offset") + 1).cast("int"), F.col("len").cast("int")
     return blocks.select(
@@ -123,9 +133,57 @@ def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame:
         F.when(aligned, F.slice("quals", first, length)).alias("quals"),
         "mapq",
         "is_reverse",
+        *keep,
     ).filter(F.col("end") > F.col("start"))
 
 
+def fragment_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame:
+    """``aligned_blocks`` in which a fragment counts once at every place of the reference.
+
+    Two kept reads of one ``name`` on one chromosome are mates. Where both lie on a place, the letter of the
+    higher quality stays, the earlier mate's if they are equal; a deletion loses against any letter and
+    missing qualities are equal. What loses becomes ``LOST``, a block without letters as well.
+    Reads without a name, and names of one or of more than two reads, stay as they are. Only mates that
+    overlap are compared, each block with the blocks of one other read.
+    """
+    kept = reads.filter(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0)
+    named = kept.filter(F.col("name").isNotNull()).withColumn("_e", reference_end(F.col("start"), F.col("cigar")))
+    fragment = Window.partitionBy("chrom", "name")
+    first = fragment.orderBy("start", "_e", F.col("flag"), "seq", "mapq", "is_reverse")
+    marked = named.withColumns(
+        {
+            "_mate": F.row_number().over(first),
+            "_n": F.count(F.lit(1)).over(fragment),
+            "_meet": F.max("start").over(fragment) < F.min("_e").over(fragment),
+        }
+    )
+    paired = (F.col("_n") == 2) & F.col("_meet")
+    blocks = aligned_blocks(marked.filter(paired), 0, ["name", "_mate"])
+    other = blocks.select(
+        "chrom", "name", (3 - F.col("_mate")).alias("_mate"), F.struct("start", "end", F.col("seq").isNull().alias("gone"), "quals").alias("b")
+    )
+    other = other.groupBy("chrom", "name", "_mate").agg(F.collect_list("b").alias("other"))  # one read's blocks
+    quality = lambda gone, quals, at: F.when(gone, F.lit(-1)).otherwise(F.coalesce(F.get(quals, at.cast("int")), F.lit(0)))
+
+    def letter(i: Column) -> Column:
+        own = quality(F.col("seq").isNull(), F.col("quals"), i)
+        place = F.col("start") + i
+
+        def beats(b: Column) -> Column:
+            theirs = quality(b["gone"], b["quals"], place - b["start"])
+            over = F.when(F.col("_mate") == 1, theirs > own).otherwise(theirs >= own)
+            return (b["start"] <= place) & (place < b["end"]) & over
+
+        return F.when(F.exists("other", beats), F.lit(LOST)).otherwise(F.coalesce(F.substr("seq", (i + 1).cast("int"), F.lit(1)), F.lit(GAP)))
+
+    touched = F.exists("other", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    spelt = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1), letter), "")
+    columns = ("chrom", "start", "end", "seq", "quals", "mapq", "is_reverse")
+    resolved = blocks.join(other, ["chrom", "name", "_mate"], "left").withColumn("seq", F.when(touched, spelt).otherwise(F.col("seq")))
+    alone = marked.filter(~paired).drop("_e", "_mate", "_n", "_meet").unionByName(kept.filter(F.col("name").isNull()))
+    return aligned_blocks(alone, 0).unionByName(resolved.select(*columns))
+
+
 def pileup(
     sites: DataFrame,
     reads: DataFrame,
@@ -133,20 +191,25 @@ def pileup(
     min_base_quality: int = MIN_BASE_QUALITY,
     bin_width: int = 128,
     bin_rows: int = BIN_ROWS,
+    mates: str = "each",
 ) -> DataFrame:
     """Read evidence per site: ``key, DP, AD, VAF, MQ, SB``; uncovered sites give zeros.
 
     ``sites``: key, chrom, pos (1-based), alt. DP counts every read over the site, deletions
     included; AD the reads whose base equals a one-letter alt, so longer alts have AD 0. A row of
-    ``sites`` that repeats another one gets the same numbers.
+    ``sites`` that repeats another one gets the same numbers. ``mates="once"`` counts a fragment once
+    where its two reads overlap, see ``fragment_blocks``; reads then need ``name``.
 
     Places and alts are reduced to different ones first. Reads keep, in each bin that has a site,
     only the letters inside the bin, and equal pieces are added up before the join.
     """
+    if mates not in ("each", "once"):
+        raise ValueError("mates must be each or once")
+    blocks = aligned_blocks(reads, skip_flags) if mates == "each" else fragment_blocks(reads, skip_flags)
     alt = F.coalesce("alt", F.lit("")).alias("alt")
     asked = sites.select("key", "chrom", (F.col("pos").cast("bigint") - 1).alias("_p"), alt)
     points = asked.select("chrom", "_p", "alt").distinct().withColumn("_bin", _bin(F.col("_p"), bin_width))
-    spans = aligned_blocks(reads, skip_flags).withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
+    spans = blocks.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
     spans = spans.join(points.select("chrom", "_bin").distinct(), ["chrom", "_bin"], "left_semi")
     low = F.greatest("start", F.col("_bin") * bin_width)
     high = F.least("end", (F.col("_bin") + 1) * bin_width)
@@ -172,6 +235,7 @@ def pileup(
     quality = F.get("quals", offset - 1)
     good = quality.isNull() | (quality >= min_base_quality)
     hit = F.coalesce(good & (base == F.upper("alt")), F.lit(False))
+    over = over.filter(F.coalesce(base != LOST, F.lit(True)))
     none = F.lit(0).cast("bigint")
     place = ["chrom", "_p", "alt"]
     totals = over.select(*place, hit.alias("hit"), "_n", "_q", "is_reverse").groupBy(*place).agg(

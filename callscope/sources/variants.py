@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions.keys import norm_chrom
+from callscope.operators import skew
+from callscope.sources import blocked as blocked_gzip
 
 # Required columns and build, patterns of the allele fraction inside INFO.
 MAF_COLUMNS = ("chromosome", "start_position", "reference_allele", "tumor_seq_allele2", "ncbi_build")
@@ -17,8 +19,13 @@ INFO_FRACTION_LOOSE = r"AF=([0-9\.eE+-]+)"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def data_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Lines that are not comments, with the file they come from."""
+def data_lines(spark: SparkSession, path: str | Sequence[str], blocked: bool = False) -> DataFrame:
+    """Lines that are not comments, with the file they come from.
+
+    A gzipped file is read by one task; ``blocked`` reads block-compressed ones by many, see ``sources.blocked``.
+    """
+    if blocked:
+        return without_comments(blocked_gzip.read_lines(spark, path))
     return without_comments(
         spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
     )
@@ -31,34 +38,34 @@ def without_comments(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_maf(spark: SparkSession, path: str | Sequence[str], build: str = GENOME_BUILD) -> DataFrame:
+def read_maf(
+    spark: SparkSession, path: str | Sequence[str], build: str = GENOME_BUILD, blocked: bool = False
+) -> DataFrame:
     """Variants of one genome build from mutation tables, labelled 0; see ``parse_maf``."""
-    return parse_maf(data_lines(spark, path), build)
+    return parse_maf(data_lines(spark, path, blocked), build)
 
 
 def parse_maf(lines: DataFrame, build: str = GENOME_BUILD) -> DataFrame:
     """Variants from the lines ``line, file`` of mutation tables.
 
     The header is the line that names all required columns. Every file brings its own, in its
-    own column order; the headers, one per file, reach the lines as one map in a scalar subquery,
-    so no line is shuffled. A file without such a header is an error.
+    own column order. One row per file, with the places of the required columns, is joined to the
+    lines; a file of very many lines is split. A file without such a header is an error.
     """
     rows = lines.withColumn("fields", F.split("line", "\t"))
     names = F.transform("fields", lambda field: F.lower(F.trim(field)))
     is_header = F.forall(F.array(*[F.lit(c) for c in MAF_COLUMNS]), lambda c: F.array_contains(names, c))
     marked = rows.select("file", "fields", is_header.alias("is_header"), F.when(is_header, names).alias("names"))
-    headers = marked.filter("is_header").groupBy("file").agg(F.min("names").alias("header"))
-    by_file = headers.agg(F.map_from_entries(F.collect_list(F.struct("file", "header")))).scalar()
-    body = marked.filter(~F.col("is_header")).select("file", "fields", by_file[F.col("file")].alias("header"))
-    checked = F.when(
-        F.col("header").isNull(), F.raise_error(F.concat(F.lit("required columns missing in "), F.col("file")))
-    ).otherwise(F.col("header"))
+    headers = marked.filter("is_header").groupBy("file").agg(F.min("names").alias("names"))
+    places = headers.select("file", *[(F.array_position("names", c) - 1).cast("int").alias(f"at_{c}") for c in MAF_COLUMNS])
+    body = skew.left_join(marked.filter(~F.col("is_header")).select("file", "fields"), places, ["file"])
+    missing = F.raise_error(F.concat(F.lit("required columns missing in "), F.col("file")))
 
     def field(name: str) -> Column:
-        return F.get("fields", (F.array_position("header", name) - 1).cast("int"))
+        return F.get("fields", F.when(F.col(f"at_{name}").isNull(), missing.cast("int")).otherwise(F.col(f"at_{name}")))
 
     return (
-        body.withColumn("header", checked)
+        body
         .filter(field("ncbi_build") == build)
         .select(
             norm_chrom(field("chromosome")).alias("chrom"),
@@ -72,9 +79,9 @@ def parse_maf(lines: DataFrame, build: str = GENOME_BUILD) -> DataFrame:
     )
 
 
-def read_truth_vcf(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_truth_vcf(spark: SparkSession, path: str | Sequence[str], blocked: bool = False) -> DataFrame:
     """One row per alternative allele, labelled 1."""
-    return parse_truth_vcf(data_lines(spark, path))
+    return parse_truth_vcf(data_lines(spark, path, blocked))
 
 
 def parse_truth_vcf(lines: DataFrame) -> DataFrame:
@@ -116,13 +123,15 @@ def info_score(info, qual, allele=None, strict: bool = True) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def read_vcf(spark: SparkSession, path: str | Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_vcf(
+    spark: SparkSession, path: str | Sequence[str], strict: bool = True, blocked: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Calls ``chrom, pos, ref, alt, score`` and the lines set aside ``file, line, reason``.
 
     A short line, a position that is no integer or a score that is no number goes to the second
     frame instead of a log; no line is in both or in neither.
     """
-    parsed = parse_calls(data_lines(spark, path), strict)
+    parsed = parse_calls(data_lines(spark, path, blocked), strict)
     return good_calls(parsed), bad_lines(parsed)
 
 
