@@ -568,6 +568,55 @@ def _rounded(columns, digits: int = 6) -> str:
 
 
 # query -> (parts it needs, SQL)
+PILEUP = """
+        SELECT key, dp AS "DP", ad AS "AD", ROUND(COALESCE(ad / NULLIF(dp, 0), 0), 6) AS "VAF",
+               ROUND(mq / GREATEST(ad, 1), 6) AS "MQ", ROUND(ABS(ad - 2 * rev) / GREATEST(ad, 1), 6) AS "SB"
+        FROM (SELECT key, COUNT(l_partkey) AS dp,
+                     COUNT(*) FILTER (WHERE SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) = alt) AS ad,
+                     COALESCE(SUM(l_orderkey % 60) FILTER
+                       (WHERE SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) = alt), 0) AS mq,
+                     COUNT(*) FILTER (WHERE SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) = alt
+                       AND l_linestatus = 'F') AS rev
+              FROM sites LEFT JOIN lineitem ON chrom = l_suppkey % 22 AND l_partkey <= pos0
+                AND pos0 < l_partkey + CAST(l_quantity AS BIGINT)
+              GROUP BY key)
+        """
+PARTS["paired_reads"] = (
+    (),
+    """
+    SELECT *, COUNT(*) OVER (PARTITION BY chrom, name) AS n,
+           ROW_NUMBER() OVER (PARTITION BY chrom, name ORDER BY s, e, mate) AS m
+    FROM (SELECT 1 AS mate, l_suppkey % 22 AS chrom, CONCAT_WS(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS name,
+                 l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, NULL AS gap,
+                 SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) AS letter, 10 + l_linenumber AS quality,
+                 l_orderkey % 60 AS mapq, 0 AS rev
+          FROM lineitem WHERE l_orderkey % 20 <> 0
+          UNION ALL
+          SELECT 2, l_suppkey % 22, CONCAT_WS(':', l_orderkey, l_linenumber, l_partkey, l_suppkey),
+                 l_partkey + CAST(l_quantity AS BIGINT) // 3, l_partkey + CAST(l_quantity AS BIGINT) // 3 + CAST(l_quantity AS BIGINT) + 2,
+                 l_partkey + CAST(l_quantity AS BIGINT) // 3 + GREATEST(1, CAST(l_quantity AS BIGINT) // 2),
+                 SUBSTR('ACGT', CAST((l_orderkey + l_suppkey % 2) % 4 + 1 AS INT), 1), 10 + l_partkey % 7, l_orderkey % 60, 1
+          FROM lineitem)
+    """,
+)
+PARTS["over_paired"] = (
+    ("sites", "paired_reads"),
+    """
+    SELECT *, n <> 2 OR ROW_NUMBER() OVER (PARTITION BY key, name ORDER BY q DESC, m) = 1 AS stays
+    FROM (SELECT key, alt, name, letter, mapq, rev, n, m, p.s IS NOT NULL AS found, gone,
+                 CASE WHEN gone THEN -1 ELSE quality END AS q
+          FROM (SELECT sites.key, alt, r.*, COALESCE(pos0 BETWEEN gap AND gap + 1, FALSE) AS gone
+                FROM sites LEFT JOIN paired_reads r ON r.chrom = sites.chrom AND r.s <= pos0 AND pos0 < r.e) p)
+    """,
+)
+PILEUP_PAIRED = """
+    SELECT key, dp AS "DP", ad AS "AD", ROUND(COALESCE(ad / NULLIF(dp, 0), 0), 6) AS "VAF",
+           ROUND(mq / GREATEST(ad, 1), 6) AS "MQ", ROUND(ABS(ad - 2 * rev) / GREATEST(ad, 1), 6) AS "SB"
+    FROM (SELECT key, COUNT(*) FILTER (WHERE found AND {kept}) AS dp, COUNT(*) FILTER (WHERE hit AND {kept}) AS ad,
+                 COALESCE(SUM(mapq) FILTER (WHERE hit AND {kept}), 0) AS mq, COUNT(*) FILTER (WHERE hit AND {kept} AND rev = 1) AS rev
+          FROM (SELECT *, found AND NOT gone AND letter = alt AND q >= 13 AS hit FROM over_paired) GROUP BY key)
+"""
+
 QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "normalize_key": (
         ("variants",),
@@ -749,21 +798,15 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "calls_only_in_a": (("masks",), "SELECT key FROM masks WHERE mask & 3 = 1"),
     "calls_in_both": (("masks",), "SELECT key FROM masks WHERE mask & 3 = 3"),
-    "pileup_qc": (
-        ("sites",),
-        """
-        SELECT key, dp AS "DP", ad AS "AD", ROUND(COALESCE(ad / NULLIF(dp, 0), 0), 6) AS "VAF",
-               ROUND(mq / GREATEST(ad, 1), 6) AS "MQ", ROUND(ABS(ad - 2 * rev) / GREATEST(ad, 1), 6) AS "SB"
-        FROM (SELECT key, COUNT(l_partkey) AS dp,
-                     COUNT(*) FILTER (WHERE SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) = alt) AS ad,
-                     COALESCE(SUM(l_orderkey % 60) FILTER
-                       (WHERE SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) = alt), 0) AS mq,
-                     COUNT(*) FILTER (WHERE SUBSTR('ACGT', CAST(l_orderkey % 4 + 1 AS INT), 1) = alt
-                       AND l_linestatus = 'F') AS rev
-              FROM sites LEFT JOIN lineitem ON chrom = l_suppkey % 22 AND l_partkey <= pos0
-                AND pos0 < l_partkey + CAST(l_quantity AS BIGINT)
-              GROUP BY key)
-        """,
+    "pileup_qc": (("sites",), PILEUP),
+    "pileup_regions": (("sites",), PILEUP),
+    "pileup_gaps": (("over_paired",), PILEUP_PAIRED.format(kept="TRUE")),
+    "pileup_mates": (("over_paired",), PILEUP_PAIRED.format(kept="stays")),
+    "batch_scores": (
+        (),
+        "SELECT ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS row, vec_id, ROUND(1 / (1 + EXP(-s)), 6) AS prob FROM "
+        "(SELECT vec_id, SUM(CAST(x AS DOUBLE) * ((k * 37 % 11 - 5) / 1e1)) "
+        "AS s FROM (SELECT vec_id, UNNEST(RANGE(64)) AS k, UNNEST(embedding) AS x FROM embeddings) GROUP BY vec_id)",
     ),
     "window_signal": (
         ("sites",),

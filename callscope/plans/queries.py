@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,9 @@ from callscope.operators import (
 )
 from callscope.plans import views
 from callscope.plans.views import TOOLS
-from callscope.session import durable
-from callscope.sources import fasta, sinks, variants
+from callscope.session import durable, shared_folder
+from callscope.sources import batches, fasta, sinks, variants
+from callscope.sources import reads as stored_reads
 from callscope.sources.tables import load_truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,11 +195,23 @@ def fasta_chunks(spark, sf):
     return chunks.select("contig", "chunk_id", "text")
 
 
-def linear_scores(spark, sf):
+def _linear(rows):
     """Given coefficients and the logistic function."""
     values = F.transform("embedding", lambda x, i: x.cast("double") * ((i * 37 % 11 - 5) / 10.0))
     total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-    return rounded(views.table(spark, sf, "embeddings").select("vec_id", numeric.sigmoid(total).alias("prob")))
+    return rows.withColumn("prob", numeric.sigmoid(total))
+
+
+def linear_scores(spark, sf):
+    return rounded(_linear(views.table(spark, sf, "embeddings")).select("vec_id", "prob"))
+
+
+def batch_scores(spark, sf):
+    """Rows stored in order and scored batch by batch."""
+    folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    batches.write_ordered(views.table(spark, sf, "embeddings").select("vec_id", "embedding"), folder, ["vec_id"], 1000)
+    scored = batches.score_batches(spark, folder, f"{folder}/scores", lambda rows: _linear(rows).drop("embedding"), 4)
+    return rounded(scored.select("row", "vec_id", "prob"))
 
 
 def quarantine(spark, sf):
@@ -306,6 +320,23 @@ def pileup_qc(spark, sf):
     return rounded(evidence)
 
 
+def pileup_regions(spark, sf):
+    """The same evidence from reads stored by region."""
+    folder = f"{shared_folder(spark)}/reads-{uuid.uuid4().hex}"
+    stored_reads.write_reads(views.reads(spark, sf), folder)
+    places = views.sites(spark, sf)
+    return rounded(regions.pileup(places, stored_reads.read_regions(spark, folder, places), bin_width=64))
+
+
+def pileup_gaps(spark, sf):
+    """Reads with deletions, qualities and flags."""
+    return rounded(regions.pileup(views.sites(spark, sf), views.paired_reads(spark, sf), bin_width=64))
+
+
+def pileup_mates(spark, sf):
+    return rounded(regions.pileup(views.sites(spark, sf), views.paired_reads(spark, sf), bin_width=64, mates="once"))
+
+
 def window_signal(spark, sf):
     windows = views.sites(spark, sf).select(
         "key",
@@ -474,6 +505,9 @@ def queries() -> dict[str, Query]:
         "calls_in_both": on_scored(lambda s: align.calls_in_both(s, "model", "caller_1")),
         # regions and sequences
         "pileup_qc": pileup_qc,
+        "pileup_regions": pileup_regions,
+        "pileup_gaps": pileup_gaps,
+        "pileup_mates": pileup_mates,
         "window_signal": window_signal,
         "seq_window": seq_window,
         "one_hot": one_hot,
@@ -483,6 +517,7 @@ def queries() -> dict[str, Query]:
         "lr_scores": lr_scores,
         "epoch_metrics": epoch_metrics,
         "linear_scores": linear_scores,
+        "batch_scores": batch_scores,
         "class_weights": class_weights,
         # strata
         "fixed_bins": fixed_bins,

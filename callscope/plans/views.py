@@ -79,6 +79,44 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def paired_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping mates per line item: letters that differ at times, qualities around the floor,
+    a deletion in the second, duplicates flagged."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_suppkey % 22 AS STRING) AS chrom",
+        "CONCAT_WS(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS name",
+        "CAST(l_partkey AS BIGINT) AS at",
+        "CAST(l_quantity AS INT) AS size",
+        "CAST(l_orderkey AS BIGINT) AS o",
+        "CAST(l_linenumber AS INT) AS i",
+        "CAST(l_suppkey AS BIGINT) AS s",
+    )
+    half = "CAST(GREATEST(1, size DIV 2) AS INT)"
+    first = rows.selectExpr(
+        "chrom",
+        "name",
+        "at AS start",
+        "ARRAY(STRUCT('M' AS op, size AS len)) AS cigar",
+        "REPEAT(SUBSTR('ACGT', CAST(o % 4 + 1 AS INT), 1), size) AS seq",
+        "ARRAY_REPEAT(10 + i, size) AS quals",
+        "CAST(o % 60 AS INT) AS mapq",
+        "false AS is_reverse",
+        "64 + IF(o % 20 = 0, 1024, 0) AS flag",
+    )
+    second = rows.selectExpr(
+        "chrom",
+        "name",
+        "at + size DIV 3 AS start",
+        f"ARRAY(STRUCT('M' AS op, {half} AS len), STRUCT('D' AS op, 2 AS len), STRUCT('M' AS op, size - {half} AS len)) AS cigar",
+        "REPEAT(SUBSTR('ACGT', CAST((o + s % 2) % 4 + 1 AS INT), 1), size) AS seq",
+        "ARRAY_REPEAT(CAST(10 + at % 7 AS INT), size) AS quals",
+        "CAST(o % 60 AS INT) AS mapq",
+        "true AS is_reverse",
+        "128 AS flag",
+    )
+    return first.unionByName(second)
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "CAST(p_partkey AS STRING) AS key",

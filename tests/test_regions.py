@@ -81,6 +81,49 @@ def test_pileup(spark, bin_width, bin_rows):
     assert sorted(map(tuple, got.collect())) == sorted(expected_pileup(s, reads) for s in sites)
 
 
+def once(reads):
+    """Reads of each fragment with the places that a fragment's other read holds taken out."""
+    kept = [r for r in reads if not r[8] & regions.SKIP_FLAGS]
+    overs = [walk(r) for r in kept]
+    ends = [r[1] + sum(n for op, n in r[3] if op in "M=XDN") for r in kept]
+    for i, read in enumerate(kept):
+        same = [j for j, other in enumerate(kept) if read[9] is not None and (other[0], other[9]) == (read[0], read[9])]
+        if len(same) != 2 or i != same[0]:
+            continue
+        a, b = sorted(same, key=lambda j: (kept[j][1], ends[j], kept[j][8], kept[j][4], kept[j][6], kept[j][7]))
+        for place in set(overs[a]) & set(overs[b]):
+            quality = [-1 if base is None else (q or 0) for base, q in (overs[a][place], overs[b][place])]
+            del overs[b if quality[0] >= quality[1] else a][place]
+    return list(zip(kept, overs))
+
+
+@pytest.mark.parametrize("skip", [0, 1])
+def test_mates_count_once(spark, skip):
+    source, reads = random.Random(20 + skip), []
+    shapes = [[("M", 20)], [("S", 3), ("M", 10), ("I", 2), ("M", 8)], [("M", 7), ("D", 4), ("M", 9)], [("M", 5), ("N", 30), ("M", 6)]]
+    for i in range(160):
+        for _ in range(source.choice([1, 2, 2, 2, 3])):
+            cigar = source.choice(shapes)
+            size, start = sum(n for op, n in cigar if op in "M=XIS"), source.randrange(0, 60)
+            quals = None if i % 7 == 0 else [source.randrange(8, 20) for _ in range(size)]
+            reads.append((source.choice("11112"), start, start + sum(n for op, n in cigar if op in "M=XDN"), cigar,
+                          "".join(source.choice("ACGT") for _ in range(size)), quals, source.randrange(60), source.random() < 0.5,
+                          source.choice([0, 64, 128, 1024]), None if i % 11 == 0 else f"f{i}"))
+    sites = [(f"s{c}{p}{a}", c, p, a) for c in "12" for p in range(1, 95, 3) for a in "AG"]
+    frame = spark.createDataFrame(reads, READS + ", name string")
+    got = regions.pileup(spark.createDataFrame(sites, "key string, chrom string, pos bigint, alt string"), frame, mates="once", bin_width=16)
+    want = []
+    for key, chrom, pos, alt in sites:
+        over = [(r, o[pos - 1]) for r, o in once(reads) if r[0] == chrom and pos - 1 in o]
+        hits = [r for r, (base, q) in over if base == alt and (q is None or q >= 13)]
+        forward = sum(not r[7] for r in hits)
+        want.append((key, len(over), len(hits), len(hits) / len(over) if over else 0.0, sum(r[6] for r in hits) / max(len(hits), 1),
+                     abs(2 * forward - len(hits)) / max(len(hits), 1)))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    with pytest.raises(ValueError, match="mates"):
+        regions.pileup(frame, frame, mates="twice")
+
+
 @pytest.mark.parametrize("bin_width", [8, 256])
 def test_window_signal(spark, bin_width):
     source = random.Random(2)
