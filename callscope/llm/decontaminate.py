@@ -3,28 +3,36 @@
 The automaton is built over the words of all items of a block; a transition exists for every word
 that follows in some item. Training words are streamed through it and each position carries the
 length of the longest item passage that ends there. From that length follow the hit windows; the
-state names the items. The automaton's size is linear in the block's words, so blocks have a
-bounded number of words; several blocks are scanned one after the other in the same stage, each
-adding to the hits, without a shuffle of documents.
+state names the items. The automaton's size is linear in the block's words.
+
+Tasks cut the items into pieces and deal these to blocks of bounded size, stored in the shared folder.
+One block at a time is sent to the tasks, which scan all documents for it and return hits alone; a
+worker holds one automaton. A benchmark of one block needs one pass and no shuffle; with more, hits are added up by
+the number that each stored document got.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, prepare, schema_of, slices, whole
+from callscope.llm.common import batch_of, map_rows, map_slices, prepare, schema_of, slices, store, whole
 
 WINDOW = 13
 #: Words of items in one automaton: about 100 bytes each in a worker.
 BLOCK_WORDS = 500_000
+#: Letters that count as one word more.
+WORD_LETTERS = 64
 
 #: Characters of words, a fixed pattern.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: White space that goes with a removed passage: up to the end of its line.
+AFTER = re.compile(r"[^\S\n]*")
 _LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
 
 def lowered(text: str) -> str:
@@ -168,74 +176,119 @@ def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterable[list[tuple[str | None, list[str]]]]:
-    """The items in blocks of bounded size; only one block is in the driver's memory at a time.
+PIECES = (("block", "long"), ("item_id", "string"), ("words", "array<string>"))
+
 
-    An item longer than a block is cut into pieces that share ``WINDOW`` - 1 words, so that no
-    window is lost. Null texts and texts without a word have no windows. An item without an id
-    has windows like any other; its name is None.
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> tuple[int, DataFrame]:
+    """(number of blocks, stored pieces ``block, item_id, words``): about ``most`` words a block, at most twice that.
+
+    An item longer than a 64th of a block is cut into pieces that share ``WINDOW`` - 1 words, so that no
+    window is lost. Equal items of one id are one. Null texts and texts without a word have no
+    windows. An item without an id has windows like any other; its name is None.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), whole().alias("text"))
-    rows = rows.where(F.col("text") != "")
-    block, size = [], 0
-    for name, text in rows.toLocalIterator():
-        words = words_of(text)
-        for at in range(0, max(1, len(words) - WINDOW + 1), most):
-            piece = words[at : at + most + WINDOW - 1]
-            if block and size + len(piece) > most:
-                yield block
-                block, size = [], 0
-            block.append((name, piece))
-            size += len(piece)
-    if block:
-        yield block
+    length = max(1, most // 64)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), whole().alias("text")).distinct()
+
+    def cut(names, texts):
+        out = ([], [], [])
+        for name, text in zip(names, texts, strict=True):
+            words = words_of(text)
+            for at in range(0, max(1, len(words) - WINDOW + 1) if words else 0, length):
+                out[0].append(at)
+                out[1].append(name)
+                out[2].append(words[at : at + length + WINDOW - 1])
+        return out
+
+    fields = (("at", "long"), ("item_id", "string"), ("words", "array<string>"))
+    pieces = store(map_slices(rows, cut, fields), "items")
+    letters = F.aggregate("words", F.lit(0).cast("long"), lambda total, word: total + F.length(word))
+    # Long words count for more, so that a block is bounded in bytes too.
+    weight = F.size("words") + F.floor(letters / WORD_LETTERS)
+    total = pieces.agg(F.sum(weight)).first()[0] or 0
+    many = -(-total // most)
+    number = F.pmod(F.xxhash64("item_id", "at", "words"), F.lit(max(many, 1))).alias("block")
+    return many, pieces.select(number, "item_id", "words")
+
+
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(token: str, items) -> Automaton:
+    """The block's automaton, built once per worker process; the one before it goes."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Automaton(items.value)
+    return _BUILT[token]
 
 
 SCANNED = (
+    ("rid", "long"),
     ("doc_id", "long"),
-    ("text", "string"),
     ("n_words", "long"),
     ("ranges", "array<long>"),
     ("items", "array<string>"),
 )
 
 
-def scanned(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, hit word ranges (start, end, start, ...) and hit items, over all blocks.
-
-    Each block is one pass over the words inside the same stage; the last one drops the text.
-    """
-    frame = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        whole().alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<bigint>").alias("ranges"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    prepare(frame.sparkSession)
-    context = frame.sparkSession.sparkContext
-    source = iter(blocks(benchmark, most))
-    block = next(source, [])
-    while block is not None:
-        following = next(source, None)
-        shared = context.broadcast(block)
-
-        def run(batches, shared=shared, last=following is None):
-            automaton = Automaton(shared.value)
-            for doc_ids, texts, counts, ranges, items in slices(batches):
-                for k, text in enumerate(texts):
+def _passes(rows: DataFrame, cut_items: tuple[int, DataFrame], every: bool) -> DataFrame:
+    """Hits of all blocks by ``rid`` for rows (rid, doc_id, text): of all rows if ``every``, else of those with a hit."""
+    spark = rows.sparkSession
+    prepare(spark)
+    many, pieces = cut_items
+    found = None
+    for block in range(max(many, 1)):
+        items = [(r["item_id"], r["words"]) for r in pieces.where(F.col("block") == block).collect()]  # bounded
+        shared, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+        whole_table = every and block == 0
+
+        def run(batches, shared=shared, token=token, whole_table=whole_table):
+            for rids, doc_ids, texts in slices(batches):
+                automaton, out = _automaton(token, shared), []
+                for rid, doc_id, text in zip(rids, doc_ids, texts, strict=True):
                     words = words_of(text)
-                    counts[k] = len(words)
-                    more, names = automaton.scan(words)
-                    if names:
-                        old = list(zip(ranges[k][::2], ranges[k][1::2], strict=True))
-                        ranges[k] = [x for pair in merged([*old, *more]) for x in pair]
-                        items[k] = list({*items[k], *names})
-                yield batch_of(SCANNED, [doc_ids, [None] * len(texts) if last else texts, counts, ranges, items])
+                    ranges, names = automaton.scan(words)
+                    if names or whole_table:
+                        out.append((rid, doc_id, len(words), [x for pair in ranges for x in pair], list(names)))
+                yield batch_of(SCANNED, list(zip(*out, strict=True)) or [[] for _ in SCANNED])
+
+        hits = rows.select("rid", "doc_id", "text").mapInArrow(run, schema_of(SCANNED))
+        if many > 1:
+            hits = store(hits, "hits")  # done before the next block is sent
+            shared.destroy()
+        found = hits if found is None else found.union(hits)
+    return found if many <= 1 else _added(found)
+
+
+def _added(hits: DataFrame) -> DataFrame:
+    """One row per document from the hits of several blocks."""
+    once = hits.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("ranges")).alias("ranges"),
+        F.flatten(F.collect_list("items")).alias("items"),
+    )
+
+    def of_row(rid, doc_id, n_words, ranges, items):
+        pairs = merged(zip(ranges[::2], ranges[1::2], strict=True))
+        return rid, doc_id, n_words, [x for pair in pairs for x in pair], list(set(items))
+
+    return map_rows(once, of_row, SCANNED)
+
 
-        frame = frame.mapInArrow(run, schema_of(SCANNED))
-        block = following
-    return frame.drop("text")
+def numbered(documents: DataFrame, *columns: str) -> DataFrame:
+    """Documents with ``rid``, a number of their own that is settled by being written."""
+    return store(documents.select(F.monotonically_increasing_id().alias("rid"), *columns), "numbered")
+
+
+def scanned(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, hit word ranges (start, end, start, ...) and hit items, over all blocks."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    cut_items = blocks(benchmark, most)
+    if cut_items[0] > 1:
+        rows = numbered(rows, "doc_id", "text")
+    else:
+        rows = rows.withColumn("rid", F.lit(0).cast("long"))  # one pass: nothing is added up
+    return _passes(rows, cut_items, True).drop("rid")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
@@ -268,8 +321,7 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     for start, end in ranges:
         out.append(text[at : places[start][0]])
         at = places[end - 1][1]
-        while at < len(text) and not (text[at].isalnum() or text[at] == "\n"):
-            at += 1
+        at = AFTER.match(text, at).end()
     return "".join([*out, text[at:]])
 
 
@@ -281,29 +333,47 @@ def decontaminate(
     A document whose hit words reach ``least_share`` of its words loses the hit spans; where they
     reach ``drop_share``, the document goes. All others stay as they are, null texts too. Columns
     other than ``text`` and ``n_chars`` are carried along unread, whatever their names. A worker
-    holds all automata of the benchmark, about 100 bytes a word.
+    holds the automaton of one block, about 100 bytes a word.
     """
-    prepare(documents.sparkSession)
-    context = documents.sparkSession.sparkContext
-    shared = [context.broadcast(block) for block in blocks(benchmark)]
-
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automata = [Automaton(block.value) for block in shared]
-        for texts in batches:
-            out = []
+    many, pieces = blocks(benchmark)
+    packed = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("old"), whole().alias("text"))
+
+    def judged(text: str, ranges: list[tuple[int, int]], n_words: int) -> str | None:
+        hit = sum(end - start for start, end in ranges)
+        if not hit or hit < least_share * n_words:
+            return text
+        return None if hit >= drop_share * n_words else without(text, ranges)
+
+    spark = documents.sparkSession
+    prepare(spark)
+    if many <= 1:
+        items = [(r["item_id"], r["words"]) for r in pieces.collect()]  # one block, bounded
+        shared, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series) -> pd.Series:
+            automaton, out = _automaton(token, shared), []
             for text in texts:
                 words = words_of(text)
-                ranges = merged([r for a in automata for r in a.scan(words)[0]])
-                hit = sum(end - start for start, end in ranges)
-                if not hit or hit < least_share * len(words):
-                    out.append(text)
-                else:
-                    out.append(None if hit >= drop_share * len(words) else without(text, ranges))
-            yield pd.Series(out, dtype=object)
-
-    text = F.col("text")
-    packed = documents.select(F.struct("*").alias("row"), text.alias("old"), cut(whole()).alias("new"))
+                out.append(judged(text, automaton.scan(words)[0], len(words)))
+            return pd.Series(out, dtype=object)
+
+        packed = packed.withColumn("new", cut("text"))
+    else:
+        packed = numbered(packed, "row", "old", "text")
+        hits = _passes(packed.withColumn("doc_id", F.lit(None).cast("long")), (many, pieces), False)
+
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series, ranges: pd.Series, counts: pd.Series) -> pd.Series:
+            out = []
+            for text, own, n in zip(texts, ranges, counts, strict=True):
+                pairs = [] if own is None else list(zip(own[::2], own[1::2], strict=True))
+                out.append(judged(text, [(int(a), int(b)) for a, b in pairs], n))
+            return pd.Series(out, dtype=object)
+
+        joined = packed.join(hits.select("rid", "ranges", "n_words"), "rid", "left")
+        packed = joined.withColumn("new", cut("text", "ranges", F.coalesce("n_words", F.lit(0))))
+
     packed = packed.where("old IS NULL OR new IS NOT NULL")
     changed = F.col("old").isNotNull() & (F.col("new") != F.col("old"))
     kinds = {field.name: field.dataType for field in documents.schema}

@@ -24,8 +24,9 @@ def test_against_brute_force(spark, most):
     got = sorted((tuple(r) for r in dc.contamination(frame, bench, most).collect()), key=str)
     want = []
     for doc_id, text in rows:
-        n, hit, names = contamination(text, [x for x in items if x[0] is not None])
-        want.append((doc_id, n, hit, len(names), sha(",".join(names)), hit > 0 and 20 * hit >= n))
+        n, hit, names = contamination(text, items)
+        known = [x for x in names if x != "None"]
+        want.append((doc_id, n, hit, len(names), sha(",".join(known)), hit > 0 and 20 * hit >= n))
     assert got == sorted(want, key=str)
 
 
@@ -76,3 +77,31 @@ def test_items_without_an_id_count_as_in_the_sql(spark, tmp_path):
     docs, items = tables
     out = {r.doc_id: r.text for r in dc.decontaminate(docs, items).collect()}
     assert long not in (out.get(0) or "") and out[4] == rest
+
+
+def test_signs_and_words_behind_a_passage_stay(spark):
+    words = [f"w{k}x" for k in range(20)]
+    item, rest = " ".join(words), " ".join(f"r{k}" for k in range(60))
+    frame = spark.createDataFrame([(1, f"{rest} {item} 🎉 (gamma) ![x] end"), (2, f"{rest} {item} \t\n next")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {r.doc_id: r.text for r in dc.decontaminate(frame, bench).collect()}
+    assert out == {1: f"{rest} 🎉 (gamma) ![x] end", 2: f"{rest} \n next"}
+
+
+def test_growing_benchmark(spark, monkeypatch):
+    """Blocks stay bounded as items grow, one by one and in number, and give what one block gives."""
+    draw = random.Random(4)
+    items = [(k, " ".join(f"t{draw.randint(0, 400)}" for _ in range(draw.choice((5, 20, 2000))))) for k in range(60)]
+    items += [(7, items[7][1])] * 500  # one item many times is one item
+    texts = [" ".join(f"t{draw.randint(0, 400)}" for _ in range(30)) for _ in range(40)]
+    texts = [f"{t} {' '.join(items[k % 60][1].split()[: 10 + k % 20])} {t}" for k, t in enumerate(texts)]
+    frame = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    many, pieces = dc.blocks(bench, 3000)
+    sizes = [r["n"] for r in pieces.selectExpr("block", "size(words) AS n").groupBy("block").sum("n").toDF("block", "n").collect()]
+    assert many > 10 and max(sizes) <= 6000
+    bag = lambda f: sorted((tuple(r) for r in f.collect()), key=str)
+    assert bag(dc.contamination(frame, bench, 3000)) == bag(dc.contamination(frame, bench))
+    whole = bag(dc.decontaminate(frame, bench))
+    monkeypatch.setattr(dc.blocks, "__defaults__", (3000,))
+    assert bag(dc.decontaminate(frame, bench)) == whole and len(whole) < len(texts) + 1

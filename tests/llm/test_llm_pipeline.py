@@ -10,9 +10,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
 
 import check_oracle  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from brute_texts import components, contamination, sha  # noqa: E402
+from brute_texts import contamination, sha  # noqa: E402
+from test_llm_near_copies import brute_groups  # noqa: E402
 from test_llm_secrets import brute as secrets  # noqa: E402
-from test_llm_simhash import brute_print  # noqa: E402
 
 from callscope.llm import queries, quality_classifier  # noqa: E402
 
@@ -21,8 +21,8 @@ def test_run_against_brute_force(spark):
     docs, labels, bench = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels", "benchmark"))
     good = {r.doc_id for r in quality_classifier.classify(docs, labels).where("kept").collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in good)
-    first = components([i for i, _ in rows], [brute_print(t) for _, t in rows])
-    rows = {i: t for (i, t), c in zip(rows, first) if i == c}
+    first = brute_groups([t for _, t in rows])
+    rows = {i: t for k, (i, t) in enumerate(rows) if k == first[k]}
     items = [(r.item_id, r.text) for r in bench.collect()]
     hits = {i: contamination(t, items) for i, t in rows.items()}
     dirty = {i for i, (n, hit, _) in hits.items() if hit and 20 * hit >= n}
@@ -59,4 +59,4 @@ def test_queries_with_sql(spark):
     connection, sql = check_oracle.duck(SF), queries.oracle_sql()
     for name, text in sql.items():
         assert check_oracle.compare(spark, connection, name, queries.queries()[name], text, SF) is None
-    assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 14)]
