@@ -11,12 +11,9 @@ nor the dictionary hold anything like it. Ordinary identifiers and paths compres
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import keyword
 import re
-import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import zstandard
@@ -67,14 +64,41 @@ FIELDS = (
 )
 
 
+#: Words that names in code are made of, fixed values; names and samples follow from them by a rule.
+KEYWORDS = """
+and as assert async await boolean break byte case catch char class const continue def default delete do double
+else enum except export extends false finally float for from func function global if implements import in int
+interface is lambda let long match module namespace new nil none not null or override package pass private
+protected public raise require return self short signed sizeof static string struct super switch template this
+throw true try type typeof undefined union unsigned using var virtual void while with yield
+""".split()
+VERBS = """
+add append apply build call check clear close compare compile copy count create decode delete encode execute
+filter find flush format get handle insert iterate join list load lookup make merge move open parse print push
+read remove replace reset resolve run save search send set sort split start stop update validate write
+""".split()
+NOUNS = """
+access account address archive argument array attribute base binary buffer cache callback channel client code
+collection column command config connection content context counter credential data database date decimal device
+directory document element email encoding endpoint engine entry environment error event exception factory field
+file filename flag folder footer frame graph group handler hash header host identifier image index input instance
+integer item iterator key label language length level library line link list locale lock log manager map memory
+message method mode model module name network node number object offset option order output owner page parameter
+password path pattern payload permission pointer port prefix process profile project property protocol provider
+proxy query queue random range record reference region registry request resource response result role route row
+schema scope script secret section security sequence server service session setting signature size socket source
+stack state status storage stream string suffix symbol system table target task template text thread time
+timestamp title token tree type url user value vector version view widget window worker
+""".split()
+
+
 def primer() -> zstandard.ZstdCompressionDict:
     """A dictionary of names from code, with the letter statistics of such names.
 
     Its entropy tables make ordinary letters cheap and digits or mixed case dear, also where a text
-    is too short for the compressor to learn its own.
+    is too short for the compressor to learn its own. It is the same for every version of the interpreter.
     """
-    names = sorted({*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *sys.stdlib_module_names})
-    parts = [x.strip("_") for x in names if x.strip("_")]
+    parts = sorted({*KEYWORDS, *VERBS, *NOUNS})
     near = zip(parts, parts[7:] + parts[:7], parts[31:] + parts[:31], strict=True)
     samples = [f'self.{a}_{b} = get{c.title()}{a.title()}(config["{b}"])\nthe {a} of {c}: {b}.{a}\n'.encode() for a, b, c in near]
     return zstandard.train_dictionary(16384, samples, level=19)
@@ -135,7 +159,9 @@ def private_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = private_spans(text) if "PRIVATE KEY" in text else []
     inner = sorted(found)
-    taken, last, before, near = 0, -1, "", False
+    # Spans of one base kind do not overlap, so their starts and their ends are both in order.
+    kinds = [([s for s, k, _ in base if k == kind], [e for _, k, e in base if k == kind]) for kind in range(3)]
+    last, before, near = -1, "", False
     for match in CANDIDATE.finditer(text):
         start, end = match.span()
         if start and text[start - 1] == "\\" and text[start] in "nrt" and end - start > 16:
@@ -150,10 +176,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         after = text[end : end + CONTEXT]
         if not near and not SENSITIVE.search(after):
             continue
-        while taken < len(base) and base[taken][2] <= start:
-            taken += 1
+        at = [bisect_right(ends, start) for _, ends in kinds]  # the first of each kind that ends behind the start
         own = bisect_left(inner, (end,)) - 1  # the last line of a private key that starts before the end
-        if (own >= 0 and inner[own][2] > start) or any(s < end and start < e for s, _, e in base[taken:]):
+        if (own >= 0 and inner[own][2] > start) or any(
+            k < len(starts) and starts[k] < end for k, (starts, _) in zip(at, kinds, strict=True)
+        ):
             continue
         if CANDIDATE.match(text, BETWEEN.match(text, end).end()):
             after = CANDIDATE.sub("", after)  # lines of the same block are no surroundings
@@ -165,7 +192,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
 def find(text: str) -> tuple[list, list]:
     """Base spans, and all spans, each in order of start, then kind."""
     base = base_spans(text)
-    return base, sorted(base + novel_spans(text, sorted(base, key=lambda x: x[2])))
+    return base, sorted(base + novel_spans(text, base))
 
 
 def said(spans: list[tuple[int, int, int]]) -> str:

@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from brute_texts import sha
 from conftest import ODD_TEXTS
@@ -90,3 +91,25 @@ def test_private_key_blocks():
             assert begin in out and end in out and head in out and "some words" in out and "and more words" in out
     assert not any(line in secret_scan.redact_text("\n".join([begin, *lines])) for line in lines)
     assert secret_scan.find(f"{begin}\n{'x' * 64}\n{end}") == ([], [])
+
+
+def test_long_texts_take_linear_time():
+    """Many base spans and many candidates near sensitive words."""
+    draw, times = random.Random(5), []
+    for n in (1500, 6000):
+        lines = []
+        for _ in range(n):
+            value = "".join(draw.choices("0123456789abcdef", k=30))
+            lines.append(f"the key is some_configuration_name_value and token = {value} in the session")
+        text = "\n".join(lines)
+        start = time.process_time()
+        base, spans = secret_scan.find(text)
+        times.append(time.process_time() - start)
+        assert len(base) == 2 * n and sorted(base) == base and set(base) <= set(spans)
+    assert times[1] < 9 * times[0]
+
+
+def test_primer_does_not_depend_on_the_interpreter():
+    code = open(secret_scan.__file__).read()
+    assert "builtins" not in code and "stdlib_module_names" not in code
+    assert sha(secret_scan.primer().as_bytes()) == sha(secret_scan.primer().as_bytes())
