@@ -2,7 +2,7 @@
 
 Documents are tokenised once and cut into sequences of a fixed number of tokens. The order is a
 keyed bijection of two digits, so that each sequence crosses the network once: a keyed hash of
-its identity picks the shard; inside the shard a keyed Feistel network over the shard's
+its identity - doc_id, text, part, and a number of its own among equal rows - picks the shard; inside the shard a keyed Feistel network over the shard's
 sequences, cycle-walked to their exact number, assigns the place. A sequence's global slot is the
 number of sequences in the shards before plus its place; slots are 0, 1, 2, ... without gaps and
 do not depend on the layout of the input, on retries or on the number of executors.
@@ -29,8 +29,8 @@ from callscope.llm.common import batch_of, prepare, schema_of, slices, whole
 from callscope.session import shared_folder
 
 SEQUENCE = 512
-#: Bytes of text for one shard, and the fewest shards; a worker holds one shard at a time.
-SHARD_TEXT = 64 << 20
+#: Bytes of records that a shard may have, and the fewest shards; a worker holds one shard at a time.
+SHARD_BYTES = 256 << 20
 LEAST_SHARDS = 64
 END = 50256
 ROUNDS = 6
@@ -99,13 +99,15 @@ def pieces(documents: DataFrame, path: str, pattern: str, shards: int, key: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path, pattern).encode_to_numpy
-        for ids, ties, texts in slices(batches):
+        for ids, ties, copies, texts in slices(batches):
             out = [[] for _ in PIECES]
-            for doc_id, tie, text in zip(ids, ties, texts, strict=True):
+            for doc_id, tie, copy, text in zip(ids, ties, copies, texts, strict=True):
                 tokens = np.append(encode(text, disallowed_special=()), END).astype("<u2")
                 doc_id = NO_ID if doc_id is None else doc_id
                 many = -(-len(tokens) // size)
                 own = mixed(np.arange(many), int(mixed(np.array([doc_id]), salt[0])[0]) ^ tie)
+                if copy:
+                    own = mixed(own, salt[2] + copy)
                 data = tokens.tobytes()
                 out[0] += (mixed(own, salt[1]) % np.uint64(shards)).tolist()
                 out[1] += [doc_id] * many
@@ -116,10 +118,28 @@ def pieces(documents: DataFrame, path: str, pattern: str, shards: int, key: int,
             yield batch_of(PIECES, out)
 
     prepare(documents.sparkSession)
+    return told_apart(documents).select("doc_id", "tie", "copy", "text").mapInArrow(run, schema_of(PIECES))
+
+
+def told_apart(documents: DataFrame) -> DataFrame:
+    """doc_id, tie (hash of the text), text, and copy: 0, 1, 2, ... among equal rows.
+
+    Equal rows are few or are one text very many times. Each such text is taken out once with the number of
+    its rows, and repeated with their numbers; the other rows stay where they are.
+    """
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("tie"), whole().alias("text")
     )
-    return rows.mapInArrow(run, schema_of(PIECES))
+    # The id as text that is never null: rows without an id can be equal too.
+    keyed = rows.withColumn("name", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    again = keyed.groupBy("name", "tie").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    lone = keyed.join(again, ["name", "tie"], "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    one = keyed.join(again.select("name", "tie"), ["name", "tie"], "left_semi").groupBy("name", "tie").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text")
+    )
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("copy")
+    repeated = one.join(again, ["name", "tie"]).select("doc_id", "tie", "text", numbers)
+    return lone.select("doc_id", "tie", "text", "copy").union(repeated.select("doc_id", "tie", "text", "copy"))
 
 
 def records(sequences: DataFrame, shards: int, key: int, size: int = SEQUENCE) -> DataFrame:
@@ -164,8 +184,10 @@ def write_shards(
     Files are folder/shard=K/part-*. A null text is empty. Repeated rows are sequences of their
     own; a null doc_id is written as the least 64-bit number. Other columns are not read.
     """
-    total = documents.agg(F.sum(F.octet_length(whole()))).first()[0] or 0
-    shards = max(LEAST_SHARDS, -(-total // SHARD_TEXT))
+    # A token is a byte or more, and every text has an end: so many records at most.
+    records_of = F.floor(F.octet_length(whole()) / size) + 1
+    total = documents.agg(F.sum(records_of)).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-total * (HEADER + 2 * size + 1) // SHARD_BYTES))
     made = records(pieces(documents, path, pattern, shards, key, size), shards, key, size)
     # A cast from binary to string keeps the bytes as they are; the writer adds the line feed.
     rows = made.select("shard", F.col("record").cast("string").alias("value"))

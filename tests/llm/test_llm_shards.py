@@ -58,3 +58,23 @@ def test_reading_resumes_at_a_place(tmp_path, spark, documents):
     whole = list(ts.read_records(data, 32))
     assert list(ts.read_records(data, 32, start=5)) == whole[5:]
     assert len(ODD_TEXTS) and all(len(ids) % 2 == 0 for _, _, ids in whole)
+
+
+def test_equal_rows_and_empty_texts_spread_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ts, "SHARD_BYTES", 1 << 20)
+    rows = [(7, "one two three")] * 6000 + [(None, None)] * 6000 + [(k + 100, "") for k in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    index = ts.materialise(frame, *FILE, size=64)
+    sizes = sorted(r["count"] for r in index.groupBy("shard").count().collect())
+    assert len(sizes) == ts.LEAST_SHARDS and sizes[-1] < 1.5 * 18_000 / ts.LEAST_SHARDS
+    assert index.groupBy("doc_id").count().where("count = 6000").count() == 2
+    assert index.select("slot").distinct().count() == 18_000
+    more = ts.materialise(frame, *FILE, size=4096)
+    assert more.select("shard").distinct().count() > 2 * ts.LEAST_SHARDS  # records count, not bytes of text
+
+
+def test_order_of_repeated_rows_does_not_depend_on_layout(spark):
+    rows = [(k % 7, f"text {k % 5}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda f: [(r.doc_id, r.tokens_sha256) for r in sorted(ts.materialise(f, *FILE).collect(), key=lambda r: r.slot)]
+    assert order(frame.repartition(3)) == order(frame.repartition(8, "text"))
