@@ -428,7 +428,7 @@ def training_sql() -> list[tuple[str, str]]:
         ("drawn", drawn),
         ("fit_rows", f"SELECT *, u / {float(DRAW_RANGE)} < 0.8 AS train FROM drawn"),
         ("fit_scale", f"SELECT {', '.join(map(moment, (1, 2, 3)))} FROM fit_rows WHERE train"),
-        ("fit_z", f"SELECT train, b % {TRAIN_BATCHES} AS batch, y, {scaled}, 1e0 AS z4 FROM fit_rows, fit_scale"),
+        ("fit_z", f"SELECT key, train, b % {TRAIN_BATCHES} AS batch, y, {scaled}, 1e0 AS z4 FROM fit_rows, fit_scale"),
         ("c0", "SELECT " + ", ".join(f"0e0 AS c{i}, 0e0 AS f{i}, 0e0 AS q{i}" for i in (1, 2, 3, 4))),
     ]
     odds = "1 / (1 + EXP(-(" + " + ".join(f"c{i} * z{i}" for i in (1, 2, 3, 4)) + ")))"
@@ -567,6 +567,10 @@ def _rounded(columns, digits: int = 6) -> str:
     return ", ".join(f"ROUND({c}, {digits}) AS {c}" for c in columns)
 
 
+TRAINED = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in training_sql()) + ", epochs AS (" + " UNION ALL ".join(
+    f"SELECT * FROM e{e}" for e in range(1, TRAIN_EPOCHS + 1)
+) + ")"
+
 # query -> (parts it needs, SQL)
 PILEUP = """
         SELECT key, dp AS "DP", ad AS "AD", ROUND(COALESCE(ad / NULLIF(dp, 0), 0), 6) AS "VAF",
@@ -828,11 +832,41 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "epoch_metrics": (
         (),
-        "WITH " + ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in training_sql())
-        + ", epochs AS (" + " UNION ALL ".join(f"SELECT * FROM e{e}" for e in range(1, TRAIN_EPOCHS + 1)) + ") "
-        "SELECT epoch, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("train_loss", "valid_loss", "auroc", "average_precision"))
+        f"WITH {TRAINED} SELECT epoch, "
+        + ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("train_loss", "valid_loss", "auroc", "average_precision"))
         + ", epoch = (SELECT ARG_MAX(epoch, auroc) FROM epochs) AS best FROM epochs",
     ),
+    "epoch_scores": (
+        (),
+        f"WITH {TRAINED}, kept AS (SELECT * FROM ("
+        + " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM c{e * TRAIN_BATCHES}" for e in range(1, TRAIN_EPOCHS + 1))
+        + ") WHERE epoch = (SELECT ARG_MAX(epoch, auroc) FROM epochs)) "
+        "SELECT key, CAST(y AS INT) AS label, ROUND(p, 6) AS prob, CAST(p >= 0.5 AS INT) AS pred FROM "
+        "(SELECT key, y, ROUND(1 / (1 + EXP(-(c1 * z1 + c2 * z2 + c3 * z3 + c4))), 12) AS p FROM fit_z, kept)",
+    ),
+    "csv_scan": (("scored",), "SELECT key, label, ROUND(prob, 6) AS prob, tool FROM scored"),
+    "prediction_scan": (
+        ("model",),
+        "SELECT CAST(key AS BIGINT) AS index, label, ROUND(prob, 6) AS prob, CAST(prob >= 0.5 AS INT) AS pred_05 FROM model",
+    ),
+    "keyed_scan": (("model",), "SELECT key, CASE WHEN key NOT LIKE '%7' THEN ROUND(prob, 6) END AS prob FROM model"),
+    "bed_lines": (
+        ("variants",),
+        f"SELECT CONCAT_WS(chr(9), SUBSTR(chrom, 4), GREATEST(pos - 1 - {WINDOW_RADIUS}, 0), pos + {WINDOW_RADIUS}, "
+        "CONCAT(SUBSTR(chrom, 4), ':', pos, ':', ref, ':', alt)) AS value FROM variants",
+    ),
+    "metric_lines": (
+        ("confusion",),
+        "SELECT UNNEST([CONCAT('TP=', tp), CONCAT('FP=', fp), CONCAT('TN=', tn), CONCAT('FN=', fn), "
+        "CONCAT('PRECISION=', PRINTF('%.6f', CAST(tp AS DOUBLE) / (tp + fp))), "
+        "CONCAT('RECALL=', PRINTF('%.6f', CAST(tp AS DOUBLE) / (tp + fn)))]) AS value FROM confusion WHERE tool = 'model'",
+    ),
+    "column_synonyms": (("variants",), "SELECT chrom, pos, ref, alt, label FROM variants"),
+    "second_chain": (
+        ("raw",),
+        "SELECT 'qual' AS link, id, rn, ROUND(1 / (1 + EXP(-qual / 10e0)), 6) AS prob FROM raw "
+        "UNION ALL SELECT 'half', id, rn, CASE WHEN filter = 'PASS' THEN 1e0 ELSE 5e-1 END FROM raw",
+    ),
     "transpose_array": (
         (),
         "SELECT vec_id, CAST(k % 8 AS INT) AS i, CAST(k // 8 AS INT) AS j, ROUND(CAST(x AS DOUBLE), 6) AS x FROM "
@@ -1077,6 +1111,9 @@ QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+QUERIES["signal_scan"] = QUERIES["window_signal"]
+
+
 def _needed(names: tuple[str, ...], seen: list[str]) -> list[str]:
     for name in names:
         _needed(PARTS[name][0], seen)

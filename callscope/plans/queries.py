@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from callscope.operators import (
 from callscope.plans import views
 from callscope.plans.views import TOOLS
 from callscope.session import durable, shared_folder
-from callscope.sources import batches, fasta, sinks, variants
+from callscope.sources import batches, columns, fasta, sinks, tables, variants
 from callscope.sources import reads as stored_reads
 from callscope.sources.tables import load_truth
 
@@ -395,8 +396,85 @@ def lr_scores(spark, sf):
 
 
 def epoch_metrics(spark, sf):
+    return rounded(train.history(spark, _fitted(spark, sf)))
+
+
+@lru_cache(maxsize=8)
+def _fitted(spark, sf):
     settings = train.Settings(epochs=TRAIN_EPOCHS, patience=TRAIN_EPOCHS, batches=TRAIN_BATCHES)
-    return rounded(train.history(spark, train.fit(views.training_rows(spark, sf), settings)))
+    return train.fit(views.training_rows(spark, sf), settings)
+
+
+def epoch_scores(spark, sf):
+    """All rows scored by the best epoch."""
+    return rounded(train.score(views.training_rows(spark, sf), _fitted(spark, sf)))
+
+
+# --- files written and read back -----------------------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_scan(spark, sf):
+    """A table with a header, its columns in another order."""
+    folder = _folder(spark, "scored")
+    sinks.write_csv(views.scored(spark, sf).select("tool", "prob", "key", "label"), folder)
+    return rounded(tables.read_table(spark, folder, "key string, label int, prob double, tool string"))
+
+
+def prediction_scan(spark, sf):
+    folder = _folder(spark, "predictions")
+    model = views.scored(spark, sf).filter("tool = 'model'")
+    sinks.write_predictions(model.select(F.col("key").cast("bigint").alias("index"), "label", "prob"), folder)
+    return tables.read_predictions(spark, folder)
+
+
+def keyed_scan(spark, sf):
+    """Keyed predictions in which some scores are no numbers."""
+    folder = _folder(spark, "keyed")
+    text = F.when(F.col("key").endswith("7"), "n/a").otherwise(F.format_string("%.6f", "prob"))
+    sinks.write_csv(views.scored(spark, sf).filter("tool = 'model'").select("key", text.alias("prob")), folder)
+    return tables.read_keyed_predictions(spark, folder)
+
+
+def signal_scan(spark, sf):
+    """Signals of windows as tab-separated lines without a header."""
+    folder = _folder(spark, "signal")
+    window_signal(spark, sf).write.csv(folder, sep="\t")
+    return tables.read_signal(spark, folder)
+
+
+def bed_lines(spark, sf):
+    folder = _folder(spark, "windows")
+    sinks.write_bed(site_windows(spark, sf), folder)
+    return spark.read.text(folder)
+
+
+def metric_lines(spark, sf):
+    """Counts and ratios of one tool as NAME=value lines."""
+    folder = _folder(spark, "metrics")
+    row = metrics.threshold_metrics(views.scored(spark, sf)).filter("tool = 'model'")
+    names = {"tp": "TP", "fp": "FP", "tn": "TN", "fn": "FN", "precision": "PRECISION", "recall": "RECALL"}
+    sinks.write_lines(sinks.metric_lines(row, names), folder)
+    return spark.read.text(folder)
+
+
+def column_synonyms(spark, sf):
+    """Columns under other names, some of them only contained in the name."""
+    raw = views.variants(spark, sf).drop("src_rank").withColumnsRenamed(
+        {"chrom": "#CHROM", "pos": "Start_Position (bp)", "ref": "Reference Allele", "alt": "my alt1 column", "label": "Y"}
+    )
+    return columns.resolve_columns(raw, {**columns.SYNONYMS, "label": columns.LABEL_SYNONYMS})
+
+
+def second_chain(spark, sf):
+    """The chain that ends in one half; a score that is the same everywhere falls back on the filter."""
+    raw = views.calls_raw(spark, sf)
+    quality = scores.caller_score(raw.drop("tlod"), "simple").select(F.lit("qual").alias("link"), "id", "rn", "prob")
+    half = scores.caller_score(raw.select("id", "rn", "filter"), "simple").select(F.lit("half").alias("link"), "id", "rn", "prob")
+    return rounded(quality.unionByName(half))
 
 
 # --- strata ------------------------------------------------------------------------------------
@@ -516,9 +594,19 @@ def queries() -> dict[str, Query]:
         # learning
         "lr_scores": lr_scores,
         "epoch_metrics": epoch_metrics,
+        "epoch_scores": epoch_scores,
         "linear_scores": linear_scores,
         "batch_scores": batch_scores,
         "class_weights": class_weights,
+        # files
+        "csv_scan": csv_scan,
+        "prediction_scan": prediction_scan,
+        "keyed_scan": keyed_scan,
+        "signal_scan": signal_scan,
+        "bed_lines": bed_lines,
+        "metric_lines": metric_lines,
+        "column_synonyms": column_synonyms,
+        "second_chain": second_chain,
         # strata
         "fixed_bins": fixed_bins,
         "quantile_bins": quantile_bins,
