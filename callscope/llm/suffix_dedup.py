@@ -5,17 +5,18 @@ twin is found first, with fingerprints alone, and only the rest is sorted and me
 
 1. Anchors. Every 400-byte window has an anchor: the leftmost 200-byte piece of least hash inside
    it. Equal windows have equal anchors at equal places. Windows of one anchor form a segment of
-   at most 201 windows. Segments are counted by their anchor's hash. An anchor seen once has no
-   twins; if all segments of an anchor are equal, all their windows have twins.
-2. Cells. The other anchors' different segments are cut into cells of 16 windows, aligned to the
-   anchor, and settled alike by the part that all windows of the cell share.
-3. Suffix runs. What is left are windows at the edges of passages. Each is a suffix whose 385 inner
-   bytes are known to agree inside its group; its key is the group and the 15 bytes around. Tasks
-   sort their keys into front-coded runs, runs are exchanged by key hash and merged by loser
-   trees that carry common prefix lengths; a key that occurs twice is a twin.
-
-Every count is an aggregate with map-side sums, and ranges return to documents by equi joins on
-keys that Spark can split when they are hot; no group of equal strings is gathered anywhere.
+   at most 201 windows. An anchor seen once has no twins and goes; so far hashes are a filter.
+2. Cells. Different segments of one anchor are cut into cells of 16 windows, aligned to the
+   anchor; cells whose shared part occurs once go too.
+3. Suffix runs. What is left are keys of 32 bytes that begin with the anchor: a whole segment and a whole
+   cell by 128 bits of its content each, and, where cells of one shared part differ, each window by its group
+   (the 385 inner bytes) and the 15 bytes around. Tasks sort their keys into front-coded
+   runs, runs are exchanged by ranges of keys and merged by loser trees that carry common prefix
+   lengths; a key that occurs twice is a twin. Nothing is removed that the merge has not found twice.
+
+Ranges hold a counted number of keys at most; one of very many keys is dealt to several parts. Every count is an
+aggregate with map-side sums, and ranges return to documents by equi joins on keys that Spark can split when they
+are hot; no group of equal strings is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -39,21 +40,28 @@ WINDOWS = SPAN - PIECE + 1
 CELL = 16
 #: Windows hashed at a time; a longer text goes through in parts.
 PART = 1 << 20
+#: A key: anchor, content or group, what it is, and more content or the bytes around.
 KEY = 8 + 8 + 1 + CELL - 1
-RUN_PARTS = 4096
+SEGMENT_TAG, CELL_TAG = 255, 254
+#: Ranges of anchors that are counted, fewest parts, and keys that a part may have.
+RANGES = 4096
+LEAST_PARTS = 64
+PART_KEYS = 1_000_000
+#: Keys that a task sorts at a time.
+RUN_KEYS = 200_000
 
 _FACTOR = 0x9E3779B97F4A7C15
-_TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+_TABLES: list[tuple[np.ndarray, ...]] = []
 
 
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random numbers for bytes, powers of the factor, and powers of its inverse modulo 2^64."""
+def tables() -> tuple[np.ndarray, ...]:
+    """Two rows of random numbers for bytes, powers of the factor, and powers of its inverse modulo 2^64."""
     if not _TABLES:
         n = PART + SPAN
         powers, inverse = np.full(n, _FACTOR, np.uint64), np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
         powers[0] = inverse[0] = 1
-        of_byte = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
-        _TABLES.append((of_byte, np.multiply.accumulate(powers), np.multiply.accumulate(inverse)))
+        of_byte, other = (np.random.default_rng(k).integers(0, 1 << 64, 256, np.uint64) for k in (7, 8))
+        _TABLES.append((of_byte, other, np.multiply.accumulate(powers), np.multiply.accumulate(inverse)))
     return _TABLES[0]
 
 
@@ -85,8 +93,14 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: bytes) -> list[np.ndarray]:
     """h, seg, start, windows, inset (anchor minus start) of each segment of a text."""
-    out = [[np.zeros(0, kind)] for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
-    of_byte, powers, inverse = tables()
+    h, seg, _, start, n, inset = described(data)
+    return [h, seg, start, n, inset]
+
+
+def described(data: bytes) -> list[np.ndarray]:
+    """``anchors`` with a second hash of the content behind the first: h, seg, seg2, start, windows, inset (anchor minus start) of each segment of a text."""
+    out = [[np.zeros(0, kind)] for kind in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+    of_byte, other, powers, inverse = tables()
     total = len(data) - SPAN + 1
     whole_text = np.frombuffer(data, np.uint8)
     for at in range(0, max(total, 0), PART):
@@ -99,13 +113,25 @@ def anchors(data: bytes) -> list[np.ndarray]:
         start = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         count = np.diff(np.append(start, len(where)))
         content = (sums[start + count + SPAN - 1] - sums[start]) * inverse[start]
-        found = hashes[where[start]], mixed(content + count.astype(np.uint64)), start + at, count, where[start] - start
+        anchor = hashes[where[start]]
+        np.cumsum(other[own] * powers[: len(own)], out=sums[1:])
+        more = (sums[start + count + SPAN - 1] - sums[start]) * inverse[start]
+        sized = count.astype(np.uint64)
+        found = anchor, mixed(content + sized), mixed(more + sized), start + at, count, where[start] - start
         for column, values in zip(out, found, strict=True):
             column.append(values)
     return [np.concatenate(column) for column in out]
 
 
-SEGMENTS = (("rid", "long"), ("h", "long"), ("seg", "long"), ("start", "long"), ("n", "int"), ("inset", "int"))
+SEGMENTS = (
+    ("rid", "long"),
+    ("h", "long"),
+    ("seg", "long"),
+    ("seg2", "long"),
+    ("start", "long"),
+    ("n", "int"),
+    ("inset", "int"),
+)
 REPS = (("h", "long"), ("seg", "long"), ("times", "long"), ("n", "int"), ("inset", "int"), ("text", "binary"))
 CELLS = (
     ("h", "long"),
@@ -120,17 +146,18 @@ CELLS = (
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """The segments of all texts; ``rows`` has rid and text."""
+    """The segments of all texts; ``rows`` has rid and the packed text."""
 
     def of_slice(rids, texts):
-        found = [anchors(text.encode()) for text in texts]
+        found = [described(unpacked(text)) for text in texts]
         columns = [np.concatenate(column) for column in zip(*found, strict=True)]
         counts = [len(x[0]) for x in found]
-        h, seg, start, n, inset = columns
+        h, seg, seg2, start, n, inset = columns
         return [
             np.repeat(np.array(rids, np.int64), counts),
             h.astype(np.int64),
             seg.astype(np.int64),
+            seg2.astype(np.int64),
             start,
             n.astype(np.int32),
             inset.astype(np.int32),
@@ -190,34 +217,95 @@ def keys_of(h: int, core: int, low: int, high: int, around: bytes) -> Iterator[t
         yield offset, head + bytes((k,)) + around[CELL - 1 - k : 2 * CELL - 2 - k]
 
 
-def _hash(key: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+def _eight(value: int) -> bytes:
+    """A signed number so that bytes are in the order of the unsigned one."""
+    return value.to_bytes(8, "big", signed=True)
+
+
+def _number(data: bytes) -> int:
+    return int.from_bytes(data, "big", signed=True)
+
+
+def content_key(h: int, content: int, tag: int, more: int) -> bytes:
+    return _eight(h) + _eight(content) + bytes((tag,)) + _eight(more) + bytes(KEY - 25)
+
 
+#: What becomes keys: segments and cells have low null, windows of a cell have their offsets and bytes around.
+SOURCES = "h bigint, a bigint, tag int, b bigint, low int, high int, around binary"
 
-def runs_of(cells: DataFrame) -> DataFrame:
-    """One front-coded run of keys for each task's batch and part of the key space."""
+
+def part_table(sources: DataFrame) -> tuple[list[int], list[int]]:
+    """First part and number of parts of each range of anchors, from the counted keys in it.
+
+    Counts and numbers are at most ``RANGES`` rows, whatever the data.
+    """
+    many = F.coalesce(F.col("high") - F.col("low") + 1, F.lit(1))
+    spread = sources.groupBy(range_of(F.col("h")).alias("r")).agg(F.sum(many).alias("keys"))
+    counts = {r["r"]: r["keys"] for r in spread.collect()}
+    size = max(1, min(PART_KEYS, sum(counts.values()) // LEAST_PARTS))
+    first, parts, at, room = [], [], 0, 0
+    for r in range(RANGES):
+        keys = counts.get(r, 0)
+        own = -(-keys // PART_KEYS) if keys > PART_KEYS else 1
+        if own > 1 or room + keys > size:  # a full range, or one that no longer fits, begins a new part
+            at, room = at + (room > 0), 0
+        first.append(at)
+        parts.append(own)
+        room += keys
+        if own > 1:
+            at, room = at + own, 0
+    return first, parts
+
+
+def range_of(h: F.Column) -> F.Column:
+    """The range of an anchor, by its leading bits as they stand in keys."""
+    return F.shiftrightunsigned(h, 64 - (RANGES - 1).bit_length()).cast("int")
+
+
+def runs_of(sources: DataFrame) -> DataFrame:
+    """Front-coded runs of keys: one for each part of the key space and ``RUN_KEYS`` keys of a task."""
+    first, parts = part_table(sources)
+    shift = 8 - (RANGES - 1).bit_length() + 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in slices(batches, 4096):
-            parts: dict[int, dict[bytes, int]] = {}
-            for row in zip(*columns, strict=True):
-                for _, key in keys_of(*row):
-                    own = parts.setdefault(_hash(key) % RUN_PARTS, {})
+        found: dict[int, dict[bytes, int]] = {}
+        held = 0
+
+        def sorted_runs() -> pa.RecordBatch:
+            runs = [front_coded(x) for x in found.values()]
+            return batch_of((("part", "int"), ("run", "binary")), [list(found), runs])
+
+        for columns in slices(batches):
+            for h, a, tag, b, low, high, around in zip(*columns, strict=True):
+                keys = [content_key(h, a, tag, b)] if low is None else [k for _, k in keys_of(h, a, low, high, around)]
+                at = int.from_bytes(_eight(h)[:2], "big") >> shift
+                held += len(keys)
+                for key in keys:
+                    part = first[at]
+                    if parts[at] > 1:
+                        part += xxhash.xxh3_64_intdigest(key) % parts[at]
+                    own = found.setdefault(part, {})
                     own[key] = own.get(key, 0) + 1
-            yield batch_of((("part", "int"), ("run", "binary")), [list(parts), [front_coded(x) for x in parts.values()]])
+            if held >= RUN_KEYS:
+                yield sorted_runs()
+                found, held = {}, 0
+        yield sorted_runs()
+
+    prepare(sources.sparkSession)
+    return sources.select("h", "a", "tag", "b", "low", "high", "around").mapInArrow(run, "part int, run binary")
+
 
-    prepare(cells.sparkSession)
-    return cells.select("h", "core", "low", "high", "around").mapInArrow(run, "part int, run binary")
+TWINS = (("tag", "int"), ("h", "long"), ("a", "long"), ("b", "long"), ("key", "binary"))
 
 
 def twin_keys(runs: DataFrame) -> DataFrame:
-    """h and hash of the keys that occur more than once over all runs."""
+    """The keys that occur more than once over all runs, whole and in their fields; a part's runs are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of_part(own):
             found = [key for key, times in merged(own, KEY) if times > 1]
-            heads = [int.from_bytes(key[:8], "big", signed=True) for key in found]
-            return batch_of((("h", "long"), ("hash", "long")), [heads, list(map(_hash, found))])
+            columns = [[k[16] for k in found], *[[_number(k[i : i + 8]) for k in found] for i in (0, 8, 17)], found]
+            return batch_of(TWINS, columns)
 
         now, own = None, []
         for parts, data in slices(batches):
@@ -231,17 +319,16 @@ def twin_keys(runs: DataFrame) -> DataFrame:
             yield of_part(own)
 
     dealt = runs.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "h bigint, hash bigint")
+    return dealt.mapInArrow(run, schema_of(TWINS))
 
 
 def twin_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(packed texts, stored ranges): rid, and first and last start of windows that have a twin."""
     rows = documents.select(
-        F.xxhash64(F.col("doc_id"), whole()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")
     )
-    texts = packed_texts(rows)
-    found = store(settled(segments(rows.select("rid", "text")), ["h"], "seg"), "segments")
-    clear = found.where("NOT mixed").select("rid", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
+    texts = store(packed_texts(rows), "texts")  # which settles the numbers
+    found = store(settled(segments(texts.select("rid", "packed")), ["h"], "seg"), "segments")
 
     # One place of each different segment; its text is cut out of the document there.
     unclear = found.where("mixed")
@@ -261,9 +348,7 @@ def twin_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out.append((x["h"], x["seg"], x["times"], x["n"], x["inset"], piece))
             yield batch_of(REPS, list(zip(*out, strict=True)) or [[] for _ in REPS])
 
-    # Repeated rows of a document give the same pieces again; one is enough.
-    cut_out = texts.join(wanted, "rid").select("packed", "wanted").mapInArrow(cut, schema_of(REPS))
-    pieces = store(cut_out.dropDuplicates(["h", "seg"]), "pieces")
+    pieces = texts.join(wanted, "rid").select("packed", "wanted").mapInArrow(cut, schema_of(REPS))
 
     def cells(columns: DataFrame) -> DataFrame:
         def of_slice(*values):
@@ -272,26 +357,39 @@ def twin_ranges(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return map_slices(columns, of_slice, CELLS)
 
-    shared = store(settled(cells(pieces), ["h", "core"], "full"), "cells")
-    edges = shared.where("mixed")
-    windows = edges.where("single").select("h", "seg", "core", "low", "high", "around")
+    cut_cells = store(cells(pieces), "cut")
+    shared = store(settled(cut_cells, ["h", "core"], "full"), "cells")
+    edges, equal = shared.where("mixed"), shared.where("NOT mixed")
+    none = lambda kind: F.lit(None).cast(kind)
+    as_key = lambda rows, a, tag, b: rows.select(
+        "h", F.col(a).alias("a"), F.lit(tag).alias("tag"), F.col(b).alias("b"),
+        none("int").alias("low"), none("int").alias("high"), none("binary").alias("around"),
+    )
+    inner = edges.select(
+        "h", F.col("core").alias("a"), F.lit(0).alias("tag"), none("long").alias("b"), "low", "high", "around"
+    )
+    sources = as_key(found, "seg", SEGMENT_TAG, "seg2").union(as_key(equal, "core", CELL_TAG, "full")).union(inner)
+    twins = store(twin_keys(runs_of(sources)), "twins")
+
+    segment = twins.where(F.col("tag") == SEGMENT_TAG).select("h", F.col("a").alias("seg"), F.col("b").alias("seg2"))
+    clear = found.join(segment, ["h", "seg", "seg2"]).select(
+        "rid", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")
+    )
+    cell = twins.where(F.col("tag") == CELL_TAG).select("h", F.col("a").alias("core"), F.col("b").alias("full"))
+    cell = equal.where("single").join(cell, ["h", "core", "full"]).select("h", "seg", "low", "high")
 
     def keyed(h, seg, core, low, high, around):
         out = [
-            (a, b, offset, _hash(key))
+            (a, b, offset, key)
             for a, b, *rest in zip(h, seg, core, low, high, around, strict=True)
             for offset, key in keys_of(a, *rest)
         ]
         return list(zip(*out, strict=True)) or [[], [], [], []]
 
-    fields = (("h", "long"), ("seg", "long"), ("offset", "int"), ("hash", "long"))
-    twins = map_slices(windows, keyed, fields).join(twin_keys(runs_of(edges)), ["h", "hash"])
-    ranges = (
-        different.where("times > 1")
-        .select("h", "seg", (F.col("place.inset") - F.col("place.n") + 1).alias("low"), F.col("place.inset").alias("high"))
-        .union(shared.where("single AND NOT mixed").select("h", "seg", "low", "high"))
-        .union(twins.select("h", "seg", F.col("offset").alias("low"), F.col("offset").alias("high")))
-    )
+    fields = (("h", "long"), ("seg", "long"), ("offset", "int"), ("key", "binary"))
+    windows = map_slices(edges.where("single").select("h", "seg", "core", "low", "high", "around"), keyed, fields)
+    window = windows.join(twins.where(F.col("tag") < CELL).select("key"), "key")
+    ranges = cell.union(window.select("h", "seg", F.col("offset").alias("low"), F.col("offset").alias("high")))
     back = unclear.select("h", "seg", "rid", (F.col("start") + F.col("inset")).alias("anchor")).join(ranges, ["h", "seg"])
     back = back.select("rid", (F.col("anchor") - F.col("high")).alias("first"), (F.col("anchor") - F.col("low")).alias("last"))
     return texts, store(clear.union(back), "ranges")
@@ -329,7 +427,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     found = texts.join(of_text, "rid", "left").select("doc_id", "packed", "ranges.first", "ranges.last")
 
     def of_slice(ids, data, first, last):
-        out = [[], [], [], [], []]
+        out = [[] for _ in FIELDS]
         for doc_id, packed, a, b in zip(ids, data, first, last, strict=True):
             text = unpacked(packed)
             runs, at, kept = covered(a or [], b or []), 0, hashlib.sha256()
