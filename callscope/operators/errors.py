@@ -41,8 +41,8 @@ def _select(rows: DataFrame, group: list[str], value: str, n: int) -> DataFrame:
     return near.drop("_before").join(second, group).filter(inside).drop("_coarse", "_fine", "_c", "_f")
 
 
-def _ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Add ``rank`` from 1 inside each group: rows are sorted in parts of counted size, ties of a value
+def _ranked(rows: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """Add ``rank`` from 1 inside each group and keep the first ``n``: rows are sorted in parts of counted size, ties of a value
     by the next column of ``order``, and a part's ranks begin behind the rows of the parts before."""
     kept = durable(rows)
     parts = max(1, -(-kept.count() // PART_ROWS))
@@ -53,9 +53,10 @@ def _ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
-    return placed.withColumn("_at", inside).join(offsets, [*group, "_part"]).withColumn(
-        "rank", (F.col("_before") + F.col("_at")).cast("int")
-    ).drop("_part", "_at", "_before")
+    # What is not among the first n of its part is not among the first n.
+    first = placed.withColumn("_at", inside).filter(F.col("_at") <= n)
+    ranked = first.join(offsets, [*group, "_part"]).withColumn("rank", (F.col("_before") + F.col("_at")).cast("int"))
+    return ranked.filter(F.col("rank") <= n).drop("_part", "_at", "_before")
 
 
 def top_errors(scored: DataFrame, n: int = 20) -> DataFrame:
@@ -68,7 +69,7 @@ def top_errors(scored: DataFrame, n: int = 20) -> DataFrame:
     wrongness = F.when(F.col("label") == 0, -F.col("prob")).otherwise(F.col("prob"))
     usable = scored.filter(F.col("label").isin(0, 1)).withColumn("_w", wrongness)
     group = ["tool", "label"]
-    worst = _ranked(_select(usable, group, "_w", n), group, ["_w", "key"]).filter(F.col("rank") <= n)
+    worst = _ranked(_select(usable, group, "_w", n), group, ["_w", "key"], n)
     return worst.select(
         "tool",
         F.when(F.col("label") == 0, "FP").otherwise("FN").alias("err"),
