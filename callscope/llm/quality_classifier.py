@@ -165,9 +165,9 @@ def accepted(
 ) -> DataFrame:
     """The documents that ``classify`` keeps, with all their columns."""
     weights = fit(documents, labels, target)
-    evidence = log_odds(whole(), weights)
     site = [_site(documents, host).alias("host"), _site(documents, path).alias("path")]
-    sites = site_shares(documents.select(*site, (1 / (1 + F.exp(-evidence))).alias("p")))
-    packed = documents.select(F.struct("*").alias("row"), *site, evidence.alias("evidence"))
+    packed = documents.select(F.struct("*").alias("row"), *site, log_odds(whole(), weights).alias("evidence"))
+    packed = store(packed, "packed")  # the features of a text are computed once
+    sites = site_shares(packed.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p")))
     found = packed.join(sites, (packed.host == sites.site_host) & (packed.path == sites.site_path), "left")
     return found.where("evidence + shift >= 0").select("row.*")
