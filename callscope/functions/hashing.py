@@ -104,17 +104,21 @@ def poisson_bounds(mean: float) -> tuple[int, ...]:
 
 def draw_block(high: np.ndarray, low: np.ndarray, reps: int, seed: int) -> np.ndarray:
     """The draws of ``with_draw`` for whole blocks: a row per digest, columns for streams 0 .. reps-1."""
-    step = (np.arange(reps, dtype=np.int64) * STREAM_STEP + seed) & MASK
-    x = high[:, None] ^ step[None, :]
-    for half in (low, None):
+    # Only the lowest 31 bits of a product are kept, so numbers of 32 bits that wrap around will do.
+    step = ((np.arange(reps, dtype=np.int64) * STREAM_STEP + seed) & MASK).astype(np.uint32)
+    x = high.astype(np.uint32)[:, None] ^ step[None, :]
+    half_low, moved = low.astype(np.uint32)[:, None], np.empty_like(x)
+    for half in (half_low, None):
         for multiplier in MULTIPLIERS:
-            x ^= x >> 15
-            x *= multiplier
-            x &= MASK
-        x ^= x >> 13
+            np.right_shift(x, np.uint32(15), out=moved)
+            x ^= moved
+            x *= np.uint32(multiplier)
+            x &= np.uint32(MASK)
+        np.right_shift(x, np.uint32(13), out=moved)
+        x ^= moved
         if half is not None:
-            x ^= half[:, None]
-    return x.astype(np.int32)
+            x ^= half
+    return x.view(np.int32)
 
 
 def poisson_weights(

@@ -13,6 +13,7 @@ whatever the scores look like.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,12 +25,19 @@ from pyspark.sql import functions as F
 from callscope.functions.hashing import poisson_bounds, poisson_weights, with_digest
 from callscope.session import durable, ship
 
-#: Rows of a part, as counted rows are dealt; rows handled at a time.
+#: Rows of a part, as counted rows are dealt; rows handled at a time, few enough that their weights stay in a
+#: processor's cache and that products of their sums are exact in 32-bit floats.
 PART_ROWS = 16_384
-BLOCK = 256
+BLOCK = 64
+#: Beyond this number of parts they grow to ``PART_GROWTH`` times the rows, so that summaries stay few.
+MANY_PARTS = 512
+PART_GROWTH = 8
+#: Terms of the curve are rounded to this share of one and added up as whole numbers, so that their sum does not
+#: depend on where parts begin.
+CURVE_UNIT = 2.0**-32
 
 SUMS = "g string, part int, head double, tail double, pos array<bigint>, neg array<bigint>, tail_pos array<bigint>, tail_neg array<bigint>"
-AREAS = "g string, part int, pairs array<double>, curve array<double>"
+AREAS = "g string, part int, pairs array<bigint>, curve array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -42,18 +50,24 @@ class Draws:
     bounds: tuple[tuple[int, ...], tuple[int, ...]]
     off: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())
 
-    def weights(self, label: np.ndarray, h: np.ndarray, l: np.ndarray, extra: list[list[int] | None]) -> np.ndarray:
+    def weights(self, label: np.ndarray, h: np.ndarray, l: np.ndarray, extra: list[list[int] | None] | None) -> np.ndarray:
         """A row of counts per row: the data itself, then the replicates."""
-        out = np.zeros((len(label), self.reps + 1), np.int64)
-        plain = np.array([x is None for x in extra])
+        again = [k for k, x in enumerate(extra) if x is not None] if extra else []
+        if not again and not any(self.off) and self.bounds[0] == self.bounds[1]:
+            return poisson_weights(h, l, self.reps, self.seed, self.bounds[0])
+        out = np.zeros((len(label), self.reps + 1), np.int32)
+        plain = np.ones(len(label), bool)
+        plain[again] = False
         for value in (0, 1):
             own = plain & (label == value)
             if own.any():
                 out[own] = poisson_weights(h[own], l[own], self.reps, self.seed, self.bounds[value])
                 if self.off[value]:
                     out[np.ix_(own, [rep + 1 for rep in self.off[value]])] = 0
-        for k in np.flatnonzero(~plain).tolist():
-            np.add.at(out[k], np.array(extra[k], np.int64) + 1, 1)
+        if again:
+            lists = [extra[k] for k in again]
+            drawn = np.array([rep for x in lists for rep in x], np.int64)
+            np.add.at(out, (np.repeat(again, [len(x) for x in lists]), drawn + 1), 1)
         return out
 
 
@@ -87,11 +101,10 @@ class _Sums:
         if self.tail != prob[-1]:
             self.tail = float(prob[-1])
             self.tail_pos[:], self.tail_neg[:] = 0, 0
-        last = prob == prob[-1]
-        for total, open_, value in ((self.pos, self.tail_pos, 1), (self.neg, self.tail_neg, 0)):
-            own = label == value
-            total += weight[own].sum(axis=0)
-            open_ += weight[own & last].sum(axis=0)
+        positive, last = label == 1, prob == prob[-1]
+        chosen = np.stack([positive, ~positive, positive & last, ~positive & last]).astype(np.float32)
+        for total, own in zip((self.pos, self.neg, self.tail_pos, self.tail_neg), chosen @ weight.astype(np.float32)):
+            total += own.astype(np.int64)
 
     def result(self) -> tuple:
         return self.head, self.tail, self.pos, self.neg, self.tail_pos, self.tail_neg
@@ -101,44 +114,95 @@ class _Areas:
     """Running totals down a part, from the totals before its first score.
 
     A run of equal scores stays open until the next score; the last one is left to the part that
-    ends it.
+    ends it. Runs that begin and end inside a block are closed together: their running totals are products
+    of a triangle of ones with the block's weights.
     """
 
     def __init__(self, lead: tuple, reps: int):
         head, self.goes_on, tp, fp, pos, neg = lead
+        head = float(head)
         self.tp, self.fp = np.array(tp, np.int64), np.array(fp, np.int64)
-        self.open = (head, np.array(pos, np.int64), np.array(neg, np.int64))
-        self.pairs, self.curve = np.zeros(reps + 1), np.zeros(reps + 1)
-
-    def add(self, pos: np.ndarray, neg: np.ndarray) -> None:
-        """Closed runs of scores in order, one row each."""
-        tp, fp = self.tp + np.cumsum(pos, axis=0), self.fp + np.cumsum(neg, axis=0)
-        before, all_before = tp - pos, tp - pos + fp - neg
-        with np.errstate(divide="ignore", invalid="ignore"):
-            prior = np.where(all_before > 0, before / all_before, 1.0)
-            own = np.where(pos > 0, tp / (tp + fp), 0.0)
-        self.curve += (pos * (own + prior) / 2).sum(axis=0)
-        self.pairs += (neg * (2.0 * tp - pos)).sum(axis=0)
-        self.tp, self.fp = tp[-1], fp[-1]
+        self.score, self.pos, self.neg = head, np.array(pos, np.int64), np.array(neg, np.int64)
+        self.pairs, self.curve = np.zeros(reps + 1, np.int64), np.zeros(reps + 1, np.int64)
+
+    def _curve(self, tp: np.ndarray, both: np.ndarray, pos: np.ndarray, all_: np.ndarray) -> None:
+        """Add the terms of runs: totals behind them, and what they hold themselves; one row each."""
+        own = tp / np.maximum(both, 1.0)
+        tp -= pos
+        both -= all_
+        first = both == 0 if both[0].min() == 0 else None
+        np.maximum(both, 1.0, out=both)
+        tp /= both
+        if first is not None:
+            tp[first] = 1.0
+        own += tp
+        own *= pos
+        own *= 0.5 / CURVE_UNIT
+        self.curve += np.rint(own, out=own).sum(axis=0).astype(np.int64)
+
+    def _close(self) -> None:
+        """The open run ends."""
+        pos, neg = self.pos, self.neg
+        self.pairs += neg * (2 * self.tp + pos)
+        self.tp = self.tp + pos
+        self.fp = self.fp + neg
+        if pos.any():
+            as_row = lambda x: x.astype(np.float64)[None, :]
+            self._curve(as_row(self.tp), as_row(self.tp + self.fp), as_row(pos), as_row(pos + neg))
+
+    def _inside(self, run: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> None:
+        """Whole runs of a block; ``run`` numbers them from 0 on."""
+        number = np.arange(run[-1] + 1)
+        positives = np.flatnonzero(positive)
+        w_pos, run_pos = weight[positives], run[positives]
+        held = np.unique(run_pos)
+        if len(held):
+            to = (run_pos[None, :] <= held[:, None]).astype(np.float32)
+            tp = to @ w_pos + self.tp.astype(np.float64)
+            both = (run[None, :] <= held[:, None]).astype(np.float32) @ weight + (self.tp + self.fp).astype(np.float64)
+            if len(number) == len(run):  # no ties
+                self._curve(tp, both, w_pos, w_pos)
+            else:
+                pos = (run_pos[None, :] == held[:, None]).astype(np.float32) @ w_pos
+                self._curve(tp, both, pos, (run[None, :] == held[:, None]).astype(np.float32) @ weight)
+        w_neg, run_neg = weight[~positive], run[~positive]
+        neg = w_neg.sum(axis=0).astype(np.int64)
+        self.pairs += 2 * self.tp * neg
+        if len(held) and len(run_neg):
+            ahead = (run_pos[None, :] < run_neg[:, None]).astype(np.float32)
+            ahead += run_pos[None, :] <= run_neg[:, None]
+            ahead = ahead @ w_pos
+            ahead *= w_neg
+            self.pairs += ahead.sum(axis=0).astype(np.int64)
+            self.tp = self.tp + w_pos.sum(axis=0).astype(np.int64)
+        elif len(held):
+            self.tp = self.tp + w_pos.sum(axis=0).astype(np.int64)
+        self.fp = self.fp + neg
 
     def rows(self, prob: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
-        start = np.flatnonzero(np.concatenate([[True], prob[1:] != prob[:-1]]))
-        positive = (label == 1)[:, None]
-        pos = np.add.reduceat(np.where(positive, weight, 0), start, axis=0)
-        neg = np.add.reduceat(np.where(positive, 0, weight), start, axis=0)
-        score, open_pos, open_neg = self.open
-        if score == prob[0]:
-            pos[0] += open_pos
-            neg[0] += open_neg
-        else:
-            self.add(open_pos[None, :], open_neg[None, :])
-        if len(start) > 1:
-            self.add(pos[:-1], neg[:-1])
-        self.open = (prob[-1], pos[-1].copy(), neg[-1].copy())
+        weight, positive = weight.astype(np.float32), label == 1
+        fresh = prob[1:] != prob[:-1]
+        starts = np.flatnonzero(fresh) + 1
+        first, last = (starts[0], starts[-1]) if len(starts) else (len(prob), 0)
+
+        def sums(a: int, b: int) -> np.ndarray:
+            chosen = np.stack([positive[a:b], ~positive[a:b]]).astype(np.float32)
+            return (chosen @ weight[a:b]).astype(np.int64)
+
+        if self.score != prob[0]:
+            self._close()
+            self.score, self.pos, self.neg = prob[0], 0, 0
+        self.pos, self.neg = (x + y for x, y in zip((self.pos, self.neg), sums(0, first)))
+        if not len(starts):
+            return
+        self._close()
+        if last > first:
+            self._inside(np.cumsum(np.concatenate([[0], fresh[first : last - 1]])), positive[first:last], weight[first:last])
+        self.score, (self.pos, self.neg) = prob[-1], sums(last, len(prob))
 
     def result(self) -> tuple:
         if not self.goes_on:
-            self.add(self.open[1][None, :], self.open[2][None, :])
+            self._close()
         return self.pairs, self.curve
 
 
@@ -148,30 +212,35 @@ def _down(rows: DataFrame, kind: Callable, spec: str, draws: Draws) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
-            g, part, lead, extra = (batch.column(k).to_pylist() for k in (0, 1, 6, 7))
+            if not batch.num_rows:
+                continue
+            named = batch.column(0).dictionary_encode()
+            code, part = named.indices.to_numpy(), batch.column(1).to_numpy()
             prob, label, h, l = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
-            at = 0
-            while at < batch.num_rows:
-                key = g[at], part[at]
+            label, h, l = (np.nan_to_num(x).astype(np.int64) for x in (label, h, l))
+            lead, extra = batch.column(6), batch.column(7)
+            again = [x and json.loads(x) for x in extra.to_pylist()] if extra.null_count < batch.num_rows else None
+            fresh = np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1
+            for at, stop in zip([0, *fresh.tolist()], [*fresh.tolist(), batch.num_rows]):
+                key = named.dictionary[int(code[at])].as_py(), int(part[at])
                 if key != now:
                     if now is not None:
                         yield _batch(spec, [(*now, *own.result())])
-                    now, own = key, kind(tuple(lead[at].values()) if lead[at] else (), draws.reps)
-                if lead[at]:
-                    at += 1
-                    continue
-                stop = at + 1
-                while stop < min(at + BLOCK, batch.num_rows) and g[stop] == key[0] and part[stop] == key[1]:
-                    stop += 1
-                numbers = [np.nan_to_num(x[at:stop]).astype(np.int64) for x in (label, h, l)]
-                own.rows(prob[at:stop], numbers[0], draws.weights(*numbers, extra[at:stop]))
-                at = stop
+                    known = lead[at].as_py()
+                    now, own = key, kind(tuple(json.loads(known)[x] for x in KNOWN) if known else (), draws.reps)
+                    at += known is not None
+                for a in range(at, stop, BLOCK):
+                    b = min(a + BLOCK, stop)
+                    own.rows(prob[a:b], label[a:b], draws.weights(label[a:b], h[a:b], l[a:b], again and again[a:b]))
         if now is not None:
             yield _batch(spec, [(*now, *own.result())])
 
-    return rows.select("g", "part", "prob", "label", "h", "l", "lead", "extra").mapInArrow(run, spec)
+    # Nested columns cost many times the rest on their way to Python even where they are null; as text they do not.
+    as_text = [F.to_json(name).alias(name) for name in ("lead", "extra")]
+    return rows.select("g", "part", "prob", "label", "h", "l", *as_text).mapInArrow(run, spec)
 
 
+KNOWN = ("head", "goes_on", "tp", "fp", "pos", "neg")
 LEAD = "struct<head: double, goes_on: boolean, tp: array<bigint>, fp: array<bigint>, pos: array<bigint>, neg: array<bigint>>"
 
 
@@ -213,7 +282,8 @@ def weighted_areas(rows: DataFrame, draws: Draws) -> DataFrame:
     a row counts once more (it then has no other weight).
     """
     kept = durable(rows.select("g", (F.col("prob") + F.lit(0.0)).alias("prob"), "label", "h", "l", "extra"))
-    parts = max(1, -(-kept.count() // PART_ROWS))
+    many = kept.count()
+    parts = max(1, min(-(-many // PART_ROWS), max(MANY_PARTS, -(-many // (PART_GROWTH * PART_ROWS)))))
     order = [F.col("g"), F.col("prob").desc(), F.col("h"), F.col("l")]
     ranged = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # Stored, since the bounds of parts come from a sample and both passes need the same ones.
@@ -243,7 +313,7 @@ def weighted_areas(rows: DataFrame, draws: Draws) -> DataFrame:
         "g",
         (F.col("rep") - 1).alias("rep"),
         (F.col("pairs") / (2.0 * F.col("p") * F.col("n"))).alias("auroc"),
-        (F.col("curve") / F.col("p")).alias("auprc"),
+        (F.col("curve") * F.lit(CURVE_UNIT) / F.col("p")).alias("auprc"),
     )
 
 

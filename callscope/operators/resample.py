@@ -174,6 +174,7 @@ def deltas(values: DataFrame, first: str, rivals: Sequence[str]) -> DataFrame:
 
     ``values`` comes from ``replicate_areas`` over tools that score the same keys.
     """
+    values = durable(values)  # read twice
     own = values.filter(F.col("tool") == first).select("rep", F.col("auroc").alias("_a"), F.col("auprc").alias("_p"))
     other = values.filter(F.col("tool").isin(*rivals)).join(own, "rep")
     both = other.select(

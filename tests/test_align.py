@@ -193,6 +193,35 @@ def test_bootstrap_of_a_tool_with_itself_is_zero(scored):
     assert row["delta_auroc_lo"] == row["delta_auroc_hi"] == row["delta_auprc_hi"] == 0.0
 
 
+def test_areas_do_not_depend_on_where_parts_begin(scored, monkeypatch):
+    from callscope.operators import replicates
+
+    found = []
+    for part_rows, block in ((37, 7), (16_384, 64)):
+        monkeypatch.setattr(replicates, "PART_ROWS", part_rows)
+        monkeypatch.setattr(replicates, "BLOCK", block)
+        found.append({r["rep"]: r[1:] for r in replicates.replicate_areas(scored.filter("tool = 'a'"), ["tool"], 50, 1).collect()})
+    assert len(found[0]) == 51 and found[0] == found[1]
+
+
+def test_rows_reach_python_without_nested_columns(spark, scored):
+    """Null arrays and structs cost many times the numbers on that way."""
+    from callscope.operators import replicates
+
+    rows = replicates.scored_rows(scored, ["tool"]).withColumn("part", F.lit(0)).withColumn("lead", F.lit(None).cast(replicates.LEAD))
+    down = replicates._down(rows, replicates._Sums, replicates.SUMS, replicates.poisson_draws(3, 1))
+    sent = down._jdf.queryExecution().analyzed().children().head().schema().simpleString()
+    assert "array<" not in sent and sent.count("struct<") == 1
+    assert sum(len(r["pos"]) for r in down.collect()) >= 8
+
+
+def test_deltas_take_the_areas_down_once(spark, scored, monkeypatch):
+    seen, stored = [], resample.durable
+    monkeypatch.setattr(resample, "durable", lambda df: seen.append(df.columns) or stored(df))
+    resample.paired_bootstrap_delta(scored, "a", "b", 5, 1)
+    assert ["tool", "rep", "auroc", "auprc"] in seen
+
+
 @pytest.mark.parametrize("shared", [False, True])
 def test_parts_of_a_narrow_band_stay_small(spark, monkeypatch, shared):
     """Scores of less than one coarse cell, or all rows at one score."""
