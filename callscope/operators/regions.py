@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.keys import norm_chrom
 from callscope.functions.numeric import ratio_or_zero
+from callscope.session import durable
 
 # CIGAR operations, the default mask of reads to skip, the default quality floor.
 ALIGNED_OPS = ("M", "=", "X")
@@ -24,8 +25,13 @@ MIN_BASE_QUALITY = 13
 WINDOW_RADIUS = 100
 # Letters of a block: lost to the mate; of a deletion that is written out. Neither is a base.
 LOST, GAP = ".", "-"
+# Stands for a letter of low quality, which is no base either.
+HIDDEN = "\x01"
 # Rows of a bin that one task of a range join may hold before the bin is split.
 BIN_ROWS = 50_000
+# Pieces of reads that one task holds; bins with sites that are sent to all tasks.
+TASK_PIECES = 250_000
+SENT_BINS = 100_000
 
 
 def sites(variants: DataFrame) -> DataFrame:
@@ -56,14 +62,15 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(_bin(start, width), _bin(end - 1, width)))
 
 
-def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Salt a join on (chrom, _bin): parts of a bin follow from the counted rows of ``busy`` in it.
 
     A bin of up to ``rows`` rows is one part and nothing is repeated; a fuller one is split by
-    ``part``, and only there ``other`` is repeated. The full bins are few, at most one for every
+    ``part``, and only there ``other`` is repeated. ``counted`` holds the rows ``_n`` of each bin, if known. The full bins are few, at most one for every
     ``rows`` rows; whether they are broadcast is left to Spark's check of their size.
     """
-    counted = busy.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    if counted is None:
+        counted = busy.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     full = counted.filter(F.col("_n") > rows).select(
         "chrom", "_bin", (F.floor((F.col("_n") - 1) / rows) + 1).cast("int").alias("_full")
     )
@@ -79,20 +86,14 @@ def reference_end(start: Column, cigar: Column) -> Column:
     return F.aggregate(cigar, start.cast("bigint"), step)
 
 
-def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per stretch of a read that lies on the reference, with the columns ``keep`` of the read.
-
-    ``reads``: chrom, start (0-based), cigar array<struct<op,len>>, seq, quals, mapq, is_reverse,
-    flag. Blocks of deletions and skips have no letters (``seq`` is NULL). The CIGAR is walked with
-    array functions inside the JVM.
-    """
-    kept = reads.filter(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0)
+def _walked(start: Column, cigar: Column) -> Column:
+    """The stretches of a read on the reference: array<struct<op,at,offset,len>>."""
 
     def moves(op: Column, length: Column, ops: tuple[str, ...]) -> Column:
         return F.when(op.isin(*ops), length.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
     begin = F.struct(
-        F.col("start").cast("bigint").alias("at"),
+        start.cast("bigint").alias("at"),
         F.lit(0).cast("bigint").alias("offset"),
         F.array().cast("array<struct<op:string,at:bigint,offset:bigint,len:bigint>>").alias("done"),
     )
@@ -110,18 +111,29 @@ def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS, keep: Sequenc
             .alias("done"),
         )
 
-    walked = F.aggregate("cigar", begin, step, lambda state: state["done"])
+    walked = F.aggregate(cigar, begin, step, lambda state: state["done"])
     # Most reads are one aligned stretch; they skip the walk.
-    only = F.get("cigar", F.lit(0))
+    only = F.get(cigar, F.lit(0))
     single = F.array(
         F.struct(
             only["op"].alias("op"),
-            F.col("start").cast("bigint").alias("at"),
+            start.cast("bigint").alias("at"),
             F.lit(0).cast("bigint").alias("offset"),
             only["len"].cast("bigint").alias("len"),
         )
     )
-    walked = F.when((F.size("cigar") == 1) & only["op"].isin(*REFERENCE_OPS), single).otherwise(walked)
+    return F.when((F.size(cigar) == 1) & only["op"].isin(*REFERENCE_OPS), single).otherwise(walked)
+
+
+def aligned_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per stretch of a read that lies on the reference, with the columns ``keep`` of the read.
+
+    ``reads``: chrom, start (0-based), cigar array<struct<op,len>>, seq, quals, mapq, is_reverse,
+    flag. Blocks of deletions and skips have no letters (``seq`` is NULL). The CIGAR is walked with
+    array functions inside the JVM.
+    """
+    kept = reads.filter(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0)
+    walked = _walked(F.col("start"), F.col("cigar"))
     blocks = kept.select("chrom", "seq", "quals", "mapq", "is_reverse", *keep, F.inline(walked))
     aligned = F.col("op").isin(*ALIGNED_OPS)
     first, length = (F.col("offset") + 1).cast("int"), F.col("len").cast("int")
@@ -144,25 +156,37 @@ def fragment_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame
     higher quality stays, the earlier mate's if they are equal; a deletion loses against any letter and
     missing qualities are equal. What loses becomes ``LOST``, a block without letters as well.
     Reads without a name, and names of one or of more than two reads, stay as they are. Only mates that
-    overlap are compared, each block with the blocks of one other read.
+    overlap are compared, each block with the blocks of the other read, which a window brings beside it.
     """
     kept = reads.filter(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0)
-    named = kept.filter(F.col("name").isNotNull()).withColumn("_e", reference_end(F.col("start"), F.col("cigar")))
+    fields = ("chrom", "start", "cigar", "seq", "quals", "mapq", "is_reverse", "flag")
+    named = kept.filter(F.col("name").isNotNull()).select(*fields, "name", reference_end(F.col("start"), F.col("cigar")).alias("_e"))
     fragment = Window.partitionBy("chrom", "name")
     first = fragment.orderBy("start", "_e", F.col("flag"), "seq", "mapq", "is_reverse")
+    # Both reads of a fragment meet in one shuffle; each takes along what it needs of the other.
+    read = F.struct(F.col("start").cast("bigint").alias("start"), "cigar", F.col("seq").isNull().alias("blank"), "quals")
     marked = named.withColumns(
         {
             "_mate": F.row_number().over(first),
             "_n": F.count(F.lit(1)).over(fragment),
             "_meet": F.max("start").over(fragment) < F.min("_e").over(fragment),
+            "_o": F.coalesce(F.lag(read).over(first), F.lead(read).over(first)),
         }
     )
-    paired = (F.col("_n") == 2) & F.col("_meet")
-    blocks = aligned_blocks(marked.filter(paired), 0, ["name", "_mate"])
-    other = blocks.select(
-        "chrom", "name", (3 - F.col("_mate")).alias("_mate"), F.struct("start", "end", F.col("seq").isNull().alias("gone"), "quals").alias("b")
+    marked = marked.withColumn("_o", F.when((F.col("_n") == 2) & F.col("_meet"), F.col("_o")))
+    aligned = lambda b: b["op"].isin(*ALIGNED_OPS)
+    other = F.transform(
+        F.filter(_walked(F.col("_o.start"), F.col("_o.cigar")), lambda b: b["len"] > 0),
+        lambda b: F.struct(
+            b["at"].alias("start"),
+            (b["at"] + b["len"]).alias("end"),
+            (~aligned(b) | F.col("_o.blank")).alias("gone"),
+            F.when(aligned(b), F.slice(F.col("_o.quals"), (b["offset"] + 1).cast("int"), b["len"].cast("int"))).alias("quals"),
+        ),
     )
-    other = other.groupBy("chrom", "name", "_mate").agg(F.collect_list("b").alias("other"))  # one read's blocks
+    known = marked.select(*fields, "_mate", other.alias("other"))
+    nameless = kept.filter(F.col("name").isNull()).select(*fields)
+    blocks = aligned_blocks(known.unionByName(nameless, allowMissingColumns=True), 0, ["_mate", "other"])
     quality = lambda gone, quals, at: F.when(gone, F.lit(-1)).otherwise(F.coalesce(F.get(quals, at.cast("int")), F.lit(0)))
 
     def letter(i: Column) -> Column:
@@ -179,9 +203,15 @@ def fragment_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame
     touched = F.exists("other", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     spelt = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1), letter), "")
     columns = ("chrom", "start", "end", "seq", "quals", "mapq", "is_reverse")
-    resolved = blocks.join(other, ["chrom", "name", "_mate"], "left").withColumn("seq", F.when(touched, spelt).otherwise(F.col("seq")))
-    alone = marked.filter(~paired).drop("_e", "_mate", "_n", "_meet").unionByName(kept.filter(F.col("name").isNull()))
-    return aligned_blocks(alone, 0).unionByName(resolved.select(*columns))
+    return blocks.withColumn("seq", F.when(touched, spelt).otherwise(F.col("seq"))).select(*columns)
+
+
+def _shown(seq: Column, quals: Column, floor: int) -> Column:
+    """The letters of a piece with those of low quality hidden; where a quality is missing the letter stays."""
+    known = F.slice(quals, 1, F.length(seq))
+    letter = lambda q, i: F.when((q < floor) & (F.substr(seq, i + 1, F.lit(1)) != LOST), HIDDEN).otherwise(F.substr(seq, i + 1, F.lit(1)))
+    mixed = F.concat(F.array_join(F.transform(known, letter), ""), F.substr(seq, F.size(known) + 1))
+    return F.when(quals.isNull() | (F.coalesce(F.array_min(quals), F.lit(floor)) >= floor), seq).otherwise(mixed)
 
 
 def pileup(
@@ -200,8 +230,8 @@ def pileup(
     ``sites`` that repeats another one gets the same numbers. ``mates="once"`` counts a fragment once
     where its two reads overlap, see ``fragment_blocks``; reads then need ``name``.
 
-    Places and alts are reduced to different ones first. Reads keep, in each bin that has a site,
-    only the letters inside the bin, and equal pieces are added up before the join.
+    Places and alts are reduced to different ones first. Reads keep, in each bin, only the letters inside
+    the bin that are good enough to be compared, and cross the network once; equal pieces are added up before the join.
     """
     if mates not in ("each", "once"):
         raise ValueError("mates must be each or once")
@@ -209,12 +239,17 @@ def pileup(
     alt = F.coalesce("alt", F.lit("")).alias("alt")
     asked = sites.select("key", "chrom", (F.col("pos").cast("bigint") - 1).alias("_p"), alt)
     points = asked.select("chrom", "_p", "alt").distinct().withColumn("_bin", _bin(F.col("_p"), bin_width))
-    spans = blocks.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
-    spans = spans.join(points.select("chrom", "_bin").distinct(), ["chrom", "_bin"], "left_semi")
+    bins = points.select("chrom", "_bin").distinct()
+    few = len(bins.select(F.lit(1)).take(SENT_BINS + 1)) <= SENT_BINS
+
+    def binned(rows: DataFrame) -> DataFrame:
+        spans = rows.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
+        return spans.join(F.broadcast(bins), ["chrom", "_bin"], "left_semi") if few else spans
+
     low = F.greatest("start", F.col("_bin") * bin_width)
     high = F.least("end", (F.col("_bin") + 1) * bin_width)
     skip, size = (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
-    pieces = spans.select(
+    cut = binned(blocks).select(
         "chrom",
         "_bin",
         low.alias("start"),
@@ -224,17 +259,24 @@ def pileup(
         F.col("mapq").cast("bigint").alias("mapq"),
         "is_reverse",
     )
-    same = ["chrom", "_bin", "start", "end", "seq", "quals", "is_reverse"]
-    pieces = pieces.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.sum("mapq").alias("_q"))
-    busy, keyed = _dealt(pieces, points, F.xxhash64("start", "end", "seq", "quals", "is_reverse"), bin_rows)
+    pieces = cut.withColumn("seq", _shown(F.col("seq"), F.col("quals"), min_base_quality)).drop("quals")
+    # Blocks lie where the reads do, whatever becomes of their letters, so their number needs no letters.
+    places = reads.select("chrom", "start", "cigar", "flag", *[F.lit(None).cast(reads.schema[c].dataType).alias(c) for c in ("seq", "quals", "mapq", "is_reverse")])
+    counted = durable(binned(aligned_blocks(places, skip_flags)).groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n")))
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    spread = F.xxhash64("start", "end", "seq", "mapq", "is_reverse")
+    busy, keyed = _dealt(pieces, points, spread, bin_rows, counted)
+    # One shuffle carries the pieces to their sites; equal ones are added up there, before the join.
+    parts = max(-(-total // TASK_PIECES), int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    same = ["chrom", "_bin", "_salt", "start", "end", "seq", "is_reverse"]
+    busy = busy.repartition(parts, "chrom", "_bin", "_salt")
+    busy = busy.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.sum("mapq").alias("_q"))
     over = keyed.join(busy, ["chrom", "_bin", "_salt"]).filter(
         (F.col("start") <= F.col("_p")) & (F.col("_p") < F.col("end"))
     )
     offset = (F.col("_p") - F.col("start") + 1).cast("int")
     base = F.upper(F.substr("seq", offset, F.lit(1)))
-    quality = F.get("quals", offset - 1)
-    good = quality.isNull() | (quality >= min_base_quality)
-    hit = F.coalesce(good & (base == F.upper("alt")), F.lit(False))
+    hit = F.coalesce((base != HIDDEN) & (base == F.upper("alt")), F.lit(False))
     over = over.filter(F.coalesce(base != LOST, F.lit(True)))
     none = F.lit(0).cast("bigint")
     place = ["chrom", "_p", "alt"]

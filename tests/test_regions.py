@@ -205,3 +205,41 @@ def test_identical_reads_merge(spark):
     sites = spark.createDataFrame([("a", "1", 45, "A")], "key string, chrom string, pos bigint, alt string")
     row = regions.pileup(sites, reads).first()
     assert (row["DP"], row["AD"], row["MQ"]) == (100_000, 100_000, 60.0)
+
+
+@pytest.mark.parametrize("mates", ["each", "once"])
+def test_pieces_cross_the_network_once(spark, mates):
+    """No shuffle by letters or qualities, and one in which mates meet."""
+    import re
+
+    reads = spark.createDataFrame(
+        [(f"f{k // 2}", "1", 10 + k % 2, [("M", 4)], "ACGT", [20, 5, 20, 5], 50, False, 0) for k in range(8)],
+        "name string, chrom string, start bigint, cigar array<struct<op:string,len:int>>, seq string, quals array<int>, "
+        "mapq int, is_reverse boolean, flag int",
+    )
+    sites = spark.createDataFrame([("a", "1", 11, "A"), ("b", "1", 12, "C")], "key string, chrom string, pos bigint, alt string")
+    found = regions.pileup(sites, reads, mates=mates)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not any("seq#" in x or "quals#" in x for x in keys)
+    assert sum("name#" in x for x in keys) == (mates == "once")
+    assert {r["key"]: (r["DP"], r["AD"]) for r in found.collect()} == {"a": (4, 4), "b": (8, 0) if mates == "each" else (4, 0)}
+
+
+def test_hidden_letters(spark):
+    """Low qualities hide letters but not what the mate took; without a quality a letter stays."""
+    rows = [("ACGT", [20, 5, None, 12]), ("A.GT", [5, 5, 5, 5]), ("ACGT", None), (None, [1, 2]), ("ACGT", [5]), ("", [5])]
+    frame = spark.createDataFrame(rows, "seq string, quals array<int>")
+    got = [r[0] for r in frame.select(regions._shown(F.col("seq"), F.col("quals"), 13)).collect()]
+    assert got == ["A\x01G\x01", "\x01.\x01\x01", "ACGT", None, "\x01CGT", ""]
+
+
+def test_hot_and_sparse_bins_without_sent_bins(spark, monkeypatch):
+    monkeypatch.setattr(regions, "SENT_BINS", 0)
+    reads = spark.createDataFrame(
+        [("1", k % 5, [("M", 4)], "ACGT", None, 50, k % 2 == 0, 0) for k in range(100)] + [("2", 900, [("M", 4)], "ACGT", None, 50, False, 0)],
+        "chrom string, start bigint, cigar array<struct<op:string,len:int>>, seq string, quals array<int>, mapq int, is_reverse boolean, flag int",
+    )
+    sites = spark.createDataFrame([("a", "1", 3, "A"), ("b", "3", 3, "A")], "key string, chrom string, pos bigint, alt string")
+    got = {r["key"]: (r["DP"], r["AD"]) for r in regions.pileup(sites, reads, bin_width=4, bin_rows=7).collect()}
+    assert got == {"a": (60, 20), "b": (0, 0)}
