@@ -4,7 +4,7 @@ A read is filed under the smallest of five nested kinds of bins that holds it wh
 none is filed under a bin of its own kind, which every request reads. So a read is stored once, and a
 site asks for one bin of each kind. Files are laid out by chromosome and bin. A request joins the
 store with the distinct bins of its sites. Up to ``NAMED_BINS`` of them also become a filter on the folders'
-names, so that no other folder is listed or opened; a request for more bins scans the store.
+names, so that no other folder is listed or opened, in place of the join; a request for more bins scans the store.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ KINDS = (17, 20, 23, 26, 29)
 UNBOUND = 0
 #: Bins of a request that are named in the scan; the driver sees no more than that.
 NAMED_BINS = 10_000
+#: Reads that one task sorts and writes.
+TASK_READS = 250_000
 #: Numbers of bins of one kind begin at the kind's number times this.
 KIND = 1 << 40
 
@@ -49,7 +51,8 @@ def write_reads(reads: DataFrame, folder: str) -> None:
     start = F.col("start").cast("bigint")
     binned = placed.withColumn("bin", bin_of(start, reference_end(start, F.coalesce("cigar", F.array().cast(reads.schema["cigar"].dataType)))))
     order = ["chrom", "bin", "start"]
-    dealt = binned.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = max(1, -(-placed.count() // TASK_READS))
+    dealt = binned.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.write.mode("overwrite").partitionBy("chrom", "bin").parquet(f"{folder}/rows")
     write_schema(dealt.select(*[c for c in dealt.columns if c not in ("chrom", "bin")], F.col("chrom").cast("string"), "bin"), folder)
 
@@ -69,5 +72,5 @@ def read_regions(spark: SparkSession, folder: str, sites: DataFrame) -> DataFram
         for chrom, number in named:
             by_chrom.setdefault(chrom, []).append(number)
         own = [(F.col("chrom") == chrom) & F.col("bin").isin(numbers) for chrom, numbers in by_chrom.items()]
-        reads = reads.filter(reduce(lambda a, b: a | b, own, F.lit(False)))
+        return reads.filter(reduce(lambda a, b: a | b, own, F.lit(False))).drop("bin")  # which names them all
     return reads.join(wanted, ["chrom", "bin"], "left_semi").drop("bin")

@@ -154,6 +154,21 @@ def test_bins_hold_reads_whole(spark):
     assert [r["bin"] == reads.UNBOUND for r in rows] == [False] * 4 + [True, False, False]
 
 
+def test_one_bin_of_many_reads_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reads, "TASK_READS", 20)
+    rows = [("1", k, [("M", 4)], "ACGT", None, 60, False, 0) for k in range(200)]
+    reads.write_reads(spark.createDataFrame(rows, READ), str(tmp_path / "reads"))
+    assert len(list((tmp_path / "reads").glob("rows/chrom=1/bin=*/*.parquet"))) >= 5
+
+
+def test_few_bins_are_read_without_a_join(spark, tmp_path):
+    rows = [("1", k * 50_000, [("M", 4)], "ACGT", None, 60, False, 0) for k in range(20)]
+    folder = str(tmp_path / "reads")
+    reads.write_reads(spark.createDataFrame(rows, READ), folder)
+    site = spark.createDataFrame([("1", 1)], "chrom string, pos bigint")
+    assert "Join" not in reads.read_regions(spark, folder, site)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_region_access_opens_only_its_bins(spark, tmp_path):
     """All files that a small request does not need are made unreadable."""
     rows = [(c, k * 50_000, [("M", 50)], "A" * 50, None, 60, False, 0) for c in ("1", "2") for k in range(60)]
