@@ -208,6 +208,7 @@ class _Areas:
 
 def _down(rows: DataFrame, kind: Callable, spec: str, draws: Draws) -> DataFrame:
     """One row per (g, part) from its rows in order; ``lead`` holds what is known before the first."""
+    block = BLOCK * max(1, min(4, 1000 // max(1, draws.reps)))  # few replicates leave room for more rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
@@ -219,7 +220,12 @@ def _down(rows: DataFrame, kind: Callable, spec: str, draws: Draws) -> DataFrame
             prob, label, h, l = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
             label, h, l = (np.nan_to_num(x).astype(np.int64) for x in (label, h, l))
             lead, extra = batch.column(6), batch.column(7)
-            again = [x and json.loads(x) for x in extra.to_pylist()] if extra.null_count < batch.num_rows else None
+            again = None
+            if extra.null_count < batch.num_rows:  # all lists of a batch are read at once
+                again = [None] * batch.num_rows
+                held = json.loads(f"[{','.join(extra.drop_null().to_pylist())}]")
+                for k, drawn in zip(np.flatnonzero(extra.is_valid()).tolist(), held, strict=True):
+                    again[k] = drawn
             fresh = np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1
             for at, stop in zip([0, *fresh.tolist()], [*fresh.tolist(), batch.num_rows]):
                 key = named.dictionary[int(code[at])].as_py(), int(part[at])
@@ -229,8 +235,8 @@ def _down(rows: DataFrame, kind: Callable, spec: str, draws: Draws) -> DataFrame
                     known = lead[at].as_py()
                     now, own = key, kind(tuple(json.loads(known)[x] for x in KNOWN) if known else (), draws.reps)
                     at += known is not None
-                for a in range(at, stop, BLOCK):
-                    b = min(a + BLOCK, stop)
+                for a in range(at, stop, block):
+                    b = min(a + block, stop)
                     own.rows(prob[a:b], label[a:b], draws.weights(label[a:b], h[a:b], l[a:b], again and again[a:b]))
         if now is not None:
             yield _batch(spec, [(*now, *own.result())])
