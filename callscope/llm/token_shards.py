@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm.common import batch_of, prepare, schema_of, slices, whole
+from callscope.llm.common import batch_of, prepare, schema_of, slices, store, whole
 from callscope.session import shared_folder
 
 SEQUENCE = 512
@@ -132,7 +132,8 @@ def told_apart(documents: DataFrame) -> DataFrame:
     )
     # The id as text that is never null: rows without an id can be equal too.
     keyed = rows.withColumn("name", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    again = keyed.groupBy("name", "tie").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    # Stored, so that Spark knows that they are few and leaves the texts where they are.
+    again = store(keyed.groupBy("name", "tie").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "again")
     lone = keyed.join(again, ["name", "tie"], "left_anti").withColumn("copy", F.lit(0).cast("long"))
     one = keyed.join(again.select("name", "tie"), ["name", "tie"], "left_semi").groupBy("name", "tie").agg(
         F.first("doc_id").alias("doc_id"), F.first("text").alias("text")

@@ -78,3 +78,12 @@ def test_order_of_repeated_rows_does_not_depend_on_layout(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     order = lambda f: [(r.doc_id, r.tokens_sha256) for r in sorted(ts.materialise(f, *FILE).collect(), key=lambda r: r.slot)]
     assert order(frame.repartition(3)) == order(frame.repartition(8, "text"))
+
+
+def test_texts_stay_where_they_are_to_be_told_apart(spark):
+    rows = spark.createDataFrame([(k % 7, f"text {k % 9}") for k in range(100)], "doc_id long, text string")
+    found = ts.told_apart(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    got = [tuple(r) for r in found.select("doc_id", "text", "copy").collect()]
+    assert len(got) == len(set(got)) == 100 and max(r[2] for r in got) == 1
