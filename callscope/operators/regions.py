@@ -29,7 +29,7 @@ LOST, GAP = ".", "-"
 HIDDEN = "\x01"
 # Rows of a bin that one task of a range join may hold before the bin is split.
 BIN_ROWS = 50_000
-# Pieces of reads that one task holds; bins with sites that are sent to all tasks.
+# Reads or pieces of reads that one task holds; bins with sites that are sent to all tasks.
 TASK_PIECES = 250_000
 SENT_BINS = 100_000
 
@@ -80,6 +80,11 @@ def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int, counted:
     return split.drop("_full"), spread.drop("_full")
 
 
+def _task_count(rows: int, frame: DataFrame) -> int:
+    """Tasks for counted rows, so that what one of them holds does not grow with the input."""
+    return max(-(-rows // TASK_PIECES), int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def reference_end(start: Column, cigar: Column) -> Column:
     """The place behind the last letter of the reference that a read covers."""
     step = lambda total, item: total + F.when(item["op"].isin(*REFERENCE_OPS), item["len"].cast("bigint")).otherwise(F.lit(0))
@@ -161,6 +166,7 @@ def fragment_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame
     kept = reads.filter(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0)
     fields = ("chrom", "start", "cigar", "seq", "quals", "mapq", "is_reverse", "flag")
     named = kept.filter(F.col("name").isNotNull()).select(*fields, "name", reference_end(F.col("start"), F.col("cigar")).alias("_e"))
+    named = named.repartition(_task_count(kept.filter(F.col("name").isNotNull()).count(), kept), "chrom", "name")
     fragment = Window.partitionBy("chrom", "name")
     first = fragment.orderBy("start", "_e", F.col("flag"), "seq", "mapq", "is_reverse")
     # Both reads of a fragment meet in one shuffle; each takes along what it needs of the other.
@@ -267,9 +273,8 @@ def pileup(
     spread = F.xxhash64("start", "end", "seq", "mapq", "is_reverse")
     busy, keyed = _dealt(pieces, points, spread, bin_rows, counted)
     # One shuffle carries the pieces to their sites; equal ones are added up there, before the join.
-    parts = max(-(-total // TASK_PIECES), int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     same = ["chrom", "_bin", "_salt", "start", "end", "seq", "is_reverse"]
-    busy = busy.repartition(parts, "chrom", "_bin", "_salt")
+    busy = busy.repartition(_task_count(total, reads), "chrom", "_bin", "_salt")
     busy = busy.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"), F.sum("mapq").alias("_q"))
     over = keyed.join(busy, ["chrom", "_bin", "_salt"]).filter(
         (F.col("start") <= F.col("_p")) & (F.col("_p") < F.col("end"))

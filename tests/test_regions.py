@@ -226,6 +226,21 @@ def test_pieces_cross_the_network_once(spark, mates):
     assert {r["key"]: (r["DP"], r["AD"]) for r in found.collect()} == {"a": (4, 4), "b": (8, 0) if mates == "each" else (4, 0)}
 
 
+def test_tasks_follow_from_counted_reads(spark, monkeypatch):
+    """Both shuffles of a pileup of mates are cut by rows, not by a setting."""
+    monkeypatch.setattr(regions, "TASK_PIECES", 10)
+    reads = spark.createDataFrame(
+        [(f"f{k // 2}", "1", 10 + k % 2, [("M", 4)], "ACGT", None, 50, False, 0) for k in range(200)],
+        "name string, chrom string, start bigint, cigar array<struct<op:string,len:int>>, seq string, quals array<int>, "
+        "mapq int, is_reverse boolean, flag int",
+    )
+    sites = spark.createDataFrame([("a", "1", 11, "A")], "key string, chrom string, pos bigint, alt string")
+    found = regions.pileup(sites, reads, mates="once")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 20), REPARTITION_BY_NUM") == 2
+    assert found.first()["DP"] == 100
+
+
 def test_hidden_letters(spark):
     """Low qualities hide letters but not what the mate took; without a quality a letter stays."""
     rows = [("ACGT", [20, 5, None, 12]), ("A.GT", [5, 5, 5, 5]), ("ACGT", None), (None, [1, 2]), ("ACGT", [5]), ("", [5])]
