@@ -67,13 +67,16 @@ def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int, counted:
 
     A bin of up to ``rows`` rows is one part and nothing is repeated; a fuller one is split by
     ``part``, and only there ``other`` is repeated. ``counted`` holds the rows ``_n`` of each bin, if known. The full bins are few, at most one for every
-    ``rows`` rows; whether they are broadcast is left to Spark's check of their size.
+    ``rows`` rows; they are broadcast if stored counts say which, else that is left to Spark's check of their size.
     """
-    if counted is None:
+    known = counted is not None
+    if not known:
         counted = busy.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     full = counted.filter(F.col("_n") > rows).select(
         "chrom", "_bin", (F.floor((F.col("_n") - 1) / rows) + 1).cast("int").alias("_full")
     )
+    if known:
+        full = F.broadcast(full)
     parts = F.coalesce("_full", F.lit(1))
     split = busy.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(part, parts).cast("int"))
     spread = other.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))

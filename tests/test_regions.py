@@ -223,6 +223,7 @@ def test_pieces_cross_the_network_once(spark, mates):
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert not any("seq#" in x or "quals#" in x for x in keys)
     assert sum("name#" in x for x in keys) == (mates == "once")
+    assert plan.count("_full#") and not re.search(r"SortMergeJoin \[chrom#\d+, _bin#\d+L\], \[[^\]]*\], LeftOuter", plan)
     assert {r["key"]: (r["DP"], r["AD"]) for r in found.collect()} == {"a": (4, 4), "b": (8, 0) if mates == "each" else (4, 0)}
 
 
