@@ -108,3 +108,49 @@ def test_reordered_and_shared_words_are_no_copies(spark):
     draw.shuffle(mixed)
     frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(mixed)), (3, " ".join(words).upper())], "doc_id long, text string")
     assert sorted(r.doc_id for r in nc.one_of_each(frame).collect()) == [1, 2]
+
+
+def same_groups(frame, texts):
+    """Whether ``groups`` puts rows together as all pairs of texts do."""
+    got, true = {r.doc_id: r.group for r in nc.groups(frame).collect()}, brute_groups(texts)
+    return len(set(zip(true, (got[k] for k in range(len(texts)))))) == len(set(true)) == len(set(got.values()))
+
+
+def test_pairs_that_the_index_misses(spark):
+    """Four of five shingles in common, but fingerprints of few words are far apart."""
+    draw = random.Random(21)
+    texts = []
+    for _ in range(150):
+        words = prose(draw, 9)
+        texts += [" ".join(words), " ".join(words[:8])]
+    prints = [np.frombuffer(nc.fingerprint(nc.words_of(t)), np.uint8) for t in texts]
+    far = sum(np.bitwise_count(a ^ b).sum() > nc.DISTANCE for a, b in zip(prints[::2], prints[1::2], strict=True))
+    assert far > 3
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert same_groups(frame, texts)
+    assert sorted(r.doc_id for r in nc.one_of_each(frame).collect()) == list(range(0, 300, 2))
+
+
+@pytest.mark.parametrize(("meeting", "share"), [(1024, 16), (2, 1)])
+def test_exact_way_without_the_index(spark, monkeypatch, meeting, share):
+    """Families, texts made of a common line, short and empty ones: all pairs are found by shingles alone."""
+    monkeypatch.setattr(nc, "MEETING", meeting)
+    monkeypatch.setattr(nc, "ORDER_SHARE", share)
+    monkeypatch.setattr(nc, "candidates", lambda nodes: nodes.select(*[nodes.node.alias(x) for x in "ab"]).limit(0))
+    draw = random.Random(22)
+    base, line = prose(draw, 200), prose(draw, 25)
+    texts = [" ".join(edited(draw, base, draw.uniform(0.75, 0.95))) for _ in range(60)]
+    texts += [" ".join(line + prose(draw, draw.randint(0, 12))) for _ in range(60)]
+    texts += [" ".join(prose(draw, draw.randint(0, 7))) for _ in range(40)] + ["ha " * k for k in range(1, 30)]
+    for k in range(40):
+        texts.append(" ".join(edited(draw, texts[k].split(), 0.85)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert same_groups(frame, texts)
+
+
+def test_first_shingles_hold_one_of_every_similar_text():
+    assert [nc.prefix_size(n) for n in (1, 4, 5, 9, 10, 100)] == [1, 1, 2, 2, 3, 21]
+    assert nc.prefix_size(10, 0.3) == 8 and nc.prefix_size(3, 1.0) == 1
+    words = [w.encode() for w in "a b c d e f a b c d e".split()]
+    assert len(nc.shingle_hashes(words)) == len(nc.shingles(words)) == 6
+    assert len({nc.shingle_hashes(words[:k]).tobytes() for k in range(5)}) == 5
