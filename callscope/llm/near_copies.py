@@ -257,16 +257,16 @@ def checked(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> Data
     return map_slices(both.select("a", "b", "text_a", "text_b"), of_slice, (("a", "long"), ("b", "long")), 64)
 
 
-def _hashes_of(packed: bytes, size: int) -> np.ndarray:
-    joined = zstandard.ZstdDecompressor().decompress(packed)
-    return shingle_hashes(joined.split(b" ") if joined else [], size)
+def _hashes_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (shingle_hashes(unpack(text).split(), size) for text in texts)
 
 
 def shared_by_many(nodes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) of shingles that many of the texts share, and in how many of those read they are."""
 
     def hashes(packed):
-        return [np.concatenate([_hashes_of(x, size) for x in packed]).view(np.int64)]
+        return [np.concatenate(list(_hashes_of(packed, size))).view(np.int64)]
 
     some = nodes.where(F.pmod("s1", F.lit(ORDER_SHARE)) == 0).select("packed")
     counted = map_slices(some, hashes, (("shingle", "long"),)).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
@@ -288,8 +288,7 @@ def missed(nodes: DataFrame, roots: DataFrame, size: int, least: float) -> DataF
     def first_shingles(ids, packed):
         named, in_texts = last.value
         out = []
-        for node, text in zip(ids, packed, strict=True):
-            hashes = _hashes_of(text, size)
+        for node, hashes in zip(ids, _hashes_of(packed, size), strict=True):
             if len(named):
                 at = np.minimum(np.searchsorted(named, hashes), len(named) - 1)
                 shared = np.where(named[at] == hashes, in_texts[at], 0)
