@@ -17,14 +17,18 @@ some nine bits. So these lead to candidates, and the shingles of the whole texts
 4. What the index misses is found exactly. With each text's shingles in one order for all texts, two texts that are 0.8 alike
    share a shingle among the first fifth (and one) of each. Texts of different groups that meet there, and that can
    still be 0.8 alike by their numbers of shingles, the places of the shared ones and how many these are, are checked like
-   links. The order is free; shingles that many texts share come last in it, so that few texts meet.
+   links. The order is free; shingles that many texts share come last in it, so that few texts meet. Where many meet all the
+   same, as in a family that is nearly 0.8 alike, all shingles of these texts are counted: those that no text of another group has
+   are left out, texts that have too few others go, and the order is by the exact counts.
 5. Components of all links that hold are the groups.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,11 @@ ORDER_SHARE = 16
 ORDER_NAMED = 1 << 17
 #: Texts that meet in one shingle and are paired by one task.
 MEETING = 1024
+#: Where more texts than these meet in one shingle, all shingles of these texts are counted; rounds of that count.
+CROWD = 80
+CROWD_ROUNDS = 2
+#: Numbers of 64 bits that bound from below how many shingles of two texts of a crowd differ.
+WORDS = 8
 
 _U = np.uint64
 _FOLD = _U(0x9E3779B97F4A7C15)
@@ -276,11 +285,84 @@ def shared_by_many(nodes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     return found.view(np.uint64)[order], many[order]
 
 
+def _of_several(rows: DataFrame, by: str) -> DataFrame:
+    """Rows at shingles with more than one value of ``by``, with their count ``n`` there."""
+    same = Window.partitionBy("shingle")
+    ends = rows.select("*", F.min(by).over(same).alias("_lo"), F.max(by).over(same).alias("_hi"), F.count(F.lit(1)).over(same).alias("n"))
+    return ends.where("_lo < _hi").drop("_lo", "_hi")
+
+
+def _met(rows: DataFrame, size: str, names: list[str], least: float, more: Callable | None = None) -> DataFrame:
+    """Rows of two groups that meet in a shingle and can be similar there; ``names``, ending in _a and _b, and ``needed`` shingles in common.
+
+    ``place`` is a shingle's place among the ``size`` of its text. A shingle in which very many texts meet (``n``) is dealt to tasks on
+    one side and repeated on the other.
+    """
+    dealt = rows.withColumn("parts", F.ceil(F.col("n") / MEETING).cast("int"))
+    one = dealt.select("shingle", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *[F.col(x).alias(f"{x}_a") for x in names])
+    two = dealt.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(x).alias(f"{x}_b") for x in names])
+    place, of, many = ([F.col(f"{x}_{side}") for side in "ab"] for x in ("place", size, "many"))
+    needed = least / (1 + least) * (many[0] + many[1]) - 1e-6
+    # Whichever shared shingle this is: no more than it and those before it in both, and those after it in both.
+    can = F.least(*place) + F.least(of[0] - place[0], of[1] - place[1]) >= needed
+    can &= F.least(*many) + 1e-6 >= least * F.greatest(*many)
+    if more is not None:
+        can &= more(needed)
+    return one.join(two, ["shingle", "part"]).where((F.col("root_a") < F.col("root_b")) & can).withColumn("needed", needed)
+
+
+def _in_crowds(nodes: DataFrame, crowd: DataFrame, size: int, least: float) -> DataFrame:
+    """Different pairs (a, b) of ``crowd`` (node, root) that are of two groups and can be similar; no similar pair is left out.
+
+    Here all shingles are counted, over the crowd alone. What no text of another group has cannot be in common, so a text
+    may have too few others for any partner of a size that there is. Of the rest, the rarest few hold one of every partner's.
+    """
+    fields = (("shingle", "long"), ("node", "long"), ("root", "long"), ("many", "int"))
+
+    def all_shingles(ids, roots, packed):
+        out = []
+        for node, root, hashes in zip(ids, roots, _hashes_of(packed, size), strict=True):
+            n = len(hashes)
+            out.append((hashes.view(np.int64), np.full(n, node), np.full(n, root), np.full(n, n, np.int32)))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    words = [f"word{k}" for k in range(WORDS)]
+    rows = store(map_slices(nodes.join(crowd, "node").select("node", "root", "packed"), all_shingles, fields, 64), "crowd")
+    for _ in range(CROWD_ROUNDS):
+        counted = rows.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("n"), F.min("many").alias("low"), F.min("root").alias("lo"), F.max("root").alias("hi")
+        )
+        shared = rows.select("shingle", "node", "root", "many").join(counted.where("lo < hi").drop("lo", "hi"), "shingle")
+        # No partner is smaller than the smallest text at any of these shingles, nor than the similarity allows.
+        partner = F.min(F.greatest("low", F.ceil(least * F.col("many") - 1e-9)))
+        bit = "shiftleft(1L, cast(pmod(shiftright(shingle, 8), 64) as int))"
+        enough = shared.groupBy("node").agg(
+            F.count(F.lit(1)).alias("held"),
+            F.ceil(least / (1 + least) * (F.first("many") + partner) - 1e-6).alias("fewest"),
+            *[F.expr(f"bit_xor(if(pmod(shingle, {WORDS}) = {k}, {bit}, 0L))").alias(word) for k, word in enumerate(words)],
+        )
+        enough = store(enough.where("held >= fewest"), "enough")
+        kept = store(shared.join(enough.select("node", "held", "fewest"), "node"), "crowd")
+        discard(rows)
+        rows = kept
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle")) - 1
+    first = rows.withColumn("place", place).where("place <= held - fewest").select("shingle", "node", "root", "many", "held", "place")
+    first = _of_several(first, "root").join(enough.select("node", *words), "node")
+
+    def near(needed):
+        # A bit of a text says whether an odd number of its shingles fall on it: bits that differ are no more than shingles that do.
+        differ = reduce(add, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+        return F.col("held_a") + F.col("held_b") - differ >= 2 * needed
+
+    met = _met(first, "held", ["node", "root", "many", "place", "held", *words], least, near)
+    return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
 def missed(nodes: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame:
     """Different pairs (a, b) of nodes that can be similar and are not in one group yet; no similar pair is left out.
 
     ``roots``: node, root, where a node is not a root itself. Groups count as one where they meet, so
-    texts of one group are never paired, however many they are.
+    texts of one group are never paired, however many they are. Where more than ``CROWD`` texts meet, they are a crowd.
     """
     fields = (("shingle", "long"), ("node", "long"), ("many", "int"), ("place", "int"))
     last = nodes.sparkSession.sparkContext.broadcast(shared_by_many(nodes, size))
@@ -298,29 +380,21 @@ def missed(nodes: DataFrame, roots: DataFrame, size: int, least: float) -> DataF
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     posts = map_slices(nodes.select("node", "packed"), first_shingles, fields)
-    of_shingle = Window.partitionBy("shingle")
-    several = lambda rows, by: (
-        rows.select("*", F.min(by).over(of_shingle).alias("_lo"), F.max(by).over(of_shingle).alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
-    )
-    meeting = store(several(posts, "node"), "meeting")
+    meeting = store(_of_several(posts, "node").drop("n"), "meeting")
     named = meeting.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = several(named, "root").withColumn("parts", F.ceil(F.count(F.lit(1)).over(of_shingle) / MEETING).cast("int"))
-    apart = store(apart, "apart")
-    # A shingle in which very many texts meet is dealt to tasks on one side and repeated on the other.
-    names = ("node", "root", "many", "place")
-    one = apart.select("shingle", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *[F.col(x).alias(f"{x}_a") for x in names])
-    two = apart.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(x).alias(f"{x}_b") for x in names])
-    place, many = ([F.col(f"{x}_{side}") for side in "ab"] for x in ("place", "many"))
-    needed = least / (1 + least) * (many[0] + many[1]) - 1e-6  # shingles in common
-    # Whichever shared shingle this is: no more than it and those before it in both, and those after it in both.
-    can = F.least(*place) + F.least(many[0] - place[0], many[1] - place[1]) >= needed
-    can &= F.least(*many) + 1e-6 >= least * F.greatest(*many)
-    met = one.join(two, ["shingle", "part"]).where((F.col("root_a") < F.col("root_b")) & can)
-    pair = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("n"), F.max("many_a").alias("many_a"), F.max("many_b").alias("many_b"))
+    apart = store(_of_several(named, "root"), "apart")
+    discard(meeting)
+    crowd = apart.where(F.col("n") > CROWD).select("node", "root").distinct()
+    met = _met(apart.where(F.col("n") <= CROWD), "many", ["node", "root", "many", "place"], least)
+    pair = met.groupBy("node_a", "node_b").agg(
+        F.count(F.lit(1)).alias("n"), F.max("many_a").alias("many_a"), F.max("many_b").alias("many_b"), F.max("needed").alias("needed")
+    )
     # Of the two, take the one whose first shingles end earlier in the order: any of them that the other text has is among the
-    # other's first ones, so counted here, and what else they share is not among its first ones.
-    rest = F.greatest(*[F.greatest(F.ceil(least * x - 1e-9) - 1, F.lit(0)) for x in many])
-    return pair.where(F.col("n") + rest >= needed).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+    # other's first ones, so counted here, and what else they share is not among its first ones. Two of the crowd may also have met
+    # elsewhere, but their pairs are all found in the crowd.
+    rest = F.greatest(*[F.greatest(F.ceil(least * F.col(x) - 1e-9) - 1, F.lit(0)) for x in ("many_a", "many_b")])
+    few = pair.where(F.col("n") + rest >= F.col("needed")).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+    return few.union(_in_crowds(nodes, crowd, size, least)).distinct()
 
 
 def groups(documents: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

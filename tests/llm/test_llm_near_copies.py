@@ -148,6 +148,44 @@ def test_exact_way_without_the_index(spark, monkeypatch, meeting, share):
     assert same_groups(frame, texts)
 
 
+@pytest.mark.parametrize(("crowd", "words"), [(2, 8), (40, 1)])
+def test_exact_way_in_crowds(spark, monkeypatch, crowd, words):
+    """Where many texts meet, all their shingles are counted; pairs met in and beside crowds are all found."""
+    monkeypatch.setattr(nc, "CROWD", crowd)
+    monkeypatch.setattr(nc, "WORDS", words)
+    monkeypatch.setattr(nc, "MEETING", 16)
+    monkeypatch.setattr(nc, "candidates", lambda nodes: nodes.select(*[nodes.node.alias(x) for x in "ab"]).limit(0))
+    draw = random.Random(23)
+    texts, line = [], prose(draw, 12)
+    for size in (30, 90, 250):
+        base = prose(draw, size)
+        for _ in range(60):
+            own = edited(draw, base, draw.uniform(0.7, 0.95))[: draw.randint(size - size // 6, size)]
+            texts.append(" ".join(own + line[: draw.choice((0, 0, 6, 12))]))
+    texts += [" ".join(prose(draw, draw.randint(0, 9))) for _ in range(30)] + ["ha " * k for k in range(1, 20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert same_groups(frame, texts)
+
+
+def test_a_family_just_below_the_limit_is_not_paired(spark):
+    """Texts about 0.76 alike meet in many shingles; few of their pairs are left to check, and no similar one is lost."""
+    draw = random.Random(24)
+    base, texts = prose(draw, 150), []
+    for k in range(300):
+        words = list(base)
+        for at in draw.sample(range(5, 145), 2):
+            words[at] = f"own{k}x{at}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(4)
+    described = nc.described(frame.withColumnRenamed("node", "doc_id")).withColumnRenamed("doc_id", "node")
+    none = frame.selectExpr("node", "node as root").limit(0)
+    found = {(r.a, r.b) for r in nc.missed(described, none, nc.SHINGLE, nc.SIMILARITY).collect()}
+    sets = [nc.shingles(nc.words_of(t)) for t in texts]
+    similar = {(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 0 < len(similar) < 10_000 and similar <= found
+    assert len(found) < 1.5 * len(similar) + 100
+
+
 def test_first_shingles_hold_one_of_every_similar_text():
     assert [nc.prefix_size(n) for n in (1, 4, 5, 9, 10, 100)] == [1, 1, 2, 2, 3, 21]
     assert nc.prefix_size(10, 0.3) == 8 and nc.prefix_size(3, 1.0) == 1
