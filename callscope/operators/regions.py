@@ -23,15 +23,22 @@ QUERY_OPS = ("M", "=", "X", "I", "S")
 SKIP_FLAGS = 0x4 | 0x100 | 0x200 | 0x400
 MIN_BASE_QUALITY = 13
 WINDOW_RADIUS = 100
-# Letters of a block: lost to the mate; of a deletion that is written out. Neither is a base.
-LOST, GAP = ".", "-"
-# Stands for a letter of low quality, which is no base either.
+# A letter lost to the mate, which is no base.
+LOST = "."
+# Stands for a letter of low quality or a deletion that is written out, no bases either.
 HIDDEN = "\x01"
 # Rows of a bin that one task of a range join may hold before the bin is split.
 BIN_ROWS = 50_000
 # Reads or pieces of reads that one task holds; bins with sites that are sent to all tasks.
 TASK_PIECES = 250_000
 SENT_BINS = 100_000
+# Places that are sent to all tasks, and the bits of a place inside its stretch; a letter takes 21 bits of a packed number beside it.
+SENT_PLACES = 20_000_000
+PLACE_BITS = 11
+# Bits of a stretch's number, which is not above SENT_BINS.
+STRETCH_BITS = 20
+# Letters as numbers: none, hidden, behind the last one of the read; others follow by code point.
+NO_LETTER, HIDDEN_LETTER, BEHIND, FIRST_LETTER = 0, 1, 2, 3
 
 
 def sites(variants: DataFrame) -> DataFrame:
@@ -62,24 +69,26 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(_bin(start, width), _bin(end - 1, width)))
 
 
-def _dealt(busy: DataFrame, other: DataFrame, part: Column, rows: int, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Salt a join on (chrom, _bin): parts of a bin follow from the counted rows of ``busy`` in it.
+def _dealt(
+    busy: DataFrame, other: DataFrame, part: Column, rows: int, counted: DataFrame | None = None, key: Sequence[str] = ("chrom", "_bin")
+) -> tuple[DataFrame, DataFrame]:
+    """Salt a join on ``key``: parts of a bin follow from the counted rows of ``busy`` in it.
 
     A bin of up to ``rows`` rows is one part and nothing is repeated; a fuller one is split by
     ``part``, and only there ``other`` is repeated. ``counted`` holds the rows ``_n`` of each bin, if known. The full bins are few, at most one for every
     ``rows`` rows; they are broadcast if stored counts say which, else that is left to Spark's check of their size.
     """
-    known = counted is not None
+    known, key = counted is not None, list(key)
     if not known:
-        counted = busy.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+        counted = busy.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     full = counted.filter(F.col("_n") > rows).select(
-        "chrom", "_bin", (F.floor((F.col("_n") - 1) / rows) + 1).cast("int").alias("_full")
+        *key, (F.floor((F.col("_n") - 1) / rows) + 1).cast("int").alias("_full")
     )
     if known:
         full = F.broadcast(full)
     parts = F.coalesce("_full", F.lit(1))
-    split = busy.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.pmod(part, parts).cast("int"))
-    spread = other.join(full, ["chrom", "_bin"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    split = busy.join(full, key, "left").withColumn("_salt", F.pmod(part, parts).cast("int"))
+    spread = other.join(full, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return split.drop("_full"), spread.drop("_full")
 
 
@@ -207,7 +216,7 @@ def fragment_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame
             over = F.when(F.col("_mate") == 1, theirs > own).otherwise(theirs >= own)
             return (b["start"] <= place) & (place < b["end"]) & over
 
-        return F.when(F.exists("other", beats), F.lit(LOST)).otherwise(F.coalesce(F.substr("seq", (i + 1).cast("int"), F.lit(1)), F.lit(GAP)))
+        return F.when(F.exists("other", beats), F.lit(LOST)).otherwise(F.coalesce(F.substr("seq", (i + 1).cast("int"), F.lit(1)), F.lit(HIDDEN)))
 
     touched = F.exists("other", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     spelt = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1), letter), "")
@@ -215,6 +224,60 @@ def fragment_blocks(reads: DataFrame, skip_flags: int = SKIP_FLAGS) -> DataFrame
     return blocks.withColumn("seq", F.when(touched, spelt).otherwise(F.col("seq"))).select(*columns)
 
 
+def _places_sent(points: DataFrame) -> DataFrame | None:
+    """Stretches of the axis with the places ``_at`` asked for in them, ``chrom, _bin, _id, _at``; None if they are too many to be sent."""
+    width = 1 << PLACE_BITS
+    inside = (F.col("_p") - F.col("_bin") * width).cast("int")
+    places = points.filter(F.col("chrom").isNotNull() & F.col("_p").isNotNull()).withColumn("_bin", _bin(F.col("_p"), width))
+    marks = durable(places.groupBy("chrom", "_bin").agg(F.sort_array(F.collect_set(inside)).alias("_at")))
+    size = marks.agg(F.count(F.lit(1)), F.sum(F.size("_at"))).first()
+    if size[0] > min(SENT_BINS, (1 << STRETCH_BITS) - 1) or (size[1] or 0) > SENT_PLACES:
+        return None
+    # At most SENT_BINS rows are numbered; the number stands for chromosome and stretch.
+    number = marks.select("chrom", "_bin", F.row_number().over(Window.orderBy("chrom", "_bin")).cast("bigint").alias("_id"))
+    return durable(number.join(marks, ["chrom", "_bin"]))
+
+
+def _letter_code(letter: Column) -> Column:
+    return F.when(letter == HIDDEN, F.lit(HIDDEN_LETTER)).when(letter == "", F.lit(BEHIND)).otherwise(F.ascii(F.upper(letter)) + FIRST_LETTER).cast("bigint")
+
+
+def read_letters(reads: DataFrame, marks: DataFrame, skip_flags: int = SKIP_FLAGS, floor: int = MIN_BASE_QUALITY) -> DataFrame:
+    """What kept reads show at the places of ``marks``: a row per read and stretch with ``_letters``, and a first row for every read.
+
+    A letter is one number: quality (-1 for none, 0 if unknown), code and place in the stretch, from the highest bits down; there
+    may be fewer than the ``_most`` places between the read's ends. ``marks`` are few and sent to all tasks, so that nothing else of a read has to cross the network.
+    """
+    width = 1 << PLACE_BITS
+    kept = reads.filter(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0)
+    blocks = F.filter(_walked(F.col("start"), F.col("cigar")), lambda b: (b["len"] > 0) & b["at"].isNotNull())
+    some, last = F.size("_blocks") > 0, F.element_at("_blocks", -1)
+    spans = kept.withColumn("_blocks", blocks).withColumns({"_s": F.when(some, F.col("_blocks")[0]["at"]), "_t": F.when(some, last["at"] + last["len"])})
+    cut = spans.select("*", F.posexplode_outer(F.sequence(_bin(F.col("_s"), width), _bin(F.col("_t") - 1, width))).alias("_k", "_bin"))
+    first = F.col("_bin") * width
+    inside = F.sequence(F.greatest(F.col("_s") - first, F.lit(0)).cast("int"), F.least(F.col("_t") - first, F.lit(width)).cast("int") - 1)
+    # The generator keeps the common places from being looked for once for every use of them.
+    found = cut.join(F.broadcast(marks), ["chrom", "_bin"], "left").select("*", F.explode(F.array(F.array_intersect(inside, "_at"))).alias("_here"))
+    head, most = F.coalesce("_k", F.lit(0)) == 0, F.coalesce(F.size("_here"), F.lit(0))
+    found = found.withColumns({"_head": head, "_most": F.greatest(most, F.lit(0))}).filter(F.col("_head") | (F.col("_most") > 0))
+
+    def letter(b: Column, x: Column) -> Column:
+        at = (b["offset"] + first + x - b["at"]).cast("int")
+        quality, base = F.get("quals", at), F.substr("seq", at + 1, F.lit(1))
+        shown = F.when((quality < floor) & ~base.isin(LOST, ""), F.lit(HIDDEN_LETTER).cast("bigint")).otherwise(_letter_code(base))
+        number = lambda rank, code: F.shiftleft(rank.cast("bigint"), 32).bitwiseOR(F.shiftleft(code, PLACE_BITS)).bitwiseOR(x.cast("bigint"))
+        seen = b["op"].isin(*ALIGNED_OPS) & F.col("seq").isNotNull()
+        return F.when(seen, number(F.coalesce(quality, F.lit(0)), shown)).otherwise(number(F.lit(-1), F.lit(NO_LETTER).cast("bigint")))
+
+    over = lambda b, x: (b["at"] <= first + x) & (first + x < b["at"] + b["len"])
+    letters = F.flatten(F.transform("_here", lambda x: F.transform(F.filter("_blocks", lambda b: over(b, x)), lambda b: letter(b, x))))
+    ends = {"_from": F.col("start") - first, "_e": reference_end(F.col("start"), F.col("cigar")) - first}
+    return found.select(
+        "chrom", "name", *[c.alias(n) for n, c in ends.items()], "flag", "seq", "mapq", "is_reverse", "_head", "_most", "_id",
+        F.when(F.col("_most") > 0, letters).alias("_letters"),
+    )
+
+
 def _shown(seq: Column, quals: Column, floor: int) -> Column:
     """The letters of a piece with those of low quality hidden; where a quality is missing the letter stays."""
     known = F.slice(quals, 1, F.length(seq))
@@ -223,6 +286,144 @@ def _shown(seq: Column, quals: Column, floor: int) -> Column:
     return F.when(quals.isNull() | (F.coalesce(F.array_min(quals), F.lit(floor)) >= floor), seq).otherwise(mixed)
 
 
+def _bits(number: Column, skip: int, count: int) -> Column:
+    return F.shiftright(number, skip).bitwiseAND(F.lit((1 << count) - 1))
+
+
+def _packed(letters: DataFrame) -> DataFrame:
+    """Rows of ``read_letters`` as they cross the network: ``name, _w, _near, _far, seq``, numbers with few empty bytes.
+
+    ``name`` is a hash of 64 bits; ``_w`` holds 20 bits of a second one, flag, mapq, strand, the stretch and whether the row is the first of its read.
+    ``_near`` is the read's ends and its letters in 32 bits each. Where a value does not fit, ``_far`` has all of them in 64 bits. A
+    row without letters is its hashes alone.
+    """
+    some = F.coalesce(F.size("_letters") > 0, F.lit(False))
+    strand = F.when(F.col("is_reverse"), F.lit(2)).when(~F.col("is_reverse"), F.lit(1)).otherwise(F.lit(0))
+    length, mapq = F.col("_e") - F.col("_from"), F.coalesce(F.col("mapq").cast("bigint") + 1, F.lit(0))
+    code = lambda v: _bits(v, PLACE_BITS, 21)
+    fits = (
+        F.col("_from").between(-(1 << 15), (1 << 15) - 1) & length.between(0, (1 << 15) - 1) & F.col("flag").between(0, (1 << 12) - 1)
+        & F.coalesce(F.col("mapq").between(0, 254), F.lit(True)) & F.forall("_letters", lambda v: F.shiftright(v, 32).between(-1, 254) & (code(v) < 512))
+    )
+    near = some & F.coalesce(fits, F.lit(False))
+    small = lambda v: F.shiftleft(F.shiftright(v, 32) + 1, 20).bitwiseOR(F.shiftleft(code(v), PLACE_BITS)).bitwiseOR(_bits(v, 0, PLACE_BITS))
+    ends = F.shiftleft(F.col("_from") + (1 << 15), 15).bitwiseOR(length)
+    rest = F.shiftleft(F.col("flag"), 11).bitwiseOR(F.shiftleft(mapq, 2)).bitwiseOR(strand).cast("bigint")
+    wide = [F.col(c).cast("bigint") for c in ("_from", "_e", "flag", "mapq")]
+    zero = F.lit(0).cast("bigint")
+    word = F.shiftleft(F.xxhash64("name", "chrom", F.lit(1)), STRETCH_BITS + 24)
+    for part, skip in ((F.when(near, rest).otherwise(zero), STRETCH_BITS + 1), (F.when(some, F.col("_id")).otherwise(zero), 1), (F.col("_head").cast("bigint"), 0)):
+        word = word.bitwiseOR(F.shiftleft(part, skip))
+    return letters.select(
+        F.xxhash64("chrom", "name").alias("name"),
+        word.alias("_w"),
+        F.when(near, F.concat(F.array(ends.cast("int")), F.transform("_letters", lambda v: small(v).cast("int")))).alias("_near"),
+        F.when(some & ~near, F.concat(F.array(*wide, strand.cast("bigint")), F.col("_letters"))).alias("_far"),
+        F.when(some, F.col("seq")).alias("seq"),
+    )
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``_packed`` undone: ``name, _h, _head, _id, _from, _e, flag, seq, mapq, is_reverse, _letters``."""
+    near, far, rest = F.col("_near"), F.col("_far"), _bits(F.col("_w"), STRETCH_BITS + 1, 23)
+    ends = F.get(near, F.lit(0))
+    start, quality = F.shiftright(ends, 15) - (1 << 15), F.when(_bits(rest, 2, 9) > 0, _bits(rest, 2, 9) - 1)
+    either = lambda small, k: F.when(near.isNotNull(), small.cast("bigint")).otherwise(F.get(far, F.lit(k)))
+    strand = either(_bits(rest, 0, 2), 4)
+    large = lambda v: F.shiftleft((F.shiftright(v, 20) - 1).cast("bigint"), 32).bitwiseOR(_bits(v, 0, 20).cast("bigint"))
+    behind = lambda values, k: F.slice(values, k + 1, F.size(values) - k)
+    return rows.select(
+        "name",
+        F.shiftright("_w", STRETCH_BITS + 24).alias("_h"),
+        (_bits(F.col("_w"), 0, 1) == 1).alias("_head"),
+        _bits(F.col("_w"), 1, STRETCH_BITS).alias("_id"),
+        either(start, 0).alias("_from"),
+        either(start + _bits(ends, 0, 15), 1).alias("_e"),
+        either(_bits(rest, 11, 12), 2).alias("flag"),
+        "seq",
+        either(quality, 3).alias("mapq"),
+        F.when(strand > 0, strand == 2).alias("is_reverse"),
+        F.when(near.isNotNull(), F.transform(behind(near, 1), large)).otherwise(behind(far, 5)).alias("_letters"),
+    )
+
+
+def fragment_letters(letters: DataFrame, tasks: int) -> DataFrame:
+    """Rows of ``read_letters`` of which every fragment keeps one letter at a place, by the rules of ``fragment_blocks``.
+
+    Both reads of a fragment meet in one shuffle, packed, and under hashes of 84 bits in place of the name.
+    """
+    named = _unpacked(_packed(letters.filter(F.col("name").isNotNull())).repartition(tasks, "name"))
+    beside = Window.partitionBy("name", "_h", "_id").orderBy("_from", "_e", "flag", "seq", "mapq", "is_reverse")
+    paired = named.withColumns({"_mate": F.row_number().over(beside), "_o": F.coalesce(F.lag("_letters").over(beside), F.lead("_letters").over(beside))})
+    paired = paired.withColumn("_n", F.sum(F.col("_head").cast("int")).over(Window.partitionBy("name", "_h")))
+    place = (1 << PLACE_BITS) - 1
+    quality = lambda v: F.shiftright(v, 32)
+
+    def beaten(v: Column) -> Column:
+        over = lambda o: F.when(F.col("_mate") == 1, quality(o) > quality(v)).otherwise(quality(o) >= quality(v))
+        return F.exists("_o", lambda o: (o.bitwiseAND(F.lit(place)) == v.bitwiseAND(F.lit(place))) & over(o))
+
+    kept = F.when((F.col("_n") == 2) & F.col("_o").isNotNull(), F.filter("_letters", lambda v: ~beaten(v))).otherwise(F.col("_letters"))
+    met = paired.select("_id", "mapq", "is_reverse", "name", kept.alias("_letters"))
+    nameless = letters.filter(F.col("name").isNull())
+    return met.unionByName(nameless.select("_id", "mapq", "is_reverse", F.xxhash64("_from", "_letters", "mapq").alias("name"), "_letters"))
+
+
+def _sums(over: DataFrame, hit: Column) -> DataFrame:
+    """Counts per place and alt of pieces ``_n`` times over a place, with their summed mapq ``_q``."""
+    none = F.lit(0).cast("bigint")
+    place = ["chrom", "_p", "alt"]
+    return over.select(*place, hit.alias("hit"), "_n", "_q", "is_reverse").groupBy(*place).agg(
+        F.sum("_n").alias("DP"),
+        F.sum(F.when(F.col("hit"), F.col("_n")).otherwise(none)).alias("AD"),
+        F.sum(F.when(F.col("hit"), F.col("_q")).otherwise(none)).alias("_mq"),
+        F.sum(F.when(F.col("hit") & ~F.col("is_reverse"), F.col("_n")).otherwise(none)).alias("_fwd"),
+        F.sum(F.when(F.col("hit") & F.col("is_reverse"), F.col("_n")).otherwise(none)).alias("_rev"),
+    )
+
+
+def _evidence(asked: DataFrame, totals: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    filled = asked.join(totals, ["chrom", "_p", "alt"], "left").select(
+        "key", *[F.coalesce(F.col(c), zero).alias(c) for c in ("DP", "AD", "_mq", "_fwd", "_rev")]
+    )
+    support = F.greatest(F.col("AD"), F.lit(1))
+    return filled.select(
+        "key",
+        "DP",
+        "AD",
+        ratio_or_zero("AD", "DP").alias("VAF"),
+        (F.col("_mq").cast("double") / support).alias("MQ"),
+        (F.abs(F.col("_fwd") - F.col("_rev")).cast("double") / support).alias("SB"),
+    )
+
+
+def _letter_totals(points: DataFrame, reads: DataFrame, marks: DataFrame, skip_flags: int, floor: int, rows: int) -> DataFrame:
+    """Counts per place and alt, each fragment once, from the letters at the places asked for."""
+    letters = read_letters(reads, marks, skip_flags, floor)
+    counted = durable(letters.groupBy(F.col("_id").alias("_bin")).agg(F.sum("_most").alias("_n"), F.count("name").alias("_named")))
+    total, named = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_named"), F.lit(0))).first()
+    tasks = _task_count(max(total, named), reads)
+    shown = fragment_letters(letters, tasks).select(
+        F.col("_id").alias("_bin"), "name", F.col("mapq").cast("bigint").alias("mapq"), "is_reverse", F.explode("_letters").alias("_v")
+    )
+    width = 1 << PLACE_BITS
+    at = lambda part, inside: part * width + inside
+    code = F.shiftright("_v", PLACE_BITS).bitwiseAND(F.lit((1 << 21) - 1))
+    shown = shown.withColumns({"_k": at(F.col("_bin"), F.col("_v").bitwiseAND(F.lit(width - 1))), "_c": code.cast("int")})
+    shown = shown.filter(F.col("_c") != ord(LOST) + FIRST_LETTER)
+    numbers = marks.select("chrom", "_bin", "_id")
+    placed = points.withColumn("_bin", _bin(F.col("_p"), width)).join(F.broadcast(numbers), ["chrom", "_bin"])
+    placed = placed.select("chrom", "_p", "alt", F.col("_id").alias("_bin"), at(F.col("_id"), F.col("_p") - F.col("_bin") * width).alias("_k"))
+    busy, keyed = _dealt(shown, placed, F.col("name"), rows, counted, ["_bin"])
+    # Letters cross the network without names; equal ones are added up before they meet their place.
+    busy = busy.select("_k", "_salt", "_c", "mapq", "is_reverse").repartition(tasks, "_k", "_salt")
+    busy = busy.groupBy("_k", "_salt", "_c", "is_reverse").agg(F.count(F.lit(1)).alias("_n"), F.sum("mapq").alias("_q"))
+    wanted = F.when(F.length("alt") < 2, _letter_code(F.col("alt")))
+    hit = F.coalesce((F.col("_c") > HIDDEN_LETTER) & (F.col("_c") == wanted), F.lit(False))
+    return _sums(keyed.drop("_bin").join(busy, ["_k", "_salt"]), hit)
+
+
 def pileup(
     sites: DataFrame,
     reads: DataFrame,
@@ -241,13 +442,18 @@ def pileup(
 
     Places and alts are reduced to different ones first. Reads keep, in each bin, only the letters inside
     the bin that are good enough to be compared, and cross the network once; equal pieces are added up before the join.
+    Mates keep only their letters at the places asked for, which are sent to all tasks; where these are too many, mates meet whole.
     """
     if mates not in ("each", "once"):
         raise ValueError("mates must be each or once")
-    blocks = aligned_blocks(reads, skip_flags) if mates == "each" else fragment_blocks(reads, skip_flags)
     alt = F.coalesce("alt", F.lit("")).alias("alt")
     asked = sites.select("key", "chrom", (F.col("pos").cast("bigint") - 1).alias("_p"), alt)
-    points = asked.select("chrom", "_p", "alt").distinct().withColumn("_bin", _bin(F.col("_p"), bin_width))
+    points = asked.select("chrom", "_p", "alt").distinct()
+    marks = _places_sent(points) if mates == "once" else None
+    if marks is not None:
+        return _evidence(asked, _letter_totals(points, reads, marks, skip_flags, min_base_quality, bin_rows))
+    blocks = aligned_blocks(reads, skip_flags) if mates == "each" else fragment_blocks(reads, skip_flags)
+    points = points.withColumn("_bin", _bin(F.col("_p"), bin_width))
     bins = points.select("chrom", "_bin").distinct()
     few = len(bins.select(F.lit(1)).take(SENT_BINS + 1)) <= SENT_BINS
 
@@ -286,28 +492,7 @@ def pileup(
     base = F.upper(F.substr("seq", offset, F.lit(1)))
     hit = F.coalesce((base != HIDDEN) & (base == F.upper("alt")), F.lit(False))
     over = over.filter(F.coalesce(base != LOST, F.lit(True)))
-    none = F.lit(0).cast("bigint")
-    place = ["chrom", "_p", "alt"]
-    totals = over.select(*place, hit.alias("hit"), "_n", "_q", "is_reverse").groupBy(*place).agg(
-        F.sum("_n").alias("DP"),
-        F.sum(F.when(F.col("hit"), F.col("_n")).otherwise(none)).alias("AD"),
-        F.sum(F.when(F.col("hit"), F.col("_q")).otherwise(none)).alias("_mq"),
-        F.sum(F.when(F.col("hit") & ~F.col("is_reverse"), F.col("_n")).otherwise(none)).alias("_fwd"),
-        F.sum(F.when(F.col("hit") & F.col("is_reverse"), F.col("_n")).otherwise(none)).alias("_rev"),
-    )
-    zero = F.lit(0).cast("bigint")
-    filled = asked.join(totals, place, "left").select(
-        "key", *[F.coalesce(F.col(c), zero).alias(c) for c in ("DP", "AD", "_mq", "_fwd", "_rev")]
-    )
-    support = F.greatest(F.col("AD"), F.lit(1))
-    return filled.select(
-        "key",
-        "DP",
-        "AD",
-        ratio_or_zero("AD", "DP").alias("VAF"),
-        (F.col("_mq").cast("double") / support).alias("MQ"),
-        (F.abs(F.col("_fwd") - F.col("_rev")).cast("double") / support).alias("SB"),
-    )
+    return _evidence(asked, _sums(over, hit))
 
 
 def window_signal(windows: DataFrame, signal: DataFrame, bin_width: int = 256, bin_rows: int = BIN_ROWS) -> DataFrame:

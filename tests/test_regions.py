@@ -242,6 +242,75 @@ def test_tasks_follow_from_counted_reads(spark, monkeypatch):
     assert found.first()["DP"] == 100
 
 
+NAMED = READS + ", name string"
+ASKED = "key string, chrom string, pos bigint, alt string"
+
+
+def evidence_once(site, shown, floor=13):
+    key, chrom, pos, alt = site
+    over = [(r, o[pos - 1]) for r, o in shown if r[0] == chrom and pos - 1 in o]
+    hits = [r for r, (base, q) in over if base is not None and base.upper() == alt.upper() and (q is None or q >= floor)]
+    forward = sum(not r[7] for r in hits)
+    return (key, len(over), len(hits), len(hits) / len(over) if over else 0.0, sum(r[6] for r in hits) / max(len(hits), 1),
+            abs(2 * forward - len(hits)) / max(len(hits), 1))
+
+
+def test_mates_cross_the_network_without_their_reads(spark):
+    """Where mates meet there are no qualities, CIGARs and names, and a read without an asked place is its hashes alone."""
+    import re
+
+    reads = spark.createDataFrame([("1", s, s + 4, [("M", 4)], "ACGT", [20] * 4, 50, False, f, "a") for s, f in ((10, 64), (900, 128))], NAMED)
+    sites = spark.createDataFrame([("a", "1", 12, "C")], ASKED)
+    found = regions.pileup(sites, reads, mates="once")
+    assert found.first()["AD"] == 1
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    meet = [x for x in re.findall(r"Exchange *\nInput \[\d+\]: \[([^]]*)\]\nArguments: hashpartitioning\(name#", plan)]
+    assert meet and not any(c + "#" in x for x in meet for c in ("quals", "cigar", "chrom", "start"))
+    marks = regions._places_sent(sites.select("chrom", (F.col("pos") - 1).alias("_p"), "alt"))
+    rows = regions._packed(regions.read_letters(reads, marks)).select("_near", "_far", "seq").collect()
+    assert sorted(x["seq"] is None and x["_near"] is None for x in rows) == [False, True] and all(x["_far"] is None for x in rows)
+
+
+@pytest.mark.parametrize("sent", [regions.SENT_PLACES, 0])
+def test_odd_mates_count_once(spark, monkeypatch, sent):
+    """Values that do not fit small numbers, letters that are not ACGT, ends of stretches, equal places and flags, both ways of meeting."""
+    monkeypatch.setattr(regions, "SENT_PLACES", sent)
+    source, reads = random.Random(41), []
+    shapes = [[("M", 20)], [("S", 3), ("M", 10), ("I", 2), ("M", 8)], [("M", 7), ("D", 4), ("M", 9)], [("M", 5), ("N", 4100), ("M", 6)]]
+    for i in range(150):
+        starts = [source.choice([0, 1, 2, 3, 2040, 2041, 4090, 70_000])] * 2
+        cigar = source.choice(shapes)
+        for start in starts + [starts[0] + 1] * (i % 13 == 0):
+            cigar = cigar if i % 3 else source.choice(shapes)
+            size, span = sum(n for op, n in cigar if op in "M=XIS"), sum(n for op, n in cigar if op in "M=XDN")
+            quals = None if i % 7 == 0 else [source.choice([5, 12, 13, 13, 30, 300]) for _ in range(size)]
+            reads.append((source.choice("1112"), start, start + span, cigar, "".join(source.choice("ACGTacN\u0394") for _ in range(size)), quals,
+                          source.choice([0, 60, 60, 255, 1000]), source.random() < 0.5, source.choice([0, 64, 64, 128, 1 << 14]), f"f{i}" if i % 11 else None))
+    # Longer than the small numbers hold, and a read that begins far ahead of its last stretch.
+    for name, flag in (("long", 64), ("long", 128)):
+        reads.append(("1", 0, 40_000, [("M", 5), ("N", 39_990), ("M", 5)], "ACGTAACGTA", [20 + flag // 64] * 10, 60, flag == 128, flag, name))
+    places = [*range(1, 30), *range(2040, 2070), *range(4090, 4125), 6150, 39_998, 70_003, 70_010]
+    sites = [(f"s{c}{p}{a}", c, p, a) for c in "12" for p in places for a in "A\u0394"] + [("gap", "1", 10, "-"), ("two", "1", 2, "AC"), ("none", None, 2, "A")]
+    got = regions.pileup(spark.createDataFrame(sites, ASKED), spark.createDataFrame(reads, NAMED), mates="once", bin_rows=20)
+    shown = once(reads)
+    assert sorted(map(tuple, got.collect())) == sorted(evidence_once(s, shown) for s in sites)
+
+
+def test_missing_values_of_mates(spark):
+    """Nulls of reads: unknown ends, mapq and strand, no letters, no qualities; a read that cannot be placed still counts to its name."""
+    m = [("M", 4)]
+    rows = [
+        ("1", 10, None, m, "ACGT", None, None, None, 64, "a"), ("1", 11, None, m, "CGTA", [20] * 4, 30, True, 128, "a"),
+        ("1", 10, None, m, None, [20] * 4, 30, False, 64, "b"), ("1", 10, None, m, "ACGT", [20, 20], 30, False, 128, "b"),
+        ("1", 10, None, m, "ACGT", None, 7, False, 64, "c"), ("1", 10, None, m, "ACGT", None, 9, False, 128, "c"),
+        ("1", None, None, m, "ACGT", None, 9, False, 128, "c"), ("1", 10, None, [("M", 2), ("M", None)], "ACGT", None, 5, False, 64, "d"),
+        ("1", 10, None, m, "ACGT", None, 5, False, None, "e"), (None, 10, None, m, "ACGT", None, 5, False, 0, "f"),
+    ]
+    sites = [("x", "1", 12, "C"), ("y", "1", 13, "G")]
+    got = {r["key"]: tuple(r)[1:3] + (r["MQ"], r["SB"]) for r in regions.pileup(spark.createDataFrame(sites, ASKED), spark.createDataFrame(rows, NAMED), mates="once").collect()}
+    assert got == {"x": (5, 5, (30 + 30 + 7 + 9 + 5) / 5, 3 / 5), "y": (4, 4, (30 + 30 + 7 + 9) / 4, 2 / 4)}
+
+
 def test_hidden_letters(spark):
     """Low qualities hide letters but not what the mate took; without a quality a letter stays."""
     rows = [("ACGT", [20, 5, None, 12]), ("A.GT", [5, 5, 5, 5]), ("ACGT", None), (None, [1, 2]), ("ACGT", [5]), ("", [5])]
