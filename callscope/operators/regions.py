@@ -311,8 +311,9 @@ def _packed(letters: DataFrame) -> DataFrame:
     rest = F.shiftleft(F.col("flag"), 11).bitwiseOR(F.shiftleft(mapq, 2)).bitwiseOR(strand).cast("bigint")
     wide = [F.col(c).cast("bigint") for c in ("_from", "_e", "flag", "mapq")]
     zero = F.lit(0).cast("bigint")
-    word = F.shiftleft(F.xxhash64("name", "chrom", F.lit(1)), STRETCH_BITS + 24)
-    for part, skip in ((F.when(near, rest).otherwise(zero), STRETCH_BITS + 1), (F.when(some, F.col("_id")).otherwise(zero), 1), (F.col("_head").cast("bigint"), 0)):
+    # The hash lies lowest, beside the other one; above it a row without letters is zeros.
+    word = _bits(F.xxhash64("name", "chrom", F.lit(1)), 0, 20)
+    for part, skip in ((F.col("_head").cast("bigint"), 20), (F.when(some, F.col("_id")).otherwise(zero), 21), (F.when(near, rest).otherwise(zero), 21 + STRETCH_BITS)):
         word = word.bitwiseOR(F.shiftleft(part, skip))
     return letters.select(
         F.xxhash64("chrom", "name").alias("name"),
@@ -325,7 +326,7 @@ def _packed(letters: DataFrame) -> DataFrame:
 
 def _unpacked(rows: DataFrame) -> DataFrame:
     """``_packed`` undone: ``name, _h, _head, _id, _from, _e, flag, seq, mapq, is_reverse, _letters``."""
-    near, far, rest = F.col("_near"), F.col("_far"), _bits(F.col("_w"), STRETCH_BITS + 1, 23)
+    near, far, rest = F.col("_near"), F.col("_far"), _bits(F.col("_w"), 21 + STRETCH_BITS, 23)
     ends = F.get(near, F.lit(0))
     start, quality = F.shiftright(ends, 15) - (1 << 15), F.when(_bits(rest, 2, 9) > 0, _bits(rest, 2, 9) - 1)
     either = lambda small, k: F.when(near.isNotNull(), small.cast("bigint")).otherwise(F.get(far, F.lit(k)))
@@ -334,9 +335,9 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     behind = lambda values, k: F.slice(values, k + 1, F.size(values) - k)
     return rows.select(
         "name",
-        F.shiftright("_w", STRETCH_BITS + 24).alias("_h"),
-        (_bits(F.col("_w"), 0, 1) == 1).alias("_head"),
-        _bits(F.col("_w"), 1, STRETCH_BITS).alias("_id"),
+        _bits(F.col("_w"), 0, 20).alias("_h"),
+        (_bits(F.col("_w"), 20, 1) == 1).alias("_head"),
+        _bits(F.col("_w"), 21, STRETCH_BITS).alias("_id"),
         either(start, 0).alias("_from"),
         either(start + _bits(ends, 0, 15), 1).alias("_e"),
         either(_bits(rest, 11, 12), 2).alias("flag"),
